@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, segments, vptree, warc
 from ._common import table
+from .ngramjoin import jaccard_join
 from .packing import pack
+from .suffixdedup import removed_digests
 
 
 def _vocabulary(name: str) -> str:
@@ -21,6 +23,10 @@ def op1_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.vp_search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_digests(table(spark, sf_dir, "documents"), width=50)
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -34,15 +40,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree_ann": op1_vptree_ann,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_segment_topk": op4_segment_topk,
     "op6_warc": op6_warc,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packing": op10_packing,
 }
 
