@@ -100,8 +100,8 @@ def nearest(
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, summed alike for every pair, so equal vectors get equal scores."""
-    return (q[:, None, :] * x[None, :, :]).sum(-1)
+    """Inner products row by row, summed alike for every pair, so equal vectors get equal scores."""
+    return (q * x).sum(-1)
 
 
 class Best:
@@ -117,18 +117,17 @@ class Best:
         return self.score[:, -1]
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        keep = (score >= self.score[rows, -1:]).any(1)
-        if not keep.any():
-            return
-        rows, score = rows[keep], score[keep]
-        shape = score.shape
-        s = np.concatenate([self.score[rows], score], 1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids, shape)], 1)
-        a = np.concatenate([self.at[rows], np.broadcast_to(at, shape)], 1)
-        order = np.lexsort((i, -s), axis=-1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, order, 1)
-        self.id[rows] = np.take_along_axis(i, order, 1)
-        self.at[rows] = np.take_along_axis(a, order, 1)
+        """Take in candidates, each with its query's row."""
+        own, of = np.unique(rows, return_inverse=True)
+        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), of])
+        s = np.concatenate([self.score[own].ravel(), score])
+        i = np.concatenate([self.id[own].ravel(), ids])
+        a = np.concatenate([self.at[own].ravel(), at])
+        order = np.lexsort((i, -s, of))
+        first = np.searchsorted(of[order], np.arange(len(own)))
+        order = order[np.arange(len(order)) - first[of[order]] < self.k]
+        for held, x in ((self.score, s), (self.id, i), (self.at, a)):
+            held[own] = x[order].reshape(len(own), self.k)
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, col = np.nonzero((self.at >= 0) & (self.score > -np.inf))

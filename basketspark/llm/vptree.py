@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from ._vectors import Best, exact_scores, nearest
 
-LEAF = 64
-FACTOR = 1.15
+LEAF = 256
+FACTOR = 3.0
 
 
 def lifted(x: np.ndarray, longest: float | None = None) -> np.ndarray:
@@ -68,6 +68,7 @@ def search_tree(tree: dict, x: np.ndarray, uid: np.ndarray, ids: np.ndarray, q:
     longest = norms.max(initial=0.0)
     up, qs, q_up = (q * q).sum(1) + longest, Best(len(q), k), np.concatenate([q, np.zeros((len(q), 1))], 1)
     points, order = lifted(x, longest), tree["order"]
+    slack = 1e-9 * (1 + longest)  # what a matrix product may differ by from the score as defined
 
     def reach(rows: np.ndarray) -> np.ndarray:
         """The distance of the k-th best so far, a little enlarged against rounding."""
@@ -79,11 +80,14 @@ def search_tree(tree: dict, x: np.ndarray, uid: np.ndarray, ids: np.ndarray, q:
         at = tree["nodes"][node]
         if len(at) == 2:
             own = order[at[0] : at[1]]
-            for i in range(0, len(rows), 256):
-                some = rows[i : i + 256]
-                score = exact_scores(q[some], x[own])
-                score[q_uid[some][:, None] == uid[own][None, :]] = -np.inf
-                qs.add(some, score, ids[own], own)
+            rough = q[rows] @ x[own].T
+            rough[q_uid[rows][:, None] == uid[own][None, :]] = -np.inf
+            least = qs.worst()[rows]
+            if len(own) > k:
+                least = np.maximum(least, np.partition(rough, len(own) - k, axis=1)[:, len(own) - k])
+            i, j = np.nonzero(rough >= np.maximum(least - slack, -1e300)[:, None])
+            if len(i):
+                qs.add(rows[i], exact_scores(q[rows[i]], x[own[j]]), ids[own[j]], own[j])
             return
         vantage, left, right, (l0, l1, r0, r1) = at
         d = np.linalg.norm(q_up[rows] - points[vantage], axis=1)
