@@ -1,6 +1,6 @@
 """Exact top-k search by multi-resolution segment statistics.
 
-Components become the integers floor(scale * x). A vector is cut into 1, 2, 4, ... equal
+Components become the integers floor(scale * x). A vector is cut into 1, 4, 16, ... equal
 segments; of each segment its mean and deviation are kept. For two vectors q and x the sum
 over the segments of L * (mean_q * mean_x + dev_q * dev_x) is never below their inner
 product (Cauchy-Schwarz on what is left after the means), and so bounds their distance
@@ -43,29 +43,45 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 def levels(dims: int) -> list[int]:
     out = [1]
-    while out[-1] * 4 <= dims:
-        out.append(out[-1] * 2)
+    while out[-1] * 8 <= dims:
+        out.append(out[-1] * 4)
     return out
 
 
 def search_segments(stats: list[np.ndarray], x: np.ndarray, uid: np.ndarray, ids: np.ndarray, q: np.ndarray, q_uid: np.ndarray, k: int):
     """(query row, row of x, exact score) of the k best of each query."""
-    best = Best(len(q), k)
-    for i in range(len(q)):
-        alive = np.flatnonzero(uid != q_uid[i])
-        floor = -np.inf
+    best, n = Best(len(q), k), len(x)
+    for lo in range(0, len(q), 128):
+        some = q[lo : lo + 128]
+        alive = uid[None, :] != q_uid[lo : lo + 128, None]
+        floor = np.full(len(some), -np.inf)
         for level, s in zip(levels(x.shape[1]), stats, strict=True):
-            bound = s[alive] @ statistics(q[i : i + 1], level)[0]
-            bound += 1e-6 * (1 + np.abs(bound))
-            if len(alive) > k:
-                # exact scores of the most promising raise what the others must reach
-                some = alive[np.argpartition(-bound, k - 1)[:k]]
-                floor = max(floor, np.partition(x[some] @ q[i], 0)[0])
-            alive = alive[bound >= floor]
-        score = x[alive] @ q[i]
-        keep = np.lexsort((ids[alive], -score))[:k]
-        n = len(keep)
-        best.score[i, :n], best.id[i, :n], best.at[i, :n] = score[keep], ids[alive[keep]], alive[keep]
+            mine = statistics(some, level)
+            if alive.sum() > alive.size // 64:
+                bound = mine @ s.T
+                if n > k and level > 1:
+                    bound[~alive] = -np.inf
+                    # exact scores of the most promising raise what the others must reach
+                    top = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+                    exact = np.where(np.take_along_axis(alive, top, 1), (x[top] * some[:, None, :]).sum(-1), -np.inf)
+                    floor = np.maximum(floor, exact.min(1))
+                alive &= bound * (1 + 1e-9) + 1e-6 >= floor[:, None]
+            else:
+                i, j = np.nonzero(alive)
+                bound = (mine[i] * s[j]).sum(1)
+                short = bound * (1 + 1e-9) + 1e-6 < floor[i]
+                alive[i[short], j[short]] = False
+        if alive.sum() > alive.size // 64:
+            score = np.where(alive, some @ x.T, -np.inf)
+            if n > k:
+                floor = np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k])
+            i, j = np.nonzero(alive & (score >= floor[:, None]))
+            score = score[i, j]
+        else:
+            i, j = np.nonzero(alive)
+            score = (some[i] * x[j]).sum(1)
+        if len(i):
+            best.add(i + lo, score, ids[j], j)
     row, at, score = best.found()
     return row, at, score.astype(np.int64)
 
