@@ -53,7 +53,7 @@ SPANS = "doc_id long, start long, stop long"
 
 def planes(x: np.ndarray) -> bytes:
     """The first bytes of all values, then the second ones and so on: like bytes together compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplanes(raw: bytes, kind) -> np.ndarray:
