@@ -17,7 +17,8 @@ next), so that signatures grow linearly with it.
 Copies of a set are one node. Candidates of a signature are first only held against the
 signature's smallest and largest set; what links is put into components; then all pairs of
 candidates that are still in different components are verified, so no link is lost, and the
-pairs within a group that hangs together already are never made.
+pairs within a group that hangs together already are never made. Before sets are fetched for
+that, each pair passes a test on sizes and parities of the sets that no true link fails.
 
 Defined results: null text counts as empty; texts without words have an empty set and are
 linked with nothing; repeated rows link as copies; an empty table gives an empty result; a
@@ -39,8 +40,11 @@ from ._bytes import BASE, batches, mix, shingle_sets
 from ._common import materialize
 from ._graph import components
 
-SETS = "doc_id long, n_shingles long, set_key long"
-SIGNATURES = "signature long, set_key long, n long"
+#: A set's parities: for each of 64 * WORDS classes of shingles whether it holds an odd number of them.
+WORDS = 8
+BITS = [f"b{i}" for i in range(WORDS)]
+SETS = "doc_id long, n_shingles long, set_key long, " + ", ".join(f"{b} long" for b in BITS)
+SIGNATURES = "signature long, set_key long"
 SMALL = 20
 
 
@@ -52,6 +56,11 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix(both)[0].astype(np.int64)) ^ int(mix(both * np.uint64(BASE))[1].astype(np.int64))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -64,7 +73,8 @@ def _sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     def make(own, sets, keys):
-        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").array, "n_shingles": [len(s) for s in sets], "set_key": keys})
+        bits = np.array([parities(s) for s in sets])
+        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").array, "n_shingles": [len(s) for s in sets], "set_key": keys, **{b: bits[:, i] for i, b in enumerate(BITS)}})
 
     return _sets(docs, k, make, SETS)
 
@@ -181,18 +191,40 @@ def signatures(docs: DataFrame, k: int, percent: int, combine: int, frequent: np
                 yield pd.DataFrame({
                     "signature": np.concatenate([*made, np.zeros(0, np.uint64)]).astype(np.int64),
                     "set_key": np.repeat(np.array([*found], np.int64), sizes),
-                    "n": np.repeat(np.array([len(s) for s in found.values()], np.int64), sizes),
                 })
 
     return docs.mapInPandas(run, SIGNATURES)
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of set keys whose sets are similar enough."""
+def near(a: str, b: str, percent: int):
+    """Whether sets of these sizes and parities can be similar enough.
+
+    A shingle that only one of them holds changes one parity, so they differ in as many
+    shingles as in parities at least.
+    """
+    differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in BITS), F.lit(0))
+    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
+
+
+def named(heads: DataFrame, key: str) -> DataFrame:
+    return heads.select(F.col("set_key").alias(key), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
+
+
+def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of set keys whose sets are similar enough, by the sets themselves."""
+    keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    wanted = heads.join(keys, "set_key").select("doc_id")
+
+    def make(own, found, found_keys):
+        return pd.DataFrame({"set_key": found_keys, "tokens": [s.astype(np.int64) for s in found]})
+
+    tokens = _sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k, make, "set_key long, tokens array<long>")
+    tokens = materialize(tokens, "tokens")
     a = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("a_tokens"))
     b = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("b_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b").distinct()
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int = 2, rare_limit: int = 64) -> DataFrame:
@@ -202,40 +234,36 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
     rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     frequent, shift = frequent_tokens(docs, k, max(rare_limit, rows // 4096), 6 * shingles)
 
+    heads = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(x).alias(x) for x in BITS))
+    heads = materialize(heads, "heads")
+
     made = signatures(docs, k, percent, combine, frequent, shift)
     # signatures of at least two different sets, with the smallest and the largest of these
-    ends = made.groupBy("signature").agg(F.min(F.struct("set_key", "n")).alias("lo"), F.max(F.struct("set_key", "n")).alias("hi")).filter("lo.set_key <> hi.set_key")
+    ends = made.groupBy("signature").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi")
     shared = materialize(made.join(ends.hint("shuffle_hash"), "signature"), "signatures")
 
-    def fits(a: str, b: str):
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
     def pairs(end: str) -> DataFrame:
-        return shared.filter(F.col("set_key") != F.col(f"{end}.set_key")).filter(fits("n", f"{end}.n")).select(F.least("set_key", f"{end}.set_key").alias("a"), F.greatest("set_key", f"{end}.set_key").alias("b"))
+        return shared.filter(F.col("set_key") != F.col(end)).select(F.least("set_key", end).alias("a"), F.greatest("set_key", end).alias("b"))
 
-    tried = materialize(pairs("lo").unionByName(pairs("hi")).distinct(), "pairs")
-    keys = shared.select("set_key").distinct()
-    heads = sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = heads.join(keys, "set_key").select("doc_id")
-
-    def make(own, found, found_keys):
-        return pd.DataFrame({"set_key": found_keys, "tokens": [s.astype(np.int64) for s in found]})
-
-    tokens = _sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k, make, "set_key long, tokens array<long>")
-    tokens = materialize(tokens, "tokens")
-    links = materialize(verified(tried, tokens, percent), "links")
+    tried = pairs("lo").unionByName(pairs("hi")).distinct()
+    tried = materialize(tried.join(named(heads, "a"), "a").join(named(heads, "b"), "b").filter(near("a", "b", percent)).select("a", "b"), "pairs")
+    links = materialize(verified(docs, heads, tried, k, percent), "links")
     groups = components(links)
 
     # every further pair of candidates that isn't in one component yet
-    placed = shared.select("signature", "set_key", "n").distinct().join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
+    placed = shared.select("signature", "set_key").distinct().join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_key"))
-    open_ = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y AND members > 2").select("signature")
-    placed = materialize(placed.join(open_, "signature", "left_semi"), "open")
-    left = placed.select("signature", F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = placed.select("signature", F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = left.join(right, (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b"))
-    rest = materialize(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    groups = components(links.unionByName(verified(rest, tokens, percent)))
+    several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y AND members > 2").select("signature")
+    placed = materialize(placed.join(several, "signature", "left_semi").join(heads.drop("doc_id"), "set_key"), "open")
+
+    def side(key: str) -> DataFrame:
+        return placed.select("signature", F.col("set_key").alias(key), F.col("component").alias(f"{key}_component"), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
+
+    different = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near("a", "b", percent)
+    left, right = side("a"), side("b").withColumnRenamed("signature", "of")
+    rest = left.join(right, (F.col("signature") == F.col("of")) & different).select("a", "b").distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    groups = components(links.unionByName(verified(docs, heads, rest, k, percent)))
 
     placed_sets = sets.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed_sets = placed_sets.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")))
