@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, segments, vptree, warc
+from . import chat, pii, segments, sentencepieces, toxicity, vptree, warc
 from ._common import table
 from .ngramjoin import jaccard_join
 from .packing import pack
 from .suffixdedup import removed_digests
 
 
+#: Whoever runs this for real data sets a secret key of their own.
+PSEUDONYM_KEY = b"an example key, not a secret one"
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -35,11 +40,26 @@ def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segment_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PSEUDONYM_KEY)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -53,7 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_segment_topk": op4_segment_topk,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_sentencepieces": op7_sentencepieces,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packing": op10_packing,
 }
