@@ -1,0 +1,289 @@
+"""Entity resolution: which offers of different stores are the same product.
+
+Candidates come from shared tokens and near image hashes, native gates come before the
+string score, distinct pairs of names are scored once, and what depends on order (claiming,
+clusters) is decided within the connected components of the scored edges.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import gates
+from ..functions import text as T
+from ..functions.similarity import fuzzy_score
+
+
+def blocked(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+    """Pairs (a, b) of ids whose names share a token of three letters or more."""
+    words = lambda df, name: df.select(F.col("id").alias(name), F.explode(T.tokens(F.col("name"), least)).alias("token"))
+    return words(left, "a").join(words(right, "b"), "token").select("a", "b").distinct()
+
+
+def near_images(left: DataFrame, right: DataFrame, most: int, bands: int | None = None) -> DataFrame:
+    """Pairs of image hashes (64 bits) that differ in ``most`` bits or fewer; exact.
+
+    Hashes are cut into ``most`` + 1 bands; of two that differ in so few bits one band at
+    least is equal, so the pairs come from an equi-join on bands.
+    """
+    bands = bands or most + 1
+    if bands <= most:
+        raise ValueError("there must be more bands than bits that may differ")
+    cuts = [round(64 * i / bands) for i in range(bands + 1)]
+    band = lambda c: F.explode(
+        F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    ).alias("x")
+    a = left.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), band(F.col("hash"))).select("a", "a_hash", "x.*")
+    b = right.select(F.col("id").alias("b"), F.col("hash").alias("b_hash"), band(F.col("hash"))).select("b", "b_hash", "x.*")
+    distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
+    return a.join(b, ["band", "bits"]).filter(distance <= most).select("a", "b", distance.alias("distance")).distinct()
+
+
+def unique_keys(offers: DataFrame) -> DataFrame:
+    """Offers whose EAN no other offer of the store has."""
+    own = Window.partitionBy("store", "ean")
+    return offers.filter(F.col("ean").isNotNull()).withColumn("n", F.count("*").over(own)).filter("n = 1").drop("n")
+
+
+def poisoned_keys(offers: DataFrame) -> DataFrame:
+    return offers.filter(F.col("ean").isNotNull()).groupBy("store", "ean").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def by_key(anchors: DataFrame, offers: DataFrame) -> DataFrame:
+    """Matches (anchor, store, offer) by an EAN that is unique on both sides."""
+    a = unique_keys(anchors).select(F.col("id").alias("anchor"), "ean")
+    return a.join(unique_keys(offers).select(F.col("id").alias("offer"), "store", "ean"), "ean").select("anchor", "store", "offer", "ean")
+
+
+def retro_validated(matches: DataFrame, anchors: DataFrame, offers: DataFrame) -> DataFrame:
+    """Matches but those whose EAN has, in whatever store, a weight that contradicts the anchor's."""
+    others = offers.filter(F.col("ean").isNotNull() & F.col("weight_g").isNotNull()).select("ean", F.col("weight_g").alias("other"))
+    with_weight = matches.join(anchors.select(F.col("id").alias("anchor"), F.col("weight_g").alias("own")), "anchor")
+    bad = with_weight.join(others, "ean").filter(~gates.weights_compatible(F.col("own"), F.col("other"))).select("anchor", "ean").distinct()
+    return matches.join(bad, ["anchor", "ean"], "left_anti")
+
+
+def conflicts(matches: DataFrame) -> DataFrame:
+    """Matches of anchors without a weight that contradict each other (equal EANs never do)."""
+    side = lambda s: matches.filter(F.col("anchor_weight").isNull()).select("anchor", F.col("offer").alias(f"offer_{s}"), F.col("weight_g").alias(f"w_{s}"), F.col("ean").alias(f"ean_{s}"))
+    pairs = side("x").join(side("y"), "anchor").filter(F.col("offer_x") < F.col("offer_y")).filter(~gates.weights_compatible(F.col("w_x"), F.col("w_y")) & ~F.coalesce(F.col("ean_x") == F.col("ean_y"), F.lit(False)))
+    return pairs.select("anchor", F.explode(F.array("offer_x", "offer_y")).alias("offer")).distinct()
+
+
+def arbitrated(matches: DataFrame, flag: str) -> DataFrame:
+    """Where an anchor has a flag and some of its matches claim it, those that are silent go (unless their EAN claims it)."""
+    own = Window.partitionBy("anchor")
+    claimed = F.max(F.col(flag)).over(own)
+    same_ean = F.max(F.col(flag)).over(Window.partitionBy("anchor", "ean"))
+    keep = ~F.col(f"anchor_{flag}") | ~F.col("claimed") | F.col(flag) | F.coalesce(F.col("ean").isNotNull() & F.col("ean_claims"), F.lit(False))
+    return matches.withColumn("claimed", claimed).withColumn("ean_claims", same_ean).filter(keep).drop("claimed", "ean_claims")
+
+
+def cross_filled(matches: DataFrame, anchors: DataFrame, offers: DataFrame) -> DataFrame:
+    """For stores without a match the offer of the first EAN (in store order) that the anchor's matches have."""
+    first = Window.partitionBy("anchor").orderBy("store", "offer")
+    eans = matches.filter(F.col("ean").isNotNull()).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("anchor", "ean")
+    found = eans.join(unique_keys(offers).select(F.col("id").alias("offer"), "store", "ean", "weight_g"), "ean")
+    found = found.join(anchors.select(F.col("id").alias("anchor"), F.col("weight_g").alias("own")), "anchor").filter(gates.weights_compatible(F.col("weight_g"), F.col("own")))
+    return found.join(matches.select("anchor", "store"), ["anchor", "store"], "left_anti").join(matches.select("offer"), "offer", "left_anti").select("anchor", "store", "offer", "ean")
+
+
+def scored(pairs: DataFrame, a: str = "a_name", b: str = "b_name", least_bound: float = 0.0) -> DataFrame:
+    """The pairs with their similarity; each distinct pair of names is scored once, after the length bound."""
+    kept = pairs.filter(gates.length_bound(F.col(a), F.col(b)) >= least_bound)
+    names = kept.select(a, b).distinct().withColumn("score", F.round(fuzzy_score(F.col(a), F.col(b)), 6))
+    return kept.join(names, [a, b])
+
+
+def image_boost(distance: Column) -> Column:
+    """0.4 for equal images down to 0.2 at 8 bits, then down to 0 at 15."""
+    return (
+        F.when(distance <= 8, 0.20 + 0.20 * (8 - distance) / 8).when(distance <= 15, 0.20 * (15 - distance) / 7).otherwise(0.0)
+    )
+
+
+def anchor_edges(anchors: DataFrame, offers: DataFrame, floor: float = 0.50, accept: float = 0.60) -> DataFrame:
+    """Scored edges (anchor, store, offer, score) between anchors and offers that pass every gate.
+
+    Both have id, name, brand, category, weight_g, count, price, percents, meats, flavours and
+    the variant flags; offers have a store. Anchors with an EAN are matched by key alone.
+    """
+    flags = list(T.VARIANTS)
+    cols = ["name", "brand", "category", "weight_g", "count", "price", "percents", "meats", "flavours", "hash", *flags]
+    a = anchors.filter(F.col("ean").isNull()).select(F.col("id").alias("anchor"), *(F.col(c).alias(f"a_{c}") for c in cols))
+    b = offers.select(F.col("id").alias("offer"), "store", *(F.col(c).alias(f"b_{c}") for c in cols))
+    candidates = blocked(anchors.filter(F.col("ean").isNull()), offers).withColumnsRenamed({"a": "anchor", "b": "offer"})
+    pairs = candidates.join(a, "anchor").join(b, "offer")
+    distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
+    close = F.coalesce(distance <= 4, F.lit(False))
+    variants = gates.variants_compatible({f: F.col(f"b_{f}") for f in flags if f != "alcohol_free"}, {f: F.col(f"a_{f}") for f in flags if f != "alcohol_free"})
+    pairs = pairs.filter(
+        gates.overlap_if_known(F.col("a_percents"), F.col("b_percents"))
+        & gates.equal_if_known(F.col("a_meats"), F.col("b_meats"))
+        & (F.col("a_alcohol_free") == F.col("b_alcohol_free"))
+        & (variants | close)
+        & (gates.contained(F.col("b_flavours"), F.col("a_flavours")) | close)
+        & gates.weights_compatible(F.col("a_weight_g"), F.col("b_weight_g"))
+        & gates.counts_compatible(F.col("a_count"), F.col("b_count"))
+        & gates.price_plausible(F.col("a_price"), F.col("b_price"))
+    )
+    pairs = scored(pairs)
+    known = F.col("a_weight_g").isNotNull() & F.col("b_weight_g").isNotNull() | F.col("a_count").isNotNull() & F.col("b_count").isNotNull()
+    same_category = gates.types_compatible(F.col("a_category"), F.col("b_category"))
+    pairs = pairs.filter((F.col("score") >= floor) & (same_category | (F.col("score") >= 0.80)) & (known | close | (F.col("score") >= 0.75)))
+    brand = F.coalesce((F.col("a_brand") == F.col("b_brand")).cast("double"), F.lit(0.0))
+    total = F.round(F.col("score") + 0.30 * brand + F.coalesce(image_boost(distance), F.lit(0.0)), 6)
+    return pairs.withColumn("score", total).filter(F.col("score") >= accept).select("anchor", "store", "offer", "score")
+
+
+def best_per_store(edges: DataFrame) -> DataFrame:
+    best = Window.partitionBy("anchor", "store").orderBy(F.desc("score"), "offer")
+    return edges.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+
+
+def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+    """(node, component): nodes of either side with the smallest node they hang together with.
+
+    Labels spread along the edges and jump to their labels' labels; every round is
+    checkpointed, and the rounds end when nothing changes.
+    """
+    sc = edges.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", tempfile.mkdtemp()))
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
+    labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
+        spread = labels.join(near, labels["node"] == near["x"]).select("node", F.least("component", "m").alias("component"))
+        jumped = spread.alias("s").join(spread.select(F.col("node").alias("c"), F.col("component").alias("next")), F.col("component") == F.col("c"), "left")
+        new = jumped.select("node", F.least("component", F.coalesce("next", "component")).alias("component")).checkpoint()
+        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
+        labels = new
+        if not changed:
+            break
+    return labels
+
+
+def claimed(edges: DataFrame) -> DataFrame:
+    """One-to-one matches: anchors in order take, in each store, their best offer that nobody has taken.
+
+    What an anchor can take depends on its component only, so components are resolved apart.
+    """
+    offers_as_nodes = edges.withColumn("o", -F.col("offer") - 1)
+    parts = components(offers_as_nodes, "anchor", "o")
+    rows = edges.join(parts.withColumnRenamed("node", "anchor"), "anchor")
+
+    def resolve(f: pd.DataFrame) -> pd.DataFrame:
+        taken, filled, out = set(), set(), []
+        for r in f.sort_values(["anchor", "store", "score", "offer"], ascending=[True, True, False, True]).itertuples():
+            if r.offer in taken or (r.anchor, r.store) in filled:
+                continue
+            taken.add(r.offer)
+            filled.add((r.anchor, r.store))
+            out.append((r.anchor, r.store, r.offer, r.score))
+        return pd.DataFrame(out, columns=["anchor", "store", "offer", "score"])
+
+    return rows.groupBy("component").applyInPandas(resolve, "anchor long, store long, offer long, score double")
+
+
+def clusters(edges: DataFrame, compatible: DataFrame) -> DataFrame:
+    """Fuzzy clusters (base, member, score) of unmatched offers.
+
+    Offers in order are bases unless already taken; a base takes the best free offer of each
+    other store. While two members contradict each other (a pair missing from
+    ``compatible``), the one of lower score leaves; of equal ones the earlier.
+    """
+    parts = components(edges.withColumnsRenamed({"a": "x_", "b": "y_"}), "x_", "y_")
+    good = compatible.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = edges.join(parts.withColumnRenamed("node", "a"), "a").select("component", F.lit("edge").alias("kind"), "a", "b", "a_store", "b_store", "score")
+    pairs = good.join(parts.withColumnRenamed("node", "a"), "a").select("component", F.lit("ok").alias("kind"), "a", "b", F.lit(0).cast("long").alias("a_store"), F.lit(0).cast("long").alias("b_store"), F.lit(0.0).alias("score"))
+
+    def resolve(f: pd.DataFrame) -> pd.DataFrame:
+        ok = set(zip(f.loc[f.kind == "ok", "a"], f.loc[f.kind == "ok", "b"], strict=True))
+        edge = f[f.kind == "edge"]
+        both = pd.concat([edge[["a", "a_store", "b", "b_store", "score"]], edge.rename(columns={"a": "b", "b": "a", "a_store": "b_store", "b_store": "a_store"})[["a", "a_store", "b", "b_store", "score"]]])
+        taken, out = set(), []
+        for (base_store, base), own in both.sort_values(["a_store", "a"]).groupby(["a_store", "a"], sort=True):
+            if base in taken:
+                continue
+            best: dict[int, tuple[float, int]] = {}
+            for r in own.itertuples():
+                if r.b not in taken and r.b_store != base_store:
+                    now = best.get(r.b_store)
+                    if now is None or (r.score, -r.b) > (now[0], -now[1]):
+                        best[r.b_store] = (r.score, r.b)
+            members = sorted((s, m) for s, m in best.values())
+            again = True
+            while again:
+                again = False
+                for i, (s, x) in enumerate(members):
+                    for t, y in members[i + 1 :]:
+                        if (min(x, y), max(x, y)) not in ok:
+                            members.remove((s, x) if (s, -x) <= (t, -y) else (t, y))
+                            again = True
+                            break
+                    if again:
+                        break
+            if members:
+                taken |= {base, *(m for _, m in members)}
+                out += [(base, base, 1.0), *((base, m, s) for s, m in members)]
+        return pd.DataFrame(out, columns=["base", "member", "score"])
+
+    return linked.unionByName(pairs).groupBy("component").applyInPandas(resolve, "base long, member long, score double")
+
+
+def attached(edges: DataFrame, members: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """Offers attached to the best group that lacks their store and of which no member contradicts them.
+
+    ``edges`` (offer, offer_store, member, score) lead to ``members`` (group, member, store);
+    ``contradictions`` are pairs (offer, member).
+    """
+    groups = edges.join(members.select("group", "member"), "member")
+    groups = groups.join(members.select("group", F.col("store").alias("offer_store")), ["group", "offer_store"], "left_anti")
+    bad = contradictions.join(members.select("group", "member"), "member").select("group", "offer").distinct()
+    groups = groups.join(bad, ["group", "offer"], "left_anti")
+    best = Window.partitionBy("offer").orderBy(F.desc("score"), "group", "member")
+    return groups.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("offer", "group", "score")
+
+
+def deduplicated_by_image(cards: DataFrame, price_map: str = "prices") -> DataFrame:
+    """Cards of one image and compatible weight become the first of them; its own store prices stand."""
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        kept: list[dict] = []
+        for r in f.sort_values("id").to_dict("records"):
+            own, weight = dict(r[price_map] or {}), r["weight_g"]
+            for k in kept:
+                w = k["weight_g"]
+                low = None if pd.isna(w) or pd.isna(weight) else min(w, weight)
+                if low is None or abs(w - weight) <= max(min(20.0, 0.25 * low), 0.08 * low):
+                    k[price_map] = own | k[price_map]
+                    k["merged"] += 1
+                    break
+            else:
+                kept.append({"id": r["id"], "image": r["image"], "weight_g": weight, price_map: own, "merged": 0})
+        return pd.DataFrame(kept)
+
+    return cards.groupBy("image").applyInPandas(fold, f"id long, image string, weight_g double, {price_map} map<string,double>, merged long")
+
+
+def assembled(*parts: DataFrame) -> DataFrame:
+    """All cards of all phases."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def features(offers: DataFrame, meats: dict[str, str], flavours: Sequence[str]) -> DataFrame:
+    """What the gates need, from name, description and brand."""
+    text = F.lower(F.concat_ws(" ", "name", "description", "brand"))
+    out = offers.select("*", T.percents(text).alias("percents"), T.flagged(F.lower(F.concat_ws(" ", "name", "description")), meats).alias("meats"), T.words_consumed(text, flavours).alias("flavours"))
+    return out.select("*", *(c.alias(k) for k, c in T.variant_flags(text).items()))
+
