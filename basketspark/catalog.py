@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import prices  # noqa: F401
+from .plans import baskets, listings, matches, parsing, prices, streams  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -25,7 +25,8 @@ def and_search(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 def matches(name_tokens: Column, terms: Sequence[str]) -> Column:
     """Every term is matched by a token."""
-    return functools.reduce(lambda a, b: a & b, (F.exists(name_tokens, lambda t, x=term: T.term_matches(t, x)) for term in terms), F.lit(True))
+    matched = lambda term: F.exists(name_tokens, lambda t: T.term_matches(t, term))
+    return functools.reduce(lambda a, b: a & b, map(matched, terms), F.lit(True))
 
 
 def like_any(c: Column, terms: Sequence[str]) -> Column:
@@ -46,12 +47,12 @@ def widened(rows: DataFrame, strict: DataFrame, prefix: str) -> DataFrame:
 
 def relevance(name_tokens: Column, name: Column, terms: Sequence[str], preferred: Column | None = None) -> Column:
     """Per term the best of exact 100, prefix 70, suffix 50; 40 for a preferred category; shorter names first."""
-    total = F.lit(0)
-    for term in terms:
-        best = F.array_max(
-            F.transform(name_tokens, lambda t, x=term: F.when(t == x, 100).when(t.startswith(x), 70).when(t.endswith(x), 50).otherwise(0))
-        )
-        total = total + F.coalesce(best, F.lit(0))
+
+    def best(term: str) -> Column:
+        points = lambda t: F.when(t == term, 100).when(t.startswith(term), 70).when(t.endswith(term), 50).otherwise(0)
+        return F.coalesce(F.array_max(F.transform(name_tokens, points)), F.lit(0))
+
+    total = functools.reduce(lambda a, b: a + b, map(best, terms), F.lit(0))
     if preferred is not None:
         total = total + F.when(preferred, 40).otherwise(0)
     return total * 1000 - F.least(F.length(name), F.lit(999))
