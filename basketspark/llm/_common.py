@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITESPACE = b" \t\n\x0b\x0c\r"
+#: What stands for a null id where rows are handled in pandas, which has no integers beside nulls.
+NOBODY = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_or_nobody(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NOBODY)).alias(name)
+
+
+def null_again(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.nullif(F.col(n), F.lit(NOBODY)) for n in names})
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}

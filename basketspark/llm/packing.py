@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import id_or_nobody, materialize, null_again
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -42,14 +42,14 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataF
         encode, part, step = words(vocabulary).encode, TaskContext.get().partitionId(), 4 * size
         for f in frames:
             rows = []
-            for doc_id, text in zip(f["doc_id"].astype(object).where(f["doc_id"].notna(), None), f["text"], strict=True):
+            for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
                 ids = (encode(text) if text else b"") + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
                     rows.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own), part))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(id_or_nobody("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -107,7 +107,7 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
                 if not found or not use((a, *found)):
                     break
 
-    # best fit: open sequences by gap, each kind with its number; a length goes into the smallest gap that holds it
+    # best fit: open sequences by gap, each kind with its number; a length goes into the smallest gap that holds it, again and again
     gaps: dict[int, list[list]] = defaultdict(list)
     open_at = np.zeros(size + 1, bool)
     for a in range(size, 0, -1):
@@ -116,15 +116,16 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
             found = np.flatnonzero(open_at[a:])
             gap = a + int(found[0]) if len(found) else size
             kind = gaps[gap][-1] if len(found) else [(), n]
-            times = min(n, kind[1])
+            copies = min(gap // a, n)
+            times = min(n // copies, kind[1])
             if len(found):
                 kind[1] -= times
                 if not kind[1]:
                     gaps[gap].pop()
                     open_at[gap] = bool(gaps[gap])
-            gaps[gap - a].append([(*kind[0], a), times])
-            open_at[gap - a] = True
-            n -= times
+            gaps[gap - a * copies].append([(*kind[0], *[a] * copies), times])
+            open_at[gap - a * copies] = True
+            n -= times * copies
     return done + [(lengths, times) for kinds in gaps.values() for lengths, times in kinds]
 
 
@@ -163,6 +164,6 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 4096, end_id: int = 1)
             at = np.searchsorted(keys, f["length"].to_numpy(np.int64) * (1 << 48) + rank, "right") - 1
             out = f[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
             out["sequence_id"], out["offset"] = sequences[at] + rank - ranks[at], offsets[at]
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return ranked.mapInPandas(place, PACKED)
+    return null_again(ranked.mapInPandas(place, PACKED), "doc_id")

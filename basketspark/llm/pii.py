@@ -19,12 +19,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import free_name
 
@@ -212,14 +210,15 @@ def replaced(text: str, permute: Permuter, known: dict) -> tuple[str, list[str]]
 
 def pseudonymised(docs: DataFrame, key: bytes, *, text_col: str = "text", counts: bool = True, reverse: bool = False) -> DataFrame:
     """The rows of ``docs`` with pseudonyms in their texts and, if asked for, a count for each kind."""
-    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
     named = {k: free_name(docs, f"n_{k}") for k in KINDS} if counts else {}
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in named.values())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<text: string, " + ", ".join(f"{k}: long" for k in KINDS) + ">")
+    def swap(texts: pd.Series) -> pd.DataFrame:
         permute, known = Permuter(key, reverse), {}
-        for f in frames:
-            done = [(t, []) if t is None else replaced(t, permute, known) for t in f[text_col]]
-            yield f.assign(**{text_col: [t for t, _ in done]}, **{n: [x.count(k) for _, x in done] for k, n in named.items()})
+        done = [(None, []) if t is None else replaced(t, permute, known) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in done]} | {k: [x.count(k) for _, x in done] for k in KINDS})
 
-    return rows.mapInPandas(run, schema)
+    found = free_name(docs, "swapped")
+    rows = docs.withColumn(found, swap(F.col(text_col).cast("string")))
+    rows = rows.withColumns({text_col: F.col(f"{found}.text")} | {n: F.col(f"{found}.{k}") for k, n in named.items()})
+    return rows.select(*docs.columns, *named.values())

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import id_or_nobody, null_again
+
 MARK = "▁"
 WORD = re.compile("\n|▁*[^▁\n]+|▁+")
 REMEMBERED = 400_000
@@ -113,9 +115,10 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pieces(model)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "ids": [known.encode(t) if t else b"" for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"].array, "ids": [known.encode(t) if t else b"" for t in f["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select(id_or_nobody("doc_id"), "text")
+    return null_again(rows.mapInPandas(run, "doc_id long, ids binary"), "doc_id")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -124,9 +127,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pieces(model)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "text": [known.decode(bytes(x)) for x in f["ids"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"].array, "text": [known.decode(bytes(x)) for x in f["ids"]]})
 
-    return encoded.mapInPandas(run, "doc_id long, text string")
+    return null_again(encoded.select(id_or_nobody("doc_id"), "ids").mapInPandas(run, "doc_id long, text string"), "doc_id")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -144,8 +147,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 spelled = sum(map(bytes_.__contains__, array("I", ids)))
                 rows.append((len(ids) // 4, zlib.crc32(ids), spelled, hashlib.sha256(data).hexdigest(), back == (text or "").replace(MARK, " ")))
             out = pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "n_bytes_as_pieces", "decoded_sha256", "restored"])
-            out.insert(0, "doc_id", f["doc_id"].astype("Int64").array)
+            out.insert(0, "doc_id", f["doc_id"].array)
             yield out
 
     schema = "doc_id long, n_ids long, ids_crc32 long, n_bytes_as_pieces long, decoded_sha256 string, restored boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return null_again(docs.select(id_or_nobody("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema), "doc_id")

@@ -42,11 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import batches, mix, powers, prefix_hashes, span_hashes
-from ._common import free_name, materialize
+from ._common import NOBODY, free_name, id_or_nobody, materialize, null_again
 from .suffixes import common_prefixes, suffix_array
 
 GRAM = 16
-NOBODY = 2**63 - 1
 FIELDS = (("anchor", np.uint32), ("run", np.uint64), ("doc", np.int64), ("start", np.uint32), ("windows", np.uint32), ("around", np.uint32))
 SPANS = "doc_id long, start long, stop long"
 
@@ -162,7 +161,7 @@ def find_runs(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
         for f in frames:
             for own, buf, starts in batches(f):
-                ids = own["doc_id"].fillna(NOBODY).to_numpy(np.int64)
+                ids = own["doc_id"].to_numpy(np.int64)
                 held.append(runs(buf, starts, ids, width))
                 size += len(held[-1]["run"])
                 if size > 400_000:
@@ -229,7 +228,7 @@ def shard_spans(doc: np.ndarray, start: np.ndarray, data: list[bytes], width: in
 
 def removed_spans(docs: DataFrame, *, width: int = 50, hot: int = 20_000, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, start, stop: byte spans that repeat a smaller document; those of a document may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(id_or_nobody("doc_id"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(16, max(5, math.ceil(math.log2(max(1, size) / 3e6))))
     found = materialize(compare_runs(find_runs(docs, width, bits), width), "runs")
@@ -239,8 +238,7 @@ def removed_spans(docs: DataFrame, *, width: int = 50, hot: int = 20_000, shard_
     many = asked.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     asked = asked.join(many, "anchor", "left")
     per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("asked"))
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NOBODY)))
-    pieces = keyed.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.explode("asked").alias("x"))
+    pieces = docs.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.explode("asked").alias("x"))
     pieces = pieces.select("doc_id", F.col("x.start").alias("start"), F.expr("substring(text, x.start + 1, x.stop - x.start)").alias("data"), F.col("x.anchor").alias("anchor"), F.col("x.hot").alias("hot"))
     pieces = materialize(pieces, "pieces")
 
@@ -259,7 +257,7 @@ def removed_spans(docs: DataFrame, *, width: int = 50, hot: int = 20_000, shard_
     lowest = windows.groupBy("window").agg(F.min("doc_id").alias("low"))
     alone = windows.join(lowest, "window").filter("doc_id > low").select("doc_id", "start", (F.col("start") + width).alias("stop"))
     out = certain.unionByName(compared).unionByName(alone)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NOBODY)))
+    return null_again(out, "doc_id")
 
 
 def cut(docs: DataFrame, spans_: DataFrame) -> DataFrame:
@@ -282,7 +280,7 @@ def merge_spans(listed) -> list[tuple[int, int]]:
 
 def removed_digests(docs: DataFrame, *, width: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(id_or_nobody("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -296,10 +294,11 @@ def removed_digests(docs: DataFrame, *, width: int = 50) -> DataFrame:
                 kept.update(data[at:])
                 rows.append((len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", f["doc_id"].astype("Int64").array)
+            out.insert(0, "doc_id", f["doc_id"].array)
             yield out
 
-    return cut(docs, removed_spans(docs, width=width)).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = cut(docs, removed_spans(null_again(docs, "doc_id"), width=width))
+    return null_again(found.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "doc_id")
 
 
 def without_repeats(docs: DataFrame, *, width: int = 50, text_col: str = "text") -> DataFrame:
@@ -308,24 +307,22 @@ def without_repeats(docs: DataFrame, *, width: int = 50, text_col: str = "text")
     A character of which bytes remain but not all goes as well; a null text stays null.
     """
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = rows.schema
 
-    def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = []
-            for text, listed in zip(f[text_col], f[spans_col], strict=True):
-                gone = merge_spans(listed)
-                if text is None or not gone:
-                    texts.append(text)
-                    continue
-                data, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
-                for a, b in [*gone, (len(data), len(data))]:
-                    kept.append(data[at:a].decode("utf-8", "ignore"))
-                    at = b
-                texts.append("".join(kept))
-            yield f.drop(columns=[spans_col]).assign(**{text_col: texts})
-
-    given = rows.select("doc_id", F.col(text_col).alias("text"))
-    joined = cut(rows, removed_spans(given, width=width))
+    @F.pandas_udf("string")
+    def strip(texts: pd.Series, spans_: pd.Series) -> pd.Series:
+        out = []
+        for text, listed in zip(texts, spans_, strict=True):
+            gone = merge_spans(listed)
+            if text is None or not gone:
+                out.append(text)
+                continue
+            data, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
+            for a, b in [*gone, (len(data), len(data))]:
+                kept.append(data[at:a].decode("utf-8", "ignore"))
+                at = b
+            out.append("".join(kept))
+        return pd.Series(out, dtype=object)
+
+    joined = cut(rows, removed_spans(rows.select("doc_id", F.col(text_col).alias("text")), width=width))
     spans_col = joined.columns[-1]
-    return joined.mapInPandas(strip, schema)
+    return joined.withColumn(text_col, F.when(F.col(spans_col).isNull(), F.col(text_col)).otherwise(strip(text_col, spans_col))).select(docs.columns)

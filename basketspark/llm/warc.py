@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, materialize
+from ._common import NOBODY, fresh_path, id_or_nobody, materialize, null_again
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -88,6 +88,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, least: int = 100,
     rows = rows.withColumn("digest", digest).join(same, F.col("digest") == F.col("same"), "left")
     again = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(again, F.col("first_id")).alias("refers_to"))
+    rows = rows.withColumns({c: id_or_nobody(c) for c in ("page_id", "refers_to")})
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -96,24 +97,23 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, least: int = 100,
         try:
             for f in frames:
                 index = []
-                for page_id, url, payload, d, refers_to in f.astype(object).where(f.notna(), None).itertuples(index=False):
+                for page_id, url, payload, d, refers_to in f.itertuples(index=False):
                     if out is None or at >= roll_bytes:
                         if out is not None:
                             out.close()
                         name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    ids = [None if x is None else int(x) for x in (page_id, refers_to)]
+                    ids = [None if x == NOBODY else int(x) for x in (page_id, refers_to)]
                     member = gzip.compress(record(ids[0], url, bytes(payload), d, ids[1]), 1, mtime=0)
                     out.write(member)
-                    index.append((ids[0], f"{folder}/{name}", at, len(member), url, d))
+                    index.append((page_id, f"{folder}/{name}", at, len(member), url, d))
                     at += len(member)
-                made = pd.DataFrame(index, columns=["page_id", "archive", "offset", "length", "url", "digest"])
-                yield made.astype({"page_id": "Int64"})
+                yield pd.DataFrame(index, columns=["page_id", "archive", "offset", "length", "url", "digest"])
         finally:
             if out is not None:
                 out.close()
 
-    return materialize(rows.mapInPandas(write, INDEX), "warc-index")
+    return materialize(null_again(rows.mapInPandas(write, INDEX), "page_id"), "warc-index")
 
 
 def read_warc(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
@@ -132,6 +132,9 @@ def read_warc(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) ->
         .agg(F.min("offset").alias("first"), F.max(end).alias("last"), F.sort_array(F.collect_list(F.struct("offset", "length", "page_id"))).alias("records"))
         .select("archive", "first", "last", "records")
     )
+    # a range is little to shuffle but much to read, so tasks go by the bytes to read
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = ranges.repartition(max(1, -(-size // (2 * span))), "archive", "first")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -146,7 +149,8 @@ def read_warc(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) ->
                     if got["page_id"] != x["page_id"]:
                         raise ValueError(f"the index takes {x['page_id']} for {got['page_id']}")
                     rows.append(got)
-                yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                ids = {c: pd.array([r[c] for r in rows], "Int64") for c in ("page_id", "refers_to")}
+                yield pd.DataFrame(rows).assign(**ids)
 
     return ranges.mapInPandas(read, RECORDS)
 
