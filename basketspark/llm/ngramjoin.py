@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BASE, batches, mix, shingle_sets
-from ._common import materialize
+from ._common import id_or_nobody, materialize, null_again
 from ._graph import components
 
-#: A set's parities: for each of 64 * WORDS classes of shingles whether it holds an odd number of them.
-WORDS = 8
+#: A set's parities: for each of 64 * WORDS classes of shingles whether it holds an odd number of them; and for FOLD times as many.
+WORDS, FOLD = 8, 8
 BITS = [f"b{i}" for i in range(WORDS)]
-SETS = "doc_id long, n_shingles long, set_key long, " + ", ".join(f"{b} long" for b in BITS)
+SETS = "doc_id long, n_shingles long, set_key long, wide array<long>, " + ", ".join(f"{b} long" for b in BITS)
 SIGNATURES = "signature long, set_key long"
 SMALL = 20
 
@@ -57,7 +57,8 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    n = 64 * WORDS * FOLD
+    odd = np.bincount((mix(tokens) >> np.uint64(40)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -73,10 +74,11 @@ def _sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     def make(own, sets, keys):
-        bits = np.array([parities(s) for s in sets])
-        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").array, "n_shingles": [len(s) for s in sets], "set_key": keys, **{b: bits[:, i] for i, b in enumerate(BITS)}})
+        wide = np.array([parities(s) for s in sets])
+        bits = np.bitwise_xor.reduce(wide.reshape(len(sets), FOLD, WORDS), axis=1)
+        return pd.DataFrame({"doc_id": own["doc_id"].array, "n_shingles": [len(s) for s in sets], "set_key": keys, "wide": [*wide], **{b: bits[:, i] for i, b in enumerate(BITS)}})
 
-    return _sets(docs, k, make, SETS)
+    return null_again(_sets(docs.select(id_or_nobody("doc_id"), "text"), k, make, SETS), "doc_id")
 
 
 def frequent_tokens(docs: DataFrame, k: int, limit: int, chars: int) -> np.ndarray:
@@ -211,6 +213,14 @@ def named(heads: DataFrame, key: str) -> DataFrame:
     return heads.select(F.col("set_key").alias(key), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
 
 
+def nearer(heads: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that pass the test of ``near`` with more parities, which tells long texts apart."""
+    a = heads.select(F.col("set_key").alias("a"), F.col("n").alias("a_n"), F.col("wide").alias("a_wide"))
+    b = heads.select(F.col("set_key").alias("b"), F.col("n").alias("b_n"), F.col("wide").alias("b_wide"))
+    differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "a").join(b, "b").filter(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
+
+
 def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set keys whose sets are similar enough, by the sets themselves."""
     keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
@@ -234,7 +244,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
     rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     frequent, shift = frequent_tokens(docs, k, max(rare_limit, rows // 4096), 6 * shingles)
 
-    heads = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(x).alias(x) for x in BITS))
+    heads = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("wide").alias("wide"), *(F.first(x).alias(x) for x in BITS))
     heads = materialize(heads, "heads")
 
     made = signatures(docs, k, percent, combine, frequent, shift)
@@ -246,7 +256,8 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
         return shared.filter(F.col("set_key") != F.col(end)).select(F.least("set_key", end).alias("a"), F.greatest("set_key", end).alias("b"))
 
     tried = pairs("lo").unionByName(pairs("hi")).distinct()
-    tried = materialize(tried.join(named(heads, "a"), "a").join(named(heads, "b"), "b").filter(near("a", "b", percent)).select("a", "b"), "pairs")
+    tried = tried.join(named(heads, "a"), "a").join(named(heads, "b"), "b").filter(near("a", "b", percent)).select("a", "b")
+    tried = materialize(nearer(heads, tried, percent), "pairs")
     links = materialize(verified(docs, heads, tried, k, percent), "links")
     groups = components(links)
 
@@ -254,7 +265,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
     placed = shared.select("signature", "set_key").distinct().join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_key"))
     several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y AND members > 2").select("signature")
-    placed = materialize(placed.join(several, "signature", "left_semi").join(heads.drop("doc_id"), "set_key"), "open")
+    placed = materialize(placed.join(several, "signature", "left_semi").join(heads.drop("doc_id", "wide"), "set_key"), "open")
 
     def side(key: str) -> DataFrame:
         return placed.select("signature", F.col("set_key").alias(key), F.col("component").alias(f"{key}_component"), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
@@ -262,10 +273,10 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
     different = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near("a", "b", percent)
     left, right = side("a"), side("b").withColumnRenamed("signature", "of")
     rest = left.join(right, (F.col("signature") == F.col("of")) & different).select("a", "b").distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(nearer(heads, rest.join(tried, ["a", "b"], "left_anti"), percent), "pairs")
     groups = components(links.unionByName(verified(docs, heads, rest, k, percent)))
 
-    placed_sets = sets.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
+    placed_sets = sets.select("doc_id", "n_shingles", "set_key").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed_sets = placed_sets.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")))
     smallest = placed_sets.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("smallest"))
     return placed_sets.join(smallest, "group", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))

@@ -1,10 +1,10 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
 Fitting. Up to ``examples`` labelled documents of either class, picked by the hash of their
-ids, are the examples; up to ``calibration`` further ones, as they come, set the scale.
+ids, are the examples; up to ``calibration`` of a quarter that is kept apart set the scale.
 Terms are words and their first four and five letters (stems of inflected words). Of the
-examples' terms those stay that tell the classes apart by a chi-square of ``least_chi2`` or
-more, ``vocabulary`` at most. All this is bounded by these parameters, whatever the corpus;
+examples' terms those stay that are ``least_ratio`` times as frequent in toxic ones, with a
+chi-square of ``least_chi2`` or more, ``vocabulary`` at most. All this is bounded by these parameters, whatever the corpus;
 the document frequencies of the terms are counted over all documents.
 
 Scoring. Weights are (1 + ln tf) * idf, vectors have length one. The index has for every
@@ -35,24 +35,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import id_or_nobody, materialize, null_again
 
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
 
 
+def of_word(w: str) -> list[str]:
+    """A word's terms: itself and, if it is longer, its beginnings with a mark."""
+    return [w, *([w[:4] + "*"] if len(w) > 4 else []), *([w[:5] + "*"] if len(w) > 5 else [])]
+
+
 def terms(text: str | None) -> Counter:
-    """Words, and beginnings of longer words with a mark, with their numbers."""
+    """A text's terms with their numbers."""
     out: Counter = Counter()
     for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
-        out[w] += n
-        if len(w) > 4:
-            out[w[:4] + "*"] += n
-        if len(w) > 5:
-            out[w[:5] + "*"] += n
+        for t in of_word(w):
+            out[t] += n
     return out
 
 
+class Vocabulary(dict):
+    """Word -> the numbers of those of its terms that are in the vocabulary; words met before are remembered."""
+
+    def __init__(self, words: list[str]):
+        self.place = {w: i for i, w in enumerate(words)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = tuple(self.place[t] for t in of_word(word) if t in self.place)
+        return out
+
+    def __reduce__(self):
+        return Vocabulary, ([*self.place],)
+
+    def count(self, text: str | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        if text:
+            for w, n in Counter(WORD.findall(text.lower())).items():
+                for i in self[w]:
+                    out[i] = out.get(i, 0) + n
+        return out
+
+
 def held_out(folds: int = 5, doc_id: str = "doc_id"):
     """Whether a document's labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
@@ -62,7 +88,7 @@ def held_out(folds: int = 5, doc_id: str = "doc_id"):
 class Index:
     """Unit vectors of the examples over the vocabulary, inverted, in blocks."""
 
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -73,20 +99,20 @@ class Index:
     most: np.ndarray  # [term, block] -> largest weight
 
     @staticmethod
-    def build(vocabulary: dict[str, int], idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, float]], block: int) -> Index:
+    def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, float]], block: int) -> Index:
         blocks = max(1, -(-len(ids) // block))
         postings = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v.items())
         t = np.array([p[0] for p in postings], np.int64)
         e = np.array([p[1] for p in postings], np.int64)
         w = np.array([p[2] for p in postings], float)
         at = t * blocks + e // block
-        start = np.searchsorted(at, np.arange(len(vocabulary) * blocks + 1))
-        most = np.zeros(len(vocabulary) * blocks)
+        start = np.searchsorted(at, np.arange(len(vocabulary.place) * blocks + 1))
+        most = np.zeros(len(vocabulary.place) * blocks)
         np.maximum.at(most, at, w)
-        return Index(vocabulary, idf, ids, toxic, block, start, e, w, most.reshape(len(vocabulary), blocks))
+        return Index(vocabulary, idf, ids, toxic, block, start, e, w, most.reshape(len(vocabulary.place), blocks))
 
-    def vector(self, counted: dict[str, int]) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * self.idf[i] for w, n in counted.items() if (i := self.vocabulary.get(w)) is not None}
+    def vector(self, counted: dict[int, int]) -> dict[int, float]:
+        v = {i: (1 + math.log(n)) * float(self.idf[i]) for i, n in counted.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {i: v[i] / norm for i in sorted(v)} if norm else {}
 
@@ -142,23 +168,21 @@ class Model:
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         if self.index is None:
             return self.base, []
-        near = self.index.nearest(self.index.vector(terms(text)), self.k)
+        near = self.index.nearest(self.index.vector(self.index.vocabulary.count(text)), self.k)
         z = float(self.weights[0] + np.dot(self.weights[1:], self.index.evidence(near)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration: int = 4000, vocabulary: int = 4096, least_chi2: float = 20.0, k: int = 25, block: int = 64, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration: int = 4000, vocabulary: int = 4096, least_chi2: float = 20.0, least_ratio: float = 5.0, k: int = 25, block: int = 64, folds: int = 5) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    picked = [
-        known.filter(F.col("toxic") == y).orderBy(*order).limit(examples).withColumn("use", F.lit("example")) for y in (0, 1)
-    ] + [known.orderBy(F.xxhash64("doc_id", F.lit("scale")), F.col("doc_id")).limit(calibration).withColumn("use", F.lit("scale"))]
-    picked = picked[0].unionByName(picked[1]).unionByName(picked[2])
-    picked = picked.groupBy("doc_id").agg(F.min("use").alias("use"), F.min("toxic").alias("toxic"))
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("scale")), F.lit(4)) == 0
+    picked = [known.filter(~apart & (F.col("toxic") == y)).orderBy(*order).limit(examples).withColumn("use", F.lit("example")) for y in (0, 1)]
+    picked = picked[0].unionByName(picked[1]).unionByName(known.filter(apart).orderBy(*order).limit(calibration).withColumn("use", F.lit("scale")))
     # 2 * examples + calibration rows at most
     sample = materialize(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "labelled")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -179,17 +203,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = (n1 + n0) * F.pow(a * n0 - b * n1, 2) / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
     telling = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    telling = telling.withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary)
+    telling = telling.withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * n0 >= least_ratio * b * n1)).orderBy(F.desc("chi2"), "term").limit(vocabulary)
     words = sorted(r["term"] for r in telling.select("term").collect())  # `vocabulary` at most
-    place = {w: i for i, w in enumerate(words)}
+    known_words = Vocabulary(words)
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(len(words), np.int64), 0
         for f in frames:
             for text in f["text"]:
-                for w in terms(text):
-                    if (i := place.get(w)) is not None:
-                        df[i] += 1
+                for i in known_words.count(text):
+                    df[i] += 1
             n += len(f)
         yield pd.DataFrame({"term": np.arange(-1, len(words)), "n": [n, *df]})
 
@@ -199,18 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
         df[r["term"] + 1] = r["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
-    empty = Index(place, idf, np.zeros(0), np.zeros(0), block, np.zeros(1), np.zeros(0), np.zeros(0), np.zeros((0, 1)))
+    empty = Index(known_words, idf, np.zeros(0), np.zeros(0), block, np.zeros(1), np.zeros(0), np.zeros(0), np.zeros((0, 1)))
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            v = [empty.vector(terms(t)) for t in f["text"]]
+            v = [empty.vector(known_words.count(t)) for t in f["text"]]
             yield f[["doc_id", "use", "toxic"]].assign(terms=[[*x] for x in v], weights=[[*x.values()] for x in v])
 
     used = shown.unionByName(sample.filter("use = 'scale'")).select("doc_id", "use", "toxic", "text")
     got = used.mapInPandas(vectors, "doc_id long, use string, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").toPandas()
     own = got[got["use"] == "example"]
     made = [dict(zip(t, w, strict=True)) for t, w in zip(own["terms"], own["weights"], strict=True)]
-    index = Index.build(place, idf, own["doc_id"].to_numpy(), own["toxic"].to_numpy() == 1, made, block)
+    index = Index.build(known_words, idf, own["doc_id"].to_numpy(), own["toxic"].to_numpy() == 1, made, block)
     rest = got[got["use"] == "scale"]
     seen = np.array([index.evidence(index.nearest(dict(zip(t, w, strict=True)), k)) for t, w in zip(rest["terms"], rest["weights"], strict=True)]).reshape(-1, 3)
     # a pseudo-count of either class where calibration documents are few or none
@@ -231,18 +254,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s, near = own.score(text)
                 scores.append(s)
                 evidence.append([{"doc_id": int(own.index.ids[e]), "cosine": c, "toxic": int(own.index.toxic[e])} for c, e in near[:3]])
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence})
+            yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCORES)
+    return null_again(docs.select(id_or_nobody("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCORES), "doc_id")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
         own = shared.value
-        for f in frames:
-            yield f[[own.score(None if t is None else str(t))[0] < 0.5 for t in f["text"]]]
+        return pd.Series([own.score(t)[0] < 0.5 for t in texts], dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(accepted(F.col("text").cast("string")))
