@@ -15,9 +15,11 @@ with which similar sets differ by one at most, and each set takes part in its ow
 next), so that signatures grow linearly with it.
 
 Copies of a set are one node. Candidates of a signature are first only held against the
-signature's smallest and largest set; what links is put into components; then all pairs of
-candidates that are still in different components are verified, so no link is lost, and the
-pairs within a group that hangs together already are never made. Before sets are fetched for
+signature's smallest and largest set; what links is put into components. Where sets of a
+signature are still in different components, further pivots are held against them, another
+one for each signature and turn, until that closes few. Then all pairs of candidates that are
+still in different components are verified, so no link is lost, and the pairs within a group
+that hangs together already are never made. Before sets are fetched for
 that, each pair passes a test on sizes and parities of the sets that no true link fails.
 
 Defined results: null text counts as empty; texts without words have an empty set and are
@@ -46,6 +48,8 @@ BITS = [f"b{i}" for i in range(WORDS)]
 SETS = "doc_id long, n_shingles long, set_key long, wide array<long>, " + ", ".join(f"{b} long" for b in BITS)
 SIGNATURES = "signature long, set_key long"
 SMALL = 20
+#: So many more stars at most before all pairs that are left are made.
+TURNS = 6
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -237,6 +241,34 @@ def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percen
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b").distinct()
 
 
+def opened(shared: DataFrame, groups: DataFrame, heads: DataFrame) -> DataFrame:
+    """The sets of the signatures of more than two sets that aren't all in one component, with their sizes and parities."""
+    placed = shared.select("signature", "set_key").distinct().join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "set_key"))
+    several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y AND members > 2").select("signature")
+    return materialize(placed.join(several, "signature", "left_semi").join(heads.drop("doc_id", "wide"), "set_key"), "open")
+
+
+def side(placed: DataFrame, key: str) -> DataFrame:
+    return placed.select("signature", F.col("set_key").alias(key), F.col("component").alias(f"{key}_component"), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
+
+
+def star(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each signature's pivot, which changes from turn to turn, with its sets of other components."""
+    by = F.xxhash64("signature", "set_key", F.lit(turn))
+    pivots = materialize(placed.groupBy("signature").agg(F.min_by("set_key", by).alias("set_key")), "pivots")
+    pivots = materialize(pivots.join(placed, ["signature", "set_key"]), "pivots")
+    met = side(placed, "a").join(side(pivots, "b"), "signature").filter((F.col("a_component") != F.col("b_component")) & near("a", "b", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one signature and two components that can be similar enough."""
+    different = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near("a", "b", percent)
+    left, right = side(placed, "a"), side(placed, "b").withColumnRenamed("signature", "of")
+    return left.join(right, (F.col("signature") == F.col("of")) & different).select("a", "b").distinct()
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int = 2, rare_limit: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,24 +289,32 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
 
     tried = pairs("lo").unionByName(pairs("hi")).distinct()
     tried = tried.join(named(heads, "a"), "a").join(named(heads, "b"), "b").filter(near("a", "b", percent)).select("a", "b")
-    tried = materialize(nearer(heads, tried, percent), "pairs")
-    links = materialize(verified(docs, heads, tried, k, percent), "links")
+    tried = [materialize(nearer(heads, tried, percent), "pairs")]
+    links = materialize(verified(docs, heads, tried[0], k, percent), "links")
     groups = components(links)
 
-    # every further pair of candidates that isn't in one component yet
-    placed = shared.select("signature", "set_key").distinct().join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "set_key"))
-    several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y AND members > 2").select("signature")
-    placed = materialize(placed.join(several, "signature", "left_semi").join(heads.drop("doc_id", "wide"), "set_key"), "open")
-
-    def side(key: str) -> DataFrame:
-        return placed.select("signature", F.col("set_key").alias(key), F.col("component").alias(f"{key}_component"), F.col("n").alias(f"{key}_n"), *(F.col(x).alias(f"{key}_{x}") for x in BITS))
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """The links among those of the pairs that weren't tried before."""
+        # written first, or Spark would look up each pair once for every signature that it shares
+        new = materialize(pairs, "met")
+        for old in tried:
+            new = new.join(old, ["a", "b"], "left_anti")
+        tried.append(materialize(nearer(heads, new, percent), "pairs"))
+        return verified(docs, heads, tried[-1], k, percent)
+
+    # more stars: another pivot for each signature, as long as that closes many of the open ones
+    placed, before = opened(shared, groups, heads), None
+    for turn in range(TURNS):
+        now = placed.count()
+        if not now or (before is not None and now > 0.75 * before):
+            break
+        before = now
+        links = materialize(links.unionByName(fresh(star(placed, turn, percent))), "links")
+        groups = components(links)
+        placed = opened(placed.select("signature", "set_key"), groups, heads)
 
-    different = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near("a", "b", percent)
-    left, right = side("a"), side("b").withColumnRenamed("signature", "of")
-    rest = left.join(right, (F.col("signature") == F.col("of")) & different).select("a", "b").distinct()
-    rest = materialize(nearer(heads, rest.join(tried, ["a", "b"], "left_anti"), percent), "pairs")
-    groups = components(links.unionByName(verified(docs, heads, rest, k, percent)))
+    # every further pair of candidates that isn't in one component yet
+    groups = components(links.unionByName(fresh(across(placed, percent))))
 
     placed_sets = sets.select("doc_id", "n_shingles", "set_key").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed_sets = placed_sets.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")))
