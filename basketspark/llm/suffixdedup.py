@@ -5,8 +5,9 @@ smaller doc_id; windows are judged on the input as it is.
 
 Suffix arrays are built for shards of the corpus, and every window has to meet its equals
 in one shard. The shard of a window is given by its anchor, the smallest hash among the
-window's 16-grams: equal windows have equal anchors. Neighbouring windows of one anchor make
-one string (a run), about a third longer than a window.
+window's 16-grams: equal windows have equal anchors, first at the same place. Neighbouring
+windows with one anchor first at one place make one string (a run), about a third longer
+than a window.
 
 1. Tasks find the runs of their documents. Of equal runs only those of the smallest
    document go on; the others repeat it whatever else there is. What goes on is a packed row
@@ -86,16 +87,19 @@ def runs(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray, width: int) -> d
     np.add.at(step, starts[:-1][has], 1)
     np.add.at(step, starts[:-1][has] + lengths[has] - width + 1, -1)
     ok = np.cumsum(step)[:n] > 0
+    # a window that begins with its anchor is the last one with the anchor first there: if it occurs again, a new run has that
+    other = (anchor[1:] != anchor[:-1]) | (grams[: n - 1] == anchor[:-1])
     first = ok.copy()
-    first[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
+    first[1:] &= ~ok[:-1] | other
     last = ok.copy()
-    last[:-1] &= ~ok[1:] | (anchor[1:] != anchor[:-1])
+    last[:-1] &= ~ok[1:] | other
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     doc = np.searchsorted(starts, lo, "right") - 1
     value = anchor[lo]
-    # where the anchor is: the first gram of this value in the run's first window
-    look = lo[:, None] + np.arange(width - GRAM + 1)[None, :]
-    at = lo + np.argmax(grams[look] == value[:, None], axis=1)
+    # where the anchor is: the first gram of this value, the same in all windows of the run
+    at = lo
+    for i in range(width - GRAM, -1, -1):
+        at = np.where(grams[lo + i] == value, lo + i, at)
     half = (width - GRAM) // 2
     end = hi + width
     left, right = at - half, at + GRAM + half
@@ -195,9 +199,14 @@ def compare_runs(packed: DataFrame, width: int) -> DataFrame:
                 many = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)) & (np.minimum.reduceat(r, at) != np.maximum.reduceat(r, at))
                 sizes = np.diff(np.append(at, len(p)))
                 open_[by] |= np.repeat(many, sizes) & (side[by] > 0)
+        # runs of one anchor whose windows follow each other (it occurs again and again) are fetched as one string
         i = np.flatnonzero(open_)
-        begin = x["start"][i].astype(np.int64)
-        asked = pd.DataFrame({"doc_id": x["doc"][i], "start": begin, "stop": begin + x["windows"][i] + width - 1, "anchor": (int(key[0]) << 32) + x["anchor"][i].astype(np.int64)})
+        i = i[np.lexsort((x["start"][i], x["doc"][i], x["anchor"][i]))]
+        begin, anchor, doc = x["start"][i].astype(np.int64), x["anchor"][i], x["doc"][i]
+        end = begin + x["windows"][i]
+        apart = (begin[1:] != end[:-1]) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        a, b = np.flatnonzero(np.append(True, apart)[: len(i)]), np.flatnonzero(np.append(apart, True)[: len(i)])
+        asked = pd.DataFrame({"doc_id": doc[a], "start": begin[a], "stop": end[b] + width - 1, "anchor": (int(key[0]) << 32) + anchor[a].astype(np.int64)})
         return pd.concat([certain.assign(anchor=pd.NA), asked], ignore_index=True).astype({"anchor": "Int64"})
 
     return packed.groupBy("bucket").applyInPandas(compare, SPANS + ", anchor long")

@@ -95,6 +95,18 @@ def test_suffix_dedup(spark, corpus, hot):
     assert got == sorted(removed(corpus, 50), key=str)
 
 
+def test_suffix_dedup_where_a_line_occurs_again(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(80):
+        line, passage = text(rng.randint(16, 30)), text(rng.randint(22, 40))
+        rows += [(2 * i, text(60) + line * rng.randint(2, 4) + passage + text(60)), (2 * i + 1, text(60) + line + passage + text(60))]
+    rows += [(500, text(60) + "-" * 200 + text(60)), (501, text(60) + "-" * 120 + text(60)), (502, text(60) + "-=" * 60 + text(60)), (503, text(60) + "-=" * 40)]
+    got = rows_of(suffixdedup.removed_digests(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(removed(rows, 50), key=str)
+
+
 def test_texts_without_repeats_stay_text(spark, corpus):
     out = suffixdedup.without_repeats(frame(spark, corpus))
     assert out.columns == ["doc_id", "text", "lang", "anchor", "spans"]
