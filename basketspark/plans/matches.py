@@ -136,13 +136,26 @@ def cross_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.cross_filled(matching.by_key(anchors, offers).filter("offer % 4 = 1"), anchors, offers)
 
 
+def _scored(a: DataFrame, b: DataFrame, least: float, where: str = "true") -> DataFrame:
+    """Pairs (a, b) of names that share a token, with their brands and similarity."""
+    pairs = matching.blocked(a, b).filter(where).join(a.select(F.col("id").alias("a"), F.col("name").alias("a_name"), F.col("brand").alias("a_brand")), "a")
+    pairs = pairs.join(b.select(F.col("id").alias("b"), F.col("name").alias("b_name"), F.col("brand").alias("b_brand")), "b")
+    return matching.scored(pairs, least_bound=least).filter(F.col("score") >= least)
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of distinct brand and name: anchors of even, offers of odd ids, of one brand."""
-    names = _names(spark, sf_dir).withColumn("store", F.col("id") % 7)
-    a, b = names.filter("id % 2 = 0"), names.filter("id % 2 = 1")
-    pairs = matching.blocked(a, b).join(a.select(F.col("id").alias("a"), F.col("name").alias("a_name"), F.col("brand").alias("a_brand")), "a")
-    pairs = pairs.join(b.select(F.col("id").alias("b"), F.col("name").alias("b_name"), "store", F.col("brand").alias("b_brand")), "b").filter("a_brand = b_brand")
-    return matching.scored(pairs, least_bound=0.65).filter("score >= 0.6").select(F.col("a").alias("anchor"), "store", F.col("b").alias("offer"), "score")
+    """Similar pairs of distinct brand and name: anchors of even, offers of odd ids; an equal brand adds 0.30 (J2)."""
+    names = _names(spark, sf_dir)
+    total = F.round(F.col("score") + F.when(F.col("a_brand") == F.col("b_brand"), 0.30).otherwise(0.0), 6)
+    rows = _scored(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), 0.5).withColumn("score", total).filter("score >= 0.6")
+    return rows.select(F.col("a").alias("anchor"), (F.col("b") % 7).alias("store"), F.col("b").alias("offer"), "score")
+
+
+def _cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of distinct brand and name of different stores, once each; the brand is no gate (J10)."""
+    names = _names(spark, sf_dir)
+    rows = _scored(names, names, 0.65, "a < b AND a % 7 <> b % 7")
+    return rows.select("a", "b", (F.col("a") % 7).alias("a_store"), (F.col("b") % 7).alias("b_store"), "score")
 
 
 @query()
@@ -161,10 +174,9 @@ def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir).select(F.col("anchor").alias("a"), F.col("offer").alias("b"), (F.col("anchor") % 7).alias("a_store"), F.col("store").alias("b_store"), "score").filter("a_store <> b_store")
     names = _names(spark, sf_dir)
-    x, y = names.select(F.col("id").alias("a"), "brand"), names.select(F.col("id").alias("b"), "brand")
-    return matching.clusters(edges, x.join(y, "brand").filter("a < b AND (a + b) % 5 > 0").select("a", "b"))
+    x, y = names.select(F.col("id").alias("a")), names.select(F.col("id").alias("b"))
+    return matching.clusters(_cluster_edges(spark, sf_dir), x.join(y, (F.col("a") < F.col("b")) & ((F.col("a") + F.col("b")) % 5 > 0)))
 
 
 @query("""WITH n AS (SELECT min(p_partkey) AS id, lower(p_name) AS name, p_brand AS brand FROM part GROUP BY ALL), mem AS (SELECT min(id) OVER (PARTITION BY name) AS grp, id AS member, id % 7 AS store, brand FROM n WHERE id % 2 = 0),

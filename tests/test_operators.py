@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketspark.functions import gates, similarity
 from basketspark.operators import basket, history, listing, matching, quality
+from basketspark.plans import matches
 from basketspark.sources import readers, writers
 from basketspark.streaming import activity
 
@@ -97,6 +98,15 @@ def test_near_images_are_exact(spark):
     assert got == {(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
 
 
+def test_clusters_pair_all_names_of_other_stores(spark, sf_dir):
+    names = [(r.id, r.name) for r in matches._names(spark, sf_dir).collect()]
+    pairs = [(a, b, x, y) for a, x in names for b, y in names if a < b and a % 7 != b % 7 and set(x.split()) & set(y.split())]
+    scores = matching.scored(spark.createDataFrame(pairs, "a long, b long, a_name string, b_name string"))
+    want = {(r.a, r.b, r.score) for r in scores.collect() if r.score >= 0.65}
+    got = {(r.a, r.b, r.score) for r in matches._cluster_edges(spark, sf_dir).collect()}
+    assert got == want and any((a + b) % 2 == 0 for a, b, _ in got)
+
+
 def test_images_merge_cards(spark):
     rows = [(1, "i", 330.0, {"A": 1.0}), (2, "i", 330.0, {"A": 2.0, "B": 3.0}), (3, "i", 7920.0, {"C": 9.0})]
     got = matching.deduplicated_by_image(spark.createDataFrame(rows, "id long, image string, weight_g double, prices map<string,double>")).orderBy("id").collect()
