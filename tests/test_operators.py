@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketspark.functions import gates, similarity
 from basketspark.operators import basket, history, listing, matching, quality
+from basketspark.plans import mapping as m
 from basketspark.plans import matches
 from basketspark.sources import readers, writers
 from basketspark.streaming import activity
@@ -107,6 +108,21 @@ def test_clusters_pair_all_names_of_other_stores(spark, sf_dir):
     assert got == want and any((a + b) % 2 == 0 for a, b, _ in got)
 
 
+def test_anchor_match_takes_all_cards(spark, sf_dir, monkeypatch):
+    got = {(r.anchor, r.store, r.offer, r.score) for r in matches.anchor_match(spark, sf_dir).collect()}
+    seen = []
+    monkeypatch.setattr(matching, "blocked", lambda a, b: a.crossJoin(b.select(F.col("id").alias("b"), F.col("name").alias("other"))).filter(F.arrays_overlap(F.split("name", " "), F.split("other", " "))).select(F.col("id").alias("a"), "b"))
+    monkeypatch.setattr(matching, "best_per_store", lambda edges: seen.append(edges) or edges)
+    matches.anchor_match(spark, sf_dir)
+    ids = [r.id for r in m.cards(spark, sf_dir).select("id").collect()]
+    best = {}
+    for r in seen[0].collect():
+        best[r.anchor, r.store] = max(best.get((r.anchor, r.store), (0.0, 0)), (r.score, -r.offer))
+    assert got == {(a, s, -o, score) for (a, s), (score, o) in best.items()}
+    assert len({a for a, *_ in got}) > len([i for i in ids if i % 50 == 0])
+    assert {a for a, *_ in got} <= {i for i in ids if i % 2 == 0}
+
+
 def test_images_merge_cards(spark):
     rows = [(1, "i", 330.0, {"A": 1.0}), (2, "i", 330.0, {"A": 2.0, "B": 3.0}), (3, "i", 7920.0, {"C": 9.0})]
     got = matching.deduplicated_by_image(spark.createDataFrame(rows, "id long, image string, weight_g double, prices map<string,double>")).orderBy("id").collect()
