@@ -145,30 +145,31 @@ def best_per_store(edges: DataFrame) -> DataFrame:
     return edges.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): nodes of either side with the smallest node they hang together with.
 
-    Labels spread along the edges and jump to their labels' labels; every round is
-    checkpointed, and the rounds end when nothing changes.
+    Large-star and small-star in turn; every round is checkpointed, and the rounds, of which
+    long paths need a logarithmic number, end when every node hangs on its smallest alone.
     """
     sc = edges.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", tempfile.mkdtemp()))
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
-    labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
-        spread = labels.join(near, labels["node"] == near["x"]).select("node", F.least("component", "m").alias("component"))
-        jumped = spread.alias("s").join(spread.select(F.col("node").alias("c"), F.col("component").alias("next")), F.col("component") == F.col("c"), "left")
-        new = jumped.select("node", F.least("component", F.coalesce("next", "component")).alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
+    edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct().checkpoint()
+    nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct()
+    now = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct().checkpoint()
+    while True:
+        twice = now.groupBy("u").count().filter("count > 1").select("u")
+        if not twice.union(now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("u")).limit(1).count():
             break
-    return labels
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+        now = small.filter("u <> v").distinct().checkpoint()
+    return nodes.join(now, nodes["node"] == now["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def claimed(edges: DataFrame) -> DataFrame:

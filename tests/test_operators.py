@@ -108,6 +108,14 @@ def test_clusters_pair_all_names_of_other_stores(spark, sf_dir):
     assert got == want and any((a + b) % 2 == 0 for a, b, _ in got)
 
 
+@pytest.mark.parametrize("n", [60, 100])
+def test_components_of_long_paths(spark, n):
+    path = [0, *range(n, 0, -1)]
+    rows = [*zip(path, path[1:], strict=False), (1000, 1001), (1002, 1001), (1005, 1005)]
+    got = {r.node: r.component for r in matching.components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
+    assert got == {x: 0 for x in path} | {1000: 1000, 1001: 1000, 1002: 1000, 1005: 1005}
+
+
 def test_anchor_match_takes_all_cards(spark, sf_dir, monkeypatch):
     got = {(r.anchor, r.store, r.offer, r.score) for r in matches.anchor_match(spark, sf_dir).collect()}
     seen = []
