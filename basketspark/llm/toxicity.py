@@ -2,17 +2,19 @@
 
 Fitting. Up to ``examples`` labelled documents of either class, picked by the hash of their
 ids, are the examples; up to ``calibration`` of a quarter that is kept apart set the scale.
-Terms are words and their first four and five letters (stems of inflected words). Of the
-examples' terms those stay that are ``least_ratio`` times as frequent in toxic ones, with a
-chi-square of ``least_chi2`` or more, ``vocabulary`` at most. All this is bounded by these parameters, whatever the corpus;
-the document frequencies of the terms are counted over all documents.
+Terms are words and their first four and five letters (stems of inflected words). All terms
+of the examples are in the index, bounded by the examples' texts. Those that are
+``least_ratio`` times as frequent in toxic ones, with a chi-square of ``least_chi2`` or more,
+``vocabulary`` at most, are telling and have a second index of their own. The document
+frequencies of the terms are counted over all documents.
 
 Scoring. Weights are (1 + ln tf) * idf, vectors have length one. The index has for every
 term its postings in blocks of ``block`` examples and each block's largest weight. The sum of
 the query's weights times these bounds what any example of a block can score; blocks are
 taken by falling bound until no other can reach the ``k``-th best cosine. The neighbours vote
-with their cosines; share and strength of the toxic vote go through a logistic curve fitted
-on the calibration documents. ``evidence`` lists the nearest examples.
+with their cosines, by all terms and by the telling ones alone; shares and strengths of the
+toxic votes go through a logistic curve fitted on the calibration documents. ``evidence``
+lists the nearest examples by all terms.
 
 Defined results: a text with none of the terms, be it empty or null, gets the score of no
 evidence; equal cosines go to the example of smaller doc_id; repeated rows get equal
@@ -84,57 +86,93 @@ def held_out(folds: int = 5, doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples over the vocabulary, inverted, in blocks."""
+    """Unit vectors of the examples over the vocabulary, inverted, in blocks.
+
+    An entry is what a term has in a block; terms have no entries in blocks without them.
+    """
 
     vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     block: int
-    start: np.ndarray  # [term, block] -> first posting
+    start: np.ndarray  # entry -> first posting
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # [term, block] -> largest weight
+    most: np.ndarray  # entry -> largest weight
+    entry: np.ndarray | None = None  # term -> first entry
+    of: np.ndarray | None = None  # entry -> block
 
     @staticmethod
     def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, float]], block: int) -> Index:
+        return Index.of_arrays(vocabulary, idf, ids, toxic, [np.fromiter(v, np.int64) for v in vectors], [np.fromiter(v.values(), float) for v in vectors], block)
+
+    @staticmethod
+    def of_arrays(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], block: int) -> Index:
         blocks = max(1, -(-len(ids) // block))
-        postings = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v.items())
-        t = np.array([p[0] for p in postings], np.int64)
-        e = np.array([p[1] for p in postings], np.int64)
-        w = np.array([p[2] for p in postings], float)
+        t = np.concatenate([np.zeros(0, np.int64), *terms])
+        e = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])
+        w = np.concatenate([np.zeros(0), *weights])
+        by = np.lexsort((e, t))
+        t, e, w = t[by], e[by], w[by]
         at = t * blocks + e // block
-        start = np.searchsorted(at, np.arange(len(vocabulary.place) * blocks + 1))
-        most = np.zeros(len(vocabulary.place) * blocks)
-        np.maximum.at(most, at, w)
-        return Index(vocabulary, idf, ids, toxic, block, start, e, w, most.reshape(len(vocabulary.place), blocks))
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0)
+        entry = np.searchsorted(t[start], np.arange(len(vocabulary.place) + 1))
+        return Index(vocabulary, idf, ids, toxic, block, np.append(start, len(w)).astype(np.int32), e, w, most, entry.astype(np.int32), e[start] // block)
+
+    def unit(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, rising, and their weights."""
+        return self.weighed(np.fromiter(counted, np.int64, len(counted)), np.fromiter(counted.values(), float, len(counted)))
+
+    def weighed(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.idf[t]
+        by = np.argsort(t)
+        return t[by], w[by] / (math.sqrt(float(w @ w)) or 1.0)
 
     def vector(self, counted: dict[int, int]) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * float(self.idf[i]) for i, n in counted.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {i: v[i] / norm for i in sorted(v)} if norm else {}
+        t, w = self.unit(counted)
+        return dict(zip(t.tolist(), w.tolist(), strict=True))
 
     def nearest(self, v: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine over 0; exact."""
-        if not v:
+        return self.near(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v)), k)
+
+    def near(self, t: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The same, of a vector's terms and weights."""
+        n = self.entry[t + 1] - self.entry[t]
+        entries = ranges(self.entry[t], self.entry[t + 1])
+        if not len(entries):
             return []
-        t, q = np.fromiter(v, np.int64), np.fromiter(v.values(), float)
-        bound = q @ self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
+        share, of = np.repeat(q, n), self.of[entries]
+        bound = np.bincount(of, share * self.most[entries], max(1, -(-len(self.ids) // self.block)))
+        order = np.argsort(-bound, kind="stable")
+        score, least, done, some = np.zeros(len(self.ids)), 0.0, 0, 4
+        while done < len(order):
+            now = order[done : done + some]
+            now = now[(bound[now] > 0) & (bound[now] >= least - 1e-12)]
+            if not len(now):
                 break
-            score = np.zeros(self.block)
-            for i, x in zip((t * self.most.shape[1] + b).tolist(), q.tolist(), strict=True):
-                lo, hi = self.start[i], self.start[i + 1]
-                if hi > lo:
-                    score[self.example[lo:hi] - b * self.block] += x * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best += [(float(score[i]), int(b * self.block + i)) for i in hit]
-            best = sorted(best, key=lambda x: (-x[0], self.ids[x[1]]))[:k]
-        return best
+            taken = np.zeros(len(order), bool)
+            taken[now] = True
+            pick = taken[of]
+            lo, hi = self.start[entries[pick]], self.start[entries[pick] + 1]
+            at = ranges(lo, hi)
+            score += np.bincount(self.example[at], self.weight[at] * np.repeat(share[pick], hi - lo), len(score))
+            if len(score) > k:
+                least = float(np.partition(score, len(score) - k)[len(score) - k])
+            done, some = done + some, len(order)
+        hit = np.flatnonzero((score > 0) & (score >= least))
+        best = hit[np.lexsort((self.ids[hit], -score[hit]))[:k]]
+        return list(zip(score[best].tolist(), best.tolist(), strict=True))
 
     def evidence(self, near: list[tuple[float, int]]) -> tuple[float, float, float]:
         """What the scale is fitted on: the toxic share of the vote, its surplus, and whether there is any."""
@@ -164,12 +202,21 @@ class Model:
     weights: np.ndarray | None
     base: float
     k: int
+    telling: Index | None = None
+    place: np.ndarray | None = None  # term -> its number among the telling ones, or -1
+
+    def evidence(self, t: np.ndarray, q: np.ndarray) -> tuple[tuple[float, ...], list[tuple[float, int]]]:
+        """What the scale is fitted on, by all terms and by the telling ones, and the nearest by all terms."""
+        near = self.index.near(t, q, self.k)
+        own = self.place[t] >= 0
+        norm = math.sqrt(float(q[own] @ q[own])) or 1.0
+        return self.index.evidence(near) + self.telling.evidence(self.telling.near(self.place[t[own]], q[own] / norm, self.k)), near
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         if self.index is None:
             return self.base, []
-        near = self.index.nearest(self.index.vector(self.index.vocabulary.count(text)), self.k)
-        z = float(self.weights[0] + np.dot(self.weights[1:], self.index.evidence(near)))
+        seen, near = self.evidence(*self.index.unit(self.index.vocabulary.count(text)))
+        z = float(self.weights[0] + np.dot(self.weights[1:], seen))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
 
 
@@ -204,42 +251,59 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
     chi2 = (n1 + n0) * F.pow(a * n0 - b * n1, 2) / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
     telling = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     telling = telling.withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * n0 >= least_ratio * b * n1)).orderBy(F.desc("chi2"), "term").limit(vocabulary)
-    words = sorted(r["term"] for r in telling.select("term").collect())  # `vocabulary` at most
+    told = {r["term"] for r in telling.select("term").collect()}  # `vocabulary` at most
+    words = sorted(found.select("term").distinct().toPandas()["term"])  # the terms of 2 * examples texts
     known_words = Vocabulary(words)
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(len(words), np.int64), 0
         for f in frames:
             for text in f["text"]:
-                for i in known_words.count(text):
-                    df[i] += 1
+                c = known_words.count(text)
+                df[np.fromiter(c, np.int64, len(c))] += 1
             n += len(f)
-        yield pd.DataFrame({"term": np.arange(-1, len(words)), "n": [n, *df]})
+        met = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.append(-1, met), "n": np.append(n, df[met])})
 
-    counts = docs.select("text").mapInPandas(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term
+    counts = docs.select("text").mapInPandas(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
     df = np.zeros(len(words) + 1)
-    for r in counts:
-        df[r["term"] + 1] = r["n"]
+    df[counts["term"].to_numpy(np.int64) + 1] = counts["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
     empty = Index(known_words, idf, np.zeros(0), np.zeros(0), block, np.zeros(1), np.zeros(0), np.zeros(0), np.zeros((0, 1)))
 
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            v = [empty.vector(known_words.count(t)) for t in f["text"]]
-            yield f[["doc_id", "use", "toxic"]].assign(terms=[[*x] for x in v], weights=[[*x.values()] for x in v])
-
-    used = shown.unionByName(sample.filter("use = 'scale'")).select("doc_id", "use", "toxic", "text")
-    got = used.mapInPandas(vectors, "doc_id long, use string, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").toPandas()
-    own = got[got["use"] == "example"]
-    made = [dict(zip(t, w, strict=True)) for t, w in zip(own["terms"], own["weights"], strict=True)]
-    index = Index.build(known_words, idf, own["doc_id"].to_numpy(), own["toxic"].to_numpy() == 1, made, block)
-    rest = got[got["use"] == "scale"]
-    seen = np.array([index.evidence(index.nearest(dict(zip(t, w, strict=True)), k)) for t, w in zip(rest["terms"], rest["weights"], strict=True)]).reshape(-1, 3)
+            v = [known_words.count(t) for t in f["text"]]
+            yield f[["doc_id", "toxic"]].assign(terms=[[*c] for c in v], numbers=[[*c.values()] for c in v])
+
+    own = shown.select("doc_id", "toxic", "text").mapInPandas(counted, "doc_id long, toxic int, terms array<int>, numbers array<int>").toPandas().sort_values("doc_id")  # 2 * examples at most
+    ids, toxic = own["doc_id"].to_numpy(), own["toxic"].to_numpy() == 1
+    made = [empty.weighed(np.asarray(t, np.int64), np.asarray(n, float)) for t, n in zip(own.pop("terms"), own.pop("numbers"), strict=True)]
+    terms_, weights_ = [t for t, _ in made], [w for _, w in made]
+    index = Index.of_arrays(known_words, idf, ids, toxic, terms_, weights_, block)
+    place = np.full(len(words), -1)
+    tells = np.array([i for i, w in enumerate(words) if w in told], np.int64)
+    place[tells] = np.arange(len(tells))
+    theirs = [(place[t[place[t] >= 0]], w[place[t] >= 0]) for t, w in zip(terms_, weights_, strict=True)]
+    telling_index = Index.of_arrays(Vocabulary(sorted(told)), idf[tells], ids, toxic, [t for t, _ in theirs], [w / (np.linalg.norm(w) or 1.0) for _, w in theirs], block)
+    model = Model(index, None, float(share), k, telling_index, place)
+    del made, theirs, terms_, weights_
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def evident(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for f in frames:
+            yield f[["doc_id", "toxic"]].assign(seen=[own.evidence(*own.index.unit(own.index.vocabulary.count(t)))[0] for t in f["text"]])
+
+    rest = sample.filter("use = 'scale'").select("doc_id", "toxic", "text").mapInPandas(evident, "doc_id long, toxic int, seen array<double>").toPandas().sort_values("doc_id")
+    shared.destroy()
+    seen = np.array([*rest["seen"]], float).reshape(-1, 6)
     # a pseudo-count of either class where calibration documents are few or none
-    seen = np.vstack([seen, [[1, math.log1p(1), 1], [0, 0, 0]]])
+    seen = np.vstack([seen, [[1, math.log1p(1), 1] * 2, [0] * 6]])
     y = np.append(rest["toxic"].to_numpy(float), [1.0, 0.0])
-    return Model(index, logistic(seen, y, 0.1), float(share), k)
+    model.weights = logistic(seen, y, 0.1)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

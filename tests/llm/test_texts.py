@@ -346,6 +346,16 @@ def test_toxicity_is_told_from_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_keeps_all_terms_and_catches_the_toxic(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out()).collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(not r.evidence for r in rows) <= 0.01 * len(rows)
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
     empty = toxicity.Index(toxicity.Vocabulary([f"w{i}" for i in range(30)]), np.ones(30) + rng.random(30), np.arange(200), rng.random(200) < 0.5, 16, *[np.zeros(1)] * 3, np.zeros((0, 1)))
