@@ -51,12 +51,23 @@ def test_suffix_array(data, times):
     order = sorted(range(len(data)), key=lambda i: data[i:])
     sa = suffix_array(buf)
     assert sa.tolist() == order
+    assert suffix_array(buf, np.zeros(0, np.int64)).tolist() == order
     plcp = common_prefixes(buf, sa, 10)
     for i, j in zip(order, order[1:], strict=False):
         shared = next((n for n in range(10) if data[i + n : i + n + 1] != data[j + n : j + n + 1] or j + n >= len(data) or i + n >= len(data)), 10)
         assert plcp[j] == shared
 
 
+@given(st.lists(st.binary(max_size=12).map(lambda b: bytes(x % 3 + 9 for x in b)), max_size=6), st.binary(min_size=1, max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_suffix_array_of_several_strings(strings, last):
+    buf = np.frombuffer(b"\n".join([*strings, last]), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in strings], dtype=np.int64) - 1
+    at = dict.fromkeys(ends.tolist(), 0)
+    key = lambda i: [(0, j) if j in at else (1, int(buf[j])) for j in range(i, len(buf))]
+    assert suffix_array(buf, ends).tolist() == sorted(range(len(buf)), key=key)
+
+
 def removed(rows, width):
     first, out = {}, []
     key = lambda i: 2**63 if i is None else i
@@ -81,18 +92,48 @@ def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(spark, corpus, hot):
-    docs = frame(spark, corpus).select("doc_id", "text")
-    spans = suffixdedup.removed_spans(docs, hot=hot, shard_bytes=2000)
-    assert set(spans.columns) == {"doc_id", "start", "stop"}
-    old = suffixdedup.removed_spans.__kwdefaults__["hot"]
-    suffixdedup.removed_spans.__kwdefaults__["hot"] = hot
-    try:
-        got = rows_of(suffixdedup.removed_digests(frame(spark, corpus)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    finally:
-        suffixdedup.removed_spans.__kwdefaults__["hot"] = old
-    assert got == sorted(removed(corpus, 50), key=str)
+DIGEST = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+
+
+@pytest.mark.parametrize("crowd", [2048, 2])
+def test_suffix_dedup(spark, corpus, monkeypatch, crowd):
+    plain = suffixdedup.removed_spans
+    monkeypatch.setattr(suffixdedup, "removed_spans", lambda docs, **k: plain(docs, **k, crowd=crowd, shard_bytes=2000))
+    assert rows_of(suffixdedup.removed_digests(frame(spark, corpus)), *DIGEST) == sorted(removed(corpus, 50), key=str)
+
+
+def test_suffix_dedup_cuts_no_other_row_of_the_same_id(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = text(300)
+    rows = [(1, base), (None, base), (None, text(400)), (None, text(400)), (5, base + text(50)), (5, text(500)), (5, text(500)), (5, None), (None, None), (1, text(90) + base)]
+    assert rows_of(suffixdedup.removed_digests(frame(spark, rows)), *DIGEST) == sorted(removed(rows, 50), key=str)
+    kept = {(r.doc_id, r.text) for r in suffixdedup.without_repeats(frame(spark, rows)).collect()}
+    assert {r for r in rows if r[1] is None or r[1] != base and not r[1].startswith(base)} <= kept
+
+
+@given(st.integers(0, 2**32), st.integers(1, 3), st.integers(17, 40))
+@settings(max_examples=12, deadline=None)
+def test_suffix_dedup_with_planted_grams(spark, seed, alphabet, long):
+    """Passages in which the same grams stand several times, shared in part by other documents; periodic ones too."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdefghij"[: 1 + 3 * alphabet]) for _ in range(n))
+    grams = [text(16) for _ in range(3)]
+    passages = [rng.choice(grams) + text(rng.randint(0, 4)) + rng.choice(grams) + text(long) + rng.choice(grams) for _ in range(6)] + [(text(rng.randint(1, 5)) * 60)[:120]]
+    rows = []
+    for i in rng.sample(range(40), 24):
+        p = rng.choice(passages)
+        cut = rng.randint(0, len(p) // 3)
+        rows.append((rng.choice([i, i, i, None, 3]), text(rng.randint(0, 60)) + p[cut:] * rng.randint(1, 2) + text(rng.randint(0, 60))))
+    assert rows_of(suffixdedup.removed_digests(frame(spark, rows)), *DIGEST) == sorted(removed(rows, 50), key=str)
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    long = text(400_000)
+    rows = [(1, long[:250_000] + "=" * 20_000), (2, long[200_000:] + "=" * 30_000), (3, "x" + "=" * 60)]
+    assert rows_of(suffixdedup.removed_digests(frame(spark, rows)), *DIGEST) == sorted(removed(rows, 50), key=str)
 
 
 def test_suffix_dedup_where_a_line_occurs_again(spark):
