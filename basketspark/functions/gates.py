@@ -11,9 +11,9 @@ def _unless_null(ok: Column) -> Column:
 
 
 def weights_compatible(a: Column, b: Column) -> Column:
-    """Within a quarter of the lighter one, 20 g at most, or within 8 percent; unknown weights are compatible."""
-    low = F.least(a, b)
-    tolerance = F.greatest(F.least(F.lit(20.0), 0.25 * low), 0.08 * low)
+    """Within a quarter of the heavier one, 20 g at most, or within 8 percent of it; unknown weights are compatible."""
+    heavy = F.greatest(a, b)
+    tolerance = F.greatest(F.least(F.lit(20.0), 0.25 * heavy), 0.08 * heavy)
     return _unless_null(F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= tolerance))
 
 

@@ -2,45 +2,84 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they are without; letters of the language itself stay.
-ACCENTS = ("áàâãçéèêëíìîïñóòôõúùûüýÿ", "aaaaceeeeiiiinoooouuuuyy")
-#: Abbreviations written out, as whole words, in this order.
-ABBREVIATIONS = (("hk", "hakket"), ("fuldk", "fuldkorn"), ("kyl", "kylling"), ("oks", "okse"), ("gr", "groen"), ("m", "med"), ("u", "uden"))
+#: Abbreviations and spellings that are written out as whole words.
+ABBREVIATIONS = {
+    "sc": "sour cream", "hk": "hakket", "fuldk": "fuldkorn", "eks": "ekstra", "kyl": "kylling", "kart": "kartoffel", "champ": "champignon", "sdj": "sønderjysk", "øko": "okologisk",
+    "vanille": "vanilje", "vanilla": "vanilje", "smørbart": "smørbar", "smrbar": "smørbar",
+    "hyldebl": "hyldeblomst", "hindb": "hindbaer", "jordb": "jordbaer", "peberm": "pebermynte", "chokol": "chokolade", "vanilj": "vanilje",
+}
+#: What is taken out of names wherever it stands.
+NOISE = ("%", " eko", " bio", " a/s", " i/s")
 #: Words that say nothing about the product.
 GENERIC = ("stk", "pakke", "pose", "flaske", "the", "and", "med", "uden", "eller")
-ORGANIC = r"(?:^|[^0-9a-zæøå])(?:øko|økologisk[a-zæøå]*|organic)(?:$|[^0-9a-zæøå])"
-NOT_ORGANIC = r"(?:^|[^0-9a-zæøå])(?:ikke|not)\s+(?:økologisk[a-zæøå]*|organic)"
-#: The five flags and the words by which they are known, on lower-case text.
-VARIANTS = {
-    "organic": ORGANIC,
-    "lactose_free": r"laktosefri|lactose[ -]free",
-    "sugar_free": r"sukkerfri|sugar[ -]free|(?:^|[^0-9a-z])zero(?:$|[^0-9a-z])",
-    "gluten_free": r"glutenfri|gluten[ -]free",
-    "alcohol_free": r"alkoholfri|alcohol[ -]free|0,0 ?%",
-}
+LETTER = r"[\p{L}\p{N}_]"
+
 
+def whole(pattern: str) -> str:
+    """The pattern where no letter or digit stands beside it."""
+    return f"(?<!{LETTER})(?:{pattern})(?!{LETTER})"
 
-def without_accents(c: Column) -> Column:
-    return F.translate(c, *ACCENTS)
+
+#: The five flags and how they are written, on lower-case text.
+VARIANTS = {
+    "organic": rf"(?<!{LETTER})økolog|{whole('øko')}|{whole('organic')}",
+    "lactose_free": rf"laktosefri|laktose fri|lactose[ -]free|lactofri|lacto-free|lactofree|{whole('lacto')}",
+    "sugar_free": rf"sukkerfri|sukker fri|sugar[ -]free|{whole('zero')}|no sugar|uden sukker|(?<!{LETTER})nul suk|0% sugar",
+    "gluten_free": "glutenfri|gluten fri|gluten[ -]free|uden gluten",
+    "alcohol_free": rf"alkoholfri|alkohol fri|alcohol[ -]free|(?<!{LETTER})nul ?%|(?<!{LETTER})0[,.]0 ?%",
+}
+NOT_ORGANIC = rf"(?<!{LETTER})ikke\s+øko"
+#: Kinds of meat and fish in normalized names.
+MEATS = {
+    "okse": rf"(?<!{LETTER})okse", "gris": rf"{whole('gris')}|(?<!{LETTER})grise|{whole('svin')}|(?<!{LETTER})svine", "kylling": rf"(?<!{LETTER})kylling", "høns": rf"(?<!{LETTER})høns",
+    "kalv": rf"{whole('kalv')}|(?<!{LETTER})kalve", "lam": rf"{whole('lam')}|(?<!{LETTER})lamme(?!fjord)", "skinke": rf"(?<!{LETTER})skinke", "kalkun": rf"(?<!{LETTER})kalkun",
+    "tun": rf"{whole('tun')}|(?<!{LETTER})tunfisk", "laks": rf"(?<!{LETTER})laks",
+}
+#: Forms of a product, and kinds of milk and cream in order.
+FORMS = ("pudding", "budding", "mousse", "skyr", "kefir", "yoghurt", "yogurt", "drik", "shake")
+DAIRY = ("mini", "let", "skummet", "sod", "piske", "kærne", "kær")
+
+
+@functools.cache
+def marked_letters() -> tuple[str, str]:
+    """Lower-case letters that are a letter with marks, and what they are without; then the marks alone."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    plain = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
+        if c.lower() == c != base and len(base) == 1:
+            plain[c] = base
+    return "".join(plain) + marks, "".join(plain.values())
+
+
+def without_marks(c: Column) -> Column:
+    """Lower-case text with é as e and å as a; letters of their own such as æ and ø stay."""
+    return F.when(c.rlike(r"[^\x00-\x7Fæø]"), F.translate(c, *marked_letters())).otherwise(c)
 
 
 def normalized(c: Column) -> Column:
-    """Lower case, without accents and most punctuation, abbreviations written out."""
-    x = without_accents(F.lower(c))
-    x = F.regexp_replace(x, "[&+]", " and ")
-    x = F.regexp_replace(x, "['’`]", "")
-    x = F.regexp_replace(x, "[,./%!?;:()\"]", " ")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, r"\s+", "  "), F.lit(" "))
-    for short, full in ABBREVIATIONS:
-        x = F.replace(x, F.lit(f" {short} "), F.lit(f" {full} "))
-    for word in ("eko", "bio", "okologisk", "økologisk"):
-        x = F.replace(x, F.lit(f" {word} "), F.lit(" "))
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    """Names as comparable text: lower case, without marks, abbreviations written out, without noise; empty for none."""
+    x = without_marks(F.lower(F.coalesce(F.when(c != "nan", c), F.lit(""))))
+    for old, new in (("&", "and"), ("+", "and"), (",", " "), ("'", ""), ("’", ""), (".", " ")):
+        x = F.replace(x, F.lit(old), F.lit(new))
+    long_ = x
+    for short, full in ABBREVIATIONS.items():
+        before = "(?<!f )" if short == "eks" else ""  # "for eksempel"
+        long_ = F.regexp_replace(long_, before + whole(short), full)
+    x = F.when(x.rlike(whole("|".join(ABBREVIATIONS))), long_).otherwise(x)
+    for word in NOISE:
+        x = F.replace(x, F.lit(word), F.lit(""))
+    x = F.when(x.contains("okologisk"), F.regexp_replace(x, whole("okologisk"), "")).otherwise(x)
+    return F.trim(F.regexp_replace(x, r"[/\s\p{Z}]+", " "))
 
 
 def folded(c: Column) -> Column:
@@ -70,8 +109,10 @@ def term_matches(token: Column, term: str) -> Column:
 
 def percents(c: Column) -> Column:
     """Distinct percentages in a text, sorted; "45+" of cheese counts."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*[%+]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.round(F.replace(x, F.lit(","), F.lit(".")).try_cast("double"), 1))))
+    signed = F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*%"), F.lit(1))
+    plus = F.regexp_extract_all(c, F.lit(r"(?<![0-9,.])([0-9]{2})\s*\+"), F.lit(1))
+    found = F.transform(F.concat(signed, plus), lambda x: F.round(F.replace(x, F.lit(","), F.lit(".")).try_cast("double"), 1))
+    return F.array_sort(F.array_distinct(found))
 
 
 def variant_flags(c: Column) -> dict[str, Column]:
@@ -81,6 +122,21 @@ def variant_flags(c: Column) -> dict[str, Column]:
     return out
 
 
+def meats(c: Column) -> Column:
+    return flagged(normalized(c), MEATS)
+
+
+def dairy(normal: Column) -> Column:
+    """The first kind of milk or cream that is part of a normalized name, or null."""
+    return F.coalesce(*(F.when(normal.contains(d), F.lit(d)) for d in DAIRY))
+
+
+def private_label(brand: Column, title: Column, brands: Sequence[str], beginnings: Sequence[str]) -> Column:
+    """Whether a store's own brand: the brand is one, or brand or title begin like one."""
+    b, t = F.lower(F.trim(F.coalesce(brand, F.lit("")))), F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    return functools.reduce(lambda x, p: x | b.startswith(p) | t.startswith(p), beginnings, b.isin(*brands) if brands else F.lit(False))
+
+
 def first_rule(c: Column, rules: Sequence[tuple[str, str]], default: str | None) -> Column:
     """The name of the first rule whose pattern is found; rules in order."""
     out = None
@@ -94,19 +150,38 @@ def flagged(c: Column, patterns: Mapping[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in patterns.items())))
 
 
-def words_consumed(c: Column, lexicon: Sequence[str]) -> Column:
-    """The words of a lexicon in a text, longest first, each consumed before shorter ones are looked for.
+def keywords(c: Column, lexicon: Mapping[str, Sequence[str]] | Sequence[str], blockers: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:
+    """What the words of a lexicon stand for, sorted: of a text's parts the longest words first, each taken out before shorter ones are looked for.
 
-    A word counts where it stands free on one side at least.
+    A word counts where it stands free on one side at least; what is taken out may free
+    another one, so this goes on until nothing is found. ``blockers`` are taken out before,
+    and ``suffixes`` from the ends of longer words. Each text of a batch is looked at once.
     """
-    out = F.struct(F.concat(F.lit(" "), c, F.lit(" ")).alias("text"), F.array().cast("array<string>").alias("found"))
-    for word in sorted(lexicon, key=lambda w: (-len(w), w)):
-        free = f"(?:(?<=[^0-9a-zæøå]){word}|{word}(?=[^0-9a-zæøå]))"
-        out = F.struct(
-            F.regexp_replace(out["text"], free, "#").alias("text"),
-            F.when(out["text"].rlike(free), F.array_append(out["found"], F.lit(word))).otherwise(out["found"]).alias("found"),
-        )
-    return F.array_sort(out["found"])
+    means = {w: [w] for w in lexicon} if not isinstance(lexicon, Mapping) else {w: [v] if isinstance(v, str) else list(v) for w, v in lexicon.items()}
+    letter = "[a-zæøå]"
+    free = [(re.compile(f"(?<!{letter}){re.escape(w)}|{re.escape(w)}(?!{letter})"), means[w]) for w in sorted(means, key=lambda w: -len(w))]
+    some = re.compile("|".join(map(re.escape, means)) or "(?!)")
+    blocked = re.compile("|".join(map(re.escape, blockers)) or "(?!)")
+    ends = re.compile(rf"(?<={letter})(?:{'|'.join(map(re.escape, sorted(suffixes, key=len, reverse=True)))})\b" if suffixes else "(?!)")
+
+    def found(text: str) -> list[str]:
+        out: set[str] = set()
+        text = ends.sub(" ", blocked.sub(" ", text))
+        more = some.search(text) is not None
+        while more:
+            more = False
+            for pattern, names in free:
+                if m := pattern.search(text):
+                    out.update(names)
+                    text, more = f"{text[: m.start()]} {text[m.end() :]}", True
+        return sorted(out)
+
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        known = {t: found(t) for t in texts.dropna().unique()}
+        return texts.map(lambda t: known.get(t, []))
+
+    return scan(F.lower(c))
 
 
 def query_parts(c: Column) -> Column:
@@ -114,5 +189,5 @@ def query_parts(c: Column) -> Column:
     text = F.substring(F.lower(F.trim(c)), 1, 100)
     return F.struct(
         F.trim(F.regexp_replace(F.regexp_replace(text, r"(?:^|\s)(?:øko|økologisk[a-zæøå]*|organic)(?=$|\s)", " "), r"\s+", " ")).alias("text"),
-        text.rlike(ORGANIC).alias("organic"),
+        text.rlike(VARIANTS["organic"]).alias("organic"),
     )

@@ -1,46 +1,88 @@
 """Entity resolution: which offers of different stores are the same product.
 
 Candidates come from shared tokens and near image hashes, native gates come before the
-string score, distinct pairs of names are scored once, and what depends on order (claiming,
-clusters) is decided within the connected components of the scored edges.
+string score, distinct pairs of names are scored once. What depends on order (claiming,
+clusters) is decided in rounds over the whole table: in each round all are decided for whom
+nobody before them in order can matter any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import gates
 from ..functions import text as T
 from ..functions.similarity import fuzzy_score
+from ..functions.similarity import score as similar
 
+FLAGS = tuple(T.VARIANTS)
+#: Flags that must be equal even where a side is silent.
+SYMMETRIC = ("alcohol_free",)
+#: What the gates look at.
+FEATURES = ("norm", "described", "maker", "category", "weight_g", "count", "price", "ean", "hash", "percents", "meats", "flavours", "forms", "private", "loose", *FLAGS)
 
-def blocked(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs (a, b) of ids whose names share a token of three letters or more."""
-    words = lambda df, name: df.select(F.col("id").alias(name), F.explode(T.tokens(F.col("name"), least)).alias("token"))
-    return words(left, "a").join(words(right, "b"), "token").select("a", "b").distinct()
+
+def features(offers: DataFrame, flavours: Mapping[str, Sequence[str]] | Sequence[str] = (), *, blockers: Sequence[str] = (), suffixes: Sequence[str] = (), own_brands: Sequence[str] = (), own_beginnings: Sequence[str] = (), loose: Sequence[str] = ()) -> DataFrame:
+    """What the gates need, from name, description and brand; columns ean, count and hash are null where there are none.
+
+    ``loose`` are categories of goods sold without a weight; word lists are the caller's.
+    """
+    for name, kind in (("description", "string"), ("brand", "string"), ("category", "string"), ("ean", "string"), ("count", "int"), ("hash", "long"), ("price", "double"), ("weight_g", "double")):
+        if name not in offers.columns:
+            offers = offers.withColumn(name, F.lit(None).cast(kind))
+    text = F.concat_ws(" ", "name", "description", "brand")
+    return offers.withColumns({
+        "norm": T.normalized(F.col("name")), "described": T.normalized(F.col("description")), "maker": T.normalized(F.col("brand")), "percents": T.percents(text), "meats": T.meats(F.concat_ws(" ", "name", "description")),
+        "flavours": T.keywords(text, flavours, blockers, suffixes), "forms": T.keywords(text, T.FORMS), "private": T.private_label(F.col("brand"), F.col("name"), own_brands, own_beginnings),
+        "loose": F.coalesce(F.col("category").isin(*loose), F.lit(False)) if loose else F.lit(False), **T.variant_flags(text),
+    })
+
+
+def blocked(left: DataFrame, right: DataFrame, least: int = 3, gate: Column | None = None, carry: Sequence[str] = (), text: tuple[str, str] = ("name", "name")) -> DataFrame:
+    """Pairs (a, b) of ids whose names share a token of three letters or more.
+
+    ``carry`` are columns that ``gate`` (on a_... and b_...) is decided by within the join. A
+    pair comes out for its first common token only, so nothing is made distinct afterwards.
+    """
+
+    def side(df: DataFrame, s: str, name: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in carry), T.tokens(F.col(name), least).alias(f"{s}_tokens"))
+        return rows.select("*", F.explode(f"{s}_tokens").alias("token"))
+
+    first = F.try_element_at(F.array_intersect("a_tokens", "b_tokens"), F.lit(1)) == F.col("token")
+    pairs = side(left, "a", text[0]).join(side(right, "b", text[1]), "token")
+    return (pairs if gate is None else pairs.filter(gate)).filter(first).drop("token", "a_tokens", "b_tokens")
 
 
 def near_images(left: DataFrame, right: DataFrame, most: int, bands: int | None = None) -> DataFrame:
     """Pairs of image hashes (64 bits) that differ in ``most`` bits or fewer; exact.
 
-    Hashes are cut into ``most`` + 1 bands; of two that differ in so few bits one band at
-    least is equal, so the pairs come from an equi-join on bands.
+    Of hashes cut into bands, one band at least differs in ``most`` // bands bits or fewer, so
+    the pairs come from an equi-join of bands with all that are so near on the left. The
+    default of ``most`` // 3 + 1 bands keeps what is tried on the left to a few hundred a hash.
     """
-    bands = bands or most + 1
-    if bands <= most:
-        raise ValueError("there must be more bands than bits that may differ")
+    bands = bands or most // 3 + 1
     cuts = [round(64 * i / bands) for i in range(bands + 1)]
-    band = lambda c: F.explode(
-        F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))))
-    ).alias("x")
-    a = left.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), band(F.col("hash"))).select("a", "a_hash", "x.*")
-    b = right.select(F.col("id").alias("b"), F.col("hash").alias("b_hash"), band(F.col("hash"))).select("b", "b_hash", "x.*")
+
+    def near(i: int, changed: bool) -> list[Column]:
+        lo, hi = cuts[i], cuts[i + 1]
+        bits = F.shiftrightunsigned(F.col("hash"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        masks = [sum(1 << x for x in c) for r in range(most // bands + 1 if changed else 1) for c in itertools.combinations(range(hi - lo), r)]
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(i).alias("band"), bits.bitwiseXOR(m.cast("long")).alias("bits")))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        keys = F.explode(F.flatten(F.array(*(near(i, s == "a") for i in range(bands)))))
+        return df.filter(F.col("hash").isNotNull()).select(F.col("id").alias(s), F.col("hash").alias(f"{s}_hash"), keys.alias("x")).select(s, f"{s}_hash", "x.*")
+
     distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
-    return a.join(b, ["band", "bits"]).filter(distance <= most).select("a", "b", distance.alias("distance")).distinct()
+    found = side(left, "a").join(side(right, "b"), ["band", "bits"]).filter(distance <= most)
+    return found.select("a", "b", distance.alias("distance")).distinct()
 
 
 def unique_keys(offers: DataFrame) -> DataFrame:
@@ -59,36 +101,67 @@ def by_key(anchors: DataFrame, offers: DataFrame) -> DataFrame:
     return a.join(unique_keys(offers).select(F.col("id").alias("offer"), "store", "ean"), "ean").select("anchor", "store", "offer", "ean")
 
 
+def _named(df: DataFrame, s: str, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
+
+
+def _claims(candidate: str, base: str) -> Column:
+    """What the candidate claims the base claims too; symmetric flags are equal."""
+    flags = lambda s: {f: F.col(f"{s}_{f}") for f in FLAGS}
+    return gates.variants_compatible(flags(candidate), flags(base), SYMMETRIC)
+
+
+def _group_gate(a: str, b: str) -> Column:
+    """Whether two members of a group don't contradict each other: weight, count, percentages, flags and meats."""
+    x = lambda c: (F.col(f"{a}_{c}"), F.col(f"{b}_{c}"))
+    out = gates.weights_compatible(*x("weight_g")) & gates.counts_compatible(*x("count")) & gates.overlap_if_known(*x("percents")) & gates.equal_if_known(*x("meats"))
+    for f in FLAGS:
+        out = out & (F.col(f"{a}_{f}") == F.col(f"{b}_{f}"))
+    return out
+
+
 def retro_validated(matches: DataFrame, anchors: DataFrame, offers: DataFrame) -> DataFrame:
-    """Matches but those whose EAN has, in whatever store, a weight that contradicts the anchor's."""
-    others = offers.filter(F.col("ean").isNotNull() & F.col("weight_g").isNotNull()).select("ean", F.col("weight_g").alias("other"))
-    with_weight = matches.join(anchors.select(F.col("id").alias("anchor"), F.col("weight_g").alias("own")), "anchor")
-    bad = with_weight.join(others, "ean").filter(~gates.weights_compatible(F.col("own"), F.col("other"))).select("anchor", "ean").distinct()
-    return matches.join(bad, ["anchor", "ean"], "left_anti")
+    """Matches but those whose EAN has, in whatever store it is unique, a weight, a percentage or a flag that contradicts the anchor."""
+    seen = ["weight_g", "percents", *FLAGS]
+    others = unique_keys(offers).select("ean", *(F.col(c).alias(f"o_{c}") for c in seen))
+    both = matches.select("anchor", "ean").filter(F.col("ean").isNotNull()).distinct().join(_named(anchors, "anchor", seen), "anchor").join(others, "ean")
+    fits = gates.weights_compatible(F.col("anchor_weight_g"), F.col("o_weight_g")) & gates.overlap_if_known(F.col("anchor_percents"), F.col("o_percents")) & _claims("o", "anchor")
+    return matches.join(both.filter(~fits).select("anchor", "ean").distinct(), ["anchor", "ean"], "left_anti")
+
 
+def conflicts(matches: DataFrame, anchors: DataFrame, offers: DataFrame) -> DataFrame:
+    """Matches (anchor, offer) that contradict another one of their anchor in weight or percentage, where the anchor itself is silent.
 
-def conflicts(matches: DataFrame) -> DataFrame:
-    """Matches of anchors without a weight that contradict each other (equal EANs never do)."""
-    side = lambda s: matches.filter(F.col("anchor_weight").isNull()).select("anchor", F.col("offer").alias(f"offer_{s}"), F.col("weight_g").alias(f"w_{s}"), F.col("ean").alias(f"ean_{s}"))
-    pairs = side("x").join(side("y"), "anchor").filter(F.col("offer_x") < F.col("offer_y")).filter(~gates.weights_compatible(F.col("w_x"), F.col("w_y")) & ~F.coalesce(F.col("ean_x") == F.col("ean_y"), F.lit(False)))
-    return pairs.select("anchor", F.explode(F.array("offer_x", "offer_y")).alias("offer")).distinct()
+    Equal EANs never do.
+    """
+    seen = ["weight_g", "percents"]
+    silent = _named(anchors, "anchor", seen).filter(F.col("anchor_weight_g").isNull() | (F.size("anchor_percents") == 0))
+    rows = matches.select("anchor", "offer", "ean").join(silent, "anchor")
+    side = lambda s: rows.select("anchor", "anchor_weight_g", "anchor_percents", F.col("offer").alias(s), F.col("ean").alias(f"{s}_ean")).join(_named(offers, s, seen), s)
+    pairs = side("x").join(side("y").drop("anchor_weight_g", "anchor_percents"), "anchor").filter("x < y AND NOT coalesce(x_ean = y_ean, false)")
+    weights = F.col("anchor_weight_g").isNull() & ~gates.weights_compatible(F.col("x_weight_g"), F.col("y_weight_g"))
+    percents = (F.size("anchor_percents") == 0) & ~gates.overlap_if_known(F.col("x_percents"), F.col("y_percents"))
+    return pairs.filter(weights | percents).select("anchor", F.explode(F.array("x", "y")).alias("offer")).distinct()
 
 
-def arbitrated(matches: DataFrame, flag: str) -> DataFrame:
+def arbitrated(matches: DataFrame, *flags: str) -> DataFrame:
     """Where an anchor has a flag and some of its matches claim it, those that are silent go (unless their EAN claims it)."""
-    own = Window.partitionBy("anchor")
-    claimed = F.max(F.col(flag)).over(own)
-    same_ean = F.max(F.col(flag)).over(Window.partitionBy("anchor", "ean"))
-    keep = ~F.col(f"anchor_{flag}") | ~F.col("claimed") | F.col(flag) | F.coalesce(F.col("ean").isNotNull() & F.col("ean_claims"), F.lit(False))
-    return matches.withColumn("claimed", claimed).withColumn("ean_claims", same_ean).filter(keep).drop("claimed", "ean_claims")
+    own, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "ean")
+    seen = matches.select("*", *(c for f in flags for c in (F.max(f).over(own).alias(f"claimed_{f}"), F.max(f).over(same).alias(f"ean_{f}"))))
+    keep = F.lit(True)
+    for f in flags:
+        keep = keep & (~F.col(f"anchor_{f}") | ~F.col(f"claimed_{f}") | F.col(f) | F.coalesce(F.col("ean").isNotNull() & F.col(f"ean_{f}"), F.lit(False)))
+    return seen.filter(keep).select(matches.columns)
 
 
 def cross_filled(matches: DataFrame, anchors: DataFrame, offers: DataFrame) -> DataFrame:
-    """For stores without a match the offer of the first EAN (in store order) that the anchor's matches have."""
+    """For stores without a match the offer of the first EAN (in store order) that the anchor's matches have, if it passes the anchor's gates."""
+    seen = ["weight_g", "count", "percents", *FLAGS]
     first = Window.partitionBy("anchor").orderBy("store", "offer")
     eans = matches.filter(F.col("ean").isNotNull()).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("anchor", "ean")
-    found = eans.join(unique_keys(offers).select(F.col("id").alias("offer"), "store", "ean", "weight_g"), "ean")
-    found = found.join(anchors.select(F.col("id").alias("anchor"), F.col("weight_g").alias("own")), "anchor").filter(gates.weights_compatible(F.col("weight_g"), F.col("own")))
+    found = eans.join(unique_keys(offers).select(F.col("id").alias("offer"), "store", "ean", *(F.col(c).alias(f"offer_{c}") for c in seen)), "ean").join(_named(anchors, "anchor", seen), "anchor")
+    x = lambda c: (F.col(f"anchor_{c}"), F.col(f"offer_{c}"))
+    found = found.filter(gates.weights_compatible(*x("weight_g")) & gates.counts_compatible(*x("count")) & gates.overlap_if_known(*x("percents")) & _claims("offer", "anchor"))
     return found.join(matches.select("anchor", "store"), ["anchor", "store"], "left_anti").join(matches.select("offer"), "offer", "left_anti").select("anchor", "store", "offer", "ean")
 
 
@@ -106,38 +179,80 @@ def image_boost(distance: Column) -> Column:
     )
 
 
-def anchor_edges(anchors: DataFrame, offers: DataFrame, floor: float = 0.50, accept: float = 0.60) -> DataFrame:
+def anchor_edges(anchors: DataFrame, offers: DataFrame, floor: float = 0.50, accept: float = 0.60, image_bits: int = 12) -> DataFrame:
     """Scored edges (anchor, store, offer, score) between anchors and offers that pass every gate.
 
-    Both have id, name, brand, category, weight_g, count, price, percents, meats, flavours and
-    the variant flags; offers have a store. Anchors with an EAN are matched by key alone.
+    Both have ``features``; offers have a store. Anchors with an EAN are matched by key alone.
+    Candidates share a token of the name; where no offer has any of an anchor's tokens, one
+    of its description; or their images differ in ``image_bits`` or fewer.
     """
-    flags = list(T.VARIANTS)
-    cols = ["name", "brand", "category", "weight_g", "count", "price", "percents", "meats", "flavours", "hash", *flags]
-    a = anchors.filter(F.col("ean").isNull()).select(F.col("id").alias("anchor"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = offers.select(F.col("id").alias("offer"), "store", *(F.col(c).alias(f"b_{c}") for c in cols))
-    candidates = blocked(anchors.filter(F.col("ean").isNull()), offers).withColumnsRenamed({"a": "anchor", "b": "offer"})
-    pairs = candidates.join(a, "anchor").join(b, "offer")
+    a = anchors.filter(F.col("ean").isNull())
+    early = ["weight_g", "count", "price", "percents", "alcohol_free"]
+    x = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
+    gate = (
+        gates.weights_compatible(*x("weight_g")) & gates.counts_compatible(*x("count")) & gates.price_plausible(*x("price")) & gates.overlap_if_known(*x("percents")) & (F.col("a_alcohol_free") == F.col("b_alcohol_free"))
+    )
+    words = lambda df: df.select("id", F.explode(T.tokens(F.col("norm"), 3)).alias("token"))
+    named = words(a).join(words(offers).select("token").distinct(), "token", "left_semi").select("id").distinct()
+    parts = [
+        blocked(a, offers, 3, gate, early, ("norm", "norm")).select("a", "b"),
+        blocked(a.join(named, "id", "left_anti"), offers, 3, gate, early, ("described", "norm")).select("a", "b"),
+        near_images(a, offers, image_bits).select("a", "b"),
+    ]
+    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    pairs = pairs.join(_named(a, "a", FEATURES), "a").join(_named(offers, "b", FEATURES).join(offers.select(F.col("id").alias("b"), "store"), "b"), "b")
     distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
-    close = F.coalesce(distance <= 4, F.lit(False))
-    variants = gates.variants_compatible({f: F.col(f"b_{f}") for f in flags if f != "alcohol_free"}, {f: F.col(f"a_{f}") for f in flags if f != "alcohol_free"})
+    within = lambda n: F.coalesce(distance <= n, F.lit(False))
+    close = within(4)
+    pairs = pairs.filter(
+        gate & gates.equal_if_known(*x("meats")) & (_claims("b", "a") | close)
+        & (gates.contained(F.col("b_flavours"), F.col("a_flavours")) | close) & (gates.contained(F.col("b_forms"), F.col("a_forms")) | close)
+    )
+
+    names = ["a_norm", "a_described", "b_norm", "a_maker", "b_maker"]
+    scores = pairs.select(*names).distinct().select(
+        *names, F.round(F.greatest(fuzzy_score(F.col("a_norm"), F.col("b_norm")), fuzzy_score(F.col("a_described"), F.col("b_norm"))), 6).alias("score"), F.round(fuzzy_score(F.col("a_maker"), F.col("b_maker")), 6).alias("makers")
+    )
+    pairs = pairs.join(scores, names)
+    score, own = F.col("score"), F.col("a_private") & F.col("b_private")
+    aligned = own | (F.col("makers") >= 0.75)
+    pictured = ~own & within(12) & (within(8) | aligned)
+    first = F.try_element_at(F.filter(F.split("a_norm", " "), lambda t: F.length(t) >= 4), F.lit(1))
+    kinds = T.dairy(F.col("a_norm")), T.dairy(F.col("b_norm"))
+    unweighed = (F.coalesce("b_weight_g", F.lit(0.0)) == 0) & F.col("b_ean").isNull() & (F.col("a_count").isNull() | F.col("b_count").isNull()) & ~(F.col("a_loose") & F.col("b_loose"))
     pairs = pairs.filter(
-        gates.overlap_if_known(F.col("a_percents"), F.col("b_percents"))
-        & gates.equal_if_known(F.col("a_meats"), F.col("b_meats"))
-        & (F.col("a_alcohol_free") == F.col("b_alcohol_free"))
-        & (variants | close)
-        & (gates.contained(F.col("b_flavours"), F.col("a_flavours")) | close)
-        & gates.weights_compatible(F.col("a_weight_g"), F.col("b_weight_g"))
-        & gates.counts_compatible(F.col("a_count"), F.col("b_count"))
-        & gates.price_plausible(F.col("a_price"), F.col("b_price"))
+        (gates.types_compatible(*x("category")) | (score >= 0.80))
+        & ((F.col("a_private") == F.col("b_private")) | (score >= 0.70))
+        & (F.coalesce(kinds[0] == kinds[1], F.lit(True)) | (F.col("a_norm") == "") | ~own & within(5))
+        & (F.coalesce(F.contains("b_norm", first), F.lit(True)) | own & (score >= 0.60) | pictured)
+        & (~unweighed | close | (score >= 0.75))
+        & ((score >= floor) | pictured & (score >= 0.30))
     )
-    pairs = scored(pairs)
-    known = F.col("a_weight_g").isNotNull() & F.col("b_weight_g").isNotNull() | F.col("a_count").isNotNull() & F.col("b_count").isNotNull()
-    same_category = gates.types_compatible(F.col("a_category"), F.col("b_category"))
-    pairs = pairs.filter((F.col("score") >= floor) & (same_category | (F.col("score") >= 0.80)) & (known | close | (F.col("score") >= 0.75)))
-    brand = F.coalesce((F.col("a_brand") == F.col("b_brand")).cast("double"), F.lit(0.0))
-    total = F.round(F.col("score") + 0.30 * brand + F.coalesce(image_boost(distance), F.lit(0.0)), 6)
-    return pairs.withColumn("score", total).filter(F.col("score") >= accept).select("anchor", "store", "offer", "score")
+    total = F.round(score + 0.30 * F.when(own, 1.0).otherwise(F.col("makers")) + F.coalesce(image_boost(distance), F.lit(0.0)), 6)
+    return pairs.withColumn("score", total).filter(F.col("score") >= accept).select(F.col("a").alias("anchor"), "store", F.col("b").alias("offer"), "score")
+
+
+def cross_store_edges(left: DataFrame, right: DataFrame, floor: float = 0.65) -> DataFrame:
+    """Scored pairs (a, b, a_store, b_store, score) of offers of different stores that pass every gate, which here are all symmetric.
+
+    Both sides have ``features`` and a store.
+    """
+    early = ["store", "norm", "weight_g", "count", "price", "percents", "private", *FLAGS]
+    x = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
+    gate = (F.col("a_store") != F.col("b_store")) & (gates.length_bound(*x("norm")) >= floor) & gates.price_plausible(*x("price"))
+    gate = gate & gates.weights_compatible(*x("weight_g")) & gates.counts_compatible(*x("count")) & gates.overlap_if_known(*x("percents"))
+    for f in FLAGS:
+        gate = gate & (F.col(f"a_{f}") == F.col(f"b_{f}"))
+    rest = ["category", "meats", "flavours", "forms", "loose"]
+    pairs = blocked(left, right, 3, gate, early, ("norm", "norm")).join(_named(left, "a", rest), "a").join(_named(right, "b", rest), "b")
+    sets = lambda c: F.array_sort(F.col(f"a_{c}")) == F.array_sort(F.col(f"b_{c}"))
+    pairs = scored(pairs.filter(gates.equal_if_known(*x("meats")) & sets("flavours") & sets("forms")), "a_norm", "b_norm", floor)
+    score = F.col("score")
+    weighed = (F.coalesce("a_weight_g", F.lit(0.0)) > 0) & (F.coalesce("b_weight_g", F.lit(0.0)) > 0) | F.col("a_count").isNotNull() & F.col("b_count").isNotNull() | F.col("a_loose") & F.col("b_loose")
+    pairs = pairs.filter(
+        (score >= floor) & (gates.types_compatible(*x("category")) | (score >= 0.80)) & ((F.col("a_private") == F.col("b_private")) | (score >= 0.70)) & (weighed | (score >= 0.75))
+    )
+    return pairs.select("a", "b", "a_store", "b_store", "score")
 
 
 def best_per_store(edges: DataFrame) -> DataFrame:
@@ -151,127 +266,152 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Large-star and small-star in turn; every round is checkpointed, and the rounds, of which
     long paths need a logarithmic number, end when every node hangs on its smallest alone.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", tempfile.mkdtemp()))
-    edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct().checkpoint()
+    edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    edges = checkpointed(edges)
     nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct()
-    now = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct().checkpoint()
+    now = checkpointed(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
     while True:
         twice = now.groupBy("u").count().filter("count > 1").select("u")
         if not twice.union(now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("u")).limit(1).count():
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        large = checkpointed(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        now = small.filter("u <> v").distinct().checkpoint()
+        now = checkpointed(small.filter("u <> v").distinct())
     return nodes.join(now, nodes["node"] == now["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def claimed(edges: DataFrame) -> DataFrame:
-    """One-to-one matches: anchors in order take, in each store, their best offer that nobody has taken.
+    """One-to-one matches: anchors in order take, in each store, their best offer that nobody before them has taken.
 
-    What an anchor can take depends on its component only, so components are resolved apart.
+    In rounds: every anchor asks for the best offer it has left, and what an offer was asked
+    for by is an end for all anchors after the first of them. No round holds more of a group
+    than a window does, and when nobody is turned down all is decided.
     """
-    offers_as_nodes = edges.withColumn("o", -F.col("offer") - 1)
-    parts = components(offers_as_nodes, "anchor", "o")
-    rows = edges.join(parts.withColumnRenamed("node", "anchor"), "anchor")
-
-    def resolve(f: pd.DataFrame) -> pd.DataFrame:
-        taken, filled, out = set(), set(), []
-        for r in f.sort_values(["anchor", "store", "score", "offer"], ascending=[True, True, False, True]).itertuples():
-            if r.offer in taken or (r.anchor, r.store) in filled:
-                continue
-            taken.add(r.offer)
-            filled.add((r.anchor, r.store))
-            out.append((r.anchor, r.store, r.offer, r.score))
-        return pd.DataFrame(out, columns=["anchor", "store", "offer", "score"])
-
-    return rows.groupBy("component").applyInPandas(resolve, "anchor long, store long, offer long, score double")
+    best = Window.partitionBy("anchor", "store").orderBy(F.desc("score"), "offer")
+    now = checkpointed(edges.select("anchor", "store", "offer", "score"))
+    while True:
+        asked = now.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+        holders = asked.groupBy("offer").agg(F.min("anchor").alias("holder"), F.count("*").alias("n"))
+        if holders.filter("n > 1").isEmpty():
+            return asked
+        now = checkpointed(now.join(holders.select("offer", "holder"), "offer", "left").filter("holder IS NULL OR anchor <= holder").select("anchor", "store", "offer", "score"))
 
 
-def clusters(edges: DataFrame, compatible: DataFrame) -> DataFrame:
+def clusters(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Fuzzy clusters (base, member, score) of unmatched offers.
 
-    Offers in order are bases unless already taken; a base takes the best free offer of each
-    other store. While two members contradict each other (a pair missing from
-    ``compatible``), the one of lower score leaves; of equal ones the earlier.
+    Offers in order (store, id) are bases unless already taken; a base takes the best free
+    offer of each other store. While two members contradict each other, the one of lower
+    score leaves; of equal ones the earlier. ``edges`` are (a, b, a_store, b_store, score),
+    each pair once; ``members`` have ``features`` and a boolean ``leads``: whether an offer
+    may be a base.
+
+    In rounds: a base is decided when it is, for itself and for each offer it could take, the
+    first base in order that could take that. A round holds one cluster, of a member a store
+    at most, in a group.
     """
-    parts = components(edges.withColumnsRenamed({"a": "x_", "b": "y_"}), "x_", "y_")
-    good = compatible.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = edges.join(parts.withColumnRenamed("node", "a"), "a").select("component", F.lit("edge").alias("kind"), "a", "b", "a_store", "b_store", "score")
-    pairs = good.join(parts.withColumnRenamed("node", "a"), "a").select("component", F.lit("ok").alias("kind"), "a", "b", F.lit(0).cast("long").alias("a_store"), F.lit(0).cast("long").alias("b_store"), F.lit(0.0).alias("score"))
-
-    def resolve(f: pd.DataFrame) -> pd.DataFrame:
-        ok = set(zip(f.loc[f.kind == "ok", "a"], f.loc[f.kind == "ok", "b"], strict=True))
-        edge = f[f.kind == "edge"]
-        both = pd.concat([edge[["a", "a_store", "b", "b_store", "score"]], edge.rename(columns={"a": "b", "b": "a", "a_store": "b_store", "b_store": "a_store"})[["a", "a_store", "b", "b_store", "score"]]])
-        taken, out = set(), []
-        for (base_store, base), own in both.sort_values(["a_store", "a"]).groupby(["a_store", "a"], sort=True):
-            if base in taken:
-                continue
-            best: dict[int, tuple[float, int]] = {}
-            for r in own.itertuples():
-                if r.b not in taken and r.b_store != base_store:
-                    now = best.get(r.b_store)
-                    if now is None or (r.score, -r.b) > (now[0], -now[1]):
-                        best[r.b_store] = (r.score, r.b)
-            members = sorted((s, m) for s, m in best.values())
-            again = True
-            while again:
-                again = False
-                for i, (s, x) in enumerate(members):
-                    for t, y in members[i + 1 :]:
-                        if (min(x, y), max(x, y)) not in ok:
-                            members.remove((s, x) if (s, -x) <= (t, -y) else (t, y))
-                            again = True
-                            break
-                    if again:
-                        break
-            if members:
-                taken |= {base, *(m for _, m in members)}
-                out += [(base, base, 1.0), *((base, m, s) for s, m in members)]
-        return pd.DataFrame(out, columns=["base", "member", "score"])
-
-    return linked.unionByName(pairs).groupBy("component").applyInPandas(resolve, "base long, member long, score double")
-
-
-def attached(edges: DataFrame, members: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """Offers attached to the best group that lacks their store and of which no member contradicts them.
-
-    ``edges`` (offer, offer_store, member, score) lead to ``members`` (group, member, store);
-    ``contradictions`` are pairs (offer, member).
+    turned = edges.select(F.col("b").alias("base"), F.col("a").alias("member"), F.col("b_store").alias("base_store"), F.col("a_store").alias("store"), "score")
+    both = edges.select(F.col("a").alias("base"), F.col("b").alias("member"), F.col("a_store").alias("base_store"), F.col("b_store").alias("store"), "score").unionByName(turned)
+    both = both.join(members.filter("leads").select(F.col("id").alias("base")), "base", "left_semi")
+    now = checkpointed(both.withColumn("turn", F.struct("base_store", "base")))
+    facts = checkpointed(_named(members, "member", ["weight_g", "count", "percents", "meats", *FLAGS]))
+    seen = [c for c in facts.columns if c != "member"]
+    done = None
+    while not now.isEmpty():
+        # the first base that could take an offer, or that is the offer itself
+        first = now.select(F.col("member").alias("node"), "turn").unionByName(now.select(F.col("base").alias("node"), "turn")).groupBy("node").agg(F.min("turn").alias("first"))
+        held = now.join(first.withColumnsRenamed({"node": "member", "first": "member_first"}), "member").join(first.withColumnsRenamed({"node": "base", "first": "base_first"}), "base")
+        blocked_ = held.filter("member_first < turn OR base_first < turn").select("base").distinct()
+        ready = now.join(blocked_, "base", "left_anti")
+        taken = ready.withColumn("nth", F.row_number().over(Window.partitionBy("base", "store").orderBy(F.desc("score"), "member"))).filter("nth = 1").select("base", "member", "store", "score")
+        taken = checkpointed(taken)
+        # drop members one after the other until no two of a cluster contradict each other
+        x, y = taken.join(facts, "member"), taken.join(facts, "member")
+        rename = lambda df, s: df.select("base", *(F.col(c).alias(f"{s}_{c}") for c in ("member", "store", "score")), *(F.col(c).alias(c.replace("member_", f"{s}_", 1)) for c in seen))
+        bad = rename(x, "x").join(rename(y, "y"), "base").filter(F.col("x_store") < F.col("y_store")).filter(~_group_gate("x", "y"))
+        bad = bad.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("x_store", "y_store", F.col("x_member").alias("x"), F.col("y_member").alias("y"), "x_score", "y_score"))).alias("bad"))
+        leave = lambda out, p: F.when(F.array_contains(out, p["x"]) | F.array_contains(out, p["y"]), out).otherwise(F.array_append(out, F.when(p["x_score"] <= p["y_score"], p["x"]).otherwise(p["y"])))
+        gone = bad.select("base", F.aggregate("bad", F.array().cast("array<bigint>"), leave).alias("gone"))
+        kept = checkpointed(taken.join(gone, "base", "left").filter("NOT coalesce(array_contains(gone, member), false)").select("base", "member", "score"))
+        done = kept if done is None else done.unionByName(kept)
+        used = kept.select(F.col("member").alias("node")).unionByName(ready.select(F.col("base").alias("node"))).distinct()
+        now = checkpointed(now.join(used.withColumnRenamed("node", "base"), "base", "left_anti").join(used.withColumnRenamed("node", "member"), "member", "left_anti"))
+    if done is None:
+        return both.limit(0).select("base", "member", "score")
+    return done.unionByName(done.select("base", F.col("base").alias("member"), F.lit(1.0).alias("score")).distinct())
+
+
+def attached(offers: DataFrame, members: DataFrame, floor: float = 0.65) -> DataFrame:
+    """Offers (offer, group, score) with the best group that lacks their store and of which no member contradicts them.
+
+    ``offers`` and ``members`` have ``features`` and a store, members a group. An offer without
+    an EAN is held against every member by the gates of ``cross_store_edges``.
     """
-    groups = edges.join(members.select("group", "member"), "member")
-    groups = groups.join(members.select("group", F.col("store").alias("offer_store")), ["group", "offer_store"], "left_anti")
-    bad = contradictions.join(members.select("group", "member"), "member").select("group", "offer").distinct()
-    groups = groups.join(bad, ["group", "offer"], "left_anti")
+    edges = cross_store_edges(offers.filter(F.col("ean").isNull()), members, floor).join(members.select(F.col("id").alias("b"), "group"), "b")
+    groups = edges.select(F.col("a").alias("offer"), "a_store", "group", F.col("b").alias("member"), "score")
+    groups = groups.join(members.select("group", F.col("store").alias("a_store")).distinct(), ["group", "a_store"], "left_anti")
+    seen = ["weight_g", "count", "percents", "meats", *FLAGS]
+    pairs = groups.select("offer", "group").distinct().join(_named(offers, "offer", seen), "offer").join(members.select("group", *(F.col(c).alias(f"m_{c}") for c in seen)), "group")
+    groups = groups.join(pairs.filter(~_group_gate("offer", "m")).select("offer", "group").distinct(), ["offer", "group"], "left_anti")
     best = Window.partitionBy("offer").orderBy(F.desc("score"), "group", "member")
     return groups.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("offer", "group", "score")
 
 
-def deduplicated_by_image(cards: DataFrame, price_map: str = "prices") -> DataFrame:
-    """Cards of one image and compatible weight become the first of them; its own store prices stand."""
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in f.sort_values("id").to_dict("records"):
-            own, weight = dict(r[price_map] or {}), r["weight_g"]
-            for k in kept:
-                w = k["weight_g"]
-                low = None if pd.isna(w) or pd.isna(weight) else min(w, weight)
-                if low is None or abs(w - weight) <= max(min(20.0, 0.25 * low), 0.08 * low):
-                    k[price_map] = own | k[price_map]
-                    k["merged"] += 1
-                    break
-            else:
-                kept.append({"id": r["id"], "image": r["image"], "weight_g": weight, price_map: own, "merged": 0})
-        return pd.DataFrame(kept)
+def deduplicated_by_image(cards: DataFrame, price_map: str = "prices", least: float = 0.35) -> DataFrame:
+    """Cards of one image become the first of them that they don't contradict; its own store prices stand.
 
-    return cards.groupBy("image").applyInPandas(fold, f"id long, image string, weight_g double, {price_map} map<string,double>, merged long")
+    Cards have ``features``. They contradict each other by weight, count, percentages, flags,
+    meats, or names that are unlike. In order of ids a card is held against those kept of its
+    image; the task that has an image remembers no others, so an image of very many cards
+    needs the memory of its unlike ones only.
+    """
+    columns = ["id", "image", "weight_g", "count", "percents", "meats", "norm", *FLAGS]
+
+    def fits(k, r) -> bool:
+        if k.weight_g > 0 and r.weight_g > 0:  # false for unknown ones
+            heavy = max(k.weight_g, r.weight_g)
+            if abs(k.weight_g - r.weight_g) > max(min(20.0, 0.25 * heavy), 0.08 * heavy):
+                return False
+        if k.count == k.count and r.count == r.count and k.count != r.count:
+            return False
+        if any(getattr(k, f) != getattr(r, f) for f in FLAGS):
+            return False
+        sets = lambda c: ({*getattr(k, c)}, {*getattr(r, c)})
+        (p, q), (m, n) = sets("percents"), sets("meats")
+        return not (p and q and not p & q) and not (m and n and m != n) and not (k.norm and r.norm and similar(k.norm, r.norm) < least)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        image, kept = None, []
+        for f in frames:
+            out = []
+            # "count" is a method's name in tuples
+            for r in f.rename(columns={"count": "pieces"}).astype({"pieces": float, "weight_g": float}).itertuples(index=False):
+                r = Card(*r)
+                if r.image != image:
+                    image, kept = r.image, []
+                leader = next((k for k in kept if fits(k, r)), None)
+                if leader is None:
+                    kept.append(leader := r)
+                out.append((r.id, leader.id))
+            yield pd.DataFrame(out, columns=["id", "leader"])
+
+    class Card:
+        def __init__(self, *values):
+            self.__dict__.update(zip(columns, values, strict=True))
+
+    known = cards.filter(F.col("image").isNotNull())
+    ordered = known.select(columns).repartition("image").sortWithinPartitions("image", "id")
+    leaders = checkpointed(ordered.mapInPandas(fold, "id long, leader long"))
+    entries = known.join(leaders, "id").select("leader", "id", F.explode_outer(F.map_entries(price_map)).alias("e"))
+    first = Window.partitionBy("leader", "e.key").orderBy("id")
+    maps = entries.filter(F.col("e").isNotNull()).withColumn("nth", F.row_number().over(first)).filter("nth = 1").groupBy("leader").agg(F.map_from_entries(F.collect_list("e")).alias("all"))
+    merged = leaders.groupBy("leader").agg((F.count("*") - 1).alias("merged"))
+    own = known.join(merged.withColumnRenamed("leader", "id"), "id").join(maps.withColumnRenamed("leader", "id"), "id", "left")
+    alone = cards.filter(F.col("image").isNull()).select("id", "image", "weight_g", price_map, F.lit(0).cast("long").alias("merged"))
+    return own.select("id", "image", "weight_g", F.coalesce("all", price_map).alias(price_map), "merged").unionByName(alone)
 
 
 def assembled(*parts: DataFrame) -> DataFrame:
@@ -280,11 +420,3 @@ def assembled(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
-
-
-def features(offers: DataFrame, meats: dict[str, str], flavours: Sequence[str]) -> DataFrame:
-    """What the gates need, from name, description and brand."""
-    text = F.lower(F.concat_ws(" ", "name", "description", "brand"))
-    out = offers.select("*", T.percents(text).alias("percents"), T.flagged(F.lower(F.concat_ws(" ", "name", "description")), meats).alias("meats"), T.words_consumed(text, flavours).alias("flavours"))
-    return out.select("*", *(c.alias(k) for k, c in T.variant_flags(text).items()))
-

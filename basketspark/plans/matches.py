@@ -22,18 +22,33 @@ OFFER = {
     "brand": "p_brand",
     "ean": "CASE WHEN p_partkey % 3 > 0 THEN p_brand || p_type || (p_size % 10) END",
     "weight_g": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size * CAST(10 AS DOUBLE) END",
+    "count": "CASE WHEN p_size % 6 = 0 THEN p_size % 4 END",
+    "pct": "CASE WHEN p_partkey % 8 = 3 THEN p_partkey % 3 + CAST(0.5 AS DOUBLE) END",
+    "organic": "p_partkey % 5 = 0",
+    "lactose_free": "p_partkey % 11 = 0",
+    "sugar_free": "p_partkey % 31 = 0",
+    "gluten_free": "false",
+    "alcohol_free": "p_partkey % 97 = 0",
 }
 O = m.cte("parts", OFFER, "part")
 AO = f"{O}, anchors AS (SELECT * FROM parts WHERE id % 2 = 0), offers AS (SELECT * FROM parts WHERE id % 2 = 1)"
-_TOL = "greatest(least(20.0, 0.25 * least({a}, {b})), 0.08 * least({a}, {b}))"
 
 
 def _fit(a: str, b: str) -> str:
-    return f"coalesce(abs({a} - {b}) <= {_TOL.format(a=a, b=b)} OR {a} IS NULL OR {b} IS NULL, true)"
+    """Weights within a quarter of the heavier, 20 g at most, or within 8 percent of it."""
+    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN true WHEN {a} > {b} THEN {a} - {b} <= {a} * 0.08 OR ({a} - {b} <= 20 AND {a} - {b} <= {a} / 4) ELSE {b} - {a} <= {b} * 0.08 OR ({b} - {a} <= 20 AND {b} - {a} <= {b} / 4) END)"
+
+
+def _pct(a: str, b: str) -> str:
+    return f"({a}.pct IS NULL OR {b}.pct IS NULL OR {a}.pct = {b}.pct)"
+
+
+def _flags(candidate: str, base: str) -> str:
+    return "(" + " AND ".join(f"({base}.{f} OR NOT {candidate}.{f})" for f in ("organic", "lactose_free", "sugar_free", "gluten_free")) + f" AND {candidate}.alcohol_free = {base}.alcohol_free)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parts = m.select(spark, sf_dir, "part", OFFER)
+    parts = m.select(spark, sf_dir, "part", OFFER).withColumn("percents", F.array_compact(F.array("pct")))
     return parts.filter("id % 2 = 0"), parts.filter("id % 2 = 1")
 
 
@@ -77,7 +92,6 @@ _HASH = "h AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHE
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bit = lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 1)).otherwise(F.lit(0).cast("long"))  # noqa: E731, F841
     signs = F.transform("embedding", lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
     packed = F.aggregate(signs, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x))
     return m.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), packed.alias("hash"))
@@ -102,23 +116,27 @@ def poisoned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.poisoned_keys(m.select(spark, sf_dir, "part", OFFER))
 
 
-_M = f"{AO}, a AS (SELECT * FROM {_UNIQUE.format(t='anchors')}), b AS (SELECT * FROM {_UNIQUE.format(t='offers')}), mt AS (SELECT a.id AS anchor, b.store, b.id AS offer, ean, a.weight_g AS own, b.weight_g AS weight_g FROM a JOIN b USING (ean))"
+_M = f"{AO}, a AS (SELECT * FROM {_UNIQUE.format(t='anchors')}), b AS (SELECT * FROM {_UNIQUE.format(t='offers')}), mt AS (SELECT a.id AS anchor, b.store, b.id AS offer, ean FROM a JOIN b USING (ean))"
 
 
-@query(f"""WITH {_M}, bad AS (SELECT DISTINCT anchor, mt.ean FROM mt JOIN parts p ON p.ean = mt.ean WHERE p.weight_g IS NOT NULL AND NOT {_fit('mt.own', 'p.weight_g')})
+@query(f"""WITH {_M}, bad AS (SELECT DISTINCT anchor, mt.ean FROM mt JOIN anchors x ON x.id = anchor JOIN b o ON o.ean = mt.ean WHERE NOT ({_fit('x.weight_g', 'o.weight_g')} AND {_pct('x', 'o')} AND {_flags('o', 'x')}))
 SELECT anchor, ean, store, offer FROM mt WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.anchor = mt.anchor AND bad.ean = mt.ean)""")
 def retro_validation_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors, offers = _sides(spark, sf_dir)
-    return matching.retro_validated(matching.by_key(anchors, offers), anchors, m.select(spark, sf_dir, "part", OFFER)).select("anchor", "ean", "store", "offer")
+    return matching.retro_validated(matching.by_key(anchors, offers), anchors, offers).select("anchor", "ean", "store", "offer")
 
 
-@query(f"""WITH {_M}, w AS (SELECT * FROM mt WHERE own IS NULL), c AS (SELECT x.anchor, x.offer AS x, y.offer AS y FROM w x JOIN w y ON x.anchor = y.anchor AND x.offer < y.offer WHERE NOT {_fit('x.weight_g', 'y.weight_g')} AND x.ean || x.store <> y.ean || y.store)
+# here a match shares the brand and name of its anchor, which gives several of different EANs
+_PAIRED = f"{AO}, mt AS (SELECT a.id AS anchor, o.store, o.id AS offer, o.ean FROM anchors a JOIN offers o ON o.brand = a.brand AND o.name = a.name)"
+
+
+@query(f"""WITH {_PAIRED}, w AS (SELECT mt.*, x.weight_g AS own, x.pct AS own_pct, o.weight_g, o.pct FROM mt JOIN anchors x ON x.id = anchor JOIN offers o ON o.id = offer),
+c AS (SELECT x.anchor, x.offer AS x, y.offer AS y FROM w x JOIN w y ON x.anchor = y.anchor AND x.offer < y.offer WHERE (x.ean = y.ean) IS NOT TRUE AND (x.own IS NULL AND NOT {_fit('x.weight_g', 'y.weight_g')} OR x.own_pct IS NULL AND NOT {_pct('x', 'y')}))
 SELECT DISTINCT anchor, unnest([x, y]) AS offer FROM c""")
 def pairwise_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors, offers = _sides(spark, sf_dir)
-    rows = matching.by_key(anchors, offers).join(anchors.select(F.col("id").alias("anchor"), F.col("weight_g").alias("anchor_weight")), "anchor")
-    rows = rows.join(offers.select(F.col("id").alias("offer"), "weight_g"), "offer").withColumn("ean", F.concat("ean", F.col("store").cast("string")))
-    return matching.conflicts(rows)
+    rows = anchors.select(F.col("id").alias("anchor"), "brand", "name").join(offers.select(F.col("id").alias("offer"), "ean", "brand", "name"), ["brand", "name"])
+    return matching.conflicts(rows, anchors, offers)
 
 
 @query(f"""WITH {_M}, f AS (SELECT *, anchor % 3 > 0 AS anchor_organic, offer % 4 = 1 AS organic FROM mt), g AS (SELECT *, bool_or(organic) OVER (PARTITION BY anchor) AS claimed, bool_or(organic) OVER (PARTITION BY anchor, ean) AS same FROM f)
@@ -128,12 +146,14 @@ def variant_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.arbitrated(rows, "organic").select("anchor", "store", "offer", "ean", "organic")
 
 
-@query(f"""WITH {_M}, part_of AS (SELECT * FROM mt WHERE offer % 4 = 1), e AS (SELECT anchor, ean FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY store, offer) AS nth FROM part_of) WHERE nth = 1)
-SELECT e.anchor, b.store, b.id AS offer, b.ean FROM e JOIN b USING (ean) JOIN anchors a ON a.id = e.anchor WHERE {_fit('b.weight_g', 'a.weight_g')}
+@query(f"""WITH {_M}, p AS (SELECT anchor, min(store) AS store FROM mt GROUP BY 1), part_of AS (SELECT mt.* FROM mt JOIN p USING (anchor, store)), e AS (SELECT anchor, ean FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY store, offer) AS nth FROM part_of) WHERE nth = 1)
+SELECT e.anchor, b.store, b.id AS offer, b.ean FROM e JOIN b USING (ean) JOIN anchors x ON x.id = e.anchor WHERE {_fit('b.weight_g', 'x.weight_g')} AND (b.count = x.count OR b.count IS NULL OR x.count IS NULL) AND {_pct('b', 'x')} AND {_flags('b', 'x')}
 AND NOT EXISTS (SELECT 1 FROM part_of p WHERE p.anchor = e.anchor AND p.store = b.store) AND b.id NOT IN (SELECT offer FROM part_of)""")
 def cross_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left out of the first store's matches is filled by their EANs."""
     anchors, offers = _sides(spark, sf_dir)
-    return matching.cross_filled(matching.by_key(anchors, offers).filter("offer % 4 = 1"), anchors, offers)
+    rows = matching.by_key(anchors, offers)
+    return matching.cross_filled(rows.join(rows.groupBy("anchor").agg(F.min("store").alias("store")), ["anchor", "store"]), anchors, offers)
 
 
 def _scored(a: DataFrame, b: DataFrame, least: float, where: str = "true") -> DataFrame:
@@ -151,52 +171,69 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("a").alias("anchor"), (F.col("b") % 7).alias("store"), F.col("b").alias("offer"), "score")
 
 
-def _cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of distinct brand and name of different stores, once each; the brand is no gate (J10)."""
-    names = _names(spark, sf_dir)
-    rows = _scored(names, names, 0.65, "a < b AND a % 7 <> b % 7")
-    return rows.select("a", "b", (F.col("a") % 7).alias("a_store"), (F.col("b") % 7).alias("b_store"), "score")
-
-
 @query()
 def greedy_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.claimed(_edges(spark, sf_dir))
 
 
+#: Words that let the gates act: they are added to the descriptions.
+SAID = "CASE id % 9 WHEN 0 THEN 'laktosefri' WHEN 1 THEN 'fedt 12%' WHEN 2 THEN 'fedt 38 %' WHEN 3 THEN 'okse' WHEN 4 THEN 'choko budding' WHEN 5 THEN 'økologisk' WHEN 6 THEN 'jordbærsmag drik' WHEN 7 THEN 'gris' ELSE '' END"
+FLAVOURS = {"choko": "chocolate", "jordbær": "strawberry", "hot": "hot", "cold": "cold"}
+
+
+def _featured(cards: DataFrame, sf_dir: str) -> DataFrame:
+    """Cards with what the gates look at; images are those of the embeddings, as far as they go."""
+    hashes = _hashes(cards.sparkSession, sf_dir)
+    cards = cards.withColumns({"description": F.concat_ws(" ", "category", F.expr(SAID)), "ean": F.when(F.col("id") % 6 == 0, F.concat(F.lit("e"), F.col("id"))), "count": F.when(F.col("id") % 5 == 0, (F.col("id") % 3).cast("int"))})
+    cards = cards.join(hashes.select((F.col("id") * 2).alias("id"), "hash").unionByName(hashes.select((F.col("id") * 2 + 1).alias("id"), "hash")), "id", "left")
+    return matching.features(cards, FLAVOURS, suffixes=("smag",), own_brands=("brand#11", "brand#12"), own_beginnings=("brand#2",), loose=("PROMO",))
+
+
+_CARD = ["id", "id % 7 AS store", "name", "brand", "category", "weight_g", "CAST(price AS DOUBLE) AS price"]
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cards."""
+    return _featured(m.cards(spark, sf_dir).selectExpr(*_CARD), sf_dir)
+
+
+def featured_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first card of every brand and name."""
+    return _featured(m.cards(spark, sf_dir).join(_names(spark, sf_dir).select("id"), "id", "left_semi").selectExpr(*_CARD), sf_dir)
+
+
 @query()
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = m.cards(spark, sf_dir).select("id", F.col("store").cast("long").alias("store"), "name", "brand", "category", "weight_g", "price", F.col("title").alias("description"))
-    cards = cards.withColumns({"ean": F.lit(None).cast("string"), "count": F.lit(None).cast("int"), "hash": F.lit(None).cast("long")})
-    rows = matching.features(cards, {"ring": "ring", "bolt": "bolt"}, ["hot", "cold", "red", "blue"])
-    edges = matching.anchor_edges(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
-    return matching.best_per_store(edges)
+    """Cards of even ids are anchors, those of odd ids offers."""
+    rows = featured(spark, sf_dir)
+    return matching.best_per_store(matching.anchor_edges(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")))
+
+
+def _cluster_edges(rows: DataFrame) -> DataFrame:
+    return matching.cross_store_edges(rows, rows).filter("a < b")
 
 
 @query()
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _names(spark, sf_dir)
-    x, y = names.select(F.col("id").alias("a")), names.select(F.col("id").alias("b"))
-    return matching.clusters(_cluster_edges(spark, sf_dir), x.join(y, (F.col("a") < F.col("b")) & ((F.col("a") + F.col("b")) % 5 > 0)))
+    rows = featured_names(spark, sf_dir)
+    return matching.clusters(_cluster_edges(rows), rows.withColumn("leads", F.col("ean").isNull()))
 
 
-@query("""WITH n AS (SELECT min(p_partkey) AS id, lower(p_name) AS name, p_brand AS brand FROM part GROUP BY ALL), mem AS (SELECT min(id) OVER (PARTITION BY name) AS grp, id AS member, id % 7 AS store, brand FROM n WHERE id % 2 = 0),
-e AS (SELECT o.id AS offer, o.id % 7 AS offer_store, mem.member, mem.grp, abs(o.id - mem.member) % 100 / 100.0 AS score FROM n o JOIN mem ON mem.brand = o.brand WHERE o.id % 2 = 1),
-ok AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.grp = e.grp AND mem.store = e.offer_store) AND NOT EXISTS (SELECT 1 FROM mem WHERE mem.grp = e.grp AND (mem.member + e.offer) % 11 = 0))
-SELECT offer, grp AS "group", score FROM (SELECT *, row_number() OVER (PARTITION BY offer ORDER BY score DESC, grp, member) AS nth FROM ok) WHERE nth = 1""")
-def group_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Free offers, of odd ids, and groups, which are names of like brands among the even ids."""
     from pyspark.sql import Window
 
-    names = _names(spark, sf_dir)
-    members = names.filter("id % 2 = 0").select(F.min("id").over(Window.partitionBy("name")).alias("group"), F.col("id").alias("member"), (F.col("id") % 7).alias("store"), "brand")
-    edges = names.filter("id % 2 = 1").select(F.col("id").alias("offer"), (F.col("id") % 7).alias("offer_store"), "brand").join(members.select("member", "brand"), "brand")
-    edges = edges.withColumn("score", F.abs(F.col("offer") - F.col("member")) % 100 / 100.0)
-    offers, near = edges.select("offer").distinct(), members.select("member")
-    bad = offers.withColumn("k", F.pmod(-F.col("offer"), F.lit(11))).join(near.withColumn("k", F.pmod("member", F.lit(11))), "k").select("offer", "member")
-    return matching.attached(edges.select("offer", "offer_store", "member", "score"), members.select("group", "member", "store"), bad)
+    members = rows.filter("id % 2 = 0").withColumn("group", F.min("id").over(Window.partitionBy("norm", F.substring("brand", 1, 7))))
+    return rows.filter("id % 2 = 1"), members
+
+
+@query()
+def group_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.attached(*_groups(featured_names(spark, sf_dir)))
 
 
 @query()
 def image_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = m.cards(spark, sf_dir).select("id", F.concat("name", "brand").alias("image"), F.col("weight_g"), F.create_map(F.col("store").cast("string"), F.col("price")).alias("prices"))
+    cards = featured(spark, sf_dir).withColumns({"image": F.concat("name", "brand"), "prices": F.create_map(F.col("store").cast("string"), F.col("price"))})
     rows = matching.deduplicated_by_image(cards)
     return rows.select("id", "image", "weight_g", F.array_join(F.array_sort(F.map_keys("prices")), ",").alias("stores"), "merged")

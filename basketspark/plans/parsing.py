@@ -98,17 +98,17 @@ def junk_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.raw(spark, sf_dir).select("id", parse.cleaned(F.col("label")).alias("label"), parse.producer(F.col("label")).alias("producer"))
 
 
-def _flag(p: str) -> str:
-    return "regexp_matches(t, '" + p.replace("'", "''") + "')"
-
-
-@query(f"""WITH {m.R}, x AS (SELECT id, lower(label) AS t FROM raw)
-SELECT id, {_flag(text.ORGANIC)} AND NOT {_flag(text.NOT_ORGANIC)} AS organic, {', '.join(f'{_flag(p)} AS {k}' for k, p in text.VARIANTS.items() if k != 'organic')} FROM x""")
+@query(rf"""WITH {m.R}, x AS (SELECT id, ' ' || regexp_replace(lower(label), '[^\p{{L}}\p{{N}}_%,. -]', ' ', 'g') || ' ' AS t FROM raw)
+SELECT id, (contains(t, ' økolog') OR contains(t, ' øko ') OR contains(t, ' organic ')) AND NOT regexp_matches(t, ' ikke +øko') AS organic,
+    contains(t, 'laktosefri') OR contains(t, 'laktose fri') OR contains(t, 'lactose free') OR contains(t, 'lactose-free') OR contains(t, 'lactofri') OR contains(t, 'lacto-free') OR contains(t, 'lactofree') OR contains(t, ' lacto ') AS lactose_free,
+    contains(t, 'sukkerfri') OR contains(t, 'sukker fri') OR contains(t, 'sugar free') OR contains(t, 'sugar-free') OR contains(t, ' zero ') OR contains(t, 'no sugar') OR contains(t, 'uden sukker') OR contains(t, ' nul suk') OR contains(t, '0% sugar') AS sugar_free,
+    contains(t, 'glutenfri') OR contains(t, 'gluten fri') OR contains(t, 'gluten free') OR contains(t, 'gluten-free') OR contains(t, 'uden gluten') AS gluten_free,
+    contains(t, 'alkoholfri') OR contains(t, 'alkohol fri') OR contains(t, 'alcohol free') OR contains(t, 'alcohol-free') OR regexp_matches(t, ' nul ?%| 0[,.]0 ?%') AS alcohol_free FROM x""")
 def variant_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.raw(spark, sf_dir).select("id", *(c.alias(k) for k, c in text.variant_flags(F.col("label")).items()))
 
 
-_PCT = r"list_sort(list_distinct(list_transform(regexp_extract_all(lower(label), '([0-9]+(?:[.,][0-9]+)?)\s*[%+]', 1), lambda x: round(TRY_CAST(replace(x, ',', '.') AS DOUBLE), 1))))"
+_PCT = r"list_distinct(list_transform(list_concat(regexp_extract_all(label, '([0-9]+(?:[.,][0-9]+)?)\s*%', 1), regexp_extract_all(' ' || label, '[^0-9,.]([0-9][0-9])\s*[+]', 1)), lambda x: round(TRY_CAST(replace(x, ',', '.') AS DOUBLE), 1)))"
 
 
 @query(f"""WITH {m.R}, x AS (SELECT id, size, {_PCT} AS p FROM raw) SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.size = b.size AND a.id < b.id
@@ -121,13 +121,19 @@ def percent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "size").filter((F.col("a") < F.col("b")) & gates.overlap_if_known(F.col("a_p"), F.col("b_p"))).select("a", "b")
 
 
-_ABB = "x"
-for _short, _full in text.ABBREVIATIONS:
-    _ABB = f"replace({_ABB}, ' {_short} ', ' {_full} ')"
-for _word in ("eko", "bio", "okologisk", "økologisk"):
-    _ABB = f"replace({_ABB}, ' {_word} ', ' ')"
-NORMAL_SQL = f"""normal AS (SELECT id, trim(regexp_replace({_ABB}, '\\s+', ' ', 'g')) AS name FROM (
-    SELECT id, ' ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(name), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}'), '[&+]', ' and ', 'g'), '[''’`]', '', 'g'), '[,./%!?;:()"]', ' ', 'g'), '\\s+', '  ', 'g') || ' ' AS x FROM names))"""
+# written out apart from the library's own table; a word is met twice, as two in a row share what is between them
+_SHORT = "sc=sour cream|hk=hakket|fuldk=fuldkorn|kyl=kylling|kart=kartoffel|champ=champignon|sdj=sønderjysk|øko=okologisk|vanille=vanilje|vanilla=vanilje|smørbart=smørbar|smrbar=smørbar|hyldebl=hyldeblomst|hindb=hindbaer|jordb=jordbaer|peberm=pebermynte|chokol=chokolade|vanilj=vanilje"
+_ABB = "translate(replace(replace(strip_accents(lower(name)), '&', 'and'), '+', 'and'), ',.''’', '  ')"
+for _pair in _SHORT.split("|"):
+    for _ in range(2):
+        _ABB = rf"regexp_replace({_ABB}, '(^|[^\p{{L}}\p{{N}}_]){_pair.split('=')[0]}($|[^\p{{L}}\p{{N}}_])', '\1{_pair.split('=')[1]}\2', 'g')"
+for _ in range(2):
+    _ABB = rf"regexp_replace({_ABB}, '(^|^[^\p{{L}}\p{{N}}_]|[^f][^\p{{L}}\p{{N}}_]|[^\p{{L}}\p{{N}}_ ])eks($|[^\p{{L}}\p{{N}}_])', '\1ekstra\2', 'g')"
+for _word in ("%", " eko", " bio", " a/s", " i/s"):
+    _ABB = f"replace({_ABB}, '{_word}', '')"
+for _ in range(2):
+    _ABB = rf"regexp_replace({_ABB}, '(^|[^\p{{L}}\p{{N}}_])okologisk($|[^\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+NORMAL_SQL = rf"normal AS (SELECT id, trim(regexp_replace({_ABB}, '[/\s\p{{Z}}]+', ' ', 'g')) AS name FROM names)"
 NAMES_SQL = "names AS (SELECT doc_id AS id, coalesce(text, '') AS name, lang, source FROM documents)"
 
 
@@ -141,7 +147,7 @@ def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.documents(spark, sf_dir).select("id", text.folded(F.lower("name")).alias("folded"))
 
 
-_GENERIC = ", ".join(f"'{w}'" for w in text.GENERIC)
+_GENERIC = "'stk', 'pakke', 'pose', 'flaske', 'the', 'and', 'med', 'uden', 'eller'"
 
 
 @query(f"WITH {NAMES_SQL}, {NORMAL_SQL} SELECT DISTINCT id, w AS word FROM (SELECT id, unnest(string_split(name, ' ')) AS w FROM normal) WHERE length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({_GENERIC})")

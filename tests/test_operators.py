@@ -7,9 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from basketspark import checkpoints
 from basketspark.functions import gates, similarity
 from basketspark.operators import basket, history, listing, matching, quality
-from basketspark.plans import mapping as m
 from basketspark.plans import matches
 from basketspark.sources import readers, writers
 from basketspark.streaming import activity
@@ -19,7 +19,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("a", "b", "ok"), [(20.0, 40.0, False), (100.0, 150.0, False), (1000.0, 1050.0, True), (None, 5.0, True)])
+@pytest.mark.parametrize(("a", "b", "ok"), [(20.0, 40.0, False), (100.0, 150.0, False), (1000.0, 1050.0, True), (1000.0, 1085.0, True), (1000.0, 1090.0, False), (75.0, 100.0, False), (80.0, 100.0, True), (None, 5.0, True)])
 def test_weight_gate(spark, a, b, ok):
     x, y = F.lit(a).cast("double"), F.lit(b).cast("double")
     assert one(spark, gates.weights_compatible(x, y)) is ok
@@ -97,15 +97,9 @@ def test_near_images_are_exact(spark):
     df = spark.createDataFrame(rows, "id long, hash long")
     got = {(r.a, r.b) for r in matching.near_images(df, df, 4).filter("a < b").collect()}
     assert got == {(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
-
-
-def test_clusters_pair_all_names_of_other_stores(spark, sf_dir):
-    names = [(r.id, r.name) for r in matches._names(spark, sf_dir).collect()]
-    pairs = [(a, b, x, y) for a, x in names for b, y in names if a < b and a % 7 != b % 7 and set(x.split()) & set(y.split())]
-    scores = matching.scored(spark.createDataFrame(pairs, "a long, b long, a_name string, b_name string"))
-    want = {(r.a, r.b, r.score) for r in scores.collect() if r.score >= 0.65}
-    got = {(r.a, r.b, r.score) for r in matches._cluster_edges(spark, sf_dir).collect()}
-    assert got == want and any((a + b) % 2 == 0 for a, b, _ in got)
+    for most, bands in ((12, None), (15, None), (3, 4)):
+        got = {(r.a, r.b, r.distance) for r in matching.near_images(df, df, most, bands).filter("a < b").collect()}
+        assert got == {(a, b, d) for a, x in rows for b, y in rows if a < b and (d := ((x ^ y) & (2**64 - 1)).bit_count()) <= most}
 
 
 @pytest.mark.parametrize("n", [60, 100])
@@ -116,25 +110,196 @@ def test_components_of_long_paths(spark, n):
     assert got == {x: 0 for x in path} | {1000: 1000, 1001: 1000, 1002: 1000, 1005: 1005}
 
 
-def test_anchor_match_takes_all_cards(spark, sf_dir, monkeypatch):
-    got = {(r.anchor, r.store, r.offer, r.score) for r in matches.anchor_match(spark, sf_dir).collect()}
-    seen = []
-    monkeypatch.setattr(matching, "blocked", lambda a, b: a.crossJoin(b.select(F.col("id").alias("b"), F.col("name").alias("other"))).filter(F.arrays_overlap(F.split("name", " "), F.split("other", " "))).select(F.col("id").alias("a"), "b"))
-    monkeypatch.setattr(matching, "best_per_store", lambda edges: seen.append(edges) or edges)
-    matches.anchor_match(spark, sf_dir)
-    ids = [r.id for r in m.cards(spark, sf_dir).select("id").collect()]
-    best = {}
-    for r in seen[0].collect():
-        best[r.anchor, r.store] = max(best.get((r.anchor, r.store), (0.0, 0)), (r.score, -r.offer))
-    assert got == {(a, s, -o, score) for (a, s), (score, o) in best.items()}
-    assert len({a for a, *_ in got}) > len([i for i in ids if i % 50 == 0])
-    assert {a for a, *_ in got} <= {i for i in ids if i % 2 == 0}
-
-
-def test_images_merge_cards(spark):
-    rows = [(1, "i", 330.0, {"A": 1.0}), (2, "i", 330.0, {"A": 2.0, "B": 3.0}), (3, "i", 7920.0, {"C": 9.0})]
-    got = matching.deduplicated_by_image(spark.createDataFrame(rows, "id long, image string, weight_g double, prices map<string,double>")).orderBy("id").collect()
-    assert [(r.id, r.prices) for r in got] == [(1, {"A": 1.0, "B": 3.0}), (3, {"C": 9.0})]
+def test_claims_in_long_chains(spark):
+    """Every anchor wants the offer of the one before it."""
+    rows = [(a, 0, o, s) for a in range(12) for o, s in ((a - 1, 0.9), (a, 0.8)) if o >= 0]
+    got = {(r.anchor, r.offer) for r in matching.claimed(spark.createDataFrame(rows, "anchor long, store long, offer long, score double")).collect()}
+    assert got == {(a, a) for a in range(12)}
+
+
+class Card:
+    """A card and the gates, in plain Python."""
+
+    def __init__(self, r):
+        self.__dict__.update(r.asDict())
+
+    def heavy(self, o):
+        a, b = self.weight_g, o.weight_g
+        return a is None or b is None or abs(a - b) <= max(min(20, max(a, b) / 4), 0.08 * max(a, b))
+
+    def counted(self, o):
+        return self.count is None or o.count is None or self.count == o.count
+
+    def percentages(self, o):
+        return not self.percents or not o.percents or bool({*self.percents} & {*o.percents})
+
+    def meaty(self, o):
+        return not self.meats or not o.meats or {*self.meats} == {*o.meats}
+
+    def flags(self):
+        return [getattr(self, f) for f in matching.FLAGS]
+
+    def claims(self, o):
+        return all(a == b if f == "alcohol_free" else a or not b for f, a, b in zip(matching.FLAGS, self.flags(), o.flags(), strict=True))
+
+    def priced(self, o):
+        return self.price <= 5 * o.price and o.price <= 5 * self.price
+
+    def group(self, o):
+        return self.heavy(o) and self.counted(o) and self.percentages(o) and self.meaty(o) and self.flags() == o.flags()
+
+    def words(self, name="norm"):
+        return {w for w in getattr(self, name).split() if len(w) >= 3}
+
+    def bits(self, o):
+        return None if self.hash is None or o.hash is None else ((self.hash ^ o.hash) & (2**64 - 1)).bit_count()
+
+    def matched(self, o, vocabulary):
+        """The score of the offer ``o`` for this anchor, or None."""
+        near = self.bits(o)
+        named = self.words() & o.words() if self.words() & vocabulary else self.words("described") & o.words()
+        if self.ean or not (named or near is not None and near <= 12):
+            return None
+        close = near is not None and near <= 4
+        if not (self.percentages(o) and self.meaty(o) and self.alcohol_free == o.alcohol_free and self.heavy(o) and self.counted(o) and self.priced(o)):
+            return None
+        if not close and not (self.claims(o) and {*o.flavours} <= {*self.flavours} and {*o.forms} <= {*self.forms}):
+            return None
+        name, maker = max(similarity.score(n, o.norm) for n in (self.norm, self.described)), similarity.score(self.maker, o.maker)
+        own = self.private and o.private
+        if self.category != o.category and name < 0.80 or self.private != o.private and name < 0.70:
+            return None
+        pictured = not own and near is not None and (near <= 8 or near <= 12 and maker >= 0.75)
+        kind = lambda c: next((d for d in ("mini", "let", "skummet", "sod", "piske", "kærne", "kær") if d in c.norm), None)
+        if kind(self) and kind(o) and kind(self) != kind(o) and (own or near is None or near > 5):
+            return None
+        first = next((w for w in self.norm.split() if len(w) >= 4), None)
+        if first and first not in o.norm and not (name >= 0.60 if own else pictured):
+            return None
+        if name < 0.75 and not close and not o.weight_g and not o.ean and (self.count is None or o.count is None) and not (self.loose and o.loose):
+            return None
+        if name < 0.50 and not (pictured and name >= 0.30):
+            return None
+        image = 0 if near is None else 0.2 + 0.2 * (8 - near) / 8 if near <= 8 else max(0, 0.2 * (15 - near) / 7)
+        total = name + 0.3 * (1 if own else maker) + image
+        return total if total >= 0.60 else None
+
+    def alike(self, o):
+        """The score of two offers of different stores, or None."""
+        if self.store == o.store or not self.words() & o.words() or not (self.group(o) and self.priced(o)) or {*self.flavours} != {*o.flavours} or {*self.forms} != {*o.forms}:
+            return None
+        name = similarity.score(self.norm, o.norm)
+        weighed = self.weight_g and o.weight_g or self.count is not None and o.count is not None or self.loose and o.loose
+        if name < 0.65 or self.category != o.category and name < 0.80 or self.private != o.private and name < 0.70 or name < 0.75 and not weighed:
+            return None
+        return name
+
+
+@pytest.fixture(scope="module")
+def featured(spark, sf_dir):
+    rows = checkpoints.checkpointed(matches.featured(spark, sf_dir).drop("ean", "count").withColumns({"ean": F.when(F.col("id") % 6 == 0, F.concat(F.lit("e"), F.col("id"))), "count": F.when(F.col("id") % 5 == 0, F.col("id") % 3).cast("int")}))
+    # names that differ more than those of the table, and images that are near each other
+    changed = F.when(F.col("id") % 4 == 0, F.concat("norm", F.lit(" let"))).when(F.col("id") % 4 == 1, F.concat(F.lit("mini "), "norm")).when(F.col("id") % 10 == 7, F.lit("zz xx")).otherwise(F.col("norm"))
+    rows = rows.withColumns({"norm": changed, "hash": F.expr("CASE WHEN id % 3 < 2 THEN id DIV 8 * 829366591 + shiftleft(1L, CAST(id % 8 AS INT)) END"), "described": F.when(F.col("id") % 10 == 7, F.lit("red promo")).otherwise(F.col("described"))})
+    rows = checkpoints.checkpointed(rows)
+    return rows, [Card(r) for r in rows.orderBy("id").collect()]
+
+
+def test_anchor_edges_by_all_gates(spark, featured):
+    df, cards = featured
+    got = {(r.anchor, r.offer): r.score for r in matching.anchor_edges(df.filter("id % 2 = 0"), df.filter("id % 2 = 1")).collect()}
+    offers = [c for c in cards if c.id % 2]
+    vocabulary = set().union(*(o.words() for o in offers))
+    want = {(a.id, o.id): s for a in cards if a.id % 2 == 0 for o in offers if (s := a.matched(o, vocabulary)) is not None}
+    assert set(got) == set(want) and len(want) > 20
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def clustered(cards, edges, leads):
+    """(base, member) by going through the bases in order."""
+    by, free, out = {c.id: c for c in cards}, {c.id for c in cards}, set()
+    for base in sorted(cards, key=lambda c: (c.store, c.id)):
+        if base.id not in free or not leads(base):
+            continue
+        best = {}
+        for m in free:
+            if (s := edges.get((base.id, m))) is not None:
+                best[by[m].store] = max(best.get(by[m].store, (0, 0)), (s, -m))
+        members = [(s, -m) for _, (s, m) in sorted(best.items())]
+        while bad := next(((x, y) for i, x in enumerate(members) for y in members[i + 1 :] if not by[x[1]].group(by[y[1]])), None):
+            members.remove(bad[0] if bad[0][0] <= bad[1][0] else bad[1])
+        if members:
+            free -= {base.id, *(m for _, m in members)}
+            out |= {(base.id, base.id), *((base.id, m) for _, m in members)}
+    return out
+
+
+def test_clusters_in_order(spark, featured):
+    df, cards = featured
+    found = matching.cross_store_edges(df, df).filter("a < b")
+    got = {(r.a, r.b): r.score for r in found.collect()}
+    want = {(a.id, b.id): s for a in cards for b in cards if a.id < b.id and (s := a.alike(b)) is not None}
+    assert set(got) == set(want) and len(want) > 20
+    both = got | {(b, a): s for (a, b), s in got.items()}
+    made = {(r.base, r.member) for r in matching.clusters(found, df.withColumn("leads", F.col("ean").isNull())).collect()}
+    assert made == clustered(cards, both, lambda c: c.ean is None)
+    # members that contradict each other although both fit the base
+    rows = [(i, i % 4, w) for i, w in enumerate([None, 100.0, 500.0, 100.0] * 3)]
+    odd = matching.features(spark.createDataFrame([(i, s, "n", w) for i, s, w in rows], "id long, store long, name string, weight_g double")).withColumn("leads", F.lit(True))
+    edges = [(i, j, a, b, 0.7 + (i * j % 7) / 50) for i, a, _ in rows for j, b, _ in rows if i < j and a != b and (a == 0 or b == 0)]
+    made = {(r.base, r.member) for r in matching.clusters(spark.createDataFrame(edges, "a long, b long, a_store long, b_store long, score double"), odd).collect()}
+    plain = [Card(r) for r in odd.collect()]
+    assert made == clustered(plain, {(a, b): s for a, b, _, _, s in edges} | {(b, a): s for a, b, _, _, s in edges}, lambda c: True)
+
+
+def test_groups_take_what_no_member_contradicts(spark, featured):
+    df, _ = featured
+    offers, members = matches._groups(df)
+    of = {r.id: r.group for r in members.select("id", "group").collect()}
+    free, inside = [Card(r) for r in offers.collect()], [Card(r) for r in members.collect()]
+    want = {}
+    for o in free:
+        best = None
+        for m in inside:
+            mates = [x for x in inside if of[x.id] == of[m.id]]
+            if o.ean is None and (s := o.alike(m)) is not None and all(x.store != o.store and o.group(x) for x in mates):
+                best = max(best or (0, 0, 0), (round(s, 6), -of[m.id], -m.id))
+        if best:
+            want[o.id] = -best[1]
+    assert {r.offer: r.group for r in matching.attached(offers, members).collect()} == want and want
+
+
+def test_images_merge_cards_that_fit(spark, featured):
+    df, cards = featured
+    df = df.withColumns({"image": F.when(F.col("id") % 20 > 0, (F.col("id") % 5).cast("string")), "prices": F.create_map(F.col("store").cast("string"), F.col("price"))})
+    got = {r.id: (r.prices, r.merged) for r in matching.deduplicated_by_image(df).collect()}
+    kept = {}
+    for c in cards:
+        image = str(c.id % 5) if c.id % 20 else f"none {c.id}"
+        own = {str(c.store): c.price}
+        fit = next((k for k in kept.setdefault(image, []) if k[0].group(c) and not (k[0].norm and c.norm and similarity.score(k[0].norm, c.norm) < 0.35)), None)
+        if fit:
+            fit[1].update({k: v for k, v in own.items() if k not in fit[1]})
+            fit[2] += 1
+        else:
+            kept[image].append([c, own, 0])
+    assert got == {k[0].id: (k[1], k[2]) for ks in kept.values() for k in ks}
+    assert any(n for _, n in got.values())
+
+
+def test_a_cluster_needs_the_shared_folder(spark, monkeypatch):
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+            class _conf:
+                get = staticmethod(lambda *a: None)
+
+            getConf = staticmethod(lambda: Session.sparkContext._conf)  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.ready(Session)
 
 
 def test_guards(spark):

@@ -72,6 +72,39 @@ def test_organic(spark, given, organic):
 
 def test_words_are_consumed(spark):
     lexicon = ["løg", "hvidløg", "choko", "karamel", "cola", "sour cream", "sour"]
-    assert one(spark, text.words_consumed(F.lit("hvidløg"), lexicon)) == ["hvidløg"]
-    assert one(spark, text.words_consumed(F.lit("chokokaramel"), lexicon)) == ["choko", "karamel"]
-    assert one(spark, text.words_consumed(F.lit("sour cream"), lexicon)) == ["sour cream"]
+    assert one(spark, text.keywords(F.lit("hvidløg"), lexicon)) == ["hvidløg"]
+    assert one(spark, text.keywords(F.lit("chokokaramel"), lexicon)) == ["choko", "karamel"]
+    assert one(spark, text.keywords(F.lit("sour cream"), lexicon)) == ["sour cream"]
+    assert one(spark, text.keywords(F.lit("chocolat"), lexicon)) == []
+    assert one(spark, text.keywords(F.lit("Saltkaramelsmag"), {"karamel": "caramel"}, suffixes=("smag",))) == ["caramel"]
+    assert one(spark, text.keywords(F.lit("druesukker vindrue"), {"drue": "grape", "vandmelon": ("water", "melon")}, blockers=("druesukker",))) == ["grape"]
+    assert one(spark, text.keywords(F.lit("vandmelon"), {"vandmelon": ("water", "melon")})) == ["melon", "water"]
+    assert one(spark, text.keywords(F.lit(None).cast("string"), lexicon)) == []
+
+
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [("Øko mælk", "mælk"), ("Kart. små", "kartoffel sma"), ("Vanilla is", "vanilje is"), ("200 gr", "200 gr"), ("Sild m. løg", "sild m løg"), ("Sour & Onion", "sour and onion"), ("A&B", "aandb"), ("F.eks. te", "f eks te"), ("Eks. te", "ekstra te"),
+     ("HK. okse 4-7%", "hakket okse 4-7"), ("Café crème BIO", "cafe creme"), ("Arla A/S", "arla"), ("kart/champ", "kartoffel champignon"), (None, ""), ("nan", ""), ("hindb jordb", "hindbaer jordbaer"), ("kartoffel", "kartoffel")],
+)
+def test_names_in_detail(spark, given, expected):
+    assert one(spark, text.normalized(F.lit(given).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(
+    ("flag", "given", "has"),
+    [("lactose_free", "laktose fri", True), ("lactose_free", "Lactofree", True), ("lactose_free", "lactose", False), ("sugar_free", "uden sukker", True), ("sugar_free", "Nul Suk.", True), ("sugar_free", "xzero", False), ("gluten_free", "uden gluten", True),
+     ("alcohol_free", "nul %", True), ("alcohol_free", "0,0 %", True), ("alcohol_free", "10,0 %", False), ("organic", "økologi", True), ("organic", "ikke økologisk", False)],
+)
+def test_variants(spark, flag, given, has):
+    assert one(spark, text.variant_flags(F.lit(given))[flag]) is has
+
+
+def test_percentages_meats_and_private_labels(spark):
+    assert one(spark, text.percents(F.lit("Ost 45+ 4,6% 4.60 %"))) == [4.6, 45.0]
+    assert one(spark, text.percents(F.lit("1,45+ 145+"))) == []
+    assert one(spark, text.meats(F.lit("HK. OKSEKØD og kyl."))) == ["okse", "kylling"]
+    assert one(spark, text.meats(F.lit("Lammefjord gulerødder"))) == []
+    own = lambda b, t: one(spark, text.private_label(F.lit(b).cast("string"), F.lit(t), ("own",), ("own ", "ours ")))
+    assert [own("Own", "x"), own("Own Best", "x"), own(None, "Ours milk"), own("other", "own")] == [True, True, True, False]
+    assert one(spark, text.dairy(F.lit("letmælk mini"))) == "mini"
