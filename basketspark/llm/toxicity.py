@@ -2,19 +2,20 @@
 
 Fitting. Up to ``examples`` labelled documents of either class, picked by the hash of their
 ids, are the examples; up to ``calibration`` of a quarter that is kept apart set the scale.
-Terms are words and their first four and five letters (stems of inflected words). All terms
-of the examples are in the index, bounded by the examples' texts. Those that are
+Terms are lower-cased words and their first four and five bytes (stems of inflected words),
+each known by a 64-bit hash. All terms of the examples are in the index. Those that are
 ``least_ratio`` times as frequent in toxic ones, with a chi-square of ``least_chi2`` or more,
-``vocabulary`` at most, are telling and have a second index of their own. The document
-frequencies of the terms are counted over all documents.
-
-Scoring. Weights are (1 + ln tf) * idf, vectors have length one. The index has for every
-term its postings in blocks of ``block`` examples and each block's largest weight. The sum of
-the query's weights times these bounds what any example of a block can score; blocks are
-taken by falling bound until no other can reach the ``k``-th best cosine. The neighbours vote
-with their cosines, by all terms and by the telling ones alone; shares and strengths of the
-toxic votes go through a logistic curve fitted on the calibration documents. ``evidence``
-lists the nearest examples by all terms.
+``telling`` at most, have a second index of their own. The document frequencies of the terms
+are counted over all documents.
+
+Scoring. Weights are (1 + ln tf) * idf, vectors have length one. Terms that few examples have
+are scored by their postings. Those that many have stand in blocks of ``block`` examples with
+each block's largest weight; the query's weights times these bound what the block's examples
+can add, and blocks are taken by falling bound until no other can reach the ``k``-th best
+cosine. A batch of texts goes through together. The neighbours vote with their cosines, by
+all terms and by the telling ones alone; shares and strengths of the toxic votes go through a
+logistic curve fitted on the calibration documents. ``evidence`` lists the nearest examples by
+all terms.
 
 Defined results: a text with none of the terms, be it empty or null, gets the score of no
 evidence; equal cosines go to the example of smaller doc_id; repeated rows get equal
@@ -26,9 +27,6 @@ columns are ignored. Labels are learned only from documents whose crc32 of the i
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,48 +35,82 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import mix, prefix_hashes, span_hashes
 from ._common import id_or_nobody, materialize, null_again
 
-WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
-
-
-def of_word(w: str) -> list[str]:
-    """A word's terms: itself and, if it is longer, its beginnings with a mark."""
-    return [w, *([w[:4] + "*"] if len(w) > 4 else []), *([w[:5] + "*"] if len(w) > 5 else [])]
-
-
-def terms(text: str | None) -> Counter:
-    """A text's terms with their numbers."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
-        for t in of_word(w):
-            out[t] += n
-    return out
-
-
-class Vocabulary(dict):
-    """Word -> the numbers of those of its terms that are in the vocabulary; words met before are remembered."""
-
-    def __init__(self, words: list[str]):
-        self.place = {w: i for i, w in enumerate(words)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = tuple(self.place[t] for t in of_word(word) if t in self.place)
-        return out
-
-    def __reduce__(self):
-        return Vocabulary, ([*self.place],)
-
-    def count(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if text:
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                for i in self[w]:
-                    out[i] = out.get(i, 0) + n
-        return out
+STEMS = (4, 5)
+PIECE = 1 << 17
+BATCH = 1 << 18
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Lower-cased texts as bytes, a number of them or parts of a long one at a time; parts end at a space if they can."""
+    own: list[int] = []
+    data: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        x = t.lower().encode("utf-8", "surrogatepass") if t else b""
+        at = 0
+        while at < len(x):
+            stop = len(x)
+            if stop - at > PIECE:
+                stop = x.rfind(b" ", at, at + PIECE) + 1 or at + PIECE
+            own.append(i)
+            data.append(x[at:stop])
+            size += stop - at
+            at = stop
+            if size >= PIECE:
+                yield own, data
+                own, data, size = [], [], 0
+    if own:
+        yield own, data
+
+
+def term_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all texts: which text, and the hash."""
+    buf = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    letter = ((buf >= 97) & (buf <= 122)) | (buf >= 128)
+    # two-byte signs that begin with C2 and three-byte ones that begin with E2 are punctuation
+    for lead, n in ((0xC2, 2), (0xE2, 3)):
+        at = np.flatnonzero(buf == lead)
+        for j in range(n):
+            letter[np.minimum(at + j, len(buf) - 1)] = False
+    edge = np.diff(letter.view(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts = np.cumsum([0, *(len(x) + 1 for x in data)])
+    of = np.searchsorted(starts, begin, "right") - 1
+    prefix = prefix_hashes(buf)
+    hashes, owners = [span_hashes(prefix, begin, end)], [of]
+    for n in STEMS:
+        longer = np.flatnonzero(end - begin > n)
+        hashes.append(mix(span_hashes(prefix, begin[longer], begin[longer] + n) + np.uint64(n)))
+        owners.append(of[longer])
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
+def own_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms, rising, and how often each occurs."""
+    found = [term_hashes(data)[1] for _, data in pieces([text])]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+
+
+def counted(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, number) of the terms that are in the (rising) vocabulary, in order of texts and terms."""
+    wide = max(1, len(vocabulary))
+    keys, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own, data in pieces(texts):
+        of, h = term_hashes(data)
+        h, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(vocabulary, h), wide - 1)
+        term = np.where(vocabulary[at] == h, at, -1)[back] if len(vocabulary) else np.full(len(back), -1)
+        known = term >= 0
+        key, n = np.unique(np.array(own)[of[known]] * wide + term[known], return_counts=True)
+        keys.append(key)
+        numbers.append(n)
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(back, np.concatenate(numbers), len(key))
+    return key // wide, key % wide, n
 
 
 def held_out(folds: int = 5, doc_id: str = "doc_id"):
@@ -92,95 +124,100 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def unit(text: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
+    """The weights of counted terms; each text's vector has length one."""
+    w = (1 + np.log(n)) * idf[term]
+    length = np.sqrt(np.bincount(text, w * w, texts))
+    return w / np.where(length > 0, length, 1)[text]
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples over the vocabulary, inverted, in blocks.
-
-    An entry is what a term has in a block; terms have no entries in blocks without them.
-    """
+    """Unit vectors of the examples, in order of their ids: postings of rare terms, and blocks of the others."""
 
-    vocabulary: Vocabulary
-    idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
+    terms: int
     block: int
-    start: np.ndarray  # entry -> first posting
-    example: np.ndarray
+    example: np.ndarray  # of all postings, by term and example
     weight: np.ndarray
-    most: np.ndarray  # entry -> largest weight
-    entry: np.ndarray | None = None  # term -> first entry
-    of: np.ndarray | None = None  # entry -> block
-
-    @staticmethod
-    def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, float]], block: int) -> Index:
-        return Index.of_arrays(vocabulary, idf, ids, toxic, [np.fromiter(v, np.int64) for v in vectors], [np.fromiter(v.values(), float) for v in vectors], block)
+    start: np.ndarray  # term -> first posting
+    column: np.ndarray  # term -> its column in the blocks, or -1
 
     @staticmethod
-    def of_arrays(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], block: int) -> Index:
-        blocks = max(1, -(-len(ids) // block))
-        t = np.concatenate([np.zeros(0, np.int64), *terms])
-        e = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])
-        w = np.concatenate([np.zeros(0), *weights])
-        by = np.lexsort((e, t))
-        t, e, w = t[by], e[by], w[by]
-        at = t * blocks + e // block
-        start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-        most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0)
-        entry = np.searchsorted(t[start], np.arange(len(vocabulary.place) + 1))
-        return Index(vocabulary, idf, ids, toxic, block, np.append(start, len(w)).astype(np.int32), e, w, most, entry.astype(np.int32), e[start] // block)
-
-    def unit(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, rising, and their weights."""
-        return self.weighed(np.fromiter(counted, np.int64, len(counted)), np.fromiter(counted.values(), float, len(counted)))
-
-    def weighed(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n)) * self.idf[t]
-        by = np.argsort(t)
-        return t[by], w[by] / (math.sqrt(float(w @ w)) or 1.0)
-
-    def vector(self, counted: dict[int, int]) -> dict[int, float]:
-        t, w = self.unit(counted)
-        return dict(zip(t.tolist(), w.tolist(), strict=True))
-
-    def nearest(self, v: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine over 0; exact."""
-        return self.near(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v)), k)
-
-    def near(self, t: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The same, of a vector's terms and weights."""
-        n = self.entry[t + 1] - self.entry[t]
-        entries = ranges(self.entry[t], self.entry[t + 1])
-        if not len(entries):
-            return []
-        share, of = np.repeat(q, n), self.of[entries]
-        bound = np.bincount(of, share * self.most[entries], max(1, -(-len(self.ids) // self.block)))
-        order = np.argsort(-bound, kind="stable")
-        score, least, done, some = np.zeros(len(self.ids)), 0.0, 0, 4
-        while done < len(order):
-            now = order[done : done + some]
-            now = now[(bound[now] > 0) & (bound[now] >= least - 1e-12)]
-            if not len(now):
-                break
-            taken = np.zeros(len(order), bool)
-            taken[now] = True
-            pick = taken[of]
-            lo, hi = self.start[entries[pick]], self.start[entries[pick] + 1]
-            at = ranges(lo, hi)
-            score += np.bincount(self.example[at], self.weight[at] * np.repeat(share[pick], hi - lo), len(score))
-            if len(score) > k:
-                least = float(np.partition(score, len(score) - k)[len(score) - k])
-            done, some = done + some, len(order)
-        hit = np.flatnonzero((score > 0) & (score >= least))
-        best = hit[np.lexsort((self.ids[hit], -score[hit]))[:k]]
-        return list(zip(score[best].tolist(), best.tolist(), strict=True))
-
-    def evidence(self, near: list[tuple[float, int]]) -> tuple[float, float, float]:
+    def build(ids: np.ndarray, toxic: np.ndarray, terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = 64, common: float = 1 / 16) -> Index:
+        by = np.lexsort((example, term))
+        example, term, weight = example[by], term[by], weight[by]
+        many = np.bincount(term, minlength=terms) > common * len(ids)
+        column = np.full(terms, -1, np.int32)
+        column[many] = np.arange(many.sum())
+        return Index(ids, toxic, terms, block, example.astype(np.int32), weight, np.searchsorted(term, np.arange(terms + 1)), column)
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of common terms, (block, example, column), and the largest of each block; made where they are used."""
+        if not hasattr(self, "_dense"):
+            n = -(-max(1, len(self.ids)) // self.block)
+            wide = int((self.column >= 0).sum())
+            dense = np.zeros((n * self.block, wide))
+            common = np.flatnonzero(self.column >= 0)
+            at = ranges(self.start[common], self.start[common + 1])
+            dense[self.example[at], np.repeat(self.column[common], self.start[common + 1] - self.start[common])] = self.weight[at]
+            self._dense = dense.reshape(n, self.block, wide)
+            self._most = self._dense.max(1).T if wide else np.zeros((0, n))
+        return self._dense, self._most
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, w: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k nearest with a cosine over 0 of each text, nearest first; exact."""
+        dense, most = self.blocks()
+        n, block, wide = dense.shape
+        column = self.column[term]
+        rare = np.flatnonzero(column < 0)
+        lo, hi = self.start[term[rare]], self.start[term[rare] + 1]
+        at = ranges(lo, hi)
+        size = hi - lo
+        score = np.bincount(np.repeat(text[rare], size) * (n * block) + self.example[at], self.weight[at] * np.repeat(w[rare], size), texts * n * block).astype(float).reshape(texts, n, block)
+        query = np.zeros((texts, wide))
+        often = np.flatnonzero(column >= 0)
+        query[text[often], column[often]] = w[often]
+        bound = score.max(2) + query @ most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        done = np.zeros((texts, n), bool)
+
+        def take(pairs: np.ndarray) -> None:
+            """Make the scores of (text, block) pairs whole."""
+            for b in np.flatnonzero(pairs.any(0)):
+                rows = np.flatnonzero(pairs[:, b])
+                score[rows, b] += query[rows] @ dense[b].T
+            np.logical_or(done, pairs, out=done)
+
+        if n > 4:
+            first = np.zeros((texts, n), bool)
+            np.put_along_axis(first, order[:, :4], True, axis=1)
+            take(first & (bound > 0))
+            sure = np.where(done[:, :, None], score, 0.0).reshape(texts, -1)
+            least = np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k] if sure.shape[1] > k else np.zeros(texts)
+        else:
+            least = np.zeros(texts)
+        take((bound > 0) & (bound >= least[:, None] - 1e-12) & ~done)
+        whole = np.where(done[:, :, None], score, 0.0).reshape(texts, -1)[:, : len(self.ids)]
+        if whole.shape[1] > k:
+            least = np.partition(whole, whole.shape[1] - k, axis=1)[:, whole.shape[1] - k]
+        t, e = np.nonzero((whole > 0) & (whole >= least[:, None]))
+        c = whole[t, e]
+        by = np.lexsort((e, -c, t))
+        t, e, c = t[by], e[by], c[by]
+        rank = np.arange(len(t)) - np.searchsorted(t, t)
+        return t[rank < k], e[rank < k], c[rank < k]
+
+    def evidence(self, t: np.ndarray, e: np.ndarray, c: np.ndarray, texts: int) -> np.ndarray:
         """What the scale is fitted on: the toxic share of the vote, its surplus, and whether there is any."""
-        total = sum(c for c, _ in near)
-        if not total:
-            return (0.0, 0.0, 0.0)
-        share = sum(c for c, e in near if self.toxic[e]) / total
-        return (share, (2 * share - 1) * math.log1p(total), 1.0)
+        total, bad = np.bincount(t, c, texts), np.bincount(t, c * self.toxic[e], texts)
+        any_ = total > 0
+        share = np.where(any_, bad / np.where(any_, total, 1), 0.0)
+        return np.column_stack([share, np.where(any_, (2 * share - 1) * np.log1p(total), 0.0), any_])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -198,29 +235,46 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 @dataclass
 class Model:
-    index: Index | None
-    weights: np.ndarray | None
     base: float
     k: int
+    vocabulary: np.ndarray | None = None  # hashes, rising
+    idf: np.ndarray | None = None
+    index: Index | None = None
     telling: Index | None = None
     place: np.ndarray | None = None  # term -> its number among the telling ones, or -1
+    weights: np.ndarray | None = None
 
-    def evidence(self, t: np.ndarray, q: np.ndarray) -> tuple[tuple[float, ...], list[tuple[float, int]]]:
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """What the scale is fitted on, by all terms and by the telling ones, and the nearest by all terms."""
-        near = self.index.near(t, q, self.k)
-        own = self.place[t] >= 0
-        norm = math.sqrt(float(q[own] @ q[own])) or 1.0
-        return self.index.evidence(near) + self.telling.evidence(self.telling.near(self.place[t[own]], q[own] / norm, self.k)), near
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        n = len(texts)
+        text, term, number = counted(texts, self.vocabulary)
+        near = self.index.nearest(text, term, unit(text, term, number, self.idf, n), n, self.k)
+        own = self.place[term] >= 0
+        text, term, number = text[own], term[own], number[own]
+        told = self.telling.nearest(text, self.place[term], unit(text, term, number, self.idf, n), n, self.k)
+        return np.hstack([self.index.evidence(*near, n), self.telling.evidence(*told, n)]), near
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if self.index is None:
-            return self.base, []
-        seen, near = self.evidence(*self.index.unit(self.index.vocabulary.count(text)))
-        z = float(self.weights[0] + np.dot(self.weights[1:], seen))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
+            return np.full(len(texts), self.base), (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        seen, near = self.evidence(texts)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + seen @ self.weights[1:], -30, 30))), near
+
 
+def batched(texts: pd.Series, most: int = 256) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive texts of about a quarter of a megabyte, with the place of the first."""
+    own, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        own.append(t)
+        size += len(t or "")
+        if size >= BATCH or len(own) == most:
+            yield first, own
+            own, size, first = [], 0, i + 1
+    if own:
+        yield first, own
 
-def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration: int = 4000, vocabulary: int = 4096, least_chi2: float = 20.0, least_ratio: float = 5.0, k: int = 25, block: int = 64, folds: int = 5) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration: int = 4000, telling: int = 4096, least_chi2: float = 20.0, least_ratio: float = 5.0, k: int = 25, block: int = 64, folds: int = 5) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -232,77 +286,71 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
     picked = picked[0].unionByName(picked[1]).unionByName(known.filter(apart).orderBy(*order).limit(calibration).withColumn("use", F.lit("scale")))
     # 2 * examples + calibration rows at most
     sample = materialize(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
 
     # copies among the examples would make their own words look telling
     shown = sample.filter("use = 'example'").dropDuplicates(["text"])
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, y, t, n) for d, y, text in zip(f["doc_id"], f["toxic"], f["text"], strict=True) for t, n in terms(text).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "term", "n"])
+            found = [own_terms(t) for t in f["text"]]
+            yield f[["doc_id", "toxic"]].assign(terms=[t.tobytes() for t, _ in found], numbers=[n.astype(np.int32).tobytes() for _, n in found])
 
-    found = shown.select("doc_id", "toxic", "text").mapInPandas(listed, "doc_id long, toxic int, term string, n int")
-    sizes = {r["toxic"]: r["n"] for r in shown.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    # 2 * examples rows at most
+    rows = shown.select("doc_id", "toxic", "text").mapInPandas(listed, "doc_id long, toxic int, terms binary, numbers binary").toPandas().sort_values("doc_id")
+    toxic = rows["toxic"].to_numpy() == 1
+    n1, n0 = float(toxic.sum()), float((~toxic).sum())
     if not n1 or not n0:
-        return Model(None, None, float(share), k)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = (n1 + n0) * F.pow(a * n0 - b * n1, 2) / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
-    telling = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    telling = telling.withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * n0 >= least_ratio * b * n1)).orderBy(F.desc("chi2"), "term").limit(vocabulary)
-    told = {r["term"] for r in telling.select("term").collect()}  # `vocabulary` at most
-    words = sorted(found.select("term").distinct().toPandas()["term"])  # the terms of 2 * examples texts
-    known_words = Vocabulary(words)
+        return Model(share, k)
+    per = np.array([len(t) // 8 for t in rows["terms"]])
+    words, term = np.unique(np.frombuffer(b"".join(rows.pop("terms")), np.uint64), return_inverse=True)
+    number = np.frombuffer(b"".join(rows.pop("numbers")), np.int32)
+    example = np.repeat(np.arange(len(per)), per)
+    a = np.bincount(term, toxic[example], len(words))
+    b = np.bincount(term, ~toxic[example], len(words))
+    chi2 = (n1 + n0) * (a * n0 - b * n1) ** 2 / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
+    told = np.flatnonzero((chi2 >= least_chi2) & (a * n0 >= least_ratio * b * n1))
+    told = np.sort(told[np.lexsort((words[told], -chi2[told]))[:telling]])
+
+    session = docs.sparkSession.sparkContext
+    vocabulary = session.broadcast(words)  # the terms of 2 * examples texts
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(len(words), np.int64), 0
+        df, n = np.zeros(len(vocabulary.value), np.int64), 0
         for f in frames:
-            for text in f["text"]:
-                c = known_words.count(text)
-                df[np.fromiter(c, np.int64, len(c))] += 1
+            for _, texts in batched(f["text"]):
+                df += np.bincount(counted(texts, vocabulary.value)[1], minlength=len(df))
             n += len(f)
         met = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(-1, met), "n": np.append(n, df[met])})
 
     counts = docs.select("text").mapInPandas(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
+    vocabulary.destroy()
     df = np.zeros(len(words) + 1)
     df[counts["term"].to_numpy(np.int64) + 1] = counts["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
-    empty = Index(known_words, idf, np.zeros(0), np.zeros(0), block, np.zeros(1), np.zeros(0), np.zeros(0), np.zeros((0, 1)))
-
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            v = [known_words.count(t) for t in f["text"]]
-            yield f[["doc_id", "toxic"]].assign(terms=[[*c] for c in v], numbers=[[*c.values()] for c in v])
-
-    own = shown.select("doc_id", "toxic", "text").mapInPandas(counted, "doc_id long, toxic int, terms array<int>, numbers array<int>").toPandas().sort_values("doc_id")  # 2 * examples at most
-    ids, toxic = own["doc_id"].to_numpy(), own["toxic"].to_numpy() == 1
-    made = [empty.weighed(np.asarray(t, np.int64), np.asarray(n, float)) for t, n in zip(own.pop("terms"), own.pop("numbers"), strict=True)]
-    terms_, weights_ = [t for t, _ in made], [w for _, w in made]
-    index = Index.of_arrays(known_words, idf, ids, toxic, terms_, weights_, block)
+    ids = rows["doc_id"].to_numpy(np.int64)
     place = np.full(len(words), -1)
-    tells = np.array([i for i, w in enumerate(words) if w in told], np.int64)
-    place[tells] = np.arange(len(tells))
-    theirs = [(place[t[place[t] >= 0]], w[place[t] >= 0]) for t, w in zip(terms_, weights_, strict=True)]
-    telling_index = Index.of_arrays(Vocabulary(sorted(told)), idf[tells], ids, toxic, [t for t, _ in theirs], [w / (np.linalg.norm(w) or 1.0) for _, w in theirs], block)
-    model = Model(index, None, float(share), k, telling_index, place)
-    del made, theirs, terms_, weights_
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place[told] = np.arange(len(told))
+    own = place[term] >= 0
+    model = Model(share, k, words, idf, place=place)
+    model.index = Index.build(ids, toxic, len(words), example, term, unit(example, term, number, idf, len(ids)), block)
+    model.telling = Index.build(ids, toxic, len(told), example[own], place[term[own]], unit(example[own], term[own], number[own], idf, len(ids)), block)
+    del a, b, chi2, rows, example, term, number
+    shared = session.broadcast(model)
 
     def evident(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
         for f in frames:
-            yield f[["doc_id", "toxic"]].assign(seen=[own.evidence(*own.index.unit(own.index.vocabulary.count(t)))[0] for t in f["text"]])
+            for first, texts in batched(f["text"]):
+                yield f[["doc_id", "toxic"]].iloc[first : first + len(texts)].assign(seen=[*shared.value.evidence(texts)[0]])
 
     rest = sample.filter("use = 'scale'").select("doc_id", "toxic", "text").mapInPandas(evident, "doc_id long, toxic int, seen array<double>").toPandas().sort_values("doc_id")
     shared.destroy()
     seen = np.array([*rest["seen"]], float).reshape(-1, 6)
     # a pseudo-count of either class where calibration documents are few or none
-    seen = np.vstack([seen, [[1, math.log1p(1), 1] * 2, [0] * 6]])
-    y = np.append(rest["toxic"].to_numpy(float), [1.0, 0.0])
-    model.weights = logistic(seen, y, 0.1)
+    seen = np.vstack([seen, [[1, np.log1p(1), 1] * 2, [0] * 6]])
+    model.weights = logistic(seen, np.append(rest["toxic"].to_numpy(float), [1.0, 0.0]), 0.1)
     return model
 
 
@@ -313,12 +361,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for f in frames:
-            scores, evidence = [], []
-            for text in f["text"]:
-                s, near = own.score(text)
-                scores.append(s)
-                evidence.append([{"doc_id": int(own.index.ids[e]), "cosine": c, "toxic": int(own.index.toxic[e])} for c, e in near[:3]])
-            yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence})
+            for first, texts in batched(f["text"]):
+                scores, (t, e, c) = own.scores(texts)
+                evidence: list[list[dict]] = [[] for _ in texts]
+                top = np.arange(len(t)) - np.searchsorted(t, t) < 3
+                for i, j, x in zip(t[top].tolist(), e[top].tolist(), c[top].tolist(), strict=True):
+                    evidence[i].append({"doc_id": int(own.index.ids[j]), "cosine": x, "toxic": int(own.index.toxic[j])})
+                yield pd.DataFrame({"doc_id": f["doc_id"].array[first : first + len(texts)], "score": scores, "predicted": (scores >= 0.5).astype(np.int32), "evidence": evidence})
 
     return null_again(docs.select(id_or_nobody("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCORES), "doc_id")
 
@@ -329,7 +378,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([own.score(t)[0] < 0.5 for t in texts], dtype=bool)
+        own = [shared.value.scores(t)[0] < 0.5 for _, t in batched(texts)]
+        return pd.Series(np.concatenate([np.zeros(0, bool), *own]))
 
     return docs.filter(accepted(F.col("text").cast("string")))

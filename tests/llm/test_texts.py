@@ -377,36 +377,122 @@ def test_perspectives(spark):
 # toxicity
 
 
-def test_toxicity_is_told_from_held_out_labels(spark):
+def test_toxicity_of_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels)
     rows = toxicity.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out()).collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert len(rows) > 500 and right >= 0.93 * len(rows)
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    caught, wrong = sum(r.predicted for r in toxic), sum(r.predicted for r in clean)
+    assert len(rows) > 500 and caught >= 0.8 * len(toxic) and caught >= 0.9 * (caught + wrong) and wrong <= 0.02 * len(clean)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert sum(not r.evidence for r in rows) <= 0.01 * len(rows)
+    # calibration: the mean score is the share of toxic ones, and scores tell far more than that share
+    assert sum(r.score for r in rows) / len(rows) == pytest.approx(len(toxic) / len(rows), abs=0.02)
+    assert sum((r.score - r.toxic) ** 2 for r in rows) / len(rows) < 0.35 * len(toxic) * len(clean) / len(rows) ** 2
 
 
-def test_toxicity_keeps_all_terms_and_catches_the_toxic(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    rows = toxicity.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out()).collect()
-    toxic = [r for r in rows if r.toxic == 1]
-    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
-    assert sum(not r.evidence for r in rows) <= 0.01 * len(rows)
+def plain_terms(text):
+    """Lower-case words of letters, and the first four and five bytes of longer ones."""
+    out = {}
+    for w in re.findall(rb"(?:[a-z]|[\x80-\xff])+", re.sub("[\u0080-\u00bf\u2000-\u2fff]", " ", (text or "").lower()).encode()):
+        for t in (w, *((n, w[:n]) for n in (4, 5) if len(w) > n)):
+            out[t] = out.get(t, 0) + 1
+    return out
 
 
-def test_nearest_examples_are_exact():
+def test_toxicity_by_dictionaries(spark):
+    """The whole way again, with plain dictionaries."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 8))) for _ in range(120)]
+    bad = ["vile" + w for w in words[:6]]
+    docs, labels = [], []
+    for i in range(400):
+        y = int(rng.random() < 0.4)
+        text = " ".join(rng.choice(bad) if y and rng.random() < 0.1 else rng.choice(words) for _ in range(rng.randint(3, 60)))
+        docs.append((i, text if i % 50 else None if i % 100 else ""))
+        if i % 4:
+            labels.append((i, y))
+    docs += [(900, docs[7][1]), (901, docs[7][1].upper() + " — “" + docs[9][1] + "”")]
+    df, ys = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, ys)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+
+    counts = {d: plain_terms(t) for d, t in docs}
+    n = len(docs)
+    freq = {}
+    for c in counts.values():
+        for t in c:
+            freq[t] = freq.get(t, 0) + 1
+    ids = set(model.index.ids.tolist())
+    label = dict(labels)
+    assert ids <= {d for d in label if zlib.crc32(str(d).encode()) % 5} and [label[d] == 1 for d in model.index.ids.tolist()] == model.index.toxic.tolist()
+    known = set().union(*(counts[d] for d in ids))
+    assert len(model.vocabulary) == len(known)
+    n1 = sum(label[d] for d in ids)
+    n0 = len(ids) - n1
+    told = set()
+    for t in known:
+        a = sum(1 for d in ids if label[d] and t in counts[d])
+        b = sum(1 for d in ids if not label[d] and t in counts[d])
+        if a * n0 >= 5 * b * n1 and (n1 + n0) * (a * n0 - b * n1) ** 2 / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9) >= 20:
+            told.add(t)
+    assert len(told) == model.telling.terms > 0
+
+    def vector(c, of):
+        w = {t: (1 + np.log(m)) * (np.log((1 + n) / (1 + freq[t])) + 1) for t, m in c.items() if t in of}
+        length = np.sqrt(sum(x * x for x in w.values())) or 1
+        return {t: x / length for t, x in w.items()}
+
+    vectors = [(of, {e: vector(counts[e], of) for e in ids}) for of in (known, told)]
+    for d, c in [(d, c) for d, c in counts.items() if d % 7 == 0]:
+        seen, near = [], []
+        for of, examples in vectors:
+            q = vector(c, of)
+            scored = sorted((-s, e) for e, v in examples.items() if (s := sum(x * v.get(t, 0) for t, x in q.items())) > 0)[:25]
+            near.append(scored)
+            total = -sum(s for s, _ in scored)
+            share = -sum(s for s, e in scored if label[e]) / total if total else 0
+            seen += [share, (2 * share - 1) * np.log1p(total) if total else 0, float(total > 0)]
+        z = model.weights[0] + np.dot(model.weights[1:], seen)
+        assert got[d].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+        assert [e.cosine for e in got[d].evidence] == pytest.approx([-s for s, _ in near[0][:3]])
+    assert got[900].score == pytest.approx(got[7].score) and got[0].evidence == [] and got[50].evidence == []
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    text = docs.filter("length(text) > 200").first()["text"]
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, text), (4, "   \n"), (5, (text + " ") * 400), (6, "12 34")]
+    odd = spark.createDataFrame([(i, t, 0.9, 1, "e") for i, t in rows], "doc_id long, text string, score double, predicted int, evidence string")
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score(odd, model).collect()), key=str)
+    assert len(got) == len(rows)
+    of = dict(got)
+    assert len({s for d, s in got if d in (1, None)}) == 1 and of[2] == of[3] == of[4] == of[6]
+    assert of[5] == pytest.approx(toxicity.score(odd, model).filter("doc_id = 5").first()["score"])
+    kept = toxicity.without_toxic(odd, model)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {d for d, s in got if s < 0.5}
+
+
+@pytest.mark.parametrize("block", [16, 64, 1000])
+def test_nearest_examples_are_exact(block):
     rng = np.random.default_rng(1)
-    empty = toxicity.Index(toxicity.Vocabulary([f"w{i}" for i in range(30)]), np.ones(30) + rng.random(30), np.arange(200), rng.random(200) < 0.5, 16, *[np.zeros(1)] * 3, np.zeros((0, 1)))
-    vectors = [empty.vector({int(rng.integers(30)): int(rng.integers(1, 5)) for _ in range(6)}) for _ in range(200)]
-    index = toxicity.Index.build(empty.vocabulary, empty.idf, empty.ids, empty.toxic, vectors, 16)
-    for _ in range(40):
-        q = index.vector({int(rng.integers(30)): int(rng.integers(1, 5)) for _ in range(5)})
-        scores = sorted(((-sum(x * v.get(t, 0) for t, x in q.items()), i) for i, v in enumerate(vectors)))
-        want = [-s for s, _ in scores if s < 0][:7]
-        assert [c for c, _ in index.nearest(q, 7)] == pytest.approx(want)
+    n, terms = 200, 30
+    dense = np.where(rng.random((n, terms)) < rng.random(terms), rng.integers(1, 5, (n, terms)), 0) / 4
+    dense[50:60] = dense[50]  # ties
+    e, t = np.nonzero(dense)
+    index = toxicity.Index.build(np.arange(n) * 3, rng.random(n) < 0.5, terms, e, t, dense[e, t], block, common=0.4)
+    assert 0 < (index.column >= 0).sum() < terms
+    query = np.where(rng.random((40, terms)) < 0.3, rng.random((40, terms)), 0)
+    query[3] = 0
+    a, b = np.nonzero(query)
+    text, example, cosine = index.nearest(a, b, query[a, b], 40, 7)
+    for i in range(40):
+        scores = sorted((-s, j) for j, s in enumerate(dense @ query[i]) if s > 0)[:7]
+        assert cosine[text == i].tolist() == pytest.approx([-s for s, _ in scores])
+        assert len({*example[text == i]}) == len(scores)
 
 
 def test_toxicity_without_labels(spark, corpus):
