@@ -108,13 +108,17 @@ def deal_total(c: Column, checked: bool = True) -> Column:
     return F.when(deal_size(c).isNotNull(), total) if checked else total
 
 
-def deal_price(price_: Column, quantity: Column, deal: Column) -> Column:
-    """What a number of pieces cost under "N for P": full bundles and a rest at the single price."""
-    n, total = deal_size(deal), deal_total(deal)
+def bundle_price(price_: Column, quantity: Column, n: Column, total: Column) -> Column:
+    """What a number of pieces cost where ``n`` cost ``total``: full bundles and a rest at the single price."""
     rest = quantity - F.floor(quantity / n) * n
     return F.round(F.coalesce(F.floor(quantity / n) * total + rest * price_, quantity * price_), 2)
 
 
+def deal_price(price_: Column, quantity: Column, deal: Column) -> Column:
+    """What a number of pieces cost under "N for P"."""
+    return bundle_price(price_, quantity, deal_size(deal), deal_total(deal))
+
+
 def quantity(c: Column) -> Column:
     """"1/2", "3-4" (the mean) or "1,5"."""
     text = F.trim(c)

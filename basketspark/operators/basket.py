@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gates, parse
+from ..functions import text as T
 from ..functions.similarity import fuzzy_score
 
 
@@ -17,9 +19,20 @@ def with_live(cart: DataFrame, live: DataFrame) -> DataFrame:
     return both.select("cart_id", "item_id", "quantity", "store", F.coalesce("live", "stored").alias("price"))
 
 
+def priced(lines: DataFrame, offers: DataFrame) -> DataFrame:
+    """Cart lines (cart_id, item_id, quantity) with price and cost in every store that has the item.
+
+    ``offers`` are item_id, store, price and a deal such as "2 for 30", which is read once an
+    offer. There is one row a line and store, dealt by cart, so what follows needs no shuffle.
+    """
+    read = offers.select("item_id", "store", "price", parse.deal_size(F.col("deal")).alias("n"), parse.deal_total(F.col("deal")).alias("total"))
+    cost = parse.bundle_price(F.col("price"), F.col("quantity"), F.col("n"), F.col("total"))
+    return lines.join(read, "item_id").select("cart_id", "item_id", "store", "quantity", "price", cost.alias("cost")).repartition("cart_id")
+
+
 def compare(priced: DataFrame) -> DataFrame:
-    """Total and coverage of each cart in each store (cost is that of the line)."""
-    return priced.groupBy("cart_id", "store").agg(F.round(F.sum("cost"), 2).alias("total"), F.count_distinct("item_id").alias("coverage"))
+    """Total and coverage of each cart in each store; ``priced`` has one row a cart, item and store with the line's cost."""
+    return priced.groupBy("cart_id", "store").agg(F.round(F.sum("cost"), 2).alias("total"), F.count("*").alias("coverage"))
 
 
 def ranked(compared: DataFrame, most: int = 5) -> DataFrame:
@@ -43,15 +56,15 @@ def spread(priced: DataFrame) -> DataFrame:
 
 
 def route(priced: DataFrame, chosen: Column) -> DataFrame:
-    """Every line where it is cheapest among the chosen stores, or among all if none of those has it."""
-    best = Window.partitionBy("cart_id", "item_id").orderBy(F.desc(chosen), "cost", "store")
-    return priced.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("cart_id", "item_id", "store", "cost")
+    """Every line where its price is lowest among the chosen stores, or among all if none of those has it; deals don't count."""
+    best = F.min(F.struct((~chosen).alias("other"), "price", "store", "quantity")).alias("best")
+    return priced.groupBy("cart_id", "item_id").agg(best).select("cart_id", "item_id", "best.store", "best.price", F.round(F.col("best.price") * F.col("best.quantity"), 2).alias("cost"))
 
 
 def route_saving(priced: DataFrame, routed: DataFrame) -> DataFrame:
-    """What a route saves against the best single store that has everything; savings up to 0.05 are none."""
-    lines = routed.groupBy("cart_id").agg(F.round(F.sum("cost"), 2).alias("route_total"), F.count("*").alias("lines"), F.count_distinct("store").alias("stops"))
-    single = compare(priced).join(lines.select("cart_id", "lines"), "cart_id").filter("coverage = lines").groupBy("cart_id").agg(F.min("total").alias("single_total"))
+    """What a route saves against the store of the lowest total, whatever it has; savings up to 0.05 are none."""
+    lines = routed.groupBy("cart_id").agg(F.round(F.sum("cost"), 2).alias("route_total"), F.size(F.collect_set("store")).cast("long").alias("stops"))
+    single = compare(priced).groupBy("cart_id").agg(F.min("total").alias("single_total"))
     saving = F.round(F.col("single_total") - F.col("route_total"), 2)
     return lines.join(single, "cart_id", "left").select("cart_id", "route_total", "stops", "single_total", F.when(saving > 0.05, saving).otherwise(0.0).alias("saving"))
 
@@ -63,19 +76,33 @@ def full_range(priced: DataFrame) -> DataFrame:
     return full.groupBy("cart_id").agg(F.min("total").alias("lowest"), F.max("total").alias("highest"), F.count("*").alias("stores")).filter("stores >= 2 AND highest > lowest")
 
 
-def alternatives(wanted: DataFrame, pool: DataFrame, least: float = 0.35, close: float = 0.12) -> DataFrame:
-    """For a missing product one of the same category that a store has.
+def similar_words(cards: DataFrame) -> DataFrame:
+    """Cards (id, name, brand, title) with what ``alternatives`` looks at: norm, words, brand_words, meats and the variant flags."""
+    text = F.concat_ws(" ", "title", "name", "brand") if "title" in cards.columns else F.concat_ws(" ", "name", "brand")
+    flags = T.variant_flags(text)
+    return cards.withColumns({
+        "norm": T.normalized(F.col("name")), "words": T.content_words(T.normalized(F.col("name"))), "brand_words": T.content_words(T.normalized(F.col("brand"))), "meats": T.meats(text), "flags": F.array(*flags.values()),
+    })
+
+
+def alternatives(wanted: DataFrame, pool: DataFrame, least: float = 0.35, close: float = 0.12, strong: float = 0.75, heavier: float = 0.25) -> DataFrame:
+    """For a missing product one of the same category and subcategory that a store has.
 
-    Between 0.4 and 2 times the price and within a quarter of the weight, with a content
-    word in common (or a similarity of 0.75); of those near the most similar one the
-    cheapest, then the most similar.
+    Both have ``similar_words``; a pool's row is a card with a store's own name and price.
+    Prices are between 0.4 and 2 times the wanted one's, weights differ by a quarter of the
+    heavier at most (unknown ones pass), flags are equal, meats don't contradict. Content
+    words, but for those of the candidate's brand, have one in common; where the wanted name
+    has none, the similarity is ``strong``. Of those near the most similar one the cheapest,
+    then the most similar.
     """
-    w = wanted.select("wanted_id", "category", F.col("price").alias("w_price"), F.col("weight_g").alias("w_weight"), F.col("name").alias("w_name"), F.col("words").alias("w_words"))
-    pairs = w.join(pool, "category").filter(F.col("wanted_id") != F.col("id"))
-    pairs = pairs.filter(F.col("price").between(0.4 * F.col("w_price"), 2 * F.col("w_price")))
-    pairs = pairs.filter(F.coalesce(F.abs(F.col("weight_g") - F.col("w_weight")) <= 0.25 * F.col("w_weight"), F.lit(True)))
-    names = pairs.select("name", "w_name").distinct().withColumn("similarity", F.round(fuzzy_score(F.col("name"), F.col("w_name")), 6))
-    scored = pairs.join(names, ["name", "w_name"]).filter((F.col("similarity") >= least) & (F.arrays_overlap("words", "w_words") | (F.col("similarity") >= 0.75)))
+    w = wanted.select("wanted_id", "category", "subcategory", "flags", *(F.col(c).alias(f"w_{c}") for c in ("price", "weight_g", "norm", "words", "meats")))
+    pairs = w.join(pool, ["category", "subcategory", "flags"]).filter(F.col("wanted_id") != F.col("id"))
+    unlike = F.abs(F.col("weight_g") - F.col("w_weight_g")) > heavier * F.greatest("weight_g", "w_weight_g")
+    shared = F.arrays_overlap(F.array_except("words", "brand_words"), "w_words")
+    wordless = F.size("w_words") == 0
+    pairs = pairs.filter(F.col("price").between(0.4 * F.col("w_price"), 2 * F.col("w_price")) & ~F.coalesce(unlike, F.lit(False)) & (wordless | shared) & gates.equal_if_known(F.col("w_meats"), F.col("meats")))
+    names = pairs.select("norm", "w_norm").distinct().withColumn("similarity", F.round(fuzzy_score(F.col("norm"), F.col("w_norm")), 6))
+    scored = pairs.join(names, ["norm", "w_norm"]).filter((F.col("similarity") >= least) & (~wordless | (F.col("similarity") >= strong)))
     group = Window.partitionBy("wanted_id", "store")
     near = scored.withColumn("top", F.max("similarity").over(group)).filter(F.col("similarity") >= F.col("top") - close)
     nth = F.row_number().over(group.orderBy("price", F.desc("similarity"), "id"))

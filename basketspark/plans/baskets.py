@@ -14,7 +14,7 @@ from .registry import query
 _DEAL = "CASE WHEN o.product_id % 4 = 0 THEN 2 WHEN o.product_id % 4 = 1 THEN 3 END"
 CARTS = f"""{m.OFFERS}, lines AS (SELECT l_orderkey AS cart_id, l_partkey AS item_id, max(CAST(l_quantity AS INT)) AS quantity FROM lineitem GROUP BY ALL),
 deals AS (SELECT o.*, {_DEAL} AS n, CASE WHEN o.product_id % 4 < 2 THEN o.price * 1.5 END AS total FROM offers o),
-priced AS (SELECT cart_id, item_id, store, quantity, round(coalesce(floor(quantity / n) * total + (quantity - floor(quantity / n) * n) * price, quantity * price), 2) AS cost FROM lines JOIN deals ON product_id = item_id)"""
+priced AS (SELECT cart_id, item_id, store, quantity, price, round(coalesce(floor(quantity / n) * total + (quantity - floor(quantity / n) * n) * price, quantity * price), 2) AS cost FROM lines JOIN deals ON product_id = item_id)"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all carts with their cost in every store that has the product, deals applied."""
-    offers = m.offers(spark, sf_dir)
     n = F.when(F.col("product_id") % 4 == 0, "2 for ").when(F.col("product_id") % 4 == 1, "3 for ")
     deal = F.concat(n, (F.col("price") * 1.5).cast("string"))
-    rows = _lines(spark, sf_dir).join(offers.withColumnRenamed("product_id", "item_id").withColumn("product_id", F.col("item_id")).withColumn("deal", deal), "item_id")
-    return rows.select("cart_id", "item_id", "store", "quantity", parse.deal_price(F.col("price"), F.col("quantity"), F.col("deal")).alias("cost"))
+    return basket.priced(_lines(spark, sf_dir), m.offers(spark, sf_dir).select(F.col("product_id").alias("item_id"), "store", "price", deal.alias("deal")))
 
 
 @query(f"""WITH {CARTS}, c AS (SELECT cart_id, store, round(sum(cost), 2) AS total, count(DISTINCT item_id) AS coverage FROM priced GROUP BY ALL)
@@ -49,10 +47,9 @@ def basket_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.spread(_priced(spark, sf_dir))
 
 
-@query(f"""WITH {CARTS}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cart_id, item_id ORDER BY store IN (0, 4, 8) DESC, cost, store) AS nth FROM priced) WHERE nth = 1),
-l AS (SELECT cart_id, round(sum(cost), 2) AS route_total, count(*) AS lines, count(DISTINCT store) AS stops FROM r GROUP BY 1),
-c AS (SELECT cart_id, store, round(sum(cost), 2) AS total, count(DISTINCT item_id) AS coverage FROM priced GROUP BY ALL),
-o AS (SELECT c.cart_id, min(total) AS single_total FROM c JOIN l ON l.cart_id = c.cart_id AND l.lines = c.coverage GROUP BY 1)
+@query(f"""WITH {CARTS}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cart_id, item_id ORDER BY store IN (0, 4, 8) DESC, price, store) AS nth FROM priced) WHERE nth = 1),
+l AS (SELECT cart_id, round(sum(round(price * quantity, 2)), 2) AS route_total, count(DISTINCT store) AS stops FROM r GROUP BY 1),
+c AS (SELECT cart_id, store, round(sum(cost), 2) AS total FROM priced GROUP BY ALL), o AS (SELECT cart_id, min(total) AS single_total FROM c GROUP BY 1)
 SELECT cart_id, route_total, stops, single_total, CASE WHEN round(single_total - route_total, 2) > 0.05 THEN round(single_total - route_total, 2) ELSE 0.0 END AS saving FROM l LEFT JOIN o USING (cart_id)""")
 def basket_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = _priced(spark, sf_dir)
@@ -97,8 +94,13 @@ def saved_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def alternatives_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = m.cards(spark, sf_dir).select("id", "name", "category", "price", "weight_g", "store", F.array_distinct(F.split("name", " ")).alias("words"))
-    return basket.alternatives(cards.filter("weight_g IS NULL").withColumnRenamed("id", "wanted_id"), cards.filter("weight_g IS NOT NULL"))
+    """What each brand's first card of a name could be replaced by, from all cards of other names."""
+    said = F.expr("CASE id % 6 WHEN 0 THEN 'økologisk' WHEN 1 THEN 'okse' WHEN 2 THEN 'gris' ELSE '' END")
+    cards = m.cards(spark, sf_dir).select("id", F.concat_ws(" ", "name", said).alias("name"), "brand", "category", "subcategory", F.col("price").cast("double").alias("price"), "weight_g", "store")
+    cards = basket.similar_words(cards)
+    first = cards.groupBy("brand", "name").agg(F.min("id").alias("id")).select("id")
+    wanted = cards.join(first, "id", "left_semi").withColumnRenamed("id", "wanted_id")
+    return basket.alternatives(wanted, cards)
 
 
 @query()

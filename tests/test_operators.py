@@ -70,6 +70,41 @@ def test_basket(spark):
     assert [(r.item_id, r.store) for r in basket.missing(priced).collect()] == [(2, "C")]
 
 
+def test_routes_go_by_price_and_deals_by_cost(spark):
+    lines = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "cart_id int, item_id int, quantity int")
+    offers = spark.createDataFrame([(1, "A", 10.0, None), (1, "B", 12.0, "2 for 18"), (2, "A", 20.0, None), (2, "C", 15.0, "x")], "item_id int, store string, price double, deal string")
+    rows = basket.priced(lines, offers)
+    assert {(r.item_id, r.store): r.cost for r in rows.collect()} == {(1, "A"): 20.0, (1, "B"): 18.0, (2, "A"): 20.0, (2, "C"): 15.0}
+    routed = basket.route(rows, F.col("store").isin("B"))
+    assert {(r.item_id, r.store, r.cost) for r in routed.collect()} == {(1, "B", 24.0), (2, "C", 15.0)}
+    got = basket.route_saving(rows, routed).first()
+    assert (got.route_total, got.stops, got.single_total, got.saving) == (39.0, 2, 15.0, 0.0)
+
+
+def test_alternatives_by_all_rules(spark, sf_dir):
+    rows = [Card(r) for r in basket.similar_words(matches.m.cards(spark, sf_dir).select("id", F.concat_ws(" ", "name", F.expr("CASE id % 6 WHEN 0 THEN 'økologisk' WHEN 1 THEN 'okse' WHEN 2 THEN 'gris' ELSE '' END")).alias("name"), "brand", "category", "subcategory", F.col("price").cast("double").alias("price"), "weight_g", "store")).collect()]
+    firsts = {}
+    for r in rows:
+        firsts[r.brand, r.name] = min(firsts.get((r.brand, r.name), r.id), r.id)
+    want = {}
+    for w in (r for r in rows if r.id in firsts.values()):
+        stores = {}
+        for c in rows:
+            if c.id == w.id or (c.category, c.subcategory, c.flags) != (w.category, w.subcategory, w.flags) or not 0.4 * w.price <= c.price <= 2 * w.price:
+                continue
+            if w.weight_g and c.weight_g and abs(w.weight_g - c.weight_g) > 0.25 * max(w.weight_g, c.weight_g) or not w.meaty(c):
+                continue
+            s = round(similarity.score(c.norm, w.norm), 6)
+            if s >= 0.35 and ({*c.words} - {*c.brand_words}) & {*w.words}:
+                stores.setdefault(c.store, []).append((s, c))
+        for store, found in stores.items():
+            top = max(s for s, _ in found)
+            want[w.id, store] = min((c.price, -s, c.id) for s, c in found if s >= top - 0.12)[2]
+    from basketspark.plans import baskets
+
+    assert {(r.wanted_id, r.store): r.id for r in baskets.alternatives_best(spark, sf_dir).collect()} == want and len(want) > 50
+
+
 def test_live_prices_override(spark):
     cart = spark.createDataFrame([(1, 1, 1, "A", 10.0), (1, 1, 1, "B", 12.0)], "cart_id int, item_id int, quantity int, store string, price double")
     live = spark.createDataFrame([(1, "A", 14.0), (1, "B", 9.0)], "item_id int, store string, price double")
