@@ -6,12 +6,17 @@ numbers, dates and quoted hexadecimal secrets are found by pattern and then vali
 balanced Feistel network of eight rounds, keyed by a hash, permutes the numbers of the next
 power of four, and is applied again until the result lies in the range. So every value has
 one pseudonym of the same format that is valid in the same way, no two values share one, and
-equal values stay equal across documents, whatever separators they are written with. Only
-who has the key can go back (``reverse``).
+equal values stay equal across documents, whatever separators they are written with. Phone
+numbers are split by the country codes in use, so that the country stays and the rest is
+permuted, with separators or without. A date has one pseudonym in whatever format it is
+written; dates with slashes are month-first unless the first number is above 12, and a
+day-first pseudonym that would be read as month-first is written with dots. What follows a
+word for "version" is no date or address. Only who has the key can go back (``reverse``).
 
 Defined results: a null text stays null; texts without findings are left as they are, byte
 for byte; repeated rows get equal results; an empty table gives an empty result; values that
-fail validation stay. In rows other columns are kept as they are.
+fail validation stay, as do phone numbers without a country code and dates with names of
+months. In rows other columns are kept as they are; counts whose names are taken get longer ones.
 """
 
 from __future__ import annotations
@@ -26,19 +31,25 @@ from pyspark.sql import functions as F
 
 from ._common import free_name
 
+#: No date or address is looked for after these.
+VERSION = "".join(rf"(?<!\b{w}{s})" for w in ("ver", "Ver", "version", "Version", "release", "Release", "rev", "build") for s in (" ", ". ", ": "))
 KINDS = ("email", "ipv4", "card", "iban", "phone", "ssn", "date", "secret")
 FOUND = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
+    rf"|(?P<ipv4>{VERSION}(?<![\w.])" r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w.])(?:\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5}|\d{13,19})(?!\w|\.\d))"
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d))"
+    rf"|(?P<date>{VERSION}(?<![\w./-])" r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d))"
     r"|(?P<secret>(?i:\b(?:token|key|secret|password|passwd|pwd|api_?key)\b\s*[=:]\s*[\"'])[0-9A-Fa-f]{16,128}(?=[\"']))"
 )
 HINT = re.compile(r"[@0-9]")
-FIRST, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+#: Dates are permuted within these spans of years.
+YEARS = ((1600, 1900), (1900, 2100), (2100, 2400))
+#: Country codes of one and two digits; all others have three.
+ONE_DIGIT = "17"
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 ROUNDS = 8
 
 
@@ -137,11 +148,15 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
         check = 98 - as_number(body + word[:2] + "00") % 97
         return poured(value, word[:2] + f"{check:02d}" + body, str.isalnum)
     if kind == "phone":
+        digits = re.sub(r"\D", "", value.replace("(0)", ""))  # what is dialled within the country only
         if not 8 <= len(digits) <= 15:
             return None
-        country = len(re.match(r"\+(\d{1,3})(?=[ .(-])|\+(\d)", value)[0]) - 1
+        country = 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
         body = digits[country:]
-        return poured(value, digits[:country] + str(permute(int(body), 10 ** len(body), tweak + digits[:country].encode() + b"|%d" % len(body))).zfill(len(body)))
+        new = digits[:country] + str(permute(int(body), 10 ** len(body), tweak + digits[:country].encode() + b"|%d" % len(body))).zfill(len(body))
+        parts = value.split("(0)")
+        at = [sum(c.isdigit() for c in "".join(parts[:i])) for i in range(len(parts))]
+        return "(0)".join(poured(part, new[i:]) for part, i in zip(parts, at, strict=True))
     if kind == "ssn":
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
         if not valid(digits):
@@ -161,25 +176,18 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
                 date = datetime.date(int(parts[2]), int(parts[0]), int(parts[1]))
         except ValueError:
             return None
-        x = (date - FIRST).days
-        if not 0 <= x < DAYS:
+        years = next((y for y in YEARS if y[0] <= date.year < y[1]), None)
+        if years is None:
             return None
+        first, after = (datetime.date(y, 1, 1).toordinal() for y in years)
+        date = datetime.date.fromordinal(first + permute(date.toordinal() - first, after - first, tweak + b"%d" % years[0]))
         sep = re.search(r"[./-]", value)[0]
-        # dates with the month first or last number are two formats; those that read as either stay in the month-first one
-        day_first = len(parts[0]) != 4 and ("." in value or int(parts[0]) > 12)
-        if day_first and sep == "/":
-            ok = lambda d: d.day > 12
-        else:
-            ok = lambda d: True
-        while True:
-            x = permute(x, DAYS, tweak)
-            date = FIRST + datetime.timedelta(x)
-            if ok(date):
-                break
         if len(parts[0]) == 4:
             return f"{date.year:04d}{sep}{date.month:02d}{sep}{date.day:02d}"
-        a, b = (date.day, date.month) if day_first else (date.month, date.day)
-        return f"{a:02d}{sep}{b:02d}{sep}{date.year:04d}"
+        if "." in value or int(parts[0]) > 12:
+            sep = "." if date.day <= 12 else sep
+            return f"{date.day:02d}{sep}{date.month:02d}{sep}{date.year:04d}"
+        return f"{date.month:02d}{sep}{date.day:02d}{sep}{date.year:04d}"
     head, word = re.match(r"(?s)(.*[\"'])([0-9A-Fa-f]+)$", value).groups()
     upper = word.upper() == word and word.lower() != word
     x = permute(int(word, 16), 16 ** len(word), tweak + b"%d" % len(word))
@@ -210,6 +218,8 @@ def replaced(text: str, permute: Permuter, known: dict) -> tuple[str, list[str]]
 
 def pseudonymised(docs: DataFrame, key: bytes, *, text_col: str = "text", counts: bool = True, reverse: bool = False) -> DataFrame:
     """The rows of ``docs`` with pseudonyms in their texts and, if asked for, a count for each kind."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     named = {k: free_name(docs, f"n_{k}") for k in KINDS} if counts else {}
 
     @F.pandas_udf("struct<text: string, " + ", ".join(f"{k}: long" for k in KINDS) + ">")

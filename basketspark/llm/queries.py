@@ -14,8 +14,12 @@ from .packing import pack
 from .suffixdedup import removed_digests
 
 
-#: Whoever runs this for real data sets a secret key of their own.
-PSEUDONYM_KEY = b"an example key, not a secret one"
+#: Where the session names the secret key of the pseudonyms; the tests' data is made up and takes the stand-in.
+KEY_SETTING, STAND_IN = "basketspark.pseudonyms.key", "an example key, not a secret one"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, STAND_IN).encode()
 
 
 def _vocabulary(name: str) -> str:
@@ -57,7 +61,7 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymised(docs, PSEUDONYM_KEY)
+    return pii.pseudonymised(docs, pseudonym_key(spark))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

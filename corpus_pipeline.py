@@ -9,7 +9,7 @@ from basketspark.llm import pii, toxicity
 from basketspark.llm._common import materialize, table
 from basketspark.llm.ngramjoin import jaccard_join
 from basketspark.llm.packing import pack
-from basketspark.llm.queries import PSEUDONYM_KEY, _vocabulary
+from basketspark.llm.queries import _vocabulary, pseudonym_key
 from basketspark.llm.suffixdedup import without_repeats
 
 #: No SQL gives these rows; the stages are tested against brute force.
@@ -49,7 +49,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get pseudonyms of their own format; every document stays."""
-    return _counted(pii.pseudonymised(docs, PSEUDONYM_KEY, counts=False))
+    return _counted(pii.pseudonymised(docs, pseudonym_key(spark), counts=False))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
