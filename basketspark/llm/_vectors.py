@@ -1,9 +1,11 @@
 """Vectors in bounded blocks: the frame that both vector searches share.
 
 The valid rows are dealt evenly over shards of about ``shard_rows`` vectors, one row with
-packed arrays for each; the queries are dealt into blocks in the same way. Every query
-block meets every shard by an equi-join on the shard's number, so no task holds more than
-a few blocks, and the nearest of all shards meet in a window with a partial limit.
+packed arrays for each; the queries are dealt into blocks in the same way. All rows against
+a stated set of queries is what is asked for, so every block meets every shard: a task reads
+a shard once and then the query blocks one after the other, and holds no more than that.
+Where shards are fewer than tasks, a shard is given to several tasks, each with its share of
+the blocks. The nearest of all shards meet in a window with a partial limit.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ def nearest(
     score_type: str,
     prepare: Callable[[np.ndarray], np.ndarray],
     build: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes],
-    search: Callable[[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    load: Callable[[bytes], object],
+    search: Callable[[np.ndarray, np.ndarray, object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of every query (ids divisible by ``every``)."""
     rows = valid_vectors(df, id_col, vec_col, zero_ok).withColumn("uid", F.monotonically_increasing_id())
@@ -74,23 +77,27 @@ def nearest(
     dims = dims or 1
     shards = max(1, math.ceil(n / shard_rows))
     raw = lambda u, i, x: prepare(x).tobytes()
+    blocks = max(1, math.ceil(n_queries / query_rows))
+    lanes = min(blocks, max(1, math.ceil(2 * df.sparkSession.sparkContext.defaultParallelism / shards)))
     index = packed(rows, shards, dims, lambda u, i, x: build(u, i, prepare(x)))
-    queries = packed(rows.filter(F.col("vec_id") % every == 0), max(1, math.ceil(n_queries / query_rows)), dims, raw)
-    queries = queries.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-        F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-    )
+    queries = packed(rows.filter(F.col("vec_id") % every == 0), blocks, dims, raw)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = index.select("shard", upto(lanes).alias("lane"), F.lit(0).alias("kind"), "uids", "ids", "data")
+    queries = queries.select(upto(shards).alias("shard"), (F.col("shard") % lanes).alias("lane"), F.lit(1).alias("kind"), "uids", "ids", "data")
+    dealt = index.unionByName(queries).repartition(F.col("shard"), F.col("lane")).sortWithinPartitions("shard", "lane", "kind")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid = ids = held = None
         for f in frames:
             for r in f.itertuples(index=False):
-                q_uid, q_id = np.frombuffer(r.q_uids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                uid, ids = np.frombuffer(r.uids, np.int64), np.frombuffer(r.ids, np.int64)
-                q = np.frombuffer(r.q_data).reshape(len(q_id), dims)
-                at, hit, score = search(q, q_uid, r.data, uid, ids)
-                yield pd.DataFrame({"uid": q_uid[at], "query_id": q_id[at], "vec_id": ids[hit], "score": score})
-
-    hits = queries.join(index, "shard").mapInPandas(run, HITS.format(kind=score_type))
+                own_uid, own_id = np.frombuffer(r.uids, np.int64), np.frombuffer(r.ids, np.int64)
+                if r.kind == 0:
+                    uid, ids, held = own_uid, own_id, load(r.data)
+                    continue
+                at, hit, score = search(np.frombuffer(r.data).reshape(len(own_id), dims), own_uid, held, uid, ids)
+                yield pd.DataFrame({"uid": own_uid[at], "query_id": own_id[at], "vec_id": ids[hit], "score": score})
+
+    hits = dealt.mapInPandas(run, HITS.format(kind=score_type))
     best = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc("vec_id"))
     return (
         hits.withColumn("rank", F.row_number().over(best))

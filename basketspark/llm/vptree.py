@@ -63,11 +63,11 @@ def build_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 7) -> dict:
     return {"nodes": nodes, "order": order}
 
 
-def search_tree(tree: dict, x: np.ndarray, uid: np.ndarray, ids: np.ndarray, q: np.ndarray, q_uid: np.ndarray, k: int, factor: float):
-    norms = (x * x).sum(1)
-    longest = norms.max(initial=0.0)
+def search_tree(tree: dict, x: np.ndarray, points: np.ndarray, uid: np.ndarray, ids: np.ndarray, q: np.ndarray, q_uid: np.ndarray, k: int, factor: float):
+    """(query row, row of x, score) of the k nearest of each query; ``points`` are the lifted vectors."""
+    longest = float((points[0] * points[0]).sum()) if len(points) else 0.0
     up, qs, q_up = (q * q).sum(1) + longest, Best(len(q), k), np.concatenate([q, np.zeros((len(q), 1))], 1)
-    points, order = lifted(x, longest), tree["order"]
+    order = tree["order"]
     slack = 1e-9 * (1 + longest)  # what a matrix product may differ by from the score as defined
 
     def reach(rows: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def vp_search(
     k: int = 20,
     every: int = 20,
     factor: float = FACTOR,
-    shard_rows: int = 4096,
+    shard_rows: int = 16384,
     query_rows: int = 512,
 ) -> DataFrame:
     """The ``k`` nearest of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
@@ -118,11 +118,14 @@ def vp_search(
     def build(uid, ids, x):
         return pickle.dumps((build_tree(lifted(x)), x), protocol=5)
 
-    def search(q, q_uid, data, uid, ids):
+    def load(data):
         tree, x = pickle.loads(data)
-        return search_tree(tree, x, uid, ids, q, q_uid, k, factor)
+        return tree, x, lifted(x)
+
+    def search(q, q_uid, held, uid, ids):
+        return search_tree(*held, uid, ids, q, q_uid, k, factor)
 
     return nearest(
         df, id_col, vec_col, k=k, every=every, shard_rows=shard_rows, query_rows=query_rows, zero_ok=False, score_type="double",
-        prepare=lambda x: x, build=build, search=search,
+        prepare=lambda x: x, build=build, load=load, search=search,
     )

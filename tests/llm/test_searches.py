@@ -80,3 +80,19 @@ def test_empty(spark, search):
     assert search(spark.createDataFrame([], SCHEMA)).collect() == []
     assert search(frame(spark, [(20, [1.0])])).collect() == []
     assert search(frame(spark, [(20, [1.0]), (1, [1.0])]).filter(F.col("vec_id") > 0)).count() == 1
+
+
+def test_bounds_leave_few_pairs():
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * rng.normal(size=(6000, 64)))
+    stats = [segments.statistics(x, s) for s in segments.levels(64)]
+    at, hit, score, scored = segments.search_segments(stats, x, np.arange(6000), np.arange(6000), x[:100], np.arange(100), 20)
+    want = x[:100] @ x.T
+    want[np.arange(100), np.arange(100)] = -np.inf
+    assert sorted(zip(at.tolist(), score.tolist(), strict=True)) == sorted((i, int(s)) for i, row in enumerate(want) for s in sorted(row)[-20:])
+    assert scored < 0.75 * 600_000 and len(hit) == 2000
+
+
+def test_components_too_large_for_exact_sums(spark):
+    with pytest.raises(Exception, match="too large"):
+        segments.segment_topk(frame(spark, [(0, [1e9, 1.0]), (1, [1.0, 1.0])])).collect()
