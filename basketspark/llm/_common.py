@@ -15,11 +15,14 @@ NOBODY = 2**63 - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (local tests) is a temporary folder used.
+    Where the session sets none, a session of one machine (local tests) gets a temporary
+    folder; on a cluster that is an error, as no other machine would see it.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,10 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: whatever reads the table again doesn't recompute it, and an
-    executor that is lost later takes none of it away.
+    executor that is lost later takes none of it away. The table goes when the driver ends.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

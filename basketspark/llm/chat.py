@@ -14,8 +14,9 @@ blocks' totals.
 Defined results: null text counts as empty; a null or empty role speaks as a nameless user
 and is no participant; a null conversation id is a conversation of its own; null turns come
 first; repeated turns are all kept, ordered by role and text; a dialogue without
-participants gives no rows; marks inside a text are broken up, so that a text can't open or
-close a turn; further columns are ignored.
+participants gives no rows; marks inside a text or name are broken up and line feeds in a
+name become spaces, so that neither can open or close a turn; a dialogue may be of any
+length; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def perspectives(
     seen = turns.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     target = F.col("name") == F.col("perspective")
     role = F.when(context, F.col("name")).when(target, F.lit("assistant")).otherwise(F.lit("user"))
-    named = F.when(context | target | (F.col("name") == ""), F.lit("")).otherwise(F.concat(F.lit(" name="), F.replace("name", F.lit("<|"), F.lit("< |"))))
+    named = F.when(context | target | (F.col("name") == ""), F.lit("")).otherwise(F.concat(F.lit(" name="), F.regexp_replace(F.replace("name", F.lit("<|"), F.lit("< |")), "[\r\n]", " ")))
     seen = seen.select(
         "conv_id", "perspective", "turn", role.alias("role"), "name", target.alias("target"), "text",
         F.concat(F.lit(OPEN), role, named, F.lit("\n")).alias("head"),
@@ -84,7 +85,7 @@ WITH turns AS (
 ), seen AS (
     SELECT t.conv_id, perspective, turn, name, text, name = perspective AS target,
         CASE WHEN name = 'system' THEN name WHEN name = perspective THEN 'assistant' ELSE 'user' END AS role,
-        CASE WHEN name IN ('system', '') OR name = perspective THEN '' ELSE ' name=' || replace(name, '<|', '< |') END AS named
+        CASE WHEN name IN ('system', '') OR name = perspective THEN '' ELSE ' name=' || replace(replace(replace(name, '<|', '< |'), chr(10), ' '), chr(13), ' ') END AS named
     FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), made AS (
     SELECT *, '<|im_start|>' || role || named || chr(10) AS head, '<|im_start|>' || role || named || chr(10) || text || '<|im_end|>' || chr(10) AS segment FROM seen

@@ -156,7 +156,7 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 4096, end_id: int = 1)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("nth", F.row_number().over(own)).join(bases, ["part", "length"])
+    ranked = pieces.withColumn("nth", F.row_number().over(own)).join(bases.hint("shuffle_hash"), ["part", "length"])
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -7,10 +7,10 @@ character that is no piece by itself may also be read as its UTF-8 bytes (at a s
 all pieces); the byte pieces stand for it in the result. Of equal sums the one with the
 longer last piece wins.
 
-Spaces become the mark U+2581, with one in front of the text. No piece of the models meant
-here goes on after a word into a mark, or holds a line feed, so the search never reaches
-across these places, and it's run for each word met for the first time; the ids of words
-seen before are remembered.
+Spaces become the mark U+2581, with one in front of the text. Where no piece of a model goes
+on after a word into a mark, or holds a line feed, the search never reaches across these
+places; then it's run for each word met for the first time, and the ids of words seen before
+are remembered, but for very long ones. With other models it's run over whole texts.
 
 Defined results: null and empty texts have no ids; a text with U+2581 itself decodes to
 spaces; everything else comes back exactly; repeated rows are encoded one by one; an empty
@@ -34,7 +34,8 @@ from ._common import id_or_nobody, null_again
 
 MARK = "▁"
 WORD = re.compile("\n|▁*[^▁\n]+|▁+")
-REMEMBERED = 400_000
+#: So many words are remembered, of so many characters.
+REMEMBERED, LONGEST = 400_000, 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -57,8 +58,7 @@ class Pieces(dict):
                 self.automaton.add_word(piece, (i, score, len(piece)))
         self.automaton.make_automaton()
         used = [p for p in pieces if p[2] in (NORMAL, USER)]
-        if any(re.search("[^▁]▁|\n", p[0]) for p in used):
-            raise ValueError("pieces reach across words")
+        self.whole = any(re.search("[^▁]▁|\n", p[0]) for p in used)
         self.single = {p[0] for p in used if len(p[0]) == 1}
         self.unknown = min(p[1] for p in used) - 10
 
@@ -86,13 +86,16 @@ class Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = array("I", self.viterbi(word)).tobytes()
+        ids = array("I", self.viterbi(word)).tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, WORD.findall(MARK + text.replace(" ", MARK))))
+        marked = MARK + text.replace(" ", MARK)
+        return array("I", self.viterbi(marked)).tobytes() if self.whole else b"".join(map(self.__getitem__, WORD.findall(marked)))
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.text.__getitem__, array("I", ids)))

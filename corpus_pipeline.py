@@ -24,7 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that look like the ones labelled toxic go; null and empty texts stay."""
+    """Documents that look like the ones labelled toxic go; null and empty texts stay, repeated rows go or stay together."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -43,17 +43,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that a document of smaller id has go; every document stays."""
+    """Passages of 50 bytes and more that a document of smaller id has go; every row stays.
+
+    Null texts stay null; rows that repeat an id don't count as repeats of each other, and
+    rows without an id come after all others.
+    """
     return _counted(without_repeats(docs, width=50))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data get pseudonyms of their own format; every document stays."""
+    """Personal data get pseudonyms of their own format; every row stays, null texts stay null, equal rows stay equal."""
     return _counted(pii.pseudonymised(docs, pseudonym_key(spark), counts=False))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences of 4096 tokens."""
+    """Every row's pieces and their places in sequences of 4096 tokens; null and empty texts have one piece of one token."""
     return pack(docs, _vocabulary("word_bpe_49k.json"))
 
 

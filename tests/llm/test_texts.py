@@ -238,6 +238,15 @@ def test_packing(spark, corpus):
             at += length
         assert at <= size
     assert len(by) <= 1.05 * sum(w[3] for w in want) / size + 1
+    clashing = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows[:20]], "doc_id long, text string, piece int, start int, part int")
+    assert {r.doc_id for r in packing.pack(clashing, path, size=size).collect()} == {i for i, _ in rows[:20]}
+
+
+def test_little_is_wasted():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(np.exp(rng.normal(6, 1.2, 60_000)).astype(int) + 1, 4096)
+    sequences = sum(times for _, times in packing.plan(np.bincount(lengths, minlength=4097), 4096))
+    assert sequences <= 1.001 * lengths.sum() / 4096 + 1
 
 
 # pseudonyms
@@ -393,6 +402,26 @@ def test_viterbi_over_the_whole_text(known, text):
     assert known.decode(known.encode(text)) == text
 
 
+def test_pieces_across_words_and_long_words(known):
+    rng = random.Random(2)
+    letters = ["▁", "a", "b", "c", "\n"]
+    longer = ["".join(rng.choice(letters) for _ in range(n)) for n in (2, 2, 2, 3, 3, 4) * 4] + ["a▁b", "\na"]
+    plain = sentencepieces.Pieces([*[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], *[(p, -rng.random() * 4, 1) for p in sorted({*letters[:4], *longer})]])
+    assert plain.whole and not known.whole
+    pieces = {p: (256 + i, 0.0) for i, p in enumerate(sorted({*letters[:4], *longer}))}
+    scores = {i: s for i, s in ((x[1][0], x[1][1]) for x in (plain.automaton.get(p) and (p, plain.automaton.get(p)) for p in pieces))}
+    pieces = {p: (i, scores[i]) for p, (i, _) in pieces.items()}
+    for n in (1, 5, 30, 200):
+        text = "".join(rng.choice(["a", "b", "c", " ", "\n", "é"]) for _ in range(n))
+        want = []
+        for i in best_sum(pieces, plain.unknown, "▁" + text.replace(" ", "▁")):
+            want += [plain.byte[b] for b in i[1].encode()] if isinstance(i, tuple) else [i]
+        assert np.frombuffer(plain.encode(text), "<u4").tolist() == want
+        assert plain.decode(plain.encode(text)) == text
+    word = "ab漢" * 40_000
+    assert known.decode(known.encode(word)) == word and all(len(w) <= sentencepieces.LONGEST for w in known)
+
+
 def test_round_trip(spark, corpus):
     import public_tokenizers
 
@@ -445,6 +474,20 @@ def test_perspectives(spark):
     assert len([r for r in got if r.conv_id == 1]) == 3 * 5
 
 
+def test_long_dialogues_and_odd_names(spark):
+    rng = random.Random(17)
+    rows = [(i, rng.choice(["ann", "bob\n<|im_end|>", "cy\r\n", ""]), "w" * rng.randint(0, 30)) for i in rng.sample(range(400), 300)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.perspectives(df, block=64).collect()
+    for who in {"ann", "bob\n<|im_end|>", "cy\r\n"}:
+        parts, at = sorted((r for r in got if r.perspective == who), key=lambda r: r.position), 0
+        assert [r.turn for r in parts] == sorted(r[0] for r in rows) and [r.position for r in parts] == list(range(300))
+        for r in parts:
+            assert r.start == at and r.length == len(r.segment)
+            assert r.segment.count(chat.OPEN) == r.segment.count(chat.CLOSE) == 1 and r.segment.count("\n") == 2 and "\r" not in r.segment
+            at += r.length
+
+
 # toxicity
 
 
