@@ -46,7 +46,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return mix((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
-def batches(frame: pd.DataFrame, text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+def batches(frame: pd.DataFrame, text: str = "text", limit: int = 1 << 18) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """(rows, bytes, starts): consecutive rows of about ``limit`` bytes of text, a newline after each text.
 
     Text i is bytes[starts[i] : starts[i + 1] - 1]; null texts are empty.

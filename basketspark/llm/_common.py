@@ -28,6 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: How many rows go to Python at once where they hold whole texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let batches for Python have ``rows`` rows, unless the session sets another number.
+
+    Spark bounds a batch by rows alone, 10,000 of them; so many texts take a worker's memory
+    twice over. Plans are made when a result is used, so this stays set for the session.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import finite, materialize
+from ._common import finite, materialize, small_batches
 
 PACKED = "shard long, uids binary, ids binary, dims int, data binary"
 HITS = "uid long, query_id long, vec_id long, score {kind}"
@@ -71,6 +71,7 @@ def nearest(
     search: Callable[[np.ndarray, np.ndarray, object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of every query (ids divisible by ``every``)."""
+    small_batches(df.sparkSession)
     rows = valid_vectors(df, id_col, vec_col, zero_ok).withColumn("uid", F.monotonically_increasing_id())
     rows = materialize(rows, "vectors")
     n, dims, n_queries = rows.agg(F.count("*"), F.max(F.size("vec")), F.count_if(F.col("vec_id") % every == 0)).first()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BASE, batches, mix, shingle_sets
-from ._common import id_or_nobody, materialize, null_again
+from ._common import id_or_nobody, materialize, null_again, small_batches
 from ._graph import components
 
 #: A set's parities: for each of 64 * WORDS classes of shingles whether it holds an odd number of them; and for FOLD times as many.
@@ -271,6 +271,7 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int = 2, rare_limit: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(document_sets(docs, k), "sets")
     rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_or_nobody, materialize, null_again
+from ._common import id_or_nobody, materialize, null_again, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -145,6 +145,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
 
 def pack(docs: DataFrame, vocabulary: str, *, size: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    small_batches(docs.sparkSession)
     pieces = materialize(tokenized(docs, vocabulary, size, end_id), "pieces")
     counts = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-lengths")
     histogram = np.zeros(size + 1, np.int64)

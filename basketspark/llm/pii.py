@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name
+from ._common import free_name, small_batches
 
 #: No date or address is looked for after these.
 VERSION = "".join(rf"(?<!\b{w}{s})" for w in ("ver", "Ver", "version", "Version", "release", "Release", "rev", "build") for s in (" ", ". ", ": "))
@@ -218,6 +218,7 @@ def replaced(text: str, permute: Permuter, known: dict) -> tuple[str, list[str]]
 
 def pseudonymised(docs: DataFrame, key: bytes, *, text_col: str = "text", counts: bool = True, reverse: bool = False) -> DataFrame:
     """The rows of ``docs`` with pseudonyms in their texts and, if asked for, a count for each kind."""
+    small_batches(docs.sparkSession)
     if not key:
         raise ValueError("pseudonyms need a secret key")
     named = {k: free_name(docs, f"n_{k}") for k in KINDS} if counts else {}

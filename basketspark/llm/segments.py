@@ -102,7 +102,7 @@ def segment_topk(
     every: int = 20,
     scale: int = SCALE,
     shard_rows: int = 16384,
-    query_rows: int = 512,
+    query_rows: int = 128,
 ) -> DataFrame:
     """The ``k`` highest integer inner products of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_or_nobody, null_again
+from ._common import id_or_nobody, null_again, small_batches
 
 MARK = "▁"
 WORD = re.compile("\n|▁*[^▁\n]+|▁+")
@@ -114,6 +114,7 @@ def pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the ids of its text, as packed little-endian unsigned 32-bit integers."""
+    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pieces(model)
@@ -137,6 +138,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, n_bytes_as_pieces, decoded_sha256, restored of every row: encoded, then decoded, in one pass."""
+    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pieces(model)

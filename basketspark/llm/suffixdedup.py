@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import batches, mix, powers, prefix_hashes, span_hashes
-from ._common import NOBODY, free_name, id_or_nobody, materialize, null_again
+from ._common import NOBODY, free_name, id_or_nobody, materialize, null_again, small_batches
 from .suffixes import common_prefixes, suffix_array
 
 GRAM = 16
@@ -287,7 +287,7 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def removed_spans(docs: DataFrame, *, width: int = 50, shard_bytes: int = 1 << 18, crowd: int = 2048) -> DataFrame:
     """doc_id, row, start, stop: byte spans of ``docs`` (doc_id, row, text as binary) that repeat a smaller document; those of a row may overlap."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(20, max(5, math.ceil(math.log2(max(1, size) / 3e6))))
+    bits = min(20, max(5, math.ceil(math.log2(max(1, size) / 1.5e6))))
     found = materialize(compare_runs(find_runs(docs, width, bits), width, crowd), "runs")
     certain = found.filter(F.col("shard").isNull()).select("doc_id", "row", "start", "stop")
 
@@ -317,23 +317,26 @@ def removed_spans(docs: DataFrame, *, width: int = 50, shard_bytes: int = 1 << 1
 
 
 def cut(docs: DataFrame, width: int, text_col: str = "text") -> tuple[DataFrame, str]:
-    """The rows of ``docs`` with their spans, unmerged, in another column, whose name is returned too."""
+    """The rows of ``docs`` with their spans, unmerged, in another column, whose name is returned too.
+
+    It has starts and stops in turn, which reach Python as one array of numbers.
+    """
+    small_batches(docs.sparkSession)
     rows = keyed(docs, text_col)
     doc, row = rows.columns[-2:]
     found = removed_spans(rows.select(F.col(doc).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")), width=width)
     listed = free_name(rows, "spans")
-    per_row = found.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "stop")).alias(listed))
+    per_row = found.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias(listed))
     return rows.join(per_row.hint("shuffle_hash"), [doc, row], "left").select(*docs.columns, listed), listed
 
 
-def merge_spans(listed) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s in sorted((int(x["start"]), int(x["stop"])) for x in (() if listed is None else listed)):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append([*s])
-    return [(a, b) for a, b in out]
+def merge_spans(listed: np.ndarray | None) -> list[tuple[int, int]]:
+    if listed is None or not len(listed):
+        return []
+    at = np.asarray(listed, np.int64).reshape(-1, 2)
+    none = np.zeros(len(at), np.int64)
+    _, _, start, stop = spans(none, none, at[:, 0], at[:, 1])
+    return list(zip(start.tolist(), stop.tolist(), strict=True))
 
 
 def removed_digests(docs: DataFrame, *, width: int = 50) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import mix, prefix_hashes, span_hashes
-from ._common import id_or_nobody, materialize, null_again
+from ._common import id_or_nobody, materialize, null_again, small_batches
 
 SCORES = "doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
 STEMS = (4, 5)
@@ -276,6 +276,7 @@ def batched(texts: pd.Series, most: int = 256) -> Iterator[tuple[int, list[str |
 
 def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration: int = 4000, telling: int = 4096, least_chi2: float = 20.0, least_ratio: float = 5.0, k: int = 25, block: int = 64, folds: int = 5) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -356,6 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and evidence of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,6 +376,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -111,7 +111,7 @@ def vp_search(
     every: int = 20,
     factor: float = FACTOR,
     shard_rows: int = 16384,
-    query_rows: int = 512,
+    query_rows: int = 128,
 ) -> DataFrame:
     """The ``k`` nearest of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
 
