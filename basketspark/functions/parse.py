@@ -129,9 +129,14 @@ def quantity(c: Column) -> Column:
     )
 
 
-#: Names of measures that mean the same.
-MEASURES = {"gram": "g", "gr": "g", "liter": "l", "spsk.": "spsk", "tsk.": "tsk", "stk.": "stk", "fed": "fed"}
-LINE = rf"^((?:{NUMBER})(?:[/-](?:{NUMBER}))?)\s*(?:(kg|gram|gr|g|liter|dl|cl|ml|l|spsk\.?|tsk\.?|stk\.?|fed)\s)?\s*(.+)$"
+#: Spellings of measures in recipes.
+MEASURES = {
+    "g": "g", "gram": "g", "gr": "g", "kg": "kg", "kilo": "kg", "l": "l", "liter": "l", "dl": "dl", "cl": "cl", "ml": "ml",
+    "spsk": "spsk", "spiseske": "spsk", "spiseskeer": "spsk", "ss": "spsk", "tsk": "tsk", "teske": "tsk", "teskeer": "tsk", "ts": "tsk",
+    "stk": "stk", "styk": "stk", "stykker": "stk", "fed": "fed", "dåse": "dåse", "dåser": "dåse", "ds": "dåse", "pakke": "pakke", "pk": "pakke", "pakker": "pakke",
+    "bundt": "bundt", "knivspids": "knivspids", "håndfuld": "håndfuld", "fl": "flaske", "flaske": "flaske", "flasker": "flaske", "glas": "glas",
+}
+LINE = rf"(?i)^((?:{NUMBER})(?:[/-](?:{NUMBER}))?)\s*(?:({'|'.join(sorted(MEASURES, key=len, reverse=True))})\.?\s)?\s*(.+)$"
 
 
 def ingredient(c: Column) -> Column:
@@ -235,3 +240,46 @@ def oere(c: Column) -> Column:
 def producer(c: Column) -> Column:
     """The first word."""
     return F.nullif(F.split_part(F.trim(c), F.lit(" "), F.lit(1)), F.lit(""))
+
+
+def local_month(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
+    """"2024-03": the month in a time zone of a time in UTC."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM")
+
+
+def local_day(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+
+
+def local_day_of_month(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
+    return F.dayofmonth(F.from_utc_timestamp(ts, zone))
+
+
+def leaflet_description(c: Column) -> Column:
+    """A struct of kind, weight and kg_price of a leaflet's text such as "Skåret skinke, 150 g. 66,33 kr/kg"; empty texts where there are none."""
+    weight, price_ = r"(?i)([0-9]+[.,]?[0-9]*)\s*(kg|g|l|ml|cl|dl|stk)", r"(?i)([0-9]+[.,]?[0-9]*)\s*(?:kr\s*)?/\s*(kg|g|l|ml|cl|dl)"
+    has = c.rlike(weight)
+    before = F.substring(c, F.lit(1), F.regexp_instr(c, F.lit(weight)) - 1)
+    kind = F.when(has, F.trim(F.regexp_replace(F.regexp_replace(F.trim(before), "^[,| -]+", ""), "[,| -]+$", ""))).otherwise(F.trim(F.regexp_extract(c, r"^[^,.]+", 0)))
+    return F.struct(
+        F.coalesce(kind, F.lit("")).alias("kind"),
+        F.when(has, F.concat(F.regexp_extract(c, weight, 1), F.lit(" "), F.lower(F.regexp_extract(c, weight, 2)))).otherwise("").alias("weight"),
+        F.when(c.rlike(price_), F.concat(F.regexp_extract(c, price_, 1), F.lit(" kr/"), F.regexp_extract(c, price_, 2))).otherwise("").alias("kg_price"),
+    )
+
+
+def store_name_id(store: Column, normal_name: Column) -> Column:
+    """An id of a name in a store; null for an empty name."""
+    return F.when(F.length(normal_name) > 0, F.concat(F.lit("sname:"), store, F.lit(":"), F.substring(F.md5(normal_name), 1, 12)))
+
+
+def saved_lists(lists: Column, most: int = 10) -> Column:
+    """Saved lists (structs of id, name and items) as they are kept: those with items, ten at most, with safe ids and names."""
+    named = F.transform(
+        F.filter(lists, lambda x: F.size(compact_cart(x["items"])) > 0),
+        lambda x: F.struct(
+            F.coalesce(F.nullif(F.substring(list_id(F.coalesce(x["id"], F.lit(""))), 1, 40), F.lit("")), F.substring(F.md5(x["name"]), 1, 12)).alias("id"),
+            F.coalesce(F.nullif(F.substring(F.trim(x["name"]), 1, 80), F.lit("")), F.lit("Liste")).alias("name"), compact_cart(x["items"]).alias("items"),
+        ),
+    )
+    return F.slice(named, 1, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,9 +61,22 @@ def marked_letters() -> tuple[str, str]:
     return "".join(plain) + marks, "".join(plain.values())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value found once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def without_marks(c: Column) -> Column:
     """Lower-case text with é as e and å as a; letters of their own such as æ and ø stay."""
-    return F.when(c.rlike(r"[^\x00-\x7Fæø]"), F.translate(c, *marked_letters())).otherwise(c)
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7Fæø]"), F.translate(x, *marked_letters())).otherwise(x))
+
+
+def _written_out(x: Column) -> Column:
+    long_ = x
+    for short, full in ABBREVIATIONS.items():
+        before = "(?<!f )" if short == "eks" else ""  # "for eksempel"
+        long_ = F.regexp_replace(long_, before + whole(short), full)
+    return F.when(x.rlike(whole("|".join(ABBREVIATIONS))), long_).otherwise(x)
 
 
 def normalized(c: Column) -> Column:
@@ -71,14 +84,10 @@ def normalized(c: Column) -> Column:
     x = without_marks(F.lower(F.coalesce(F.when(c != "nan", c), F.lit(""))))
     for old, new in (("&", "and"), ("+", "and"), (",", " "), ("'", ""), ("’", ""), (".", " ")):
         x = F.replace(x, F.lit(old), F.lit(new))
-    long_ = x
-    for short, full in ABBREVIATIONS.items():
-        before = "(?<!f )" if short == "eks" else ""  # "for eksempel"
-        long_ = F.regexp_replace(long_, before + whole(short), full)
-    x = F.when(x.rlike(whole("|".join(ABBREVIATIONS))), long_).otherwise(x)
+    x = let(x, _written_out)
     for word in NOISE:
         x = F.replace(x, F.lit(word), F.lit(""))
-    x = F.when(x.contains("okologisk"), F.regexp_replace(x, whole("okologisk"), "")).otherwise(x)
+    x = let(x, lambda y: F.when(y.contains("okologisk"), F.regexp_replace(y, whole("okologisk"), "")).otherwise(y))
     return F.trim(F.regexp_replace(x, r"[/\s\p{Z}]+", " "))
 
 
@@ -123,7 +132,7 @@ def variant_flags(c: Column) -> dict[str, Column]:
 
 
 def meats(c: Column) -> Column:
-    return flagged(normalized(c), MEATS)
+    return let(normalized(c), lambda x: flagged(x, MEATS))
 
 
 def dairy(normal: Column) -> Column:
@@ -184,6 +193,18 @@ def keywords(c: Column, lexicon: Mapping[str, Sequence[str]] | Sequence[str], bl
     return scan(F.lower(c))
 
 
+def search_keywords(c: Column, image_url: Column, lexicon: Mapping[str, Sequence[str] | str], **kind: Sequence[str]) -> Column:
+    """What a text and its image's address say by a lexicon, with all words of the lexicon that mean the same; as one text."""
+    means = {w: [v] if isinstance(v, str) else list(v) for w, v in lexicon.items()}
+    words = {n: " ".join(sorted({n, *(w for w, ns in means.items() if n in ns)})) for ns in means.values() for n in ns}
+    if not words:
+        return F.lit("")
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    address = normalized(F.regexp_replace(F.coalesce(image_url, F.lit("")), "[-_/]", " "))
+    found = F.array_union(keywords(F.coalesce(c, F.lit("")), lexicon, **kind), keywords(address, lexicon, **kind))
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda n: F.split(F.try_element_at(known, n), " "))))), " ")
+
+
 def query_parts(c: Column) -> Column:
     """A struct of the query without its organic word, and whether there was one."""
     text = F.substring(F.lower(F.trim(c)), 1, 100)

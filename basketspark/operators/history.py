@@ -12,8 +12,8 @@ def recent(prices: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 
 def with_as_of(prices: DataFrame) -> DataFrame:
-    """The rows with the last date of all as ``as_of``; one value is broadcast."""
-    return prices.crossJoin(F.broadcast(prices.agg(F.max("date").alias("as_of"))))
+    """The rows with the last date of all as ``as_of``, a literal, so that filters against it reach the scan."""
+    return prices.withColumn("as_of", F.lit(prices.agg(F.max("date")).first()[0]).cast("date"))
 
 
 def lowest(prices: DataFrame, days: int = 30) -> DataFrame:

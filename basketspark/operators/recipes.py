@@ -71,3 +71,24 @@ def coverage(rows: DataFrame, by: str) -> DataFrame:
     """The share of rows with a payload, by a column and (null) over all."""
     share = F.round(F.avg(F.col("covered").cast("double")), 6).alias("share")
     return rows.groupBy(by).agg(F.count("*").alias("n"), share).unionByName(rows.agg(F.lit(None).cast(rows.schema[by].dataType).alias(by), F.count("*").alias("n"), share))
+
+
+def listed(recipes: DataFrame, snapshots: DataFrame, points: DataFrame, order: str = "ratio") -> DataFrame:
+    """Recipes (recipe_id, created) with their price snapshot and points, zero where there are none; by the share on sale, or by points and age."""
+    rows = recipes.join(snapshots.select("recipe_id", F.col("total").alias("cheapest_total"), "matched", "lines", "on_sale"), "recipe_id", "left").join(points.select("recipe_id", "points", "clicks"), "recipe_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("matched", "lines", "on_sale", "points", "clicks")})
+    rows = rows.withColumn("sale_ratio", F.when(F.col("lines") > 0, F.round(F.col("on_sale") / F.col("lines"), 3)).otherwise(0.0))
+    return rows.orderBy(*([F.desc("sale_ratio")] if order == "ratio" else [F.desc("points")]), F.desc("created"), "recipe_id")
+
+
+def detail(lines: DataFrame, products: DataFrame, payloads: DataFrame) -> DataFrame:
+    """A row for each product that a recipe line (recipe_id, position, matched, candidates) may be made with, with its nutrition.
+
+    Products are (product_id, name, price, keys); the first key with a payload counts.
+    """
+    ids = F.array_distinct(F.array_compact(F.concat(F.array("matched"), F.coalesce("candidates", F.array().cast("array<bigint>")))))
+    wanted = lines.select("recipe_id", "position", "matched", F.explode_outer(ids).alias("product_id"))
+    found = wanted.join(products, "product_id", "left")
+    used = found.filter(F.col("product_id").isNotNull()).select(F.col("product_id").alias("id"), "keys").dropDuplicates(["id"])
+    payload = first_key(used, "keys", payloads).select(F.col("id").alias("product_id"), "payload")
+    return found.join(payload, "product_id", "left").select("recipe_id", "position", "product_id", "name", "price", F.coalesce(F.col("product_id") == F.col("matched"), F.lit(False)).alias("is_matched"), "payload")

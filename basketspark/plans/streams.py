@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import checkpoints
 from ..operators import search
 from ..streaming import activity
 from . import mapping as m
@@ -25,13 +26,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream over stored rows gives, once all of them are read; written to the shared folder batch by batch."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp()
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    checkpoints.ready(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
@@ -100,6 +96,30 @@ def stream_click_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(points, "complete")
 
 
+@query(f"""WITH RECURSIVE {m.E}, c AS (SELECT *, CAST(pid AS BIGINT) AS recipe_id, row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) AS i FROM ev),
+f AS (SELECT recipe_id, i, ts AS last, true AS ok, ts FROM c WHERE i = 1 UNION ALL SELECT c.recipe_id, c.i, CASE WHEN c.ts - f.last >= INTERVAL 1 HOUR THEN c.ts ELSE f.last END, c.ts - f.last >= INTERVAL 1 HOUR, c.ts FROM f JOIN c ON c.recipe_id = f.recipe_id AND c.i = f.i + 1),
+r AS (SELECT p_partkey AS recipe_id, DATE '2023-11-01' + CAST(p_size * 2 AS INT) AS created FROM part)
+SELECT recipe_id, sum(greatest(10 - greatest(CAST(floor((CAST(ts AS DATE) - created) / 7.0) AS BIGINT), 0), 1))::BIGINT AS points, count(*) AS clicks FROM f JOIN r USING (recipe_id) WHERE ok GROUP BY 1""")
+def click_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks within an hour of the recipe's last counted one have no points."""
+    clicks = m.events(spark, sf_dir).withColumn("recipe_id", F.col("pid").cast("long"))
+    return activity.click_points(activity.cooled(clicks, "recipe_id", 3600.0), _recipes(spark, sf_dir)).groupBy("recipe_id").agg(F.sum("points").alias("points"), F.count("*").alias("clicks"))
+
+
+@query(f"""WITH {m.E} SELECT date_trunc('minute', ts) AS bucket, event_type AS kind, pid AS path, count(*) AS events FROM ev WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 5 MINUTE GROUP BY ALL""")
+def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes that can no longer change, in append mode."""
+    return drained(activity.minutes(_stored(spark, sf_dir).withColumnsRenamed({"event_type": "kind", "pid": "path"})), "append")
+
+
+@query(f"""WITH {m.E}, q AS (SELECT user_id % 50 AS user_id, ts, event_id, pid, 10 + value AS target FROM ev WHERE event_type <> 'error'), l AS (SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY ts DESC, event_id DESC) AS nth FROM q)
+SELECT user_id, pid AS product_id, round(target, 4) AS target_price FROM l WHERE nth = 1""")
+def price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last request of each user for a product; without cooldown or cap."""
+    rows = m.events(spark, sf_dir).select((F.col("user_id") % 50).alias("user_id"), "ts", "event_id", "pid", (10 + F.col("value")).alias("target"), F.lit(50.0).alias("current"), F.when(F.col("event_type") != "error", F.lit("a@b.dk")).alias("email"))
+    return activity.price_alerts(rows, most=10**9, seconds=0.0).select("user_id", "product_id", F.round("target_price", 4).alias("target_price"))
+
+
 @query()
 def savings_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.events(spark, sf_dir).withColumn("cheap", F.floor("value") % 50).withColumn("dear", F.floor("value").cast("double"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import parse
 
 #: A raw offer, as every store's reader returns it.
@@ -31,7 +32,8 @@ def search_dump(spark: SparkSession, path: str, stores: Sequence[str]) -> DataFr
     known = F.map_filter("storeData", lambda k, v: v["price"] > 0)
     ordered = F.array_compact(F.array(*(F.try_element_at(known, F.lit(s)) for s in stores)))
     picked = F.coalesce(F.try_element_at(ordered, F.lit(1)), F.try_element_at(F.map_values(known), F.lit(1)))
-    rows = rows.select("*", picked.alias("x")).filter("x IS NOT NULL").dropDuplicates(["objectID"])
+    rows = rows.select("*", picked.alias("x")).filter("x IS NOT NULL")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("objectID").orderBy("name", "x"))).filter("nth = 1")
     return rows.select("objectID", "name", "brand", parse.oere(F.col("x.price")).alias("price"), F.when(F.col("x.before") > F.col("x.price"), parse.oere(F.col("x.before"))).alias("normal_price"), F.coalesce("x.offer", F.lit(False)).alias("on_sale"), F.element_at("images", 1).alias("image_url"))
 
 
@@ -66,17 +68,30 @@ def html_cards(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", first(r"<title>([^<]*)</title>").alias("title"), first(r"<h1>([^<]*)</h1>").alias("heading"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
 
 
-def json_ld_recipes(pages: DataFrame) -> DataFrame:
-    """The first Recipe of a page's JSON-LD, on top, in a list or in @graph: name, yield, minutes and ingredients."""
-    blocks = F.regexp_extract_all("html", F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("block", "text"))
-    node = "`@type` string, name string, recipeYield string, totalTime string, recipeIngredient array<string>"
-    one = F.from_json("text", f"struct<{node}, `@graph`: array<struct<{node}>>>")
-    many = F.from_json("text", f"array<struct<{node}>>")
-    rows = rows.select("page_id", "block", F.when(F.ltrim(F.col("text")).startswith("["), F.coalesce(many, F.array().cast(f"array<struct<{node}>>"))).otherwise(F.concat(F.array(F.struct(*(one[f].alias(f) for f in ("@type", "name", "recipeYield", "totalTime", "recipeIngredient")))), F.coalesce(one["@graph"], F.array().cast(f"array<struct<{node}>>")))).alias("nodes"))
-    rows = rows.select("page_id", "block", F.posexplode("nodes").alias("at", "node")).filter(F.col("node.@type") == "Recipe")
-    first = rows.groupBy("page_id").agg(F.min(F.struct("block", "at", "node")).alias("x"))
-    return first.select("page_id", F.col("x.node.name").alias("name"), F.col("x.node.recipeYield").alias("yield"), parse.duration_minutes(F.col("x.node.totalTime")).alias("minutes"), F.col("x.node.recipeIngredient").alias("ingredients"))
+def json_ld_recipes(pages: DataFrame, depth: int = 3) -> DataFrame:
+    """The first Recipe of a page's JSON-LD, on top, in lists or in @graph (to a depth): title, source, image, servings, minutes and ingredients.
+
+    Values that may be a text, an object or a list of either are read in each form.
+    """
+    blocks = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["\']application/ld\+json["\'][^>]*>(.*?)</script>"""), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(blocks).alias("block", "text")).select("page_id", F.array("block").alias("place"), F.try_parse_json("text").alias("node")).filter("node IS NOT NULL")
+    get = lambda path, kind="string": F.try_variant_get("node", path, kind)
+    found = rows
+    for _ in range(depth):
+        inside = F.coalesce(get("$", "array<variant>"), get('$["@graph"]', "array<variant>"), F.when(get('$["@graph"]', "variant").isNotNull(), F.array(get('$["@graph"]', "variant"))))
+        rows = rows.select("page_id", "place", F.posexplode(inside).alias("at", "node")).select("page_id", F.array_append("place", F.col("at")).alias("place"), "node")
+        found = found.unionByName(rows)
+    texts = lambda path: F.coalesce(get(path, "array<string>"), F.when(get(path).isNotNull(), F.array(get(path))))
+    kinds = texts('$["@type"]')
+    first = lambda path, *inner: F.coalesce(*(get(p, "string") for p in (*(f"{path}[0].{i}" for i in inner), f"{path}[0]", *(f"{path}.{i}" for i in inner), path)))
+    lines = F.coalesce(texts("$.recipeIngredient"), texts("$.ingredients"))
+    recipes = found.filter(F.coalesce(F.array_contains(kinds, "Recipe"), F.lit(False))).select(
+        "page_id", "place", F.coalesce(F.nullif(F.trim(get("$.name")), F.lit("")), F.lit("Unavngivet opskrift")).alias("name"), F.trim(F.coalesce(first("$.author", "name"), F.lit(""))).alias("source"),
+        F.coalesce(first("$.image", "url"), F.lit("")).alias("image"), F.nullif(F.regexp_extract(F.coalesce(first("$.recipeYield"), F.lit("")), "[0-9]+", 0), F.lit("")).try_cast("int").alias("servings"),
+        parse.duration_minutes(get("$.totalTime")).alias("minutes"), F.filter(F.transform(F.array_compact(F.coalesce(lines, F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x != "").alias("ingredients"),
+    )
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("place"))
+    return recipes.withColumn("nth", nth).filter("nth = 1").drop("nth", "place")
 
 
 def after(rows: DataFrame, key: str, last: int, size: int = 1000) -> DataFrame:
@@ -84,6 +99,17 @@ def after(rows: DataFrame, key: str, last: int, size: int = 1000) -> DataFrame:
     return rows.filter(F.col(key) > last).orderBy(key).limit(size)
 
 
+def all_pages(rows: DataFrame, key: str, size: int = 1000) -> Iterator[DataFrame]:
+    """A table page by page, in order of a key, until none is left; for consumers that take a page at a time."""
+    last = rows.agg(F.min(key)).first()[0]
+    last = None if last is None else last - 1
+    while last is not None:
+        page = after(rows, key, last, size)
+        last = page.agg(F.max(key)).first()[0]
+        if last is not None:
+            yield page
+
+
 def fresh_snapshot(spark: SparkSession, path: str, minutes: int, now: Column) -> DataFrame:
     """The rows of JSON snapshot files that are young enough."""
     rows = spark.read.json(path).select("*", F.col("_metadata.file_modification_time").alias("read_at"))
@@ -91,12 +117,15 @@ def fresh_snapshot(spark: SparkSession, path: str, minutes: int, now: Column) ->
 
 
 def all_stores(readers: dict[str, Callable[[], DataFrame]], schema: str = OFFER) -> tuple[DataFrame, dict[str, str]]:
-    """The offers of all stores that can be read, and what went wrong with the others."""
+    """The offers of all stores that can be read, and what went wrong with the others.
+
+    Each store's rows are checkpointed, so that a feed that fails while it is read fails alone.
+    """
     spark = SparkSession.active()
     parts, failed = [spark.createDataFrame([], schema)], {}
     for store, read in readers.items():
         try:
-            parts.append(read().select(*spark.createDataFrame([], schema).columns))
+            parts.append(checkpointed(read().select(*spark.createDataFrame([], schema).columns)))
         except Exception as e:  # a store's feed may be missing or of another form
             failed[store] = str(e).splitlines()[0]
     return functools.reduce(DataFrame.unionByName, parts), failed
@@ -115,6 +144,9 @@ def first_source(*sources: Callable[[], DataFrame]) -> DataFrame:
     raise LookupError("no source has rows") from last
 
 
-def ingestible(offers: DataFrame) -> DataFrame:
-    """Offers with a positive price and a category."""
-    return offers.filter((F.col("price") > 0) & F.col("category").isNotNull())
+def ingestible(offers: DataFrame, unwanted: dict[str, str] | None = None, no_ean: Sequence[str] = ()) -> DataFrame:
+    """Offers with a positive price and a category; a store's unwanted brand goes, and the EANs of stores whose numbers are none are blanked."""
+    rows = offers.filter((F.col("price") > 0) & F.col("category").isNotNull())
+    for store, brand in (unwanted or {}).items():
+        rows = rows.filter(~F.coalesce((F.col("store") == store) & (F.lower("brand") == brand.lower()), F.lit(False)))
+    return rows.withColumn("ean", F.when(~F.col("store").isin(*no_ean), F.col("ean")).cast("string")) if no_ean and "ean" in rows.columns else rows

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import parse
+from .folds import folded
+
 #: Weight of an event for popularity.
 WEIGHTS = {"add": 1, "compare": 3}
 
@@ -60,21 +63,30 @@ def cooldown_fold(key: tuple, rows: Iterator[pd.DataFrame], last: float | None,
 def popularity(events: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Batch: events and weighted count of every product, with a cooldown by product."""
 
-    def fold(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return cooldown_fold(key, iter([f]), None, seconds)[0]
+    def step(state: dict, r) -> tuple:
+        state["events"] += 1
+        now = _seconds(r.ts)
+        if state["last"] is None or now - state["last"] >= seconds:
+            state["count"], state["last"] = state["count"] + WEIGHTS[r.event_type], now
+        return ()
 
-    return events.select("pid", "ts", "event_id", "event_type").groupBy("pid").applyInPandas(fold, "pid string, events long, count long")
+    return folded(events, ["pid", "ts", "event_id", "event_type"], lambda: {"events": 0, "count": 0, "last": None}, step, lambda key, s: [(key, s["events"], s["count"])], "pid string, events long, count long")
 
 
 def popularity_stream(events: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Stream: the same, as increments by micro-batch; the state of a product is its last counted time."""
+    """Stream: the same, as increments by micro-batch; the state of a product is its last counted time, kept until the cooldown is over."""
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         out, last = cooldown_fold(key, rows, state.get[0] if state.exists else None, seconds)
         state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return events.select("pid", "ts", "event_id", "event_type").groupBy("pid").applyInPandasWithState(fold, "pid string, events long, count long", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("pid", "ts", "event_id", "event_type").withWatermark("ts", "1 hour")
+    return rows.groupBy("pid").applyInPandasWithState(fold, "pid string, events long, count long", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limit_fold(key: tuple, rows: Iterator[pd.DataFrame], log: list[float], calls: int, seconds: float) -> tuple[pd.DataFrame, list[float]]:
@@ -93,8 +105,13 @@ def limit_fold(key: tuple, rows: Iterator[pd.DataFrame], log: list[float], calls
 def rate_limited(events: DataFrame, calls: int, seconds: float) -> DataFrame:
     """Each event with whether its key had fewer than ``calls`` allowed ones in the seconds before (a sliding log)."""
 
-    def fold(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return limit_fold(key, iter([f]), [], calls, seconds)[0]
+    def step(log: list, r) -> list[tuple]:
+        now = _seconds(r.ts)
+        log[:] = [t for t in log if now - t < seconds]
+        ok = len(log) < calls
+        if ok:
+            log.append(now)
+        return [(r.key, r.event_id, ok)]
 
     def fold_stream(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -108,38 +125,48 @@ def rate_limited(events: DataFrame, calls: int, seconds: float) -> DataFrame:
     schema = "key long, event_id long, allowed boolean"
     rows = events.select(F.col("key").cast("long").alias("key"), "event_id", "ts")
     if not events.isStreaming:
-        return rows.groupBy("key").applyInPandas(fold, schema)
+        return folded(rows, ["key", "event_id", "ts"], list, step, lambda key, log: (), schema)
     return rows.withWatermark("ts", "1 hour").groupBy("key").applyInPandasWithState(fold_stream, schema, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def cooled(events: DataFrame, key: str, seconds: float = 1.0) -> DataFrame:
+    """The events that count: of a key (a number) those at least ``seconds`` after the last one that counted."""
+    ok = rate_limited(events.withColumn("key", F.col(key)), 1, seconds).filter("allowed").select("event_id")
+    return events.join(ok, "event_id", "left_semi")
+
+
 def click_points(clicks: DataFrame, recipes: DataFrame) -> DataFrame:
     """Points of clicks by the recipe's age: 10 in its first week, one less each week, 1 at least; unknown recipes count nothing."""
     age = F.datediff(F.to_date("ts"), "created")
     return clicks.join(recipes, "recipe_id").withColumn("points", F.greatest(F.lit(10) - F.greatest(F.floor(age / 7), F.lit(0)), F.lit(1)).cast("long"))
 
 
-def monthly_savings(events: DataFrame, most_events: int = 50, delta_cap: float = 5000.0, cap: float = 100_000.0, ratio_cap: float = 5.0) -> DataFrame:
+def monthly_savings(events: DataFrame, most_events: int = 50, delta_cap: float = 5000.0, cap: float = 100_000.0, ratio_cap: float = 5.0, zone: str = "Europe/Copenhagen") -> DataFrame:
     """Per user the savings of the last month seen and of the month before, folded in order of events.
 
     A comparison saves the difference of its dear and cheap price, the dear one taken as
-    five times the cheap one at most; single savings, sums and events a day are capped.
+    five times the cheap one at most; single savings, sums and events a day are capped. Months
+    and days are those of ``zone``.
     """
 
-    def fold(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        month, amount, prev_month, prev, day, today = "", 0.0, "", 0.0, "", 0
-        for r in f.sort_values(["ts", "event_id"]).itertuples():
-            m, d = f"{r.ts:%Y-%m}", f"{r.ts:%Y-%m-%d}"
-            if m != month:
-                month, amount, prev_month, prev = m, 0.0, month, amount
-            if d != day:
-                day, today = d, 0
-            if today >= most_events or not r.cheap > 0 or r.dear < r.cheap:
-                continue
-            today += 1
-            amount = min(cap, amount + min(delta_cap, min(r.dear, ratio_cap * r.cheap) - r.cheap))
-        return pd.DataFrame([(key[0], month, round(amount, 2), prev_month, round(prev, 2))], columns=["user_id", "month_key", "amount", "prev_month_key", "prev_amount"])
+    def begin() -> dict:
+        return {"month": "", "amount": 0.0, "prev_month": "", "prev": 0.0, "day": "", "today": 0}
+
+    def step(s: dict, r) -> tuple:
+        if r.month != s["month"]:
+            s["month"], s["amount"], s["prev_month"], s["prev"] = r.month, 0.0, s["month"], s["amount"]
+        if r.day != s["day"]:
+            s["day"], s["today"] = r.day, 0
+        if s["today"] < most_events and r.cheap > 0 and r.dear >= r.cheap:
+            s["today"] += 1
+            s["amount"] = min(cap, s["amount"] + min(delta_cap, min(r.dear, ratio_cap * r.cheap) - r.cheap))
+        return ()
+
+    def end(key, s: dict) -> list[tuple]:
+        return [(key, s["month"], round(s["amount"], 2), s["prev_month"], round(s["prev"], 2))]
 
-    return events.select("user_id", "ts", "event_id", "cheap", "dear").groupBy("user_id").applyInPandas(fold, "user_id long, month_key string, amount double, prev_month_key string, prev_amount double")
+    rows = events.withColumns({"month": parse.local_month(F.col("ts"), zone), "day": parse.local_day(F.col("ts"), zone)})
+    return folded(rows, ["user_id", "ts", "event_id", "cheap", "dear", "month", "day"], begin, step, end, "user_id long, month_key string, amount double, prev_month_key string, prev_amount double")
 
 
 def shared_carts(events: DataFrame, most_members: int = 6) -> DataFrame:
@@ -149,22 +176,57 @@ def shared_carts(events: DataFrame, most_members: int = 6) -> DataFrame:
     that nobody is left in is gone.
     """
 
-    def fold(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        members: list[int] = []
-        owner, items, revision = None, None, 0
-        for r in f.sort_values(["ts", "event_id"]).itertuples():
-            if r.action == "join" and r.user_id not in members and len(members) < most_members:
-                members.append(r.user_id)
-                owner = r.user_id if owner is None else owner
-            elif r.action == "leave" and r.user_id in members:
-                members.remove(r.user_id)
-                owner = (members[0] if members else None) if owner == r.user_id else owner
-                if not members:
-                    items, revision = None, 0
-            elif r.action == "write" and r.user_id in members:
-                items, revision = r.items, revision + 1
-        rows = [(key[0], owner, len(members), revision, items)] if members else []
-        return pd.DataFrame(rows, columns=["cart_id", "owner", "members", "revision", "items"])
-
-    return events.select("cart_id", "ts", "event_id", "user_id", "action", "items").groupBy("cart_id").applyInPandas(fold, "cart_id long, owner long, members int, revision int, items string")
+    def begin() -> dict:
+        return {"members": [], "owner": None, "items": None, "revision": 0}
+
+    def step(s: dict, r) -> tuple:
+        members = s["members"]
+        if r.action == "join" and r.user_id not in members and len(members) < most_members:
+            members.append(r.user_id)
+            s["owner"] = r.user_id if s["owner"] is None else s["owner"]
+        elif r.action == "leave" and r.user_id in members:
+            members.remove(r.user_id)
+            if s["owner"] == r.user_id:
+                s["owner"] = members[0] if members else None
+            if not members:
+                s["items"], s["revision"] = None, 0
+        elif r.action == "write" and r.user_id in members:
+            s["items"], s["revision"] = r.items, s["revision"] + 1
+        return ()
+
+    def end(key, s: dict) -> list[tuple]:
+        return [(key, s["owner"], len(s["members"]), s["revision"], s["items"])] if s["members"] else []
+
+    return folded(events, ["cart_id", "ts", "event_id", "user_id", "action", "items"], begin, step, end, "cart_id long, owner long, members int, revision int, items string")
+
+
+def price_alerts(requests: DataFrame, most: int = 200, seconds: float = 1.0, highest: float = 99_999.0) -> DataFrame:
+    """Price alerts from their requests (user_id, ts, event_id, pid, target, current, email): the last request for a product stands.
+
+    Requests without an e-mail or a proper product id, or with prices out of range, aren't
+    taken, nor is one within ``seconds`` of the user's last taken one, nor one for another
+    product beyond ``most``. A request for a product that has an alert arms it again.
+    """
+    ok = (F.length("email") > 0) & F.length("pid").between(1, 64)
+    for c in ("target", "current"):
+        ok = ok & (F.col(c) > 0) & (F.col(c) <= highest)
+
+    def step(s: dict, r) -> tuple:
+        now = _seconds(r.ts)
+        if (s["last"] is None or now - s["last"] >= seconds) and (r.pid in s["alerts"] or len(s["alerts"]) < most):
+            s["last"] = now
+            s["alerts"][r.pid] = (r.target, r.current, r.email, r.ts)
+        return ()
+
+    def end(key, s: dict) -> list[tuple]:
+        return [(key, pid, *x, None) for pid, x in s["alerts"].items()]
+
+    columns = ["user_id", "ts", "event_id", "pid", "target", "current", "email"]
+    return folded(requests.filter(ok), columns, lambda: {"last": None, "alerts": {}}, step, end, "user_id long, product_id string, target_price double, current_price double, email string, updated_at timestamp, notified_at timestamp")
+
 
+def fired(alerts: DataFrame, prices: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Alerts whose product costs the target or less and that weren't sent, and all alerts with those marked as sent: each fires once."""
+    due = alerts.filter(F.col("notified_at").isNull() & F.col("email").isNotNull()).join(prices.select("product_id", "price"), "product_id").filter(F.col("price") <= F.col("target_price"))
+    marked = alerts.join(due.select("user_id", "product_id", F.lit(True).alias("due")), ["user_id", "product_id"], "left")
+    return due, marked.withColumn("notified_at", F.when(F.col("due"), now).otherwise(F.col("notified_at"))).select(alerts.columns)
