@@ -8,9 +8,10 @@ combination of ``combine`` shingles of a class is a signature; a class may then
 ``combine - 1`` common shingles, and the prefix is extended by as many. Sets that share a
 signature are candidates and are verified exactly.
 
-``frequent`` means: in more than max(``rare_limit``, documents / 4096) documents. So at most
-4096 times the mean size of a set are frequent, whatever the corpus, and their hashes are
-broadcast. The number of classes goes by the size of the set (by its power of 1 / threshold,
+``frequent`` means: in more than max(``rare_limit``, documents / 4096, shingles / 2^20)
+documents. So at most 2^20 shingles are frequent, whatever the corpus, and their hashes are
+broadcast. Sets of so few shingles that they needn't have ``combine`` in common with one they
+link with (2 at 85 %) have single ones as signatures. The number of classes goes by the size of the set (by its power of 1 / threshold,
 with which similar sets differ by one at most, and each set takes part in its own and the
 next), so that signatures grow linearly with it.
 
@@ -47,7 +48,6 @@ WORDS, FOLD = 8, 8
 BITS = [f"b{i}" for i in range(WORDS)]
 SETS = "doc_id long, n_shingles long, set_key long, wide array<long>, " + ", ".join(f"{b} long" for b in BITS)
 SIGNATURES = "signature long, set_key long"
-SMALL = 20
 #: So many more stars at most before all pairs that are left are made.
 TURNS = 6
 
@@ -135,13 +135,14 @@ def frequent_tokens(docs: DataFrame, k: int, limit: int, chars: int) -> np.ndarr
 
     sent = docs.mapInPandas(send, "bucket int, once binary, more binary, n binary")
     found = sent.groupBy("bucket").applyInPandas(count, "token long")
-    # bounded: at most 4096 times the mean set size
+    # 2^20 at most: each is in more than a 2^20-th of all places
     return np.sort(found.toPandas()["token"].to_numpy(np.int64).astype(np.uint64)), shift
 
 
 def signatures(docs: DataFrame, k: int, percent: int, combine: int, frequent: np.ndarray, shift: np.uint64) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(frequent)
     growth = math.log(100 / percent) if percent < 100 else 1.0
+    small = math.ceil(combine * 100 / percent)
 
     def of(tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
@@ -159,7 +160,7 @@ def signatures(docs: DataFrame, k: int, percent: int, combine: int, frequent: np
         level = int(math.log(n) / growth + 1e-9)
         for lv in (level, level + 1):
             size = math.exp(lv * growth)
-            if size < SMALL:
+            if size < small:  # too few to have `combine` in common
                 out.append(often[: spare + 1 - len(rare)])
                 continue
             classes = max(1, round((100 - percent) / 100 * size / 8))
@@ -275,7 +276,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, combine: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(document_sets(docs, k), "sets")
     rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    frequent, shift = frequent_tokens(docs, k, max(rare_limit, rows // 4096), 6 * shingles)
+    frequent, shift = frequent_tokens(docs, k, max(rare_limit, rows // 4096, shingles >> 20), 6 * shingles)
 
     heads = sets.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("wide").alias("wide"), *(F.first(x).alias(x) for x in BITS))
     heads = materialize(heads, "heads")
