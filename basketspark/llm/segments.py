@@ -101,8 +101,8 @@ def segment_topk(
     k: int = 20,
     every: int = 20,
     scale: int = SCALE,
-    shard_rows: int = 16384,
-    query_rows: int = 128,
+    shard_rows: int = 4096,
+    query_rows: int = 256,
 ) -> DataFrame:
     """The ``k`` highest integer inner products of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
 

@@ -126,7 +126,9 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def unit(text: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
     """The weights of counted terms; each text's vector has length one."""
-    w = (1 + np.log(n)) * idf[term]
+    w = np.log(n)
+    w += 1
+    w *= idf[term]
     length = np.sqrt(np.bincount(text, w * w, texts))
     return w / np.where(length > 0, length, 1)[text]
 
@@ -146,12 +148,14 @@ class Index:
 
     @staticmethod
     def build(ids: np.ndarray, toxic: np.ndarray, terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = 64, common: float = 1 / 16) -> Index:
-        by = np.lexsort((example, term))
+        """Of the weights of (example, term) pairs in order of examples."""
+        by = np.argsort(term, kind="stable")  # postings come in order of examples
         example, term, weight = example[by], term[by], weight[by]
+        del by
         many = np.bincount(term, minlength=terms) > common * len(ids)
         column = np.full(terms, -1, np.int32)
         column[many] = np.arange(many.sum())
-        return Index(ids, toxic, terms, block, example.astype(np.int32), weight, np.searchsorted(term, np.arange(terms + 1)), column)
+        return Index(ids, toxic, terms, block, example.astype(np.int32, copy=False), weight, np.searchsorted(term, np.arange(terms + 1)), column)
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
         """The weights of common terms, (block, example, column), and the largest of each block; made where they are used."""
@@ -235,15 +239,42 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 @dataclass
 class Model:
+    """What scoring needs: counted terms of the examples; the indices are built from them where they are used."""
+
     base: float
     k: int
     vocabulary: np.ndarray | None = None  # hashes, rising
     idf: np.ndarray | None = None
-    index: Index | None = None
-    telling: Index | None = None
+    ids: np.ndarray | None = None  # of the examples
+    toxic: np.ndarray | None = None
+    per: np.ndarray | None = None  # example -> how many terms it has
+    term: np.ndarray | None = None  # of all examples, one after the other
+    number: np.ndarray | None = None
     place: np.ndarray | None = None  # term -> its number among the telling ones, or -1
+    block: int = 64
     weights: np.ndarray | None = None
 
+    def _built(self, name: str, terms: int, pick: np.ndarray | None) -> Index:
+        if name not in self.__dict__:
+            example, term, number = np.repeat(np.arange(len(self.per), dtype=np.int32), self.per), self.term, self.number
+            if pick is not None:
+                own = pick[term] >= 0
+                example, term, number = example[own], term[own], number[own]
+            weight = unit(example, term, number, self.idf, len(self.ids))
+            self.__dict__[name] = Index.build(self.ids, self.toxic, terms, example, term if pick is None else pick[term], weight, self.block)
+        return self.__dict__[name]
+
+    @property
+    def index(self) -> Index:
+        return self._built("_index", len(self.vocabulary), None)
+
+    @property
+    def telling(self) -> Index:
+        return self._built("_telling", int((self.place >= 0).sum()), self.place)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """What the scale is fitted on, by all terms and by the telling ones, and the nearest by all terms."""
         n = len(texts)
@@ -255,7 +286,7 @@ class Model:
         return np.hstack([self.index.evidence(*near, n), self.telling.evidence(*told, n)]), near
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if self.index is None:
+        if self.vocabulary is None:
             return np.full(len(texts), self.base), (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         seen, near = self.evidence(texts)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + seen @ self.weights[1:], -30, 30))), near
@@ -304,14 +335,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
     if not n1 or not n0:
         return Model(share, k)
     per = np.array([len(t) // 8 for t in rows["terms"]])
-    words, term = np.unique(np.frombuffer(b"".join(rows.pop("terms")), np.uint64), return_inverse=True)
+    # the driver holds these few arrays and no copies: a number for each term of each example
+    found = np.frombuffer(b"".join(rows.pop("terms")), np.uint64)
+    words = np.unique(found)
+    term = np.empty(len(found), np.int32)
+    for lo in range(0, len(found), 1 << 18):
+        term[lo : lo + (1 << 18)] = np.searchsorted(words, found[lo : lo + (1 << 18)])
+    del found
     number = np.frombuffer(b"".join(rows.pop("numbers")), np.int32)
-    example = np.repeat(np.arange(len(per)), per)
-    a = np.bincount(term, toxic[example], len(words))
-    b = np.bincount(term, ~toxic[example], len(words))
+    a = np.bincount(term[np.repeat(toxic, per)], minlength=len(words)).astype(float)
+    b = np.bincount(term, minlength=len(words)) - a
     chi2 = (n1 + n0) * (a * n0 - b * n1) ** 2 / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
     told = np.flatnonzero((chi2 >= least_chi2) & (a * n0 >= least_ratio * b * n1))
     told = np.sort(told[np.lexsort((words[told], -chi2[told]))[:telling]])
+    ids = rows["doc_id"].to_numpy(np.int64)
+    del a, b, chi2, rows
 
     session = docs.sparkSession.sparkContext
     vocabulary = session.broadcast(words)  # the terms of 2 * examples texts
@@ -331,14 +369,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, calibration
     df[counts["term"].to_numpy(np.int64) + 1] = counts["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
-    ids = rows["doc_id"].to_numpy(np.int64)
     place = np.full(len(words), -1)
     place[told] = np.arange(len(told))
-    own = place[term] >= 0
-    model = Model(share, k, words, idf, place=place)
-    model.index = Index.build(ids, toxic, len(words), example, term, unit(example, term, number, idf, len(ids)), block)
-    model.telling = Index.build(ids, toxic, len(told), example[own], place[term[own]], unit(example[own], term[own], number[own], idf, len(ids)), block)
-    del a, b, chi2, rows, example, term, number
+    model = Model(share, k, words, idf, ids, toxic, per, term, number, place, block)
     shared = session.broadcast(model)
 
     def evident(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -110,8 +110,8 @@ def vp_search(
     k: int = 20,
     every: int = 20,
     factor: float = FACTOR,
-    shard_rows: int = 16384,
-    query_rows: int = 128,
+    shard_rows: int = 4096,
+    query_rows: int = 256,
 ) -> DataFrame:
     """The ``k`` nearest of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
 
