@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, segments, sentencepieces, toxicity, vptree, warc
+from . import chat, fim, pii, segments, sentencepieces, toxicity, trie, vptree, warc
 from ._common import table
 from .ngramjoin import jaccard_join
 from .packing import pack
@@ -72,6 +72,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree_ann": op1_vptree_ann,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -98,4 +110,6 @@ SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
     "op6_warc": warc.WARC_SQL,
+    "op11_fill_in_middle": fim.FIM_SQL,
+    "op12_prefix_trie": trie.TRIE_SQL,
 }
