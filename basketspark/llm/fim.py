@@ -17,6 +17,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def token_ends(points: np.ndarray) -> np.ndarray:
 def _checked(marks: tuple[str, str, str]) -> tuple[str, str, str]:
     """Marks between which no other can arise: none begins another, and their first characters stand nowhere else in them."""
     heads = {m[:1] for m in marks}
-    if not all(marks) or any(c in heads for m in marks for c in m[1:]) or any(a is not b and b.startswith(a) for a in marks for b in marks):
+    if not all(marks) or any(c in heads for m in marks for c in m[1:]) or any(b.startswith(a) for a, b in itertools.permutations(marks, 2)):
         raise ValueError(f"marks can't be told apart: {marks}")
     return marks
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, pii, segments, sentencepieces, toxicity, trie, vptree, warc
+from . import chat, fim, lm, pii, segments, sentencepieces, toxicity, trie, vptree, warc
 from ._common import table
 from .ngramjoin import jaccard_join
 from .packing import pack
@@ -82,6 +82,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(lm.fit(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree_ann": op1_vptree_ann,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 SQL: dict[str, str] = {
