@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: How many rows go to Python at once where they hold whole texts.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -42,6 +45,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(BATCH, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Jobs run in here hand Python batches of ``size`` bytes at most, if the session has no setting of its own for that."""
+    if spark.conf.get(BATCH_BYTES, None) not in (None, str(64 << 20), "64MB"):
+        yield
+        return
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before) if before else spark.conf.unset(BATCH_BYTES)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

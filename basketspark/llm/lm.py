@@ -10,7 +10,7 @@ learned by expectation-maximisation on a fold of the learning documents whose ow
 deleted from the estimates meanwhile; where a context is unknown its weight is 0. Afterwards
 the counts of all learning documents are taken.
 
-How Spark does it. Documents go into blocks of some 16 MB of text, each of one role (held
+How Spark does it. Documents go into blocks of some 4 MB of text, each of one role (held
 out, learned from, fold), kept as numbers of words in the block's vocabulary. A block asks for
 its distinct n-grams: their hashes, sorted, go to buckets of hashes in packed slices with
 the block's counts. A bucket adds up what all blocks have, and answers each block with the
@@ -42,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import mix, prefix_hashes, span_hashes
-from ._common import materialize
+from ._common import batches_of, materialize
 
 #: Bytes of text of a block, and of text for which a bucket of hashes is made.
-BLOCK, BUCKET = 1 << 24, 1 << 24
+BLOCK, BUCKET = 1 << 22, 1 << 23
 WORD_BITS = 56
 BEGIN, END = (np.uint64(int(mix(np.array([x], np.uint64))[0]) >> (64 - WORD_BITS)) for x in (0xBE61, 0xE0D))
 HELD_OUT, LEARNED, FOLD = 0, 1, 2
@@ -106,13 +106,30 @@ def _parts(data: bytes) -> list[bytes]:
 # blocks
 
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 18
+
+
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin, and their hashes; the text ends with a blank."""
-    low = buf + (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
-    space = (low == 32) | ((low >= 9) & (low <= 13))
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return begin, span_hashes(prefix_hashes(low), begin, end) >> np.uint64(64 - WORD_BITS)
+    begins, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    start = 0
+    while start < len(buf):
+        stop = min(start + CHUNK, len(buf))
+        while True:  # to the last blank of the chunk, or the next one after it
+            low = buf[start:stop] + (((buf[start:stop] >= 65) & (buf[start:stop] <= 90)).astype(np.uint8) << 5)
+            space = (low == 32) | ((low >= 9) & (low <= 13))
+            if stop == len(buf) or (last := int(space.argmax() if not space.any() else len(space) - 1 - space[::-1].argmax())) or space[0]:
+                break
+            stop = min(stop + 4 * (stop - start), len(buf))
+        if stop < len(buf):
+            low, space = low[: last + 1], space[: last + 1]
+        edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        begins.append(begin + start)
+        hashes.append(span_hashes(prefix_hashes(low), begin, end) >> np.uint64(64 - WORD_BITS))
+        start += len(low)
+    return np.concatenate(begins), np.concatenate(hashes)
 
 
 class _Block:
@@ -447,11 +464,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order:
     remainder = F.crc32(F.col(id_col).cast("string")) % parts
     role = F.when(remainder == 1, FOLD).when(remainder > 1, LEARNED).otherwise(HELD_OUT)
     docs = df.select(F.col(id_col).cast("long"), role.cast("int"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")))
-    blocks = materialize(docs.mapInArrow(_blocks(order - 1, block), BLOCKS), "blocks")
+    with batches_of(df.sparkSession):
+        blocks = materialize(docs.mapInArrow(_blocks(order - 1, block), BLOCKS), "blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 1
     bits, cut = min(60, n_bytes.bit_length() + 14), max(0, (n_bytes // bucket).bit_length())
     asked = blocks.select("block", "role", "vocabulary", "words", "lengths", "first").mapInArrow(_requests(order, bits, cut), "bucket long, block long, role int, slice binary")
-    answers = materialize(asked.groupBy("bucket").applyInPandas(lambda g: _answered(g, cut), ANSWERS), "answers")
+    with batches_of(df.sparkSession):
+        answers = materialize(asked.groupBy("bucket").applyInPandas(lambda g: _answered(g, cut), ANSWERS), "answers")
     sums = answers.filter("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "fold_tokens"))).first()
     words, tokens, fold_tokens = (int(x) for x in sums)
 
