@@ -55,25 +55,30 @@ def _grams(amount: Column, unit: Column) -> Column:
 
 
 UNIT = r"(kg|gram|gr|g|ml|cl|dl|liter|litre|ltr|l)"
+#: What may stand between words, and a number as feeds write it; "1.2.3" is none.
+BLANK, LOOSE_NUMBER = r"[\s\p{Z}]*", r"[0-9.,]+"
 
 
 def weight_grams(c: Column) -> Column:
-    """"500 g", "1,5 l" (a litre counts as a kilogram) or the total of "6 x 0.33 liter"."""
-    text = F.lower(F.trim(c))
-    single, packs = rf"^({NUMBER})\s*{UNIT}$", rf"^([0-9]+)\s*x\s*({NUMBER})\s*{UNIT}$"
+    """"500 g", "1,5 l" (a litre counts as a kilogram) or the total of "6 x 0.33 liter" or "6 x 33 cl.", but not of no pieces."""
+    text = F.lower(c)
+    single = rf"^{BLANK}({LOOSE_NUMBER}){BLANK}{UNIT}{BLANK}$"
+    packs = rf"^{BLANK}([0-9]+){BLANK}x{BLANK}({LOOSE_NUMBER}){BLANK}{UNIT}\.?{BLANK}$"
+    pieces = _group(text, packs).try_cast("int")
     return F.coalesce(
         _grams(decimal_comma(_group(text, single)), _group(text, single, 2)),
-        _grams(_group(text, packs).try_cast("int") * decimal_comma(_group(text, packs, 2)), _group(text, packs, 3)),
+        F.when(pieces > 0, _grams(pieces * decimal_comma(_group(text, packs, 2)), _group(text, packs, 3))),
     )
 
 
 def piece_count(weight: Column, name: Column | None = None) -> Column:
-    """Pieces of a whole "10 stk"; else a loose "10 stk" in the weight, then in the name."""
-    loose = r"(?:^|[^0-9])([0-9]+)\s*stk(?:$|[^a-z])"
-    found = [_group(F.lower(F.trim(weight)), r"^([0-9]+)\s*stk?\.?$"), _group(F.lower(weight), loose)]
+    """Pieces of a whole "10 stk" (whole ones of "10.5 st"); else a loose "10 stk" in the weight, then in the name."""
+    loose = rf"(?<![\p{{L}}\p{{N}}_])([0-9]+){BLANK}stk(?![\p{{L}}\p{{N}}_])"
+    whole = decimal_comma(_group(F.lower(weight), rf"^{BLANK}({LOOSE_NUMBER}){BLANK}stk?{BLANK}$"))
+    found = [F.floor(whole).try_cast("int"), _group(F.lower(weight), loose).try_cast("int")]
     if name is not None:
-        found.append(_group(F.lower(name), loose))
-    return F.coalesce(*(x.try_cast("int") for x in found))
+        found.append(_group(F.lower(name), loose).try_cast("int"))
+    return F.coalesce(*found)
 
 
 def price_per_kg(price_: Column, grams: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,16 +51,61 @@ FORMS = ("pudding", "budding", "mousse", "skyr", "kefir", "yoghurt", "yogurt", "
 DAIRY = ("mini", "let", "skummet", "sod", "piske", "kærne", "kær")
 
 
+class Forms(NamedTuple):
+    """Characters that stand for others, by how many those are: one (then none), or several."""
+
+    single: str
+    plain: str
+    several: dict[str, str]
+
+
+#: Syllables of two or three letters, which follow a rule: the first of them, and their first, middle and last letters.
+SYLLABLES, INITIAL, MIDDLE, FINAL = 0xAC00, *("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
 @functools.cache
-def marked_letters() -> tuple[str, str]:
-    """Lower-case letters that are a letter with marks, and what they are without; then the marks alone."""
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    plain = {}
-    for c in map(chr, range(0xC0, 0x1F00)):
+def compatibility_forms() -> Forms:
+    """All characters but those syllables that compatibility decomposition without marks changes, as it is known to Python."""
+    one, none, several = {}, [], {}
+    for c in map(chr, itertools.chain(range(0x80, SYLLABLES), range(SYLLABLES + 11172, 0xD800), range(0xE000, 0x30000))):
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
-        if c.lower() == c != base and len(base) == 1:
-            plain[c] = base
-    return "".join(plain) + marks, "".join(plain.values())
+        if c.lower() != c or base == c:
+            continue
+        if len(base) > 1:
+            several[c] = base
+        elif base:
+            one[c] = base
+        else:
+            none.append(c)
+    return Forms("".join(one) + "".join(none), "".join(one.values()), several)
+
+
+@functools.cache
+def _class_of(chars: str) -> str:
+    """A class of regular expressions that has these characters."""
+    runs: list[list[int]] = []
+    for x in sorted(map(ord, chars)):
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" if a < b else rf"\x{{{a:X}}}" for a, b in runs) + "]"
+
+
+def _spelled(x: Column) -> Column:
+    """Characters that stand for several, written out one by one."""
+    several, end = compatibility_forms().several, "\x01"
+    table = end + end.join(c + base for c, base in several.items()) + end
+    code = lambda ch: F.ascii(ch) - SYLLABLES
+    letter = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+
+    def one(ch: Column) -> Column:
+        last = F.pmod(code(ch), F.lit(28))
+        syllable = F.concat(letter(INITIAL, F.floor(code(ch) / 588)), letter(MIDDLE, F.floor(F.pmod(code(ch), F.lit(588)) / 28)), F.when(last > 0, letter(FINAL, last - 1)).otherwise(""))
+        known = F.split_part(F.split_part(F.lit(table), F.concat(F.lit(end), ch), F.lit(-1)), F.lit(end), F.lit(1))
+        return F.when(ch.between(chr(SYLLABLES), chr(SYLLABLES + 11171)), syllable).when(ch.rlike(_class_of("".join(several))), known).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(x, ""), one), "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -67,8 +114,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def without_marks(c: Column) -> Column:
-    """Lower-case text with é as e and å as a; letters of their own such as æ and ø stay."""
-    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7Fæø]"), F.translate(x, *marked_letters())).otherwise(x))
+    """Lower-case text with é as e, å as a and ½ as 1⁄2; letters of their own such as æ and ø stay."""
+    forms = compatibility_forms()
+    several = _class_of("".join(forms.several) + chr(SYLLABLES) + chr(SYLLABLES + 1))[:-1] + rf"\x{{{SYLLABLES:X}}}-\x{{{SYLLABLES + 11171:X}}}]"
+    plain = lambda x: F.when(x.rlike(r"[^\x00-\x7Fæø]"), F.translate(x, forms.single, forms.plain)).otherwise(x)
+    return let(let(c, plain), lambda x: F.when(x.rlike(several), _spelled(x)).otherwise(x))
 
 
 def _written_out(x: Column) -> Column:
@@ -88,7 +138,7 @@ def normalized(c: Column) -> Column:
     for word in NOISE:
         x = F.replace(x, F.lit(word), F.lit(""))
     x = let(x, lambda y: F.when(y.contains("okologisk"), F.regexp_replace(y, whole("okologisk"), "")).otherwise(y))
-    return F.trim(F.regexp_replace(x, r"[/\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(x, r"[/\s\p{Z}\x1C-\x1F\x85]+", " "))
 
 
 def folded(c: Column) -> Column:

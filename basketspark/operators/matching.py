@@ -9,7 +9,7 @@ nobody before them in order can matter any more.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +19,6 @@ from ..checkpoints import checkpointed
 from ..functions import gates
 from ..functions import text as T
 from ..functions.similarity import fuzzy_score
-from ..functions.similarity import score as similar
 
 FLAGS = tuple(T.VARIANTS)
 #: Flags that must be equal even where a side is silent.
@@ -283,24 +282,144 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(now, nodes["node"] == now["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def claimed(edges: DataFrame) -> DataFrame:
-    """One-to-one matches: anchors in order take, in each store, their best offer that nobody before them has taken.
+#: Offers taken that a task remembers of a component before it leaves the rest of it to another round.
+REMEMBERED = 1_000_000
 
-    In rounds: every anchor asks for the best offer it has left, and what an offer was asked
-    for by is an end for all anchors after the first of them. No round holds more of a group
-    than a window does, and when nobody is turned down all is decided.
+
+def decided_in_order(rows: DataFrame, turn: Sequence[str], sort: Sequence[str | Column], decide: Callable[[list, set], Iterable[tuple]], schema: str, limit: int | None = None) -> DataFrame:
+    """What ``decide`` makes of the rows of each turn, when turns are taken one after the other.
+
+    Only what hangs together has to be in order: a task streams its components' rows, sorted
+    by ``turn`` and ``sort``, and remembers which nodes (``taken``) earlier turns of the same
+    component have taken. ``decide`` gets a turn's rows and that set, adds to it what the
+    turn takes, and gives rows of ``schema``. A component of which more than ``limit`` nodes
+    are taken goes on in another round without the rows of these: rows have their node in
+    ``node``, or null if they don't care whether it is taken.
     """
-    best = Window.partitionBy("anchor", "store").orderBy(F.desc("score"), "offer")
-    now = checkpointed(edges.select("anchor", "store", "offer", "score"))
+    limit = limit or REMEMBERED
+    columns = [c for c in rows.columns if c != "component"]
+    at = [columns.index(c) for c in turn]
+    names = [x.split()[0] for x in schema.split(", ")]
+    stops = [f"stopped_{c}" for c in turn]
+    kinds = dict(rows.dtypes)
+    full = f"{schema}, component long, took array<long>, " + ", ".join(f"{s} {kinds[c]}" for s, c in zip(stops, turn, strict=True))
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, now, group, taken, known, stopped = None, None, [], set(), set(), False
+        out = []
+
+        def close() -> None:
+            nonlocal stopped, known
+            if group and not stopped:
+                made = [tuple(x) for x in decide(group, taken)]
+                new = list(taken - known) if len(taken) > len(known) else []
+                known |= set(new)
+                out.extend((*x, component, None, *[None] * len(turn)) for x in made)
+                if new:
+                    out.append((*[None] * len(names), component, new, *[None] * len(turn)))
+                if len(taken) >= limit:
+                    stopped = True
+                    out.append((*[None] * len(names), component, None, *now))
+
+        for f in frames:
+            parts = f["component"].tolist()
+            for c, r in zip(parts, f[columns].itertuples(index=False, name=None), strict=True):
+                t = tuple(r[i] for i in at)
+                if c != component or t != now:
+                    close()
+                    group = []
+                    if c != component:
+                        component, taken, known, stopped = c, set(), set(), False
+                    now = t
+                if not stopped:
+                    group.append(r)
+            if len(out) > 10_000:
+                yield frame(out)
+                out.clear()
+        close()
+        if out:
+            yield frame(out)
+
+    heads = [*names, "component", "took", *stops]
+
+    def frame(made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=heads, dtype=object)
+
+    done = None
     while True:
-        asked = now.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
-        holders = asked.groupBy("offer").agg(F.min("anchor").alias("holder"), F.count("*").alias("n"))
-        if holders.filter("n > 1").isEmpty():
-            return asked
-        now = checkpointed(now.join(holders.select("offer", "holder"), "offer", "left").filter("holder IS NULL OR anchor <= holder").select("anchor", "store", "offer", "score"))
+        made = checkpointed(rows.repartition("component").sortWithinPartitions("component", *turn, *sort).mapInPandas(stream, full))
+        ended = made.filter("took IS NULL").filter(F.coalesce(*(F.col(s) for s in stops)).isNull()).select(*names)
+        done = ended if done is None else done.unionByName(ended)
+        left = made.filter(F.coalesce(*(F.col(s) for s in stops)).isNotNull()).select("component", *stops)
+        if left.isEmpty():
+            return done
+        later = F.struct(*(F.col(c) for c in turn)) > F.struct(*(F.col(s) for s in stops))
+        taken = made.filter("took IS NOT NULL").select(F.explode("took").alias("node"))
+        rows = checkpointed(rows.join(left, "component").filter(later).select(rows.columns).join(taken, "node", "left_anti").select(rows.columns))
+
+
+def in_components(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """The rows, which are edges between the nodes a and b, with their component."""
+    rows = checkpointed(rows)
+    edges = rows.select(a.alias("x"), b.alias("y"))
+    found = components(edges, "x", "y")
+    return rows.withColumn("node_of_row", a).join(found.withColumnRenamed("node", "node_of_row"), "node_of_row").drop("node_of_row")
+
+
+def claimed(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """One-to-one matches: anchors in order take, in each store, their best offer that nobody before them has taken."""
+
+    def decide(rows: list, taken: set) -> Iterator[tuple]:
+        stores = set()
+        for anchor, store, offer, score, node in rows:
+            if store not in stores and node not in taken:
+                stores.add(store)
+                taken.add(node)
+                yield anchor, store, offer, score
+
+    kinds = dict(edges.dtypes)
+    rows = in_components(edges.select("anchor", "store", "offer", "score", F.col("offer").cast("long").alias("node")), F.col("anchor") * 2, F.col("offer") * 2 + 1)
+    return decided_in_order(rows, ["anchor"], ["store", F.desc("score"), "offer"], decide, ", ".join(f"{c} {kinds[c]}" for c in ("anchor", "store", "offer", "score")), limit)
+
+
+class _Facts:
+    """What contradicts what, for decisions that depend on earlier ones; the gates of ``functions.gates`` for two members."""
+
+    COLUMNS = ("weight_g", "count", "percents", "meats", "flags")
+
+    def __init__(self, weight_g, count, percents, meats, flags):
+        known = lambda x: x is not None and x == x
+        self.weight = weight_g if known(weight_g) else None
+        self.count = count if known(count) else None
+        self.percents, self.meats, self.flags = {*percents}, {*meats}, flags
+
+    def weighs_like(self, o: _Facts) -> bool:
+        if self.weight is None or o.weight is None:
+            return True
+        heavy = max(self.weight, o.weight)
+        return abs(self.weight - o.weight) <= max(min(20.0, 0.25 * heavy), 0.08 * heavy)
+
+    def shares_percents(self, o: _Facts) -> bool:
+        return not self.percents or not o.percents or bool(self.percents & o.percents)
+
+    def fits(self, o: _Facts) -> bool:
+        counts = self.count is None or o.count is None or self.count == o.count
+        return counts and self.weighs_like(o) and self.shares_percents(o) and (not self.meats or not o.meats or self.meats == o.meats) and self.flags == o.flags
+
+
+def flag_bits(prefix: str = "") -> Column:
+    out = F.lit(0)
+    for i, f in enumerate(FLAGS):
+        out = out + F.when(F.col(f"{prefix}{f}"), 1 << i).otherwise(0)
+    return out
+
 
+def _facts(df: DataFrame, s: str) -> DataFrame:
+    """(s, s_weight_g, s_count, s_percents, s_meats, s_flags)"""
+    return df.select(F.col("id").alias(s), F.col("weight_g").alias(f"{s}_weight_g"), F.col("count").cast("double").alias(f"{s}_count"), F.col("percents").alias(f"{s}_percents"), F.col("meats").alias(f"{s}_meats"), flag_bits().alias(f"{s}_flags"))
 
-def clusters(edges: DataFrame, members: DataFrame) -> DataFrame:
+
+def clusters(edges: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
     """Fuzzy clusters (base, member, score) of unmatched offers.
 
     Offers in order (store, id) are bases unless already taken; a base takes the best free
@@ -308,47 +427,39 @@ def clusters(edges: DataFrame, members: DataFrame) -> DataFrame:
     score leaves; of equal ones the earlier. ``edges`` are (a, b, a_store, b_store, score),
     each pair once; ``members`` have ``features`` and a boolean ``leads``: whether an offer
     may be a base.
-
-    In rounds: a base is decided when it is, for itself and for each offer it could take, the
-    first base in order that could take that. A round holds one cluster, of a member a store
-    at most, in a group.
     """
     turned = edges.select(F.col("b").alias("base"), F.col("a").alias("member"), F.col("b_store").alias("base_store"), F.col("a_store").alias("store"), "score")
     both = edges.select(F.col("a").alias("base"), F.col("b").alias("member"), F.col("a_store").alias("base_store"), F.col("b_store").alias("store"), "score").unionByName(turned)
     both = both.join(members.filter("leads").select(F.col("id").alias("base")), "base", "left_semi")
-    now = checkpointed(both.withColumn("turn", F.struct("base_store", "base")))
-    facts = checkpointed(_named(members, "member", ["weight_g", "count", "percents", "meats", *FLAGS]))
-    seen = [c for c in facts.columns if c != "member"]
-    done = None
-    while not now.isEmpty():
-        # the first base that could take an offer, or that is the offer itself
-        first = now.select(F.col("member").alias("node"), "turn").unionByName(now.select(F.col("base").alias("node"), "turn")).groupBy("node").agg(F.min("turn").alias("first"))
-        held = now.join(first.withColumnsRenamed({"node": "member", "first": "member_first"}), "member").join(first.withColumnsRenamed({"node": "base", "first": "base_first"}), "base")
-        blocked_ = held.filter("member_first < turn OR base_first < turn").select("base").distinct()
-        ready = now.join(blocked_, "base", "left_anti")
-        taken = ready.withColumn("nth", F.row_number().over(Window.partitionBy("base", "store").orderBy(F.desc("score"), "member"))).filter("nth = 1").select("base", "member", "store", "score")
-        taken = checkpointed(taken)
-        # drop members one after the other until no two of a cluster contradict each other
-        x, y = taken.join(facts, "member"), taken.join(facts, "member")
-        rename = lambda df, s: df.select("base", *(F.col(c).alias(f"{s}_{c}") for c in ("member", "store", "score")), *(F.col(c).alias(c.replace("member_", f"{s}_", 1)) for c in seen))
-        bad = rename(x, "x").join(rename(y, "y"), "base").filter(F.col("x_store") < F.col("y_store")).filter(~_group_gate("x", "y"))
-        bad = bad.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("x_store", "y_store", F.col("x_member").alias("x"), F.col("y_member").alias("y"), "x_score", "y_score"))).alias("bad"))
-        leave = lambda out, p: F.when(F.array_contains(out, p["x"]) | F.array_contains(out, p["y"]), out).otherwise(F.array_append(out, F.when(p["x_score"] <= p["y_score"], p["x"]).otherwise(p["y"])))
-        gone = bad.select("base", F.aggregate("bad", F.array().cast("array<bigint>"), leave).alias("gone"))
-        kept = checkpointed(taken.join(gone, "base", "left").filter("NOT coalesce(array_contains(gone, member), false)").select("base", "member", "score"))
-        done = kept if done is None else done.unionByName(kept)
-        used = kept.select(F.col("member").alias("node")).unionByName(ready.select(F.col("base").alias("node"))).distinct()
-        now = checkpointed(now.join(used.withColumnRenamed("node", "base"), "base", "left_anti").join(used.withColumnRenamed("node", "member"), "member", "left_anti"))
-    if done is None:
-        return both.limit(0).select("base", "member", "score")
-    return done.unionByName(done.select("base", F.col("base").alias("member"), F.lit(1.0).alias("score")).distinct())
+
+    def decide(rows: list, taken: set) -> Iterator[tuple]:
+        base = rows[0][1]
+        if base in taken:
+            return
+        best = {}
+        for _, _, store, member, score, _, *facts in rows:
+            if member not in taken and store not in best:
+                best[store] = (score, member, _Facts(*facts))
+        chosen = list(best.values())
+        while bad := next((p for p in itertools.combinations(chosen, 2) if not p[0][2].fits(p[1][2])), None):
+            chosen.remove(bad[0] if bad[0][0] <= bad[1][0] else bad[1])
+        if chosen:
+            taken.update((base, *(m for _, m, _ in chosen)))
+            yield base, base, 1.0
+            yield from ((base, m, s) for s, m, _ in chosen)
+
+    rows = in_components(both.select("base_store", "base", "store", "member", "score", F.col("member").cast("long").alias("node")), F.col("base"), F.col("member"))
+    rows = rows.join(_facts(members, "member"), "member").select("base_store", "base", "store", "member", "score", "node", *(f"member_{c}" for c in _Facts.COLUMNS), "component")
+    return decided_in_order(rows, ["base_store", "base"], ["store", F.desc("score"), "member"], decide, "base long, member long, score double", limit)
 
 
 def attached(offers: DataFrame, members: DataFrame, floor: float = 0.65) -> DataFrame:
     """Offers (offer, group, score) with the best group that lacks their store and of which no member contradicts them.
 
     ``offers`` and ``members`` have ``features`` and a store, members a group. An offer without
-    an EAN is held against every member by the gates of ``cross_store_edges``.
+    an EAN is held against every member by the gates of ``cross_store_edges``. Offers come in
+    order (store, id), and who is attached is a member for those that come later. A task
+    remembers the offers attached to the groups of one component.
     """
     edges = cross_store_edges(offers.filter(F.col("ean").isNull()), members, floor).join(members.select(F.col("id").alias("b"), "group"), "b")
     groups = edges.select(F.col("a").alias("offer"), "a_store", "group", F.col("b").alias("member"), "score")
@@ -356,62 +467,49 @@ def attached(offers: DataFrame, members: DataFrame, floor: float = 0.65) -> Data
     seen = ["weight_g", "count", "percents", "meats", *FLAGS]
     pairs = groups.select("offer", "group").distinct().join(_named(offers, "offer", seen), "offer").join(members.select("group", *(F.col(c).alias(f"m_{c}") for c in seen)), "group")
     groups = groups.join(pairs.filter(~_group_gate("offer", "m")).select("offer", "group").distinct(), ["offer", "group"], "left_anti")
-    best = Window.partitionBy("offer").orderBy(F.desc("score"), "group", "member")
-    return groups.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("offer", "group", "score")
+    groups = groups.groupBy("a_store", "offer", "group").agg(F.max("score").alias("score"))
+    mates: dict = {}
+
+    def decide(rows: list, taken: set) -> Iterator[tuple]:
+        if not taken:  # another component
+            mates.clear()
+        for store, offer, group, score, node, *facts in rows:
+            own, others = _Facts(*facts), mates.setdefault(group, [])
+            if all(s != store and f.fits(own) for s, f in others):
+                others.append((store, own))
+                taken.add(node)
+                yield offer, group, score
+                return
+
+    rows = in_components(groups.select("a_store", "offer", "group", "score", F.col("offer").cast("long").alias("node")), F.col("offer") * 2, F.col("group") * 2 + 1)
+    rows = rows.join(_facts(offers, "offer"), "offer").select("a_store", "offer", "group", "score", "node", *(f"offer_{c}" for c in _Facts.COLUMNS), "component")
+    return decided_in_order(rows, ["a_store", "offer"], [F.desc("score"), "group"], decide, "offer long, group long, score double", 2**62)
+
+
+def image_twins(cards: DataFrame, order: Sequence[str] = ("id",), least: float = 0.35) -> DataFrame:
+    """(id, leader): cards with the image of an earlier one, the first of all that have it, which they don't contradict.
+
+    Cards have ``features`` and an image. They contradict each other by weight, count,
+    percentages, flags, meats, or names that are unlike.
+    """
+    seen = ["weight_g", "count", "percents", "meats", "norm", *FLAGS]
+    known = cards.filter(F.col("image").isNotNull()).select("id", "image", F.struct(*order).alias("turn"), *seen)
+    first = known.groupBy("image").agg(F.min_by("id", "turn").alias("leader"))
+    heads = first.join(known.select(F.col("id").alias("leader"), *(F.col(c).alias(f"k_{c}") for c in seen)), "leader")
+    pairs = known.select("id", "image", *(F.col(c).alias(f"r_{c}") for c in seen)).join(heads, "image").filter("id <> leader").filter(_group_gate("k", "r"))
+    names = pairs.select("k_norm", "r_norm").distinct().withColumn("alike", fuzzy_score(F.col("k_norm"), F.col("r_norm")))
+    return pairs.join(names, ["k_norm", "r_norm"]).filter((F.col("k_norm") == "") | (F.col("r_norm") == "") | (F.col("alike") >= least)).select("id", "leader")
 
 
 def deduplicated_by_image(cards: DataFrame, price_map: str = "prices", least: float = 0.35) -> DataFrame:
-    """Cards of one image become the first of them that they don't contradict; its own store prices stand.
-
-    Cards have ``features``. They contradict each other by weight, count, percentages, flags,
-    meats, or names that are unlike. In order of ids a card is held against those kept of its
-    image; the task that has an image remembers no others, so an image of very many cards
-    needs the memory of its unlike ones only.
-    """
-    columns = ["id", "image", "weight_g", "count", "percents", "meats", "norm", *FLAGS]
-
-    def fits(k, r) -> bool:
-        if k.weight_g > 0 and r.weight_g > 0:  # false for unknown ones
-            heavy = max(k.weight_g, r.weight_g)
-            if abs(k.weight_g - r.weight_g) > max(min(20.0, 0.25 * heavy), 0.08 * heavy):
-                return False
-        if k.count == k.count and r.count == r.count and k.count != r.count:
-            return False
-        if any(getattr(k, f) != getattr(r, f) for f in FLAGS):
-            return False
-        sets = lambda c: ({*getattr(k, c)}, {*getattr(r, c)})
-        (p, q), (m, n) = sets("percents"), sets("meats")
-        return not (p and q and not p & q) and not (m and n and m != n) and not (k.norm and r.norm and similar(k.norm, r.norm) < least)
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, kept = None, []
-        for f in frames:
-            out = []
-            # "count" is a method's name in tuples
-            for r in f.rename(columns={"count": "pieces"}).astype({"pieces": float, "weight_g": float}).itertuples(index=False):
-                r = Card(*r)
-                if r.image != image:
-                    image, kept = r.image, []
-                leader = next((k for k in kept if fits(k, r)), None)
-                if leader is None:
-                    kept.append(leader := r)
-                out.append((r.id, leader.id))
-            yield pd.DataFrame(out, columns=["id", "leader"])
-
-    class Card:
-        def __init__(self, *values):
-            self.__dict__.update(zip(columns, values, strict=True))
-
-    known = cards.filter(F.col("image").isNotNull())
-    ordered = known.select(columns).repartition("image").sortWithinPartitions("image", "id")
-    leaders = checkpointed(ordered.mapInPandas(fold, "id long, leader long"))
-    entries = known.join(leaders, "id").select("leader", "id", F.explode_outer(F.map_entries(price_map)).alias("e"))
-    first = Window.partitionBy("leader", "e.key").orderBy("id")
-    maps = entries.filter(F.col("e").isNotNull()).withColumn("nth", F.row_number().over(first)).filter("nth = 1").groupBy("leader").agg(F.map_from_entries(F.collect_list("e")).alias("all"))
-    merged = leaders.groupBy("leader").agg((F.count("*") - 1).alias("merged"))
-    own = known.join(merged.withColumnRenamed("leader", "id"), "id").join(maps.withColumnRenamed("leader", "id"), "id", "left")
-    alone = cards.filter(F.col("image").isNull()).select("id", "image", "weight_g", price_map, F.lit(0).cast("long").alias("merged"))
-    return own.select("id", "image", "weight_g", F.coalesce("all", price_map).alias(price_map), "merged").unionByName(alone)
+    """Cards of one image become the first that has it, unless they contradict it; its own store prices stand."""
+    leaders = checkpointed(image_twins(cards, least=least))
+    rows = cards.join(leaders, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
+    entries = rows.select("leader", "id", F.explode(F.map_entries(price_map)).alias("e"))
+    maps = entries.groupBy("leader", "e.key").agg(F.min_by("e", "id").alias("e")).groupBy("leader").agg(F.map_from_entries(F.collect_list("e")).alias("all"))
+    merged = leaders.groupBy("leader").agg(F.count("*").alias("merged"))
+    own = cards.join(leaders, "id", "left_anti").join(merged.withColumnRenamed("leader", "id"), "id", "left").join(maps.withColumnRenamed("leader", "id"), "id", "left")
+    return own.select("id", "image", "weight_g", F.coalesce("all", price_map).alias(price_map), F.coalesce("merged", F.lit(0)).cast("long").alias("merged"))
 
 
 def assembled(*parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates
-from ..operators import matching
+from ..operators import assembly, matching
 from . import mapping as m
 from .listings import INDEL_SQL
 from .registry import query
@@ -156,26 +156,6 @@ def cross_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.cross_filled(rows.join(rows.groupBy("anchor").agg(F.min("store").alias("store")), ["anchor", "store"]), anchors, offers)
 
 
-def _scored(a: DataFrame, b: DataFrame, least: float, where: str = "true") -> DataFrame:
-    """Pairs (a, b) of names that share a token, with their brands and similarity."""
-    pairs = matching.blocked(a, b).filter(where).join(a.select(F.col("id").alias("a"), F.col("name").alias("a_name"), F.col("brand").alias("a_brand")), "a")
-    pairs = pairs.join(b.select(F.col("id").alias("b"), F.col("name").alias("b_name"), F.col("brand").alias("b_brand")), "b")
-    return matching.scored(pairs, least_bound=least).filter(F.col("score") >= least)
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of distinct brand and name: anchors of even, offers of odd ids; an equal brand adds 0.30 (J2)."""
-    names = _names(spark, sf_dir)
-    total = F.round(F.col("score") + F.when(F.col("a_brand") == F.col("b_brand"), 0.30).otherwise(0.0), 6)
-    rows = _scored(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), 0.5).withColumn("score", total).filter("score >= 0.6")
-    return rows.select(F.col("a").alias("anchor"), (F.col("b") % 7).alias("store"), F.col("b").alias("offer"), "score")
-
-
-@query()
-def greedy_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.claimed(_edges(spark, sf_dir))
-
-
 #: Words that let the gates act: they are added to the descriptions.
 SAID = "CASE id % 9 WHEN 0 THEN 'laktosefri' WHEN 1 THEN 'fedt 12%' WHEN 2 THEN 'fedt 38 %' WHEN 3 THEN 'okse' WHEN 4 THEN 'choko budding' WHEN 5 THEN 'økologisk' WHEN 6 THEN 'jordbærsmag drik' WHEN 7 THEN 'gris' ELSE '' END"
 FLAVOURS = {"choko": "chocolate", "jordbær": "strawberry", "hot": "hot", "cold": "cold"}
@@ -197,11 +177,6 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _featured(m.cards(spark, sf_dir).selectExpr(*_CARD), sf_dir)
 
 
-def featured_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first card of every brand and name."""
-    return _featured(m.cards(spark, sf_dir).join(_names(spark, sf_dir).select("id"), "id", "left_semi").selectExpr(*_CARD), sf_dir)
-
-
 @query()
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of even ids are anchors, those of odd ids offers."""
@@ -209,13 +184,20 @@ def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_per_store(matching.anchor_edges(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")))
 
 
+@query()
+def greedy_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers of odd ids that cards of even ids take, one after the other."""
+    rows = featured(spark, sf_dir)
+    return matching.claimed(matching.anchor_edges(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")))
+
+
 def _cluster_edges(rows: DataFrame) -> DataFrame:
     return matching.cross_store_edges(rows, rows).filter("a < b")
 
 
 @query()
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = featured_names(spark, sf_dir)
+    rows = featured(spark, sf_dir)
     return matching.clusters(_cluster_edges(rows), rows.withColumn("leads", F.col("ean").isNull()))
 
 
@@ -229,7 +211,7 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def group_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.attached(*_groups(featured_names(spark, sf_dir)))
+    return matching.attached(*_groups(featured(spark, sf_dir)))
 
 
 @query()
@@ -237,3 +219,29 @@ def image_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = featured(spark, sf_dir).withColumns({"image": F.concat("name", "brand"), "prices": F.create_map(F.col("store").cast("string"), F.col("price"))})
     rows = matching.deduplicated_by_image(cards)
     return rows.select("id", "image", "weight_g", F.array_join(F.array_sort(F.map_keys("prices")), ",").alias("stores"), "merged")
+
+
+def retailers(cards: DataFrame) -> DataFrame:
+    """Cards dealt to 14 stores, with EANs that several stores have, own brands, images and sales."""
+    offers = cards.drop("ean", "store").withColumns({
+        "store": F.col("id") % 14, "image": F.when(F.col("id") % 4 > 0, F.concat_ws("-", "norm", F.col("id") % 90)), "on_sale": F.col("id") % 3 == 0, "normal_price": F.when(F.col("id") % 2 == 0, F.col("price") * 1.25),
+        "ean": F.when((F.col("id") % 3 == 0) & (F.col("id") % 14 > 0), F.concat_ws("-", F.lit("e"), "norm", "brand", F.col("id") % 3, F.col("id") % 11)),
+    })
+    return offers
+
+
+def built(spark: SparkSession, sf_dir: str) -> assembly.Cards:
+    rows = retailers(featured(spark, sf_dir))
+    return assembly.build_cards(rows.filter("store = 0"), rows.filter("store > 0"))
+
+
+@query()
+def build_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cards, from the anchors of one store and the offers of 13 others."""
+    return built(spark, sf_dir).cards
+
+
+@query()
+def card_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each store sells of each card."""
+    return built(spark, sf_dir).members

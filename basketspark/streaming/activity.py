@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
@@ -122,15 +123,15 @@ def rate_limited(events: DataFrame, calls: int, seconds: float) -> DataFrame:
         state.setTimeoutTimestamp(max(int((log[-1] + seconds) * 1000) if log else 0, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    schema = "key long, event_id long, allowed boolean"
-    rows = events.select(F.col("key").cast("long").alias("key"), "event_id", "ts")
+    schema = f"key {events.schema['key'].dataType.simpleString()}, event_id long, allowed boolean"
+    rows = events.select("key", "event_id", "ts")
     if not events.isStreaming:
         return folded(rows, ["key", "event_id", "ts"], list, step, lambda key, log: (), schema)
     return rows.withWatermark("ts", "1 hour").groupBy("key").applyInPandasWithState(fold_stream, schema, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooled(events: DataFrame, key: str, seconds: float = 1.0) -> DataFrame:
-    """The events that count: of a key (a number) those at least ``seconds`` after the last one that counted."""
+    """The events that count: of a key those at least ``seconds`` after the last one that counted."""
     ok = rate_limited(events.withColumn("key", F.col(key)), 1, seconds).filter("allowed").select("event_id")
     return events.join(ok, "event_id", "left_semi")
 
@@ -141,14 +142,27 @@ def click_points(clicks: DataFrame, recipes: DataFrame) -> DataFrame:
     return clicks.join(recipes, "recipe_id").withColumn("points", F.greatest(F.lit(10) - F.greatest(F.floor(age / 7), F.lit(0)), F.lit(1)).cast("long"))
 
 
-def monthly_savings(events: DataFrame, most_events: int = 50, delta_cap: float = 5000.0, cap: float = 100_000.0, ratio_cap: float = 5.0, zone: str = "Europe/Copenhagen") -> DataFrame:
-    """Per user the savings of the last month seen and of the month before, folded in order of events.
+@dataclass(frozen=True)
+class Fold:
+    """A fold over a key's events in order: for batches (``folded``) and streams (``stateful``) alike."""
 
-    A comparison saves the difference of its dear and cheap price, the dear one taken as
-    five times the cheap one at most; single savings, sums and events a day are capped. Months
-    and days are those of ``zone``.
-    """
+    columns: list[str]
+    begin: Callable[[], dict]
+    step: Callable[[dict, object], tuple]
+    end: Callable[[object, dict], list[tuple]]
+    schema: str
+    #: What a stream says of a key of which nothing is left.
+    gone: Callable[[object], list[tuple]] = lambda key: []
 
+    def batch(self, events: DataFrame) -> DataFrame:
+        return folded(events, self.columns, self.begin, self.step, self.end, self.schema)
+
+
+def dated(events: DataFrame, zone: str) -> DataFrame:
+    return events.withColumns({"month": parse.local_month(F.col("ts"), zone), "day": parse.local_day(F.col("ts"), zone)})
+
+
+def savings_fold(most_events: int = 50, delta_cap: float = 5000.0, cap: float = 100_000.0, ratio_cap: float = 5.0) -> Fold:
     def begin() -> dict:
         return {"month": "", "amount": 0.0, "prev_month": "", "prev": 0.0, "day": "", "today": 0}
 
@@ -165,17 +179,20 @@ def monthly_savings(events: DataFrame, most_events: int = 50, delta_cap: float =
     def end(key, s: dict) -> list[tuple]:
         return [(key, s["month"], round(s["amount"], 2), s["prev_month"], round(s["prev"], 2))]
 
-    rows = events.withColumns({"month": parse.local_month(F.col("ts"), zone), "day": parse.local_day(F.col("ts"), zone)})
-    return folded(rows, ["user_id", "ts", "event_id", "cheap", "dear", "month", "day"], begin, step, end, "user_id long, month_key string, amount double, prev_month_key string, prev_amount double")
+    return Fold(["user_id", "ts", "event_id", "cheap", "dear", "month", "day"], begin, step, end, "user_id long, month_key string, amount double, prev_month_key string, prev_amount double")
 
 
-def shared_carts(events: DataFrame, most_members: int = 6) -> DataFrame:
-    """Shared carts from their events (join, leave, write): the last write stands, each one raises the revision.
+def monthly_savings(events: DataFrame, most_events: int = 50, delta_cap: float = 5000.0, cap: float = 100_000.0, ratio_cap: float = 5.0, zone: str = "Europe/Copenhagen") -> DataFrame:
+    """Per user the savings of the last month seen and of the month before, folded in order of events.
 
-    Beyond six members nobody joins; if the owner leaves, who joined first is next; a cart
-    that nobody is left in is gone.
+    A comparison saves the difference of its dear and cheap price, the dear one taken as
+    five times the cheap one at most; single savings, sums and events a day are capped. Months
+    and days are those of ``zone``.
     """
+    return savings_fold(most_events, delta_cap, cap, ratio_cap).batch(dated(events, zone))
 
+
+def carts_fold(most_members: int = 6) -> Fold:
     def begin() -> dict:
         return {"members": [], "owner": None, "items": None, "revision": 0}
 
@@ -197,20 +214,27 @@ def shared_carts(events: DataFrame, most_members: int = 6) -> DataFrame:
     def end(key, s: dict) -> list[tuple]:
         return [(key, s["owner"], len(s["members"]), s["revision"], s["items"])] if s["members"] else []
 
-    return folded(events, ["cart_id", "ts", "event_id", "user_id", "action", "items"], begin, step, end, "cart_id long, owner long, members int, revision int, items string")
+    schema = "cart_id long, owner long, members int, revision int, items string"
+    return Fold(["cart_id", "ts", "event_id", "user_id", "action", "items"], begin, step, end, schema, lambda key: [(key, None, 0, 0, None)])
 
 
-def price_alerts(requests: DataFrame, most: int = 200, seconds: float = 1.0, highest: float = 99_999.0) -> DataFrame:
-    """Price alerts from their requests (user_id, ts, event_id, pid, target, current, email): the last request for a product stands.
+def shared_carts(events: DataFrame, most_members: int = 6) -> DataFrame:
+    """Shared carts from their events (join, leave, write): the last write stands, each one raises the revision.
 
-    Requests without an e-mail or a proper product id, or with prices out of range, aren't
-    taken, nor is one within ``seconds`` of the user's last taken one, nor one for another
-    product beyond ``most``. A request for a product that has an alert arms it again.
+    Beyond six members nobody joins; if the owner leaves, who joined first is next; a cart
+    that nobody is left in is gone.
     """
+    return carts_fold(most_members).batch(events)
+
+
+def proper_requests(requests: DataFrame, highest: float = 99_999.0) -> DataFrame:
     ok = (F.length("email") > 0) & F.length("pid").between(1, 64)
     for c in ("target", "current"):
         ok = ok & (F.col(c) > 0) & (F.col(c) <= highest)
+    return requests.filter(ok)
 
+
+def alerts_fold(most: int = 200, seconds: float = 1.0) -> Fold:
     def step(s: dict, r) -> tuple:
         now = _seconds(r.ts)
         if (s["last"] is None or now - s["last"] >= seconds) and (r.pid in s["alerts"] or len(s["alerts"]) < most):
@@ -222,7 +246,17 @@ def price_alerts(requests: DataFrame, most: int = 200, seconds: float = 1.0, hig
         return [(key, pid, *x, None) for pid, x in s["alerts"].items()]
 
     columns = ["user_id", "ts", "event_id", "pid", "target", "current", "email"]
-    return folded(requests.filter(ok), columns, lambda: {"last": None, "alerts": {}}, step, end, "user_id long, product_id string, target_price double, current_price double, email string, updated_at timestamp, notified_at timestamp")
+    return Fold(columns, lambda: {"last": None, "alerts": {}}, step, end, "user_id long, product_id string, target_price double, current_price double, email string, updated_at timestamp, notified_at timestamp")
+
+
+def price_alerts(requests: DataFrame, most: int = 200, seconds: float = 1.0, highest: float = 99_999.0) -> DataFrame:
+    """Price alerts from their requests (user_id, ts, event_id, pid, target, current, email): the last request for a product stands.
+
+    Requests without an e-mail or a proper product id, or with prices out of range, aren't
+    taken, nor is one within ``seconds`` of the user's last taken one, nor one for another
+    product beyond ``most``. A request for a product that has an alert arms it again.
+    """
+    return alerts_fold(most, seconds).batch(proper_requests(requests, highest))
 
 
 def fired(alerts: DataFrame, prices: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from basketspark import register
 from basketspark.functions import parse, text
 
 
@@ -108,3 +111,35 @@ def test_percentages_meats_and_private_labels(spark):
     own = lambda b, t: one(spark, text.private_label(F.lit(b).cast("string"), F.lit(t), ("own",), ("own ", "ours ")))
     assert [own("Own", "x"), own("Own Best", "x"), own(None, "Ours milk"), own("other", "own")] == [True, True, True, False]
     assert one(spark, text.dairy(F.lit("letmælk mini"))) == "mini"
+
+
+@pytest.mark.parametrize(
+    ("text", "grams", "pieces"),
+    [
+        ("6 x 33 cl.", 1980.0, None), ("6 x 33 cl", 1980.0, None), ("6x0,33 liter", 1980.0, None), ("0 x 500 g", None, None), ("500 g.", None, None), ("500 g", 500.0, None), (" 1,5 L ", 1500.0, None),
+        ("1.2.3 kg", None, None), (".5 kg", 500.0, None), ("500\u00a0g", 500.0, None), ("10.5 stk", None, 10), ("10,5 st", None, 10), ("6 stk.", None, 6), ("10 st.", None, None), ("12 Stk", None, 12), ("ca. 3 stk pr. pose", None, 3),
+        ("a10 stk", None, None), ("3 stks", None, None), ("3 stk_", None, None), ("0 stk", None, 0), ("", None, None), (None, None, None),
+    ],
+)
+def test_weights_and_counts_as_feeds_write_them(spark, text, grams, pieces):
+    row = spark.createDataFrame([(text,)], "x string").select(parse.weight_grams(F.col("x")).alias("g"), parse.piece_count(F.col("x")).alias("n")).first()
+    assert (row.g, row.n) == (grams, pieces)
+
+
+def test_counts_in_names(spark):
+    rows = spark.createDataFrame([("500 g", "Avocado 3 Stk."), ("2 stk", "Æg 10 stk"), (None, "Æg 10 stk"), (None, None)], "w string, n string")
+    assert [r.x for r in rows.select(parse.piece_count(F.col("w"), F.col("n")).alias("x")).collect()] == [3, 2, 10, None]
+
+
+def test_names_are_compared_without_compatibility_forms(spark):
+    cases = {"½ kg": "1⁄2 kg", "m²": "m2", "ﬁsk": "fisk", "１２ stk": "12 stk", "5 ㎏": "5 kg", "Cola™": "colaTM", "Is…": "is", "한글": unicodedata.normalize("NFKD", "한글"), "Crème": "creme", "ØL": "øl"}
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", text.normalized(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == cases
+
+
+def test_names_and_their_twin_agree_on_every_character(spark):
+    rows = [(c, f"a{chr(c)}b {chr(c)} c") for c in (*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20))]
+    got = spark.createDataFrame(rows, "c int, x string").repartition(8).select("c", "x", text.normalized(F.col("x")).alias("y")).collect()
+    newer = {0x1C89, 0xA7CB, 0xA7CC, 0xA7DA, 0xA7DC}  # capitals that Python knows and the JVM doesn't yet
+    odd = [(hex(r.c), r.y, want) for r in got if r.c not in newer and r.y != (want := register.normalize_name(r.x))]
+    assert not odd, (len(odd), odd[:20])
