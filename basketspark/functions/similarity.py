@@ -7,6 +7,8 @@ isn't evaluated a second time; cheap predicates belong before it.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,9 +45,15 @@ def score(a: str | None, b: str | None) -> float:
     return max(ratio(a, b), ratio(x, y))
 
 
+@functools.lru_cache(1 << 17)
+def _remembered(a: str | None, b: str | None) -> float:
+    """The score; names come in many pairs of offers, so a worker keeps the pairs it has seen last."""
+    return score(a, b)
+
+
 @F.pandas_udf(DoubleType())
 def _score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([_remembered(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 _score = _score.asNondeterministic()

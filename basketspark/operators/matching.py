@@ -8,6 +8,7 @@ nobody before them in order can matter any more.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
@@ -186,33 +187,34 @@ def anchor_edges(anchors: DataFrame, offers: DataFrame, floor: float = 0.50, acc
     of its description; or their images differ in ``image_bits`` or fewer.
     """
     a = anchors.filter(F.col("ean").isNull())
-    early = ["weight_g", "count", "price", "percents", "alcohol_free"]
     x = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
+    distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
+    within = lambda n: F.coalesce(distance <= n, F.lit(False))
+    close = within(4)
     gate = (
         gates.weights_compatible(*x("weight_g")) & gates.counts_compatible(*x("count")) & gates.price_plausible(*x("price")) & gates.overlap_if_known(*x("percents")) & (F.col("a_alcohol_free") == F.col("b_alcohol_free"))
+        & gates.equal_if_known(*x("meats")) & (_claims("b", "a") | close)
+        & (gates.contained(F.col("b_flavours"), F.col("a_flavours")) | close) & (gates.contained(F.col("b_forms"), F.col("a_forms")) | close)
     )
     words = lambda df: df.select("id", F.explode(T.tokens(F.col("norm"), 3)).alias("token"))
     named = words(a).join(words(offers).select("token").distinct(), "token", "left_semi").select("id").distinct()
+    # the gates are decided within the joins, whose rows have all they need, so that few pairs come out
+    carry = [*FEATURES, "store"]
+    offers = offers.select("id", *carry)
+    a = a.select("id", *FEATURES, F.lit(None).alias("store"))
+    slim = ["a", "b", F.col("b_store").alias("store"), "a_hash", "b_hash", "a_weight_g", "b_weight_g", "a_count", "b_count", "b_ean", *(f"{s}_{c}" for c in ("norm", "described", "maker", "category", "private", "loose") for s in "ab")]
+    images = near_images(a, offers, image_bits).select("a", "b").join(_named(a, "a", carry), "a").join(_named(offers, "b", carry), "b").filter(gate)
+    known = named.withColumnRenamed("id", "a")
+    common = lambda c: F.arrays_overlap(T.tokens(F.col(c), 3), T.tokens(F.col("b_norm"), 3))
     parts = [
-        blocked(a, offers, 3, gate, early, ("norm", "norm")).select("a", "b"),
-        blocked(a.join(named, "id", "left_anti"), offers, 3, gate, early, ("described", "norm")).select("a", "b"),
-        near_images(a, offers, image_bits).select("a", "b"),
-    ]
-    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    pairs = pairs.join(_named(a, "a", FEATURES), "a").join(_named(offers, "b", FEATURES).join(offers.select(F.col("id").alias("b"), "store"), "b"), "b")
-    distance = gates.hamming(F.col("a_hash"), F.col("b_hash"))
-    within = lambda n: F.coalesce(distance <= n, F.lit(False))
-    close = within(4)
-    pairs = pairs.filter(
-        gate & gates.equal_if_known(*x("meats")) & (_claims("b", "a") | close)
-        & (gates.contained(F.col("b_flavours"), F.col("a_flavours")) | close) & (gates.contained(F.col("b_forms"), F.col("a_forms")) | close)
-    )
-
-    names = ["a_norm", "a_described", "b_norm", "a_maker", "b_maker"]
-    scores = pairs.select(*names).distinct().select(
-        *names, F.round(F.greatest(fuzzy_score(F.col("a_norm"), F.col("b_norm")), fuzzy_score(F.col("a_described"), F.col("b_norm"))), 6).alias("score"), F.round(fuzzy_score(F.col("a_maker"), F.col("b_maker")), 6).alias("makers")
-    )
-    pairs = pairs.join(scores, names)
+        blocked(a, offers, 3, gate, carry, ("norm", "norm")),
+        blocked(a.join(named, "id", "left_anti"), offers, 3, gate, carry, ("described", "norm")),
+        images.join(known, "a", "left_semi").filter(~common("a_norm")),
+        images.join(known, "a", "left_anti").filter(~common("a_described")),
+    ]  # no pair is in two of them
+    pairs = functools.reduce(DataFrame.unionByName, (p.select(*slim) for p in parts))
+    compared = lambda p, q: F.round(fuzzy_score(F.col(p), F.col(q)), 6)
+    pairs = pairs.withColumn("score", F.greatest(compared("a_norm", "b_norm"), compared("a_described", "b_norm"))).withColumn("makers", compared("a_maker", "b_maker"))
     score, own = F.col("score"), F.col("a_private") & F.col("b_private")
     aligned = own | (F.col("makers") >= 0.75)
     pictured = ~own & within(12) & (within(8) | aligned)
@@ -245,7 +247,7 @@ def cross_store_edges(left: DataFrame, right: DataFrame, floor: float = 0.65) ->
     rest = ["category", "meats", "flavours", "forms", "loose"]
     pairs = blocked(left, right, 3, gate, early, ("norm", "norm")).join(_named(left, "a", rest), "a").join(_named(right, "b", rest), "b")
     sets = lambda c: F.array_sort(F.col(f"a_{c}")) == F.array_sort(F.col(f"b_{c}"))
-    pairs = scored(pairs.filter(gates.equal_if_known(*x("meats")) & sets("flavours") & sets("forms")), "a_norm", "b_norm", floor)
+    pairs = scored(checkpointed(pairs.filter(gates.equal_if_known(*x("meats")) & sets("flavours") & sets("forms"))), "a_norm", "b_norm", floor)
     score = F.col("score")
     weighed = (F.coalesce("a_weight_g", F.lit(0.0)) > 0) & (F.coalesce("b_weight_g", F.lit(0.0)) > 0) | F.col("a_count").isNotNull() & F.col("b_count").isNotNull() | F.col("a_loose") & F.col("b_loose")
     pairs = pairs.filter(
