@@ -172,6 +172,13 @@ def scored(pairs: DataFrame, a: str = "a_name", b: str = "b_name", least_bound:
     return kept.join(names, [a, b])
 
 
+def of_like_length(names: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts ``name``, a before b, that can be as similar as ``least`` by their lengths: a join on lengths, not of all with all."""
+    n = F.length("name")
+    a = names.select(F.col("name").alias("a"), F.explode(F.sequence(F.floor(n * least / (2 - least)).cast("int"), F.ceil(n * (2 - least) / least).cast("int"))).alias("n"))
+    return a.join(names.select(F.col("name").alias("b"), n.alias("n")), "n").filter((F.col("a") < F.col("b")) & (gates.length_bound(F.col("a"), F.col("b")) >= least)).select("a", "b")
+
+
 def image_boost(distance: Column) -> Column:
     """0.4 for equal images down to 0.2 at 8 bits, then down to 0 at 15."""
     return (

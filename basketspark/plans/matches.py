@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..functions import gates
 from ..operators import assembly, matching
 from . import mapping as m
 from .listings import INDEL_SQL
@@ -69,9 +68,7 @@ def blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_NAMES}, d AS (SELECT DISTINCT name FROM n) SELECT x.name AS a, y.name AS b FROM d x JOIN d y ON x.name < y.name WHERE 2.0 * least(length(x.name), length(y.name)) / (length(x.name) + length(y.name)) >= 0.9""")
 def length_prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _names(spark, sf_dir).select("name").distinct()
-    a, b = names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b")
-    return a.join(b, (F.col("a") < F.col("b")) & (gates.length_bound(F.col("a"), F.col("b")) >= 0.9))
+    return matching.of_like_length(_names(spark, sf_dir).select("name").distinct(), 0.9)
 
 
 @query(f"""WITH RECURSIVE {_NAMES}, d AS (SELECT DISTINCT name FROM n), u AS (SELECT x.name AS x, y.name AS y FROM d x JOIN d y ON x.name <> y.name WHERE list_has_any(string_split(x.name, ' '), string_split(y.name, ' '))),

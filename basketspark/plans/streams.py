@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import checkpoints
 from ..operators import search
+from ..sources import snapshots
 from ..streaming import activity
 from . import mapping as m
 from .registry import query
@@ -48,6 +49,31 @@ def stream_cart_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(activity.hourly(activity.cleaned(_stored(spark, sf_dir))), "complete")
 
 
+@query(f"WITH {_CLEAN} SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour, pid, event_type, count(*) AS events, sum(q)::BIGINT AS qty FROM ok GROUP BY ALL")
+def stream_hourly_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly counters as additive upserts of each batch into a versioned table with a folder a month."""
+    checkpoints.ready(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/counters-{uuid.uuid4().hex}"
+    table, keys = snapshots.Snapshots(spark, f"{out}/table", "month"), ["month", "hour", "pid", "event_type"]
+    hour = F.from_utc_timestamp(F.date_trunc("hour", "ts"), "Europe/Copenhagen")
+    rows = activity.cleaned(_stored(spark, sf_dir)).select(F.date_format(hour, "yyyy-MM").alias("month"), hour.alias("hour"), "pid", "event_type", F.lit(1).cast("long").alias("events"), F.col("qty").cast("long").alias("qty"))
+    writer = rows.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    writer.foreachBatch(snapshots.counted_into(table, "carts", keys, ["events", "qty"])).start().awaitTermination()
+    return table.read().select("hour", "pid", "event_type", "events", "qty")
+
+
+@query("""SELECT p_partkey AS id, p_partkey % 14 AS store, p_type AS kind, CASE WHEN p_partkey % 14 = 3 AND p_type <> 'PROMO' THEN 2 ELSE 1 END AS version FROM part WHERE NOT (p_partkey % 14 = 5 AND p_type = 'SMALL')""")
+def snapshot_scoped_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All offers as the first version; then one store's but for a kind are replaced, and another store's of a kind deleted."""
+    checkpoints.ready(spark)
+    table = snapshots.Snapshots(spark, f"{spark.sparkContext.getCheckpointDir()}/offers-{uuid.uuid4().hex}", "store", "kind")
+    rows = m.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 14).alias("store"), F.col("p_type").alias("kind"), F.lit(1).alias("version"))
+    table.commit(rows)
+    table.commit(rows.filter("store = 3 AND kind <> 'PROMO'").withColumn("version", F.lit(2)), lambda v: v["store"] == "3" and v["kind"] != "PROMO")
+    table.commit(rows.limit(0), lambda v: v["store"] == "5" and v["kind"] == "SMALL")
+    return table.read()
+
+
 _COOL = f"""WITH RECURSIVE {_CLEAN}, n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) AS i, CASE event_type WHEN 'add' THEN 1 ELSE 3 END AS w FROM ok),
 f AS (SELECT pid, i, ts AS last, w AS total FROM n WHERE i = 1 UNION ALL
     SELECT n.pid, n.i, CASE WHEN n.ts - f.last >= INTERVAL '1 hour' THEN n.ts ELSE f.last END, f.total + CASE WHEN n.ts - f.last >= INTERVAL '1 hour' THEN n.w ELSE 0 END FROM f JOIN n ON n.pid = f.pid AND n.i = f.i + 1)
