@@ -106,13 +106,30 @@ def unresolved(wanted: DataFrame, current: DataFrame) -> DataFrame:
     return wanted.join(current, "product_id", "left_anti")
 
 
+def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """With ``rank`` (1 for the largest value, equal ones alike) and ``n``, the rows of the group.
+
+    Equal values are counted first; distinct ones go into buckets of a whole number each, and
+    a rank is what the larger buckets have and the larger values of its own. So no task
+    has to sort a group: the largest windows are over a group's buckets and over a bucket's
+    values.
+    """
+    counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", F.floor("_v"))
+    larger = Window.partitionBy("_g").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy("_g", "_b").agg(F.sum("_n").alias("_all"))
+    buckets = buckets.select(F.col("_g").alias("_h"), F.col("_b").alias("_c"), F.coalesce(F.sum("_all").over(larger), F.lit(0)).alias("_before"), F.sum("_all").over(Window.partitionBy("_g")).alias("n"))
+    inside = Window.partitionBy("_g", "_b").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.withColumn("_within", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    places = places.join(buckets, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_b").eqNullSafe(F.col("_c")))
+    places = places.select("_g", "_v", (F.col("_before") + F.col("_within") + 1).alias("rank"), "n")
+    return rows.join(places, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
 def savings_rank(savings: DataFrame) -> DataFrame:
     """Among the users of a month, the percentile from the top: 1 to 100."""
-    month = Window.partitionBy("month_key")
-    rank = F.rank().over(month.orderBy(F.desc("amount")))
-    n = F.count("*").over(month)
+    rank, n = F.col("rank"), F.col("n")
     top = F.when((n <= 1) | (F.col("amount") <= 0), 100).otherwise(F.least(F.greatest(F.ceil(rank * 100.0 / n), F.lit(1)), F.lit(100)))
-    return savings.select("user_id", "month_key", "amount", top.cast("int").alias("top_pct"))
+    return ranked(savings.select("user_id", "month_key", "amount"), "month_key", "amount").select("user_id", "month_key", "amount", top.cast("int").alias("top_pct"))
 
 
 def month_rollover(savings: DataFrame) -> DataFrame:

@@ -174,11 +174,29 @@ def security_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {m.E} SELECT event_type AS kind, count(*) AS events, count(*) > 2 AS alarm FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY 1")
 def security_last_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.events(spark, sf_dir)
-    last = rows.agg(F.max("ts").alias("newest"))
-    rows = rows.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 1 HOUR"))
+    newest = rows.agg(F.max("ts")).first()[0]
+    rows = rows.filter(F.col("ts") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR"))
     return rows.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("events")).withColumn("alarm", F.col("events") > 2)
 
 
+_MINUTES = f"WITH {m.E}, mi AS (SELECT date_trunc('minute', ts) AS bucket, event_type AS kind, pid AS path, count(*) AS events FROM ev GROUP BY ALL), last AS (SELECT * FROM mi WHERE bucket >= (SELECT max(bucket) FROM mi) - INTERVAL 1 HOUR)"
+
+
+def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.minutes(m.events(spark, sf_dir).withColumnsRenamed({"event_type": "kind", "pid": "path"}))
+
+
+@query(f"""{_MINUTES}, r AS (SELECT kind, sum(events) AS recent FROM last GROUP BY 1)
+SELECT kind, sum(events)::BIGINT AS events, coalesce(any_value(recent), 0)::BIGINT AS recent, coalesce(any_value(recent), 0) > CASE kind WHEN 'error' THEN 0 WHEN 'add' THEN 2 ELSE 1000 END AS alarm FROM mi LEFT JOIN r USING (kind) GROUP BY kind""")
+def security_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.alarms(_minutes(spark, sf_dir), {"error": 0, "add": 2})
+
+
+@query(f"{_MINUTES} SELECT kind, path, sum(events)::BIGINT AS events FROM last GROUP BY ALL ORDER BY events DESC, kind, path LIMIT 10")
+def security_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.top_paths(_minutes(spark, sf_dir))
+
+
 @query(f"WITH {m.E} SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS highest FROM ev GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.events(spark, sf_dir)

@@ -38,13 +38,40 @@ def minutes(events: DataFrame, late: str = "5 minutes") -> DataFrame:
     return rows.groupBy(F.window("ts", "1 minute").alias("w"), "kind", "path").agg(F.count("*").alias("events")).select(F.col("w.start").alias("bucket"), "kind", "path", "events")
 
 
-def with_overflow(counts: DataFrame, most: int) -> DataFrame:
-    """Per kind the ``most`` largest keys; all others as one row "(overflow)"."""
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("events"), "path"))
-    rows = counts.withColumn("path", F.when(rank <= most, F.col("path")).otherwise("(overflow)"))
+def with_overflow(counts: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """Per kind the ``most`` largest keys; all others as one row "(overflow)".
+
+    The largest of each of ``salts`` parts of a kind's keys are found first, so that no task
+    has to sort a kind.
+    """
+    order = F.desc("events"), F.asc("path")
+    rows = counts.select("kind", "path", "events").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)))
+    some = rows.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "salt").orderBy(*order)))
+    top = some.filter(F.col("nth") <= most).withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("nth") <= most)
+    top = top.select(F.col("kind").alias("t_kind"), F.col("path").alias("t_path"))
+    kept = rows.join(top, F.col("kind").eqNullSafe(F.col("t_kind")) & F.col("path").eqNullSafe(F.col("t_path")), "left")
+    rows = kept.withColumn("path", F.when(F.col("t_kind").isNotNull() | F.col("kind").isNull() & F.col("t_path").isNotNull(), F.col("path")).otherwise("(overflow)"))
     return rows.groupBy("kind", "path").agg(F.sum("events").alias("events"))
 
 
+def _last_hour(counts: DataFrame) -> DataFrame:
+    newest = counts.agg(F.max("bucket")).first()[0]  # one value, so that the filter reaches the scan
+    return counts.filter(F.col("bucket") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest is not None else counts
+
+
+def alarms(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Per kind the events (bucket, kind, path, events) of all time and of the last hour, and whether these are more than its limit."""
+    recent = _last_hour(counts).groupBy("kind").agg(F.sum("events").alias("recent"))
+    limit = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in limits.items()), F.lit(None).cast("int"))
+    rows = counts.groupBy("kind").agg(F.sum("events").alias("events")).join(recent, "kind", "left").withColumn("recent", F.coalesce("recent", F.lit(0)))
+    return rows.withColumn("alarm", F.coalesce(F.col("recent") > limit, F.lit(False)))
+
+
+def top_paths(counts: DataFrame, most: int = 10) -> DataFrame:
+    """The kinds and paths with most events in the last hour."""
+    return _last_hour(counts).groupBy("kind", "path").agg(F.sum("events").alias("events")).orderBy(F.desc("events"), "kind", "path").limit(most)
+
+
 def _seconds(ts) -> float:
     return pd.Timestamp(ts).tz_localize(None).timestamp() if isinstance(ts, datetime | pd.Timestamp) else float(ts)
 
