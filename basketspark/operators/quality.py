@@ -39,6 +39,11 @@ def visible(rows: DataFrame, user: str | None) -> DataFrame:
     return rows.filter((F.col("status") == "approved") | F.coalesce(mine, F.lit(False)))
 
 
+def visible_parts(parts: DataFrame, rows: DataFrame, user: str | None, key: str) -> DataFrame:
+    """Parts (of recipes, say) of which a visible row exists."""
+    return parts.join(visible(rows, user).select(key).distinct(), key, "left_semi")
+
+
 def capped(new: DataFrame, existing: DataFrame, most: int = 200) -> DataFrame:
     """Upserts that are allowed: of keys that exist, or of owners below the cap."""
     full = existing.groupBy("owner").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("owner")

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gates
+from ..functions import text as T
 from ..functions.similarity import fuzzy_score
 
 
-def candidates(ingredients: DataFrame, products: DataFrame, k: int = 5, least: float = 0.55, exact: float = 0.97) -> DataFrame:
-    """The products that fit an ingredient best: of those with a token in common the ``k`` most similar.
+def candidates(
+    ingredients: DataFrame, products: DataFrame, flavours: Mapping[str, Sequence[str]] | Sequence[str] = (), *, blockers: Sequence[str] = (), suffixes: Sequence[str] = (), k: int = 5, least: float = 0.55, exact: float = 0.97
+) -> DataFrame:
+    """(ingredient_id, product_id, score, rank, method): the ``k`` most similar products for each ingredient.
 
-    Distinct pairs of texts are scored once. If there are (nearly) exact ones, only those count.
+    They have a token in common, no other kind of meat, and no flavour that the ingredient
+    doesn't name. Texts are compared once, however many ingredients or products have them;
+    of the products of one name those of the ``k`` smallest ids can count.
     """
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
-    left = ingredients.select("ingredient_id", "ingredient", words(F.col("ingredient")))
-    right = products.select("product_id", "name", words(F.col("name")))
-    pairs = left.join(right, "word").select("ingredient_id", "ingredient", "product_id", "name").distinct()
-    scores = pairs.select("ingredient", "name").distinct().withColumn("score", F.round(fuzzy_score(F.col("ingredient"), F.col("name")), 6))
-    scored = pairs.join(scores, ["ingredient", "name"]).filter(F.col("score") >= least)
-    own = Window.partitionBy("ingredient_id")
-    scored = scored.withColumn("top", F.max("score").over(own)).filter((F.col("top") < exact) | (F.col("score") >= exact))
-    return scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "product_id"))).filter(F.col("rank") <= k).select("ingredient_id", "product_id", "score", "rank")
+    first = Window.partitionBy("name").orderBy("product_id")
+    named = products.select("product_id", T.normalized(F.col("name")).alias("name"), F.col("name").alias("title"))
+    named = named.filter("name <> ''").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k).select("product_id", "name", "title")
+    asked = ingredients.select("ingredient_id", F.col("ingredient").alias("said"), T.normalized(F.col("ingredient")).alias("ingredient")).filter("ingredient <> ''")
+
+    def side(df: DataFrame, s: str, text: str, raw: str) -> DataFrame:
+        rows = df.select(F.col(text).alias(s), F.col(raw).alias(f"{s}_raw")).distinct()
+        return rows.select(s, f"{s}_raw", T.meats(F.col(f"{s}_raw")).alias(f"{s}_meats"), T.keywords(F.col(f"{s}_raw"), flavours, blockers, suffixes).alias(f"{s}_flavours"), T.tokens(F.col(s)).alias(f"{s}_tokens")).withColumn("token", F.explode(f"{s}_tokens"))
+
+    pairs = side(asked, "a", "ingredient", "said").join(side(named, "b", "name", "title"), "token")
+    shared = F.try_element_at(F.array_intersect("a_tokens", "b_tokens"), F.lit(1)) == F.col("token")  # a pair once
+    pairs = pairs.filter(shared & gates.equal_if_known(F.col("a_meats"), F.col("b_meats")) & gates.contained(F.col("b_flavours"), F.col("a_flavours")))
+    scores = pairs.select("a", "a_raw", "b", "b_raw", F.round(fuzzy_score(F.col("a"), F.col("b")), 6).alias("score")).filter(F.col("score") >= least)
+    best = asked.join(scores, (F.col("said") == F.col("a_raw")) & (F.col("ingredient") == F.col("a"))).join(named, (F.col("title") == F.col("b_raw")) & (F.col("name") == F.col("b")))
+    rank = F.row_number().over(Window.partitionBy("ingredient_id").orderBy(F.desc("score"), "product_id"))
+    method = F.when(F.col("score") >= exact, "exact").otherwise("fuzzy")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("ingredient_id", "product_id", "score", "rank", method.alias("method"))
 
 
 def snapshot(lines: DataFrame, offers: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def alternatives_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recipe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = m.load(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("product_id"))
+    """The lines of recipes, one for each product, against all products."""
+    products = m.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.lower("p_name").alias("name"))
     lines = m.raw(spark, sf_dir).select(F.col("id").alias("ingredient_id"), F.lower(parse.ingredient(F.col("line"))["name"]).alias("ingredient"))
-    return recipes.candidates(lines, names)
+    return recipes.candidates(lines, products, {"hot": "hot", "cold": "cold"})
 
 
 _RECIPES = """lines AS (SELECT DISTINCT l_orderkey AS recipe_id, l_linenumber AS position, l_partkey AS product_id, l_quantity AS grams FROM lineitem)"""

@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basketspark import checkpoints
+from basketspark import checkpoints, register
 from basketspark.functions import gates, similarity
-from basketspark.operators import basket, history, listing, matching, quality
+from basketspark.operators import basket, history, listing, matching, quality, recipes
 from basketspark.plans import matches
 from basketspark.sources import readers, writers
 from basketspark.streaming import activity
@@ -415,3 +415,39 @@ def test_savings_are_capped(spark):
     at = lambda d: dt.datetime(2024, 1, d)
     rows = spark.createDataFrame([(1, at(1), 1, 1.0, 5000.0), (2, at(1), 1, 100.0, 9000.0), (3, at(1), 1, 9.0, 5.0)], "user_id long, ts timestamp, event_id long, cheap double, dear double")
     assert {r.user_id: r.amount for r in activity.monthly_savings(rows).collect()} == {1: 4.0, 2: 400.0, 3: 0.0}
+
+
+def test_ingredients_get_products_by_all_gates(spark):
+    rng = random.Random(8)
+    words = ["hakket", "okse", "kylling", "mælk", "kakao", "let", "rød", "skive", "Smør", "12%"]
+    products = [(i, " ".join(rng.sample(words, rng.randrange(1, 4)))) for i in range(300)] + [(400, None), (401, "  ")]
+    lines = [(i, " ".join(rng.sample(words, rng.randrange(1, 4)))) for i in range(60)] + [(90, ""), (91, None)]
+    got = recipes.candidates(spark.createDataFrame(lines, "ingredient_id long, ingredient string"), spark.createDataFrame(products, "product_id long, name string"), {"kakao": "cocoa"})
+    meats = lambda x: {k for k in ("okse", "kylling") if k in x.split()}
+    want = {}
+    for i, said in lines:
+        a = register.normalize_name(said)
+        found = []
+        for p, title in products:
+            b = register.normalize_name(title)
+            if a and b and {*a.split()} & {*b.split()} and not (meats(a) and meats(b) and meats(a) != meats(b)) and ("kakao" not in b or "kakao" in a):
+                s = similarity.score(a, b)
+                if s >= 0.55:
+                    found.append((-round(s, 6), p))
+        for n, (s, p) in enumerate(sorted(found)[:5], 1):
+            want[i, n] = (p, -s, "exact" if -s >= 0.97 else "fuzzy")
+    assert {(r.ingredient_id, r["rank"]): (r.product_id, r.score, r.method) for r in got.collect()} == want and len(want) > 150
+
+
+def test_ranks_of_a_month_that_has_nearly_all(spark):
+    rng = random.Random(9)
+    rows = [(i, "2024-01" if i % 10 else "2024-02", rng.choice([0.0, 5.0, 5.25, float(rng.randrange(10**6)) / 100])) for i in range(2000)] + [(5000, "2024-03", 3.0), (5001, None, 1.0)]
+    got = {r.user_id: (r["rank"], r.n) for r in history.ranked(spark.createDataFrame(rows, "user_id long, month_key string, amount double"), "month_key", "amount").collect()}
+    assert got == {u: (1 + sum(a > v for _, k, a in rows if k == m), sum(k == m for _, k, _ in rows)) for u, m, v in rows}
+
+
+def test_parts_of_visible_rows(spark):
+    rows = spark.createDataFrame([(1, "approved", "a"), (2, "new", "a"), (3, "new", "b")], "id int, status string, owner string")
+    parts = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w")], "id int, line string")
+    assert sorted(r.line for r in quality.visible_parts(parts, rows, "a", "id").collect()) == ["x", "y"]
+    assert [r.line for r in quality.visible_parts(parts, rows, None, "id").collect()] == ["x"]
