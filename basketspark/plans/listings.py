@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import listing, search
+from ..operators import listing, rules, search
 from . import mapping as m
 from .parsing import NAMES_SQL, NORMAL_SQL
 from .registry import query
@@ -167,3 +167,25 @@ def html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import readers
 
     return readers.html_cards(m.load(spark, sf_dir, "pages"))
+
+
+_RULES = """words AS (SELECT DISTINCT unnest([split_part(lower(p_name), ' ', 1), split_part(lower(p_name), ' ', 2)]) AS w FROM part), numbered AS (SELECT row_number() OVER (ORDER BY w) AS priority, w FROM words),
+r AS (SELECT priority, w, CASE priority % 3 WHEN 0 THEN right(w, 3) WHEN 1 THEN w ELSE left(w, 2) END AS keyword, priority % 3 AS kind, CASE WHEN priority % 4 = 0 THEN 100 END AS low, priority % 5 = 0 AS not_11 FROM numbered),
+hits AS (SELECT p_partkey AS id, priority, CASE WHEN priority % 7 > 0 THEN w END AS result FROM part JOIN r ON (low IS NULL OR p_partkey >= low) AND NOT (not_11 AND p_brand = 'Brand#11')
+    AND CASE kind WHEN 0 THEN contains(lower(p_name) || ' ', keyword || ' ') WHEN 1 THEN contains(' ' || lower(p_name) || ' ', ' ' || keyword || ' ') ELSE contains(' ' || lower(p_name), ' ' || keyword) END)"""
+
+
+@query(f"WITH {_RULES} SELECT p_partkey AS id, CASE WHEN min(priority) IS NULL THEN 'other' ELSE any_value(result ORDER BY priority) END AS result, min(priority)::INT AS rule FROM part LEFT JOIN hits ON id = p_partkey GROUP BY p_partkey".replace("any_value(result ORDER BY priority)", "first(result ORDER BY priority)"))
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of the words of all names: ends, whole words and beginnings, with ids and brands left out."""
+    part = m.load(spark, sf_dir, "part")
+    words = part.select(F.explode(F.slice(F.split(F.lower("p_name"), " "), 1, 2)).alias("w")).distinct()
+    numbered = words.withColumn("priority", F.row_number().over(Window.orderBy("w")))  # a few dozen words
+    kind, texts = F.col("priority") % 3, F.array().cast("array<string>")
+    table = numbered.select(
+        "priority", F.when(kind == 0, F.right("w", F.lit(3))).when(kind == 1, F.col("w")).otherwise(F.left("w", F.lit(2))).alias("keyword"), F.when(kind == 0, "end").when(kind == 1, "word").otherwise("start").alias("kind"),
+        F.lit(None).cast("array<string>").alias("unless"), F.when(F.col("priority") % 4 == 0, 100).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.lit(None).cast("array<string>").alias("brands"),
+        F.when(F.col("priority") % 5 == 0, F.array(F.lit("brand#11"))).otherwise(texts).alias("but_brands"), F.when(F.col("priority") % 7 > 0, F.col("w")).alias("result"),
+    )
+    rows = part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text"), F.col("p_brand").alias("brand"))
+    return rules.by_rules(rows, table, default="other").select("id", "result", "rule")
