@@ -1,0 +1,202 @@
+"""A stored dictionary of terms: layouts in which a search reads some row groups instead of every name.
+
+Five tables of Parquet lie below one path, each in the order of the key it is searched by:
+
+- ``beginnings`` and ``endings``: each word by its text and by its folded text, forwards and
+  backwards, so that words with a beginning or an ending are a range of keys;
+- ``grams``: each word by its runs of five letters, for words that contain a stem;
+- ``pieces``: each word cut into one piece more than a near word may have insertions and
+  deletions, by lengths, so that every near word has one of its pieces whole, near its place;
+- ``postings``: the ids of a word, in buckets by the word's checksum and in ranges of words and
+  ids within, so that the ids of a frequent word are spread over files.
+
+A word of more than ``LONGEST`` letters is in no such layout but in a table ``long``, which every
+search tests as a whole. What a layout finds is tested by the rule itself, so results are those
+of a scan. The dictionary grows with the distinct words, not with the names.
+
+Defined results: rows without an id or without words have no postings; empty words are left
+out; repeated rows and ids give the ids once; an empty table gives an empty dictionary. A
+dictionary whose writer died has no ``about`` and can't be opened.
+"""
+
+from __future__ import annotations
+
+import functools
+import math
+import zlib
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.similarity import fuzzy_score
+from .search import spellings
+
+LAYOUTS = ("beginnings", "endings", "grams", "pieces")
+SCHEMAS = {
+    "beginnings": "key string, word string",
+    "endings": "key string, word string",
+    "grams": "key string, word string",
+    "pieces": "key string, word string",
+    "long": "word string",
+    "about": "buckets int, least double, layouts array<string>",
+}
+LONGEST = 128
+GRAM = 5
+#: Near words differ by this many letters in length at most, and have this many at least.
+SLACK, SHORTEST = 3, 4
+
+
+def _both(word: Column) -> Column:
+    """A word's text, and its folded text where that's another one."""
+    return F.array_distinct(F.array(word, T.folded(word)))
+
+
+def _differences(least: float, m: int, n: int) -> int:
+    """How many letters at most are in one of two words of these lengths alone, if they are near; negative for never."""
+    d = math.floor((1 - least + 1e-6) * (m + n))
+    d -= (d - (m + n)) % 2
+    return d if d >= abs(m - n) else -1
+
+
+def _pieces(words: DataFrame, least: float) -> DataFrame:
+    """(key, word): lengths, number and text of each piece of a word, cut for near words of each length."""
+    m = F.length("word")
+    both = lambda s: m * 2 + s
+    most = lambda s: F.floor(F.lit(1 - least + 1e-6) * both(s)).cast("int")
+    even = F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda s: F.when((m + s >= SHORTEST) & (most(s) - F.pmod(most(s) - both(s), F.lit(2)) >= F.abs(s)), most(s) - F.pmod(most(s) - both(s), F.lit(2))))
+    rows = words.filter(m >= SHORTEST).select("word", F.explode(F.array_distinct(F.array_compact(even))).alias("d"))
+    rows = rows.select("word", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
+    at = lambda k: F.floor(k * m / (F.col("d") + 1)).cast("int")
+    piece = F.substring("word", at(F.col("k")) + 1, at(F.col("k") + 1) - at(F.col("k")))
+    return rows.select(F.concat_ws("|", m, "d", "k", piece).alias("key"), "word")
+
+
+def _keys(term: str, least: float) -> list[list[str]]:
+    """The pieces that a word near the term may share with it, in lists of ten at most."""
+    n, out = len(term), []
+    for m in range(max(SHORTEST, n - SLACK), n + SLACK + 1):
+        d = _differences(least, m, n)
+        left, right = (d + m - n) // 2, (d - m + n) // 2
+        for k in range(d + 1):
+            start, end = k * m // (d + 1), (k + 1) * m // (d + 1)
+            found = sorted({term[p : p + end - start] for p in range(max(0, start - left), min(start + right, n - end + start) + 1)})
+            keys = [f"{m}|{d}|{k}|{x}" for x in found]
+            out += [keys[i : i + 10] for i in range(0, len(keys), 10)]
+    return out
+
+
+def build(rows: DataFrame, path: str, *, layouts: Sequence[str] = LAYOUTS, least: float = 0.82, buckets: int = 64) -> Dictionary:
+    """Write the dictionary of rows (id, tokens) and open it; ``least`` is the least similarity of near words."""
+    if unknown := set(layouts) - set(LAYOUTS):
+        raise ValueError(f"no layouts of these names: {sorted(unknown)}")
+    spark = rows.sparkSession
+    tokens = rows.filter("id IS NOT NULL").select("id", F.explode(F.array_distinct("tokens")).alias("word")).filter("word <> ''")
+    tokens = tokens.select(F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "id")
+    place = ["bucket", "word", "id"]
+    tokens.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("bucket").parquet(f"{path}/postings")
+    # in the type the ids were written with
+    postings = spark.read.schema(tokens.select("word", "id", "bucket").schema).parquet(f"{path}/postings")
+    postings.select("word").distinct().write.parquet(f"{path}/words")
+    words = spark.read.schema("word string").parquet(f"{path}/words")
+    words.filter(F.length("word") > LONGEST).write.parquet(f"{path}/long")
+    words = words.filter(F.length("word") <= LONGEST)
+    starts = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
+    made = {
+        "beginnings": lambda: words.select(F.explode(_both(F.col("word"))).alias("key"), "word"),
+        "endings": lambda: words.select(F.explode(F.transform(_both(F.col("word")), F.reverse)).alias("key"), "word"),
+        "grams": lambda: words.filter(F.length("word") >= GRAM).select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("word", i, F.lit(GRAM))))).alias("key"), "word"),
+        "pieces": lambda: _pieces(words, least),
+    }
+    for name in layouts:
+        made[name]().repartitionByRange("key", "word").sortWithinPartitions("key", "word").write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(buckets, least, list(layouts))], SCHEMAS["about"]).coalesce(1).write.parquet(f"{path}/about")
+    return Dictionary(spark, path)
+
+
+class Dictionary:
+    """A dictionary that ``build`` has written; searches return words, ``ids`` their ids."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        about = spark.read.schema(SCHEMAS["about"]).parquet(f"{path}/about").first()
+        self.buckets, self.least, self.layouts = about.buckets, about.least, set(about.layouts)
+        self.postings = spark.read.parquet(f"{path}/postings") if self._any() else None
+
+    def _any(self) -> bool:
+        return bool(self.spark.read.schema("word string").parquet(f"{self.path}/words").head(1))
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self.layouts and name != "long":
+            raise ValueError(f"the dictionary at {self.path} was built without {name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+
+    def _words(self, found: Sequence[DataFrame], rule: Column) -> DataFrame:
+        """Distinct words of what the layouts give, and of the long ones, that follow the rule."""
+        parts = [f.select("word") for f in found] + [self._table("long")]
+        return functools.reduce(DataFrame.unionByName, (p.filter(rule) for p in parts)).distinct()
+
+    def matching(self, term: str) -> DataFrame:
+        """Words that a term matches as in ``text.term_matches``."""
+        t = term.lower().replace("æ", "ae").replace("ø", "oe")
+        start, end = self._table("beginnings"), self._table("endings")
+        found = [start.filter(F.col("key").startswith(t)), end.filter(F.col("key").startswith(t[::-1]))]
+        # in lists of ten, which the scan looks up in the row groups' figures
+        cut = [t[:i] for i in range(4, len(t) + 1)]
+        found += [start.filter(F.col("key").isin(cut[i : i + 10])) for i in range(0, len(cut), 10)]
+        return self._words(found, T.term_matches(F.col("word"), term))
+
+    def containing(self, term: str) -> DataFrame:
+        """Words that begin or end with a spelling of the term or have its first five letters, as in ``search.like_any``."""
+        found, rules = [], []
+        for t in spellings(term):
+            found += [self._table("beginnings").filter(F.col("key").startswith(t)), self._table("endings").filter(F.col("key").startswith(t[::-1]))]
+            rules += [F.col("word").startswith(t), F.col("word").endswith(t)]
+            if len(t) >= GRAM:
+                found.append(self._table("grams").filter(F.col("key") == t[:GRAM]))
+                rules.append(F.col("word").contains(t[:GRAM]))
+        return self._words(found, functools.reduce(lambda a, b: a | b, rules))
+
+    def candidates(self, term: str) -> DataFrame:
+        """The words that ``near`` scores: those that share a piece with the term."""
+        keys = _keys(term, self.least) if len(term) >= SHORTEST else []
+        wanted = functools.reduce(lambda a, b: a | b, (F.col("key").isin(k) for k in keys), F.lit(False))
+        found = self._table("pieces").filter(wanted).select("word")
+        if len(term) >= SHORTEST and len(term) + SLACK > LONGEST:
+            found = found.unionByName(self._table("long").filter(F.abs(F.length("word") - len(term)) <= SLACK))
+        return found.distinct()
+
+    def near(self, term: str, least: float | None = None) -> DataFrame:
+        """(word, score): words near the term as in ``search.fuzzy_terms``, of which few are scored; terms of three letters have none."""
+        least = self.least if least is None else least
+        if least < self.least:
+            raise ValueError(f"the dictionary's pieces are cut for a similarity of {self.least} or more")
+        return self.candidates(term).withColumn("score", F.round(fuzzy_score(F.col("word"), F.lit(term)), 6)).filter(F.col("score") >= least)
+
+    def ids(self, words: Sequence[DataFrame]) -> DataFrame:
+        """Ids that have, for each of several searches (62 at most), one of its words."""
+        if not 1 <= len(words) <= 62:
+            raise ValueError("between 1 and 62 searches")
+        if self.postings is None:
+            return self.spark.createDataFrame([], "id long")
+        marked = [w.select(F.pmod(F.crc32("word"), F.lit(self.buckets)).cast("int").alias("bucket"), "word", F.lit(1 << i).cast("long").alias("mask")) for i, w in enumerate(words)]
+        hits = self.postings.join(functools.reduce(DataFrame.unionByName, marked), ["bucket", "word"])
+        return hits.groupBy("id").agg(F.bit_or("mask").alias("mask")).filter(F.col("mask") == (1 << len(words)) - 1).select("id")
+
+    def having(self, terms: Sequence[str]) -> DataFrame:
+        """Ids that have all the terms as words, as in ``search.and_search``; other buckets and words aren't read."""
+        wanted = sorted(set(terms))
+        if self.postings is None or not wanted:
+            return self.spark.createDataFrame([], "id long") if self.postings is None else self.postings.select("id").limit(0)
+        rows = self.postings.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in wanted})) & F.col("word").isin(wanted))
+        return rows.groupBy("id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(wanted)).select("id")
+
+    def search(self, terms: Sequence[str], how: str = "matching") -> DataFrame:
+        """Ids that every term finds by ``matching``, ``containing`` (eight terms at most, as in ``search.like_any``) or ``near``."""
+        some = [t for t in dict.fromkeys(terms) if t]
+        if how == "containing":
+            some = [t for t in list(terms)[:8] if t]
+        if not some:
+            raise ValueError("a search needs a term")
+        return self.ids([getattr(self, how)(t) for t in some])

@@ -29,12 +29,21 @@ def matches(name_tokens: Column, terms: Sequence[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, map(matched, terms), F.lit(True))
 
 
+def spellings(term: str) -> list[str]:
+    """A term and what it's written like with and without the letters æ and ø."""
+    return list(dict.fromkeys((term, term.replace("ae", "æ").replace("oe", "ø"), term.replace("æ", "ae").replace("ø", "oe"))))
+
+
 def like_any(c: Column, terms: Sequence[str]) -> Column:
-    """A coarse filter: every term begins or ends a word, or (five letters or more) its first five are in the text."""
+    """A coarse filter: every term, in one of its spellings, begins or ends a word, or (five letters or more) its first five are in the text."""
     parts = []
-    for t in list(terms)[:8]:
-        any_ = c.startswith(t) | c.contains(f" {t}") | c.endswith(t) | c.contains(f"{t} ")
-        parts.append(any_ | c.contains(t[:5]) if len(t) >= 5 else any_)
+    for term in list(terms)[:8]:
+        ways = []
+        for t in spellings(term):
+            ways += [c.startswith(t), c.contains(f" {t}"), c.endswith(t), c.contains(f"{t} ")]
+            if len(t) >= 5:
+                ways.append(c.contains(t[:5]))
+        parts.append(functools.reduce(lambda a, b: a | b, ways))
     return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import ready
 from ..functions import text
-from ..operators import listing, rules, search
+from ..operators import dictionary, listing, rules, search
 from . import mapping as m
 from .parsing import NAMES_SQL, NORMAL_SQL
 from .registry import query
@@ -154,6 +157,33 @@ def fuzzy_fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_search(search.token_index(m.cards(spark, sf_dir)), ["gizmos"])
 
 
+def _dictionary(spark: SparkSession, sf_dir: str, *layouts: str) -> dictionary.Dictionary:
+    """The stored dictionary of all documents' names, written for this query."""
+    ready(spark)
+    rows = m.documents(spark, sf_dir).select("id", text.tokens(text.normalized(F.col("name"))).alias("tokens"))
+    return dictionary.build(rows, f"{spark.sparkContext.getCheckpointDir()}/dictionary-{uuid.uuid4().hex}", layouts=layouts)
+
+
+@query(f"WITH {_TOKENS} SELECT id FROM t GROUP BY id HAVING bool_or({_TERM.format(t='eder', n=4)}) AND bool_or({_TERM.format(t='thea', n=4)})")
+def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark, sf_dir, "beginnings", "endings").search(["eder", "thea"])
+
+
+def _like_word(t: str) -> str:
+    return f"(starts_with(token, '{t}') OR ends_with(token, '{t}')" + (f" OR contains(token, '{t[:5]}'))" if len(t) >= 5 else ")")
+
+
+@query(f"WITH {_TOKENS} SELECT id FROM t GROUP BY id HAVING bool_or({_like_word('heatin')}) AND bool_or({_like_word('ered')})")
+def dictionary_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark, sf_dir, "beginnings", "endings", "grams").search(["heatin", "ered"], "containing")
+
+
+@query(f"""WITH RECURSIVE {_TOKENS}, pairs AS (SELECT DISTINCT token AS a, 'reading' AS b FROM t WHERE length(token) BETWEEN 4 AND 10), {INDEL_SQL}
+SELECT DISTINCT id FROM t WHERE token IN (SELECT a FROM ratios WHERE round(ratio, 6) >= 0.82)""")
+def dictionary_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark, sf_dir, "pieces").search(["reading"], "near")
+
+
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), 1) - 1 AS nth FROM pages)
 SELECT page_id, href, CAST(min(nth) AS INT) AS position FROM l GROUP BY 1, 2""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
