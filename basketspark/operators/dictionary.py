@@ -29,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import text as T
 from ..functions.similarity import fuzzy_score
 from .search import spellings
@@ -94,6 +95,7 @@ def build(rows: DataFrame, path: str, *, layouts: Sequence[str] = LAYOUTS, least
     spark = rows.sparkSession
     tokens = rows.filter("id IS NOT NULL").select("id", F.explode(F.array_distinct("tokens")).alias("word")).filter("word <> ''")
     tokens = tokens.select(F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "id")
+    tokens = checkpointed(tokens)  # names are taken apart once, not for the ranges' sample too
     place = ["bucket", "word", "id"]
     tokens.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("bucket").parquet(f"{path}/postings")
     # in the type the ids were written with
@@ -175,13 +177,16 @@ class Dictionary:
         return self.candidates(term).withColumn("score", F.round(fuzzy_score(F.col("word"), F.lit(term)), 6)).filter(F.col("score") >= least)
 
     def ids(self, words: Sequence[DataFrame]) -> DataFrame:
-        """Ids that have, for each of several searches (62 at most), one of its words."""
+        """Ids that have, for each of several searches (62 at most), one of its words; other buckets aren't read."""
         if not 1 <= len(words) <= 62:
             raise ValueError("between 1 and 62 searches")
         if self.postings is None:
             return self.spark.createDataFrame([], "id long")
         marked = [w.select(F.pmod(F.crc32("word"), F.lit(self.buckets)).cast("int").alias("bucket"), "word", F.lit(1 << i).cast("long").alias("mask")) for i, w in enumerate(words)]
-        hits = self.postings.join(functools.reduce(DataFrame.unionByName, marked), ["bucket", "word"])
+        found = checkpointed(functools.reduce(DataFrame.unionByName, marked))
+        # at most as many numbers as there are buckets
+        some = [r.bucket for r in found.select("bucket").distinct().collect()]
+        hits = self.postings.filter(F.col("bucket").isin(some)).join(found, ["bucket", "word"])
         return hits.groupBy("id").agg(F.bit_or("mask").alias("mask")).filter(F.col("mask") == (1 << len(words)) - 1).select("id")
 
     def having(self, terms: Sequence[str]) -> DataFrame:
