@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, text
+from ..functions import parse, text, variants
 from ..operators import basket, quality, recipes
 from ..sources import writers
 from . import mapping as m
@@ -228,3 +228,30 @@ def ordered_string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_overlap_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = m.load(spark, sf_dir, "part").filter("p_size > 49").select(F.col("p_type").alias("category"))
     return m.cards(spark, sf_dir).filter(F.arrays_overlap(text.tokens(F.col("name")), F.array(F.lit("red"), F.lit("blue")))).join(big, "category", "left_semi").select("id", "name")
+
+
+
+@query("""SELECT l_orderkey AS cart_id, count(*) AS items, CAST(sum(greatest(1, least(99, CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS INT) WHEN l_returnflag = 'N' THEN CAST(l_quantity AS INT) * 3 ELSE 1 END))) AS BIGINT) AS pieces,
+round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END), 2) AS total FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1""")
+def cart_recordset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as browsers send them: numbers, numbers as texts, texts that are none, and in second place something else."""
+    item = """CASE WHEN l_linenumber = 2 THEN '"no item"'
+        WHEN l_returnflag = 'A' THEN to_json(named_struct('p', l_partkey, 'q', cast(l_quantity AS int), 'pr', l_extendedprice))
+        WHEN l_returnflag = 'N' THEN to_json(named_struct('p', cast(l_partkey AS string), 'q', cast(cast(l_quantity AS int) * 3 AS string), 'pr', cast(cast(l_extendedprice AS decimal(18, 2)) AS string)))
+        ELSE to_json(named_struct('p', cast(l_partkey AS string), 'q', 'many', 'pr', 'free')) END"""
+    sent = m.load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS cart_id", f"{item} AS item").groupBy("cart_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("items"))
+    rows = sent.select("cart_id", F.inline(variants.cart_items(variants.parsed(F.col("items")))))
+    return rows.groupBy("cart_id").agg(F.count("*").alias("items"), F.sum("q").alias("pieces"), F.round(F.sum("pr"), 2).alias("total"))
+
+
+@query("""SELECT p_partkey AS page, p_name AS title, p_brand AS brand, p_retailprice AS price, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS offer, CAST(p_size AS INT) AS size FROM part""")
+def pool_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards as pages carry them: objects whose fields are places in a list, with missing values, a banner and values in place."""
+    pool = """concat('[{"resultClass":1,"gridbox":2},"product",{"data":3},', '{"title":4,"brand":5,"price":6,"discount":7,"size":8},', to_json(array(p_name, p_brand)), ',',
+        '{"now":9},', CASE WHEN p_size % 3 = 2 THEN 'null' ELSE '{"shown":10}' END, ',', '{"pieces":"', p_size, '"},', to_json(array(p_retailprice)), ',', CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'false' END, ',{"resultClass":12,"gridbox":2},"banner"]')"""
+    # the lists of one kind lose their brackets, so that each value has its place
+    text = f"regexp_replace({pool}, '(?<=,)\\\\[|\\\\](?=,)', '')"
+    pages = m.load(spark, sf_dir, "part").selectExpr("p_partkey AS page", f"{text} AS pool")
+    data = "gridbox.data"
+    fields = {"title": (f"{data}.title", "string"), "brand": (f"{data}.brand", "string"), "price": (f"{data}.price.now", "double"), "offer": (f"{data}.discount.shown", "boolean"), "size": (f"{data}.size.pieces", "int")}
+    return variants.pool_records(pages, "pool", fields, having=["gridbox"], equal={"resultClass": "product"})
