@@ -8,9 +8,13 @@ power of four, and is applied again until the result lies in the range. So every
 one pseudonym of the same format that is valid in the same way, no two values share one, and
 equal values stay equal across documents, whatever separators they are written with. Phone
 numbers are split by the country codes in use, so that the country stays and the rest is
-permuted, with separators or without. A date has one pseudonym in whatever format it is
+permuted, with separators or without; two zeros in front say the same as a plus where ten
+digits or more follow (with country code 1, eleven), and such a pseudonym that would be read
+as a card's number is written with a plus. The name in an e-mail address has one pseudonym in
+small and capital letters, which keep their places. A date has one pseudonym in whatever format it is
 written; dates with slashes are month-first unless the first number is above 12, and a
-day-first pseudonym that would be read as month-first is written with dots. What follows a
+day-first pseudonym that would be read as month-first is written with dots. Days and months
+are written without zeros in front where one of the value's is. What follows a
 word for "version" is no date or address. Only who has the key can go back (``reverse``).
 
 Defined results: a null text stays null; texts without findings are left as they are, byte
@@ -39,12 +43,14 @@ FOUND = re.compile(
     rf"|(?P<ipv4>{VERSION}(?<![\w.])" r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w.])(?:\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5}|\d{13,19})(?!\w|\.\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\w))"
+    r"|(?P<phone>(?:\+\d{1,3}|(?<![\w.,+/:-])00[ -]?[1-9]\d{0,2})[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     rf"|(?P<date>{VERSION}(?<![\w./-])" r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d))"
     r"|(?P<secret>(?i:\b(?:token|key|secret|password|passwd|pwd|api_?key)\b\s*[=:]\s*[\"'])[0-9A-Fa-f]{16,128}(?=[\"']))"
 )
 HINT = re.compile(r"[@0-9]")
+#: What is looked at as the number of a card.
+CARD = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19}")
 #: Dates are permuted within these spans of years.
 YEARS = ((1600, 1900), (1900, 2100), (2100, 2400))
 #: Country codes of one and two digits; all others have three.
@@ -90,6 +96,10 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_card(digits: str) -> bool:
+    return luhn(digits[:-1]) == int(digits[-1]) and bool(digits.strip("0"))
+
+
 def poured(form: str, chars: str, kind=str.isdigit) -> str:
     """``form`` with its characters of a kind replaced one by one."""
     new = iter(chars)
@@ -125,8 +135,9 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
     if kind == "email":
         local, _, domain = value.partition("@")
         word = "".join(filter(plain, local))
-        x, n, form = classes(word)
-        return poured(local, spelled(permute(x, n, tweak + form.encode() + domain.lower().encode()), form), plain) + "@" + domain
+        x, n, form = classes(word.lower())
+        new = spelled(permute(x, n, tweak + form.encode() + domain.lower().encode()), form)
+        return poured(local, "".join(c.upper() if o.isupper() else c for o, c in zip(word, new, strict=True)), plain) + "@" + domain
     if kind == "ipv4":
         parts = [int(p) for p in value.split(".")]
         if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in value.split(".")):
@@ -134,7 +145,7 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
         x = permute(int.from_bytes(bytes(parts)), 2**32, tweak)
         return ".".join(map(str, x.to_bytes(4)))
     if kind == "card":
-        if luhn(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
+        if not is_card(digits):
             return None
         body = str(permute(int(digits[:-1]), 10 ** (len(digits) - 1), tweak + b"%d" % len(digits))).zfill(len(digits) - 1)
         return poured(value, body + str(luhn(body)))
@@ -148,6 +159,15 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
         check = 98 - as_number(body + word[:2] + "00") % 97
         return poured(value, word[:2] + f"{check:02d}" + body, str.isalnum)
     if kind == "phone":
+        if value.startswith("00"):
+            rest = value[2:].lstrip(" -")
+            digits = re.sub(r"\D", "", rest.replace("(0)", ""))
+            # numbers with zeros in front are told from those that are dialled by their length
+            if not (len(digits) == 11 if digits[0] in "1" else len(digits) >= 10):
+                return None
+            new = pseudonym("phone", "+" + rest, permute)
+            zeros = new and value[: len(value) - len(rest)] + new[1:]
+            return new if zeros is None or CARD.fullmatch(zeros) and is_card(re.sub(r"\D", "", zeros)) else zeros
         digits = re.sub(r"\D", "", value.replace("(0)", ""))  # what is dialled within the country only
         if not 8 <= len(digits) <= 15:
             return None
@@ -182,12 +202,13 @@ def pseudonym(kind: str, value: str, permute: Permuter) -> str | None:
         first, after = (datetime.date(y, 1, 1).toordinal() for y in years)
         date = datetime.date.fromordinal(first + permute(date.toordinal() - first, after - first, tweak + b"%d" % years[0]))
         sep = re.search(r"[./-]", value)[0]
+        width = 1 if min(map(len, parts)) == 1 else 2  # as it is written, with zeros in front or without
         if len(parts[0]) == 4:
             return f"{date.year:04d}{sep}{date.month:02d}{sep}{date.day:02d}"
         if "." in value or int(parts[0]) > 12:
             sep = "." if date.day <= 12 else sep
-            return f"{date.day:02d}{sep}{date.month:02d}{sep}{date.year:04d}"
-        return f"{date.month:02d}{sep}{date.day:02d}{sep}{date.year:04d}"
+            return f"{date.day:0{width}d}{sep}{date.month:0{width}d}{sep}{date.year:04d}"
+        return f"{date.month:0{width}d}{sep}{date.day:0{width}d}{sep}{date.year:04d}"
     head, word = re.match(r"(?s)(.*[\"'])([0-9A-Fa-f]+)$", value).groups()
     upper = word.upper() == word and word.lower() != word
     x = permute(int(word, 16), 16 ** len(word), tweak + b"%d" % len(word))
@@ -203,6 +224,8 @@ def replaced(text: str, permute: Permuter, known: dict) -> tuple[str, list[str]]
 
     def swap(m: re.Match) -> str:
         kind = m.lastgroup
+        if kind == "card" and re.match("00[ -]?[1-9]", m[0]) and not is_card(re.sub(r"\D", "", m[0])):
+            kind = "phone"
         at = (kind, m[0])
         if at not in known:
             if len(known) > 200_000:
