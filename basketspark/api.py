@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import basket, history, listing, recipes
 from .operators import search as S
+from .operators.dictionary import Dictionary
 
 
 def home(cards: DataFrame, popularity: DataFrame, stores: Sequence[str] | None = None) -> DataFrame:
@@ -28,8 +29,11 @@ def sale(cards: DataFrame, *, order: str = "price-asc", number: int = 1, stores:
     return listing.page(rows, order, number)
 
 
-def search(cards: DataFrame, asked: str, *, most: int = 60, preferred: str | None = None) -> DataFrame:
-    """Cards that match every word of a query, best first; where none does, those with words near them."""
+def search(cards: DataFrame, asked: str, *, most: int = 60, preferred: str | None = None, stored: Dictionary | None = None) -> DataFrame:
+    """Cards that match every word of a query, best first; where none does, those with words near them.
+
+    With a stored dictionary of the cards' normalized names only those it finds are looked at.
+    """
     organic = bool(set(asked.lower().split()) & {"øko", "økologisk", "organic"})
     terms = [w for w in asked.lower().split() if w not in ("øko", "økologisk", "organic")][:8]
     rows = cards.filter("organic") if organic else cards
@@ -37,7 +41,11 @@ def search(cards: DataFrame, asked: str, *, most: int = 60, preferred: str | Non
     if not terms:
         return rows.orderBy("id").limit(most).drop("_tokens")
     hits = rows.filter(S.matches(F.col("_tokens"), terms))
-    if hits.isEmpty():
+    if stored is not None:
+        hits = rows.join(stored.search(terms), "id", "left_semi")
+        if hits.isEmpty():
+            hits = rows.join(stored.search(terms, "near"), "id", "left_semi")
+    elif hits.isEmpty():
         near = S.fuzzy_search(rows.select("id", F.explode("_tokens").alias("token")), terms)
         hits = rows.join(near, "id", "left_semi")
     liked = None if preferred is None else F.col("category") == preferred

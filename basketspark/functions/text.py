@@ -6,9 +6,10 @@ import functools
 import itertools
 import re
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -211,36 +212,61 @@ def flagged(c: Column, patterns: Mapping[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in patterns.items())))
 
 
+def automaton(words: Sequence[str]) -> Callable[[str], dict[int, int]]:
+    """Finds all words of a text in one pass: for each, by its place in ``words``, where it is first free on one side."""
+    trie = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        trie.add_word(w, i)
+    if not words:
+        return lambda text: {}
+    trie.make_automaton()
+    inside = re.compile("[a-zæøå]")
+
+    def free_places(text: str) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for end, i in trie.iter(text):
+            start = end + 1 - len(words[i])
+            if i not in out and not (start and inside.match(text, start - 1) and inside.match(text, end + 1)):
+                out[i] = start
+        return out
+
+    return free_places
+
+
 def keywords(c: Column, lexicon: Mapping[str, Sequence[str]] | Sequence[str], blockers: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:
     """What the words of a lexicon stand for, sorted: of a text's parts the longest words first, each taken out before shorter ones are looked for.
 
     A word counts where it stands free on one side at least; what is taken out may free
     another one, so this goes on until nothing is found. ``blockers`` are taken out before,
-    and ``suffixes`` from the ends of longer words. Each text of a batch is looked at once.
+    and ``suffixes`` from the ends of longer words. One automaton has the whole lexicon, so a
+    text's time grows with the words found in it and not with those of the lexicon.
     """
     means = {w: [w] for w in lexicon} if not isinstance(lexicon, Mapping) else {w: [v] if isinstance(v, str) else list(v) for w, v in lexicon.items()}
+    words = sorted(filter(str.strip, means), key=lambda w: -len(w))
+    names = [means[w] for w in words]
     letter = "[a-zæøå]"
-    free = [(re.compile(f"(?<!{letter}){re.escape(w)}|{re.escape(w)}(?!{letter})"), means[w]) for w in sorted(means, key=lambda w: -len(w))]
-    some = re.compile("|".join(map(re.escape, means)) or "(?!)")
-    blocked = re.compile("|".join(map(re.escape, blockers)) or "(?!)")
+    blocked = re.compile("|".join(map(re.escape, filter(None, blockers))) or "(?!)")
     ends = re.compile(rf"(?<={letter})(?:{'|'.join(map(re.escape, sorted(suffixes, key=len, reverse=True)))})\b" if suffixes else "(?!)")
 
-    def found(text: str) -> list[str]:
-        out: set[str] = set()
-        text = ends.sub(" ", blocked.sub(" ", text))
-        more = some.search(text) is not None
-        while more:
-            more = False
-            for pattern, names in free:
-                if m := pattern.search(text):
-                    out.update(names)
-                    text, more = f"{text[: m.start()]} {text[m.end() :]}", True
-        return sorted(out)
-
     @F.pandas_udf("array<string>")
-    def scan(texts: pd.Series) -> pd.Series:
-        known = {t: found(t) for t in texts.dropna().unique()}
-        return texts.map(lambda t: known.get(t, []))
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        free_places = automaton(words)
+
+        def found(text: str) -> list[str]:
+            out: set[str] = set()
+            text = ends.sub(" ", blocked.sub(" ", text))
+            places, last = free_places(text), -1
+            while places:
+                # the next shorter one; after the shortest, the longest again
+                at = min((w for w in places if w > last), default=min(places))
+                out.update(names[at])
+                text, last = f"{text[: places[at]]} {text[places[at] + len(words[at]) :]}", at
+                places = free_places(text)
+            return sorted(out)
+
+        for texts in batches:
+            known = {t: found(t) for t in texts.dropna().unique()}
+            yield texts.map(lambda t: known.get(t, []))
 
     return scan(F.lower(c))
 

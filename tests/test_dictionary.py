@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from basketspark import api
 from basketspark.functions import text as T
 from basketspark.functions.similarity import score
 from basketspark.operators import dictionary, search
@@ -114,6 +115,14 @@ def test_scans_are_pruned(stored):
     assert "StringStartsWith(key" in stored.matching("kre")._jdf.queryExecution().toString()
 
 
+def test_pages_search_with_and_without(spark, tmp_path):
+    names = ["Pear juice", "Pears", "Minimælk", "Hakket oksekød", "Cherry tomatoes", "Pear jucie"]
+    cards = spark.createDataFrame([(i, n, i % 2 == 0) for i, n in enumerate(names)], "id long, name string, organic boolean")
+    d = dictionary.build(cards.select("id", T.tokens(T.normalized(F.col("name"))).alias("tokens")), str(tmp_path / "d"))
+    for asked in ("pear juice", "pear", "cherri", "minimaelk", "tomatos", "organic pear", "zzzz"):
+        assert [r.id for r in api.search(cards, asked, stored=d).collect()] == [r.id for r in api.search(cards, asked).collect()]
+
+
 def test_empty_and_unfinished(spark, tmp_path):
     d = dictionary.build(spark.createDataFrame([], "id long, tokens array<string>"), str(tmp_path / "d"))
     assert d.search(["abcd"]).count() == d.search(["abcd"], "near").count() == d.having(["x"]).count() == 0
