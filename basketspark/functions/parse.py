@@ -214,11 +214,11 @@ def without_store_brand(c: Column, brands: tuple[str, ...]) -> Column:
     return F.when((rest == F.upper(rest)) & (rest != F.lower(rest)), sentence).otherwise(raised)
 
 
-def compact_cart(items: Column, most: int = 100) -> Column:
-    """A cart's items (structs of p, q, n and pr as texts) cut and clamped to what is stored."""
+def compact_cart(items: Column, most: int | None = 100) -> Column:
+    """A cart's items (structs of p, q, n and pr as texts) cut and clamped to what is stored; all of them where ``most`` is None."""
     kept = F.filter(items, lambda x: F.coalesce(F.length(F.trim(x["p"])) > 0, F.lit(False)))
     return F.transform(
-        F.slice(kept, 1, most),
+        kept if most is None else F.slice(kept, 1, most),
         lambda x: F.struct(
             F.substring(x["p"], 1, 64).alias("p"),
             F.least(F.greatest(F.coalesce(x["q"].try_cast("int"), F.lit(1)), F.lit(1)), F.lit(99)).alias("q"),
