@@ -189,7 +189,7 @@ def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_MINUTES}, r AS (SELECT kind, sum(events) AS recent FROM last GROUP BY 1)
 SELECT kind, sum(events)::BIGINT AS events, coalesce(any_value(recent), 0)::BIGINT AS recent, coalesce(any_value(recent), 0) > CASE kind WHEN 'error' THEN 0 WHEN 'add' THEN 2 ELSE 1000 END AS alarm FROM mi LEFT JOIN r USING (kind) GROUP BY kind""")
 def security_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.alarms(_minutes(spark, sf_dir), {"error": 0, "add": 2})
+    return activity.alarms(_minutes(spark, sf_dir), {"error": 0, "add": 2}, 1000)
 
 
 @query(f"{_MINUTES} SELECT kind, path, sum(events)::BIGINT AS events FROM last GROUP BY ALL ORDER BY events DESC, kind, path LIMIT 10")

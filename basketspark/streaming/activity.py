@@ -59,10 +59,10 @@ def _last_hour(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("bucket") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest is not None else counts
 
 
-def alarms(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Per kind the events (bucket, kind, path, events) of all time and of the last hour, and whether these are more than its limit."""
+def alarms(counts: DataFrame, limits: dict[str, int], other: int | None = None) -> DataFrame:
+    """Per kind the events (bucket, kind, path, events) of all time and of the last hour, and whether these are more than its limit, or ``other`` where it has none."""
     recent = _last_hour(counts).groupBy("kind").agg(F.sum("events").alias("recent"))
-    limit = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in limits.items()), F.lit(None).cast("int"))
+    limit = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in limits.items()), F.lit(other).cast("int"))
     rows = counts.groupBy("kind").agg(F.sum("events").alias("events")).join(recent, "kind", "left").withColumn("recent", F.coalesce("recent", F.lit(0)))
     return rows.withColumn("alarm", F.coalesce(F.col("recent") > limit, F.lit(False)))
 

@@ -40,3 +40,10 @@ PART = """SELECT i AS p_partkey, ['Red ring', 'Blue ring', 'hot bolt', 'Small ge
 
 def test_carts_of_more_than_a_hundred_items(same):
     assert len(same("compact_carts", part=PART.format(n=60_000))) == 500
+
+
+def test_alarms_of_kinds_without_a_limit_of_their_own(same):
+    """More than 1,000 events of a kind in an hour."""
+    kinds = "['view', 'click', 'error', 'signup'][i % 4 + 1]"
+    got = same("security_totals", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i // 2) AS ts, i % 9 AS user_id, {kinds} AS event_type, 1.5 AS value, '{{\"k\": 7}}' AS props FROM range(9000) t(i)")
+    assert len(got) == 4
