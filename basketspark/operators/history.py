@@ -76,10 +76,17 @@ def insight(prices: DataFrame) -> DataFrame:
 
 
 def spine(prices: DataFrame, days: int = 30) -> DataFrame:
-    """A row for each of the last days of a product in a store, price null where none was seen."""
-    keys = with_as_of(prices).groupBy("product_id", "store").agg(F.max("as_of").alias("as_of"))
-    keys = keys.select("product_id", "store", F.explode(F.sequence(F.date_sub("as_of", days - 1), F.col("as_of"))).alias("date"))
-    return keys.join(prices.select("product_id", "store", "date", "price"), ["product_id", "store", "date"], "left")
+    """A row for each of the last days of a product in a store, price null where none was seen.
+
+    The points of those days are gathered by product and store and looked up within the row,
+    so the days aren't shuffled.
+    """
+    first = F.date_sub("as_of", days - 1)
+    rows = with_as_of(prices)
+    point = F.when(F.col("date").between(first, F.col("as_of")), F.struct("date", "price"))
+    keys = rows.groupBy("product_id", "store").agg(F.max("as_of").alias("as_of"), F.collect_list(point).alias("points"))
+    keys = keys.select("product_id", "store", "points", F.explode(F.sequence(first, F.col("as_of"))).alias("date"))
+    return keys.select("product_id", "store", "date", F.explode_outer(F.transform(F.filter("points", lambda x: x["date"] == F.col("date")), lambda x: x["price"])).alias("price"))
 
 
 def regular_before(prices: DataFrame) -> DataFrame:

@@ -77,3 +77,11 @@ def test_a_line_meets_its_cheapest_offer_only(spark):
     df = recipes.snapshot(lines, offers)
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2, 2, 10.0, {"1": 10.0}), (3, 1, 0, 5.0, {"2": 5.0})]
     assert "min(struct(price" in plan(df)
+
+
+def test_days_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, 1, "2024-01-05", 3.0), (1, 1, "2024-01-05", 4.0), (1, 2, "2023-01-01", 9.0), (2, 1, "2024-01-04", None)], "product_id long, store long, date string, price double").withColumn("date", F.to_date("date"))
+    df = history.spine(rows, 3)
+    got = sorted((r.product_id, r.store, str(r.date)[-2:], r.price or 0.0) for r in df.collect())
+    assert got == [(1, 1, "03", 0.0), (1, 1, "04", 0.0), (1, 1, "05", 3.0), (1, 1, "05", 4.0), *((1, 2, d, 0.0) for d in ("03", "04", "05")), *((2, 1, d, 0.0) for d in ("03", "04", "05"))]
+    assert "Join" not in plan(df)
