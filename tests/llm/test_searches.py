@@ -96,3 +96,18 @@ def test_bounds_leave_few_pairs():
 def test_components_too_large_for_exact_sums(spark):
     with pytest.raises(Exception, match="too large"):
         segments.segment_topk(frame(spark, [(0, [1e9, 1.0]), (1, [1.0, 1.0])])).collect()
+
+
+def test_only_scores_that_can_count_are_ranked(monkeypatch):
+    """Survivors of the bounds below the k-th best known score aren't sorted with the others."""
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * rng.standard_normal((2000, 64)))
+    ids, held = np.arange(2000), []
+    add = segments.Best.add
+    monkeypatch.setattr(segments.Best, "add", lambda self, rows, *a: (held.append(len(rows)), add(self, rows, *a)))
+    at, hit, score, scored = segments.search_segments([segments.statistics(x, s) for s in segments.levels(64)], x, ids, ids, x[:100], ids[:100], 20)
+    assert sum(held) < scored / 4
+    full = x[:100] @ x.T
+    full[ids[:100], ids[:100]] = -np.inf
+    want = [sorted(range(2000), key=lambda c: (-row[c], c))[:20] for row in full]
+    assert [list(hit[at == r]) for r in range(100)] == want and (score == full[at, hit]).all()
