@@ -12,7 +12,7 @@ third longer than a window.
 
 1. Tasks find the runs of their documents. Of equal runs only those of the smallest
    document go on; the others repeat it whatever else there is. What goes on is a packed row
-   of hashes and places for each range of anchors.
+   of hashes and places for each range of the anchors' hashes.
 2. For each range of anchors the same is done across tasks. An anchor that only one document
    has, or whose runs are all equal, is done with. Of the others those sides go on that a
    different run of another document agrees with; without that no window can be shared.
@@ -155,7 +155,7 @@ def first_documents(x: dict[str, np.ndarray], width: int):
 
 
 def find_runs(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Packed runs by the leading ``bits`` of their anchors."""
+    """Packed runs by the leading ``bits`` of their anchors' hashes."""
     enough = max(200_000, 4 << bits)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,6 +165,8 @@ def find_runs(docs: DataFrame, width: int, bits: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             x = {k: np.concatenate([h.pop(k) for h in held]) for k, _ in FIELDS}
             x, found = first_documents(x, width)
+            # anchors are the smallest of many hashes, so most of them begin with zeros; ranges are those of a hash of the anchor
+            x["anchor"] = mix(x["anchor"])
             bucket = (x["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
             x["anchor"] = (x["anchor"] >> np.uint64(32 - bits)).astype(np.uint32)
             by = np.argsort(bucket, kind="stable")

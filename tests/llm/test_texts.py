@@ -128,6 +128,14 @@ def test_suffix_dedup_with_planted_grams(spark, seed, alphabet, long):
     assert rows_of(suffixdedup.removed_digests(frame(spark, rows)), *DIGEST) == sorted(removed(rows, 50), key=str)
 
 
+def test_ranges_of_anchors_are_even(spark):
+    rng = random.Random(17)
+    rows = [(i, 0, bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=4000))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, row long, text binary").coalesce(1)
+    sizes = [len(r.run) // 8 for r in suffixdedup.find_runs(docs, 50, 6).collect()]
+    assert len(sizes) == 64 and max(sizes) < 1.5 * sum(sizes) / 64
+
+
 def test_suffix_dedup_of_very_long_texts(spark):
     rng = random.Random(13)
     text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
