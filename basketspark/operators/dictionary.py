@@ -10,6 +10,9 @@ Five tables of Parquet lie below one path, each in the order of the key it is se
 - ``postings``: the ids of a word, in buckets by the word's checksum and in ranges of words and
   ids within, so that the ids of a frequent word are spread over files.
 
+What has many rows a word (``grams``, ``pieces``, ``postings``) is gathered before it's sorted: a
+row has those words or ids of a key that one task had among a million rows.
+
 A word of more than ``LONGEST`` letters is in no such layout but in a table ``long``, which every
 search tests as a whole. What a layout finds is tested by the rule itself, so results are those
 of a scan. The dictionary grows with the distinct words, not with the names.
@@ -24,10 +27,13 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..checkpoints import checkpointed
 from ..functions import text as T
@@ -38,8 +44,8 @@ LAYOUTS = ("beginnings", "endings", "grams", "pieces")
 SCHEMAS = {
     "beginnings": "key string, word string",
     "endings": "key string, word string",
-    "grams": "key string, word string",
-    "pieces": "key string, word string",
+    "grams": "key string, words array<string>",
+    "pieces": "key string, words array<string>",
     "long": "word string",
     "about": "buckets int, least double, layouts array<string>",
 }
@@ -47,6 +53,8 @@ LONGEST = 128
 GRAM = 5
 #: Near words differ by this many letters in length at most, and have this many at least.
 SLACK, SHORTEST = 3, 4
+#: Rows and bytes that a task gathers at a time, and words that it cuts at a time.
+ROWS, BYTES, CUT = 1 << 20, 1 << 26, 1 << 16
 
 
 def _both(word: Column) -> Column:
@@ -61,17 +69,59 @@ def _differences(least: float, m: int, n: int) -> int:
     return d if d >= abs(m - n) else -1
 
 
-def _pieces(words: DataFrame, least: float) -> DataFrame:
-    """(key, word): lengths, number and text of each piece of a word, cut for near words of each length."""
-    m = F.length("word")
-    both = lambda s: m * 2 + s
-    most = lambda s: F.floor(F.lit(1 - least + 1e-6) * both(s)).cast("int")
-    even = F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda s: F.when((m + s >= SHORTEST) & (most(s) - F.pmod(most(s) - both(s), F.lit(2)) >= F.abs(s)), most(s) - F.pmod(most(s) - both(s), F.lit(2))))
-    rows = words.filter(m >= SHORTEST).select("word", F.explode(F.array_distinct(F.array_compact(even))).alias("d"))
-    rows = rows.select("word", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
-    at = lambda k: F.floor(k * m / (F.col("d") + 1)).cast("int")
-    piece = F.substring("word", at(F.col("k")) + 1, at(F.col("k") + 1) - at(F.col("k")))
-    return rows.select(F.concat_ws("|", m, "d", "k", piece).alias("key"), "word")
+def _cuts(m: int, least: float) -> list[int]:
+    """The numbers of differences for which words of a length are cut: one for each length of near words, without repeats."""
+    return sorted({d for n in range(max(SHORTEST, m - SLACK), m + SLACK + 1) if (d := _differences(least, m, n)) >= 0})
+
+
+def _pieces(words: pa.Array, least: float) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and words: lengths, number and text of each piece of a word, cut for near words of each length."""
+    lengths = pc.utf8_length(words)
+    for m in filter(lambda m: m >= SHORTEST, pc.unique(lengths).to_pylist()):
+        some = words.filter(pc.equal(lengths, m))
+        for d in _cuts(m, least):
+            for k in range(d + 1):
+                piece = pc.utf8_slice_codeunits(some, k * m // (d + 1), (k + 1) * m // (d + 1))
+                yield pc.binary_join_element_wise(f"{m}|{d}|{k}|", piece, ""), some
+
+
+def _grams(words: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and words: each run of five letters of a word."""
+    lengths = pc.utf8_length(words)
+    for i in range((pc.max(lengths).as_py() or 0) - GRAM + 1):
+        some = words.filter(pc.greater_equal(lengths, i + GRAM))
+        yield pc.utf8_slice_codeunits(some, i, i + GRAM), some
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together, as they may be small."""
+    some: list[pa.RecordBatch] = []
+    n = size = 0
+    for b in batches:
+        some.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= BYTES:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, n, size = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(some).combine_chunks()
+
+
+def _gathered(rows: DataFrame, key: str, value: str, cut: Callable[[pa.Array], Iterator[tuple[pa.Array, pa.Array]]] | None = None) -> DataFrame:
+    """(key, values): the values of a key among a million rows of a task; ``cut`` makes keys and values of words."""
+    names = [key, f"{value}s"]
+    schema = StructType([StructField(names[0], StringType()), StructField(names[1], ArrayType(rows.schema[value].dataType))])
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _in_chunks(batches, CUT):
+            yield from (pa.record_batch([k, v], names=[key, value]) for k, v in cut(words[value].chunk(0)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _in_chunks(batches if cut is None else cuts(batches), ROWS):
+            found = some.group_by(key, use_threads=False).aggregate([(value, "list")])
+            yield from found.select([key, f"{value}_list"]).rename_columns(names).to_batches(10_000)
+
+    return rows.mapInArrow(gather, schema)
 
 
 def _keys(term: str, least: float) -> list[list[str]]:
@@ -88,31 +138,37 @@ def _keys(term: str, least: float) -> list[list[str]]:
     return out
 
 
+def _either(rules: Sequence[Column]) -> Column:
+    """Whether one of the rules holds; nested by halves, as a long term has hundreds of lists."""
+    if len(rules) < 2:
+        return rules[0] if rules else F.lit(False)
+    return _either(rules[: len(rules) // 2]) | _either(rules[len(rules) // 2 :])
+
+
 def build(rows: DataFrame, path: str, *, layouts: Sequence[str] = LAYOUTS, least: float = 0.82, buckets: int = 64) -> Dictionary:
     """Write the dictionary of rows (id, tokens) and open it; ``least`` is the least similarity of near words."""
     if unknown := set(layouts) - set(LAYOUTS):
         raise ValueError(f"no layouts of these names: {sorted(unknown)}")
     spark = rows.sparkSession
     tokens = rows.filter("id IS NOT NULL").select("id", F.explode(F.array_distinct("tokens")).alias("word")).filter("word <> ''")
-    tokens = tokens.select(F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "id")
-    tokens = checkpointed(tokens)  # names are taken apart once, not for the ranges' sample too
-    place = ["bucket", "word", "id"]
-    tokens.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("bucket").parquet(f"{path}/postings")
+    gathered = _gathered(tokens, "word", "id").select(F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "ids")
+    gathered = checkpointed(gathered)  # names are taken apart once, not for the ranges' sample too
+    place = ["bucket", "word", F.col("ids")[0]]
+    gathered.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("bucket").parquet(f"{path}/postings")
     # in the type the ids were written with
-    postings = spark.read.schema(tokens.select("word", "id", "bucket").schema).parquet(f"{path}/postings")
+    postings = spark.read.schema(gathered.select("word", "ids", "bucket").schema).parquet(f"{path}/postings")
     postings.select("word").distinct().write.parquet(f"{path}/words")
     words = spark.read.schema("word string").parquet(f"{path}/words")
     words.filter(F.length("word") > LONGEST).write.parquet(f"{path}/long")
     words = words.filter(F.length("word") <= LONGEST)
-    starts = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
     made = {
         "beginnings": lambda: words.select(F.explode(_both(F.col("word"))).alias("key"), "word"),
         "endings": lambda: words.select(F.explode(F.transform(_both(F.col("word")), F.reverse)).alias("key"), "word"),
-        "grams": lambda: words.filter(F.length("word") >= GRAM).select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("word", i, F.lit(GRAM))))).alias("key"), "word"),
-        "pieces": lambda: _pieces(words, least),
+        "grams": lambda: _gathered(words, "key", "word", _grams),
+        "pieces": lambda: _gathered(words.repartitionByRange(F.length("word"), "word"), "key", "word", functools.partial(_pieces, least=least)),
     }
     for name in layouts:
-        made[name]().repartitionByRange("key", "word").sortWithinPartitions("key", "word").write.parquet(f"{path}/{name}")
+        made[name]().repartitionByRange("key", F.col("words")[0] if "words array" in SCHEMAS[name] else "word").sortWithinPartitions("key").write.parquet(f"{path}/{name}")
     spark.createDataFrame([(buckets, least, list(layouts))], SCHEMAS["about"]).coalesce(1).write.parquet(f"{path}/about")
     return Dictionary(spark, path)
 
@@ -132,7 +188,8 @@ class Dictionary:
     def _table(self, name: str) -> DataFrame:
         if name not in self.layouts and name != "long":
             raise ValueError(f"the dictionary at {self.path} was built without {name}")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        return rows.select("key", F.explode("words").alias("word")) if "words" in rows.columns else rows
 
     def _words(self, found: Sequence[DataFrame], rule: Column) -> DataFrame:
         """Distinct words of what the layouts give, and of the long ones, that follow the rule."""
@@ -163,8 +220,7 @@ class Dictionary:
     def candidates(self, term: str) -> DataFrame:
         """The words that ``near`` scores: those that share a piece with the term."""
         keys = _keys(term, self.least) if len(term) >= SHORTEST else []
-        wanted = functools.reduce(lambda a, b: a | b, (F.col("key").isin(k) for k in keys), F.lit(False))
-        found = self._table("pieces").filter(wanted).select("word")
+        found = self._table("pieces").filter(_either([F.col("key").isin(k) for k in keys])).select("word")
         if len(term) >= SHORTEST and len(term) + SLACK > LONGEST:
             found = found.unionByName(self._table("long").filter(F.abs(F.length("word") - len(term)) <= SLACK))
         return found.distinct()
@@ -186,16 +242,16 @@ class Dictionary:
         found = checkpointed(functools.reduce(DataFrame.unionByName, marked))
         # at most as many numbers as there are buckets
         some = [r.bucket for r in found.select("bucket").distinct().collect()]
-        hits = self.postings.filter(F.col("bucket").isin(some)).join(found, ["bucket", "word"])
+        hits = self.postings.filter(F.col("bucket").isin(some)).join(found, ["bucket", "word"]).select("mask", F.explode("ids").alias("id"))
         return hits.groupBy("id").agg(F.bit_or("mask").alias("mask")).filter(F.col("mask") == (1 << len(words)) - 1).select("id")
 
     def having(self, terms: Sequence[str]) -> DataFrame:
         """Ids that have all the terms as words, as in ``search.and_search``; other buckets and words aren't read."""
         wanted = sorted(set(terms))
         if self.postings is None or not wanted:
-            return self.spark.createDataFrame([], "id long") if self.postings is None else self.postings.select("id").limit(0)
+            return self.spark.createDataFrame([], "id long") if self.postings is None else self.postings.select(F.explode("ids").alias("id")).limit(0)
         rows = self.postings.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in wanted})) & F.col("word").isin(wanted))
-        return rows.groupBy("id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(wanted)).select("id")
+        return rows.select("word", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(wanted)).select("id")
 
     def search(self, terms: Sequence[str], how: str = "matching") -> DataFrame:
         """Ids that every term finds by ``matching``, ``containing`` (eight terms at most, as in ``search.like_any``) or ``near``."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,26 @@ def test_empty_and_unfinished(spark, tmp_path):
     some = dictionary.build(spark.createDataFrame([(1, ["abcd"])], "id long, tokens array<string>"), str(tmp_path / "e"), layouts=["pieces"])
     with pytest.raises(ValueError):
         some.matching("ab")
+
+
+def test_rows_are_gathered(spark, stored, rows):
+    """A stored row has many ids or words, and the layouts have each of them."""
+    pairs = {(r.word, r.id) for r in rows.filter("id IS NOT NULL").select("id", F.explode("tokens").alias("word")).filter("word <> ''").collect()}
+    kept = spark.read.parquet(f"{stored.path}/postings")
+    assert {(r.word, i) for r in kept.collect() for i in r.ids} == pairs
+    assert kept.count() < 0.75 * len(pairs)
+    short = {w for w, _ in pairs if len(w) <= dictionary.LONGEST}
+    grams = spark.read.parquet(f"{stored.path}/grams").collect()
+    assert {(r.key, w) for r in grams for w in r.words} == {(w[i : i + 5], w) for w in short for i in range(len(w) - 4)}
+    pieces = spark.read.parquet(f"{stored.path}/pieces").collect()
+    cut = {(w, d) for w in short for n in range(len(w) - 3, len(w) + 4) if min(n, len(w)) >= 4 and (d := dictionary._differences(0.82, len(w), n)) >= 0}
+    want = {(f"{len(w)}|{d}|{k}|{w[k * len(w) // (d + 1) : (k + 1) * len(w) // (d + 1)]}", w) for w, d in cut for k in range(d + 1)}
+    assert {(r.key, w) for r in pieces for w in r.words} == want
+    assert len(pieces) < 0.75 * len(want)
+
+
+def test_batches_are_put_together():
+    batches = [pa.record_batch([["a", "b", "a"], [i, i + 1, i + 2]], names=["word", "id"]) for i in range(0, 30, 3)]
+    chunks = list(dictionary._in_chunks(iter(batches), 7))
+    assert [c.num_rows for c in chunks] == [9, 9, 9, 3]
+    assert [i for c in chunks for i in c["id"].to_pylist()] == list(range(30))
