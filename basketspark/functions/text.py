@@ -118,10 +118,11 @@ def without_marks(c: Column) -> Column:
     """Lower-case text with é as e, å as a and ½ as 1⁄2; letters of their own such as æ and ø stay."""
     forms = compatibility_forms()
     several = _class_of("".join(forms.several) + chr(SYLLABLES) + chr(SYLLABLES + 1))[:-1] + rf"\x{{{SYLLABLES:X}}}-\x{{{SYLLABLES + 11171:X}}}]"
-    plain = lambda x: F.when(x.rlike(r"[^\x00-\x7Fæø]"), F.translate(x, forms.single, forms.plain)).otherwise(x)
-    # the long class is tried on texts only that have more than common letters
+    # patterns are tried on texts only that have letters of more than one byte, and the long class on those that have more than common ones
+    wide = lambda x: F.octet_length(x) > F.char_length(x)
+    plain = lambda x: F.when(wide(x), F.translate(x, forms.single, forms.plain)).otherwise(x)
     uncommon = _class_of("".join(x for x in forms.several if x < "\u0180"))[:-1] + r"\x{180}-\x{10FFFF}]"
-    return let(let(c, plain), lambda x: F.when(x.rlike(uncommon), F.when(x.rlike(several), _spelled(x)).otherwise(x)).otherwise(x))
+    return let(let(c, plain), lambda x: F.when(wide(x) & x.rlike(uncommon), F.when(x.rlike(several), _spelled(x)).otherwise(x)).otherwise(x))
 
 
 def _written_out(x: Column) -> Column:

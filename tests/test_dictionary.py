@@ -155,3 +155,11 @@ def test_batches_are_put_together():
     chunks = list(dictionary._in_chunks(iter(batches), 7))
     assert [c.num_rows for c in chunks] == [9, 9, 9, 3]
     assert [i for c in chunks for i in c["id"].to_pylist()] == list(range(30))
+
+
+def test_few_texts_meet_the_long_patterns(spark):
+    """Plain texts are told by their bytes; letters of two bytes by what is left of them."""
+    plan = spark.range(1).select(T.without_marks(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "octet_length" in plan
+    some = spark.createDataFrame([("abc",), ("ærø",), ("é½ﬁ",), ("가ǆ",), ("",)], "name string").select(T.without_marks(F.col("name")).alias("x"))
+    assert [r.x for r in some.collect()] == ["abc", "ærø", "e1⁄2fi", "가dz", ""]
