@@ -130,7 +130,10 @@ def _written_out(x: Column) -> Column:
     for short, full in ABBREVIATIONS.items():
         before = "(?<!f )" if short == "eks" else ""  # "for eksempel"
         long_ = F.regexp_replace(long_, before + whole(short), full)
-    return F.when(x.rlike(whole("|".join(ABBREVIATIONS))), long_).otherwise(x)
+    # a coarse pattern first, as the texts that have one are few: by first letters, and nothing of ASCII beside
+    first = {c: "|".join(w[1:] for w in ABBREVIATIONS if w[0] == c) for c in sorted({w[0] for w in ABBREVIATIONS})}
+    some = "|".join(f"{c}(?:{rest})" for c, rest in first.items())
+    return F.when(x.rlike(rf"(?=[{''.join(first)}])(?<![a-z0-9])(?:{some})(?![a-z0-9])"), long_).otherwise(x)
 
 
 def normalized(c: Column) -> Column:
@@ -151,7 +154,8 @@ def folded(c: Column) -> Column:
 
 def tokens(c: Column, least: int = 1) -> Column:
     """Distinct tokens of normalized text, in order of appearance."""
-    return F.array_distinct(F.filter(F.split(c, " "), lambda t: F.length(t) >= least))
+    words = F.array_distinct(F.split(c, " "))
+    return F.array_remove(words, "") if least == 1 else F.filter(words, lambda t: F.length(t) >= least)
 
 
 def content_words(c: Column) -> Column:

@@ -157,6 +157,18 @@ def test_batches_are_put_together():
     assert [i for c in chunks for i in c["id"].to_pylist()] == list(range(30))
 
 
+def test_abbreviations_beside_all_kinds_of_letters(spark):
+    """What the coarse pattern lets through is what the exact ones would write out."""
+    rng = random.Random(12)
+    parts = [*T.ABBREVIATIONS, "f ", " ", "-", "é", "æ", "ß", "9", "_", "٣", "가", "e", "½", "ﬁ"]
+    data = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    exact = F.col("name")
+    for short, full in T.ABBREVIATIONS.items():
+        exact = F.regexp_replace(exact, ("(?<!f )" if short == "eks" else "") + T.whole(short), full)
+    df = spark.createDataFrame([(x,) for x in data], "name string").select("name", exact.alias("exact"), T._written_out(F.col("name")).alias("made"))
+    assert df.filter("exact <> made").count() == 0 and df.filter("name <> made").count() > 100
+
+
 def test_few_texts_meet_the_long_patterns(spark):
     """Plain texts are told by their bytes; letters of two bytes by what is left of them."""
     plan = spark.range(1).select(T.without_marks(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
